@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import ship
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 150_000
 MEMO_PIECE_CHARS = 80
 ROWS_AT_ONCE = 512
 
@@ -49,32 +49,46 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges, lowest rank first and leftmost among equals, until none is left."""
+class Merges:
+    """Merge rules: ``rank`` by (left << 32 | right), ``made`` by rank."""
+
+    def __init__(self, vocab: dict[str, int], rules: list):
+        pairs = [r.split(" ") if isinstance(r, str) else r for r in rules]
+        self.made = [vocab[a + b] for a, b in pairs]
+        self.rank = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in reversed(list(enumerate(pairs)))}
+
+
+def merge_symbols(symbols: list[int], merges: Merges) -> list[int]:
+    """Apply merges to the list, in place: lowest rank first and leftmost among equals, until none is left.
+
+    A heap entry is rank << 32 | position of the pair's left symbol.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        if m := merges.get((symbols[i], symbols[i + 1])):
-            heap.append((m[0], i, m[1]))
+    rank_of, made_by = merges.rank.get, merges.made
+    heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
+    if not heap:
+        return symbols
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        _, i, made = heapq.heappop(heap)
-        if symbols[i] < 0 or (j := after[i]) >= n:
+        entry = pop(heap)
+        i = entry & 0xFFFFFFFF
+        if (left := symbols[i]) < 0 or (j := after[i]) >= n:
             continue
-        m = merges.get((symbols[i], symbols[j]))
-        if m is None or m[1] != made:
+        if rank_of(left << 32 | symbols[j]) != entry >> 32:
             continue  # stale: one side has been merged since
+        made = made_by[entry >> 32]
         symbols[i], symbols[j] = made, -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if m := merges.get((made, symbols[k])):
-                heapq.heappush(heap, (m[0], i, m[1]))
-        if (h := before[i]) >= 0 and (m := merges.get((symbols[h], made))):
-            heapq.heappush(heap, (m[0], h, m[1]))
+            if (r := rank_of(made << 32 | symbols[k])) is not None:
+                push(heap, r << 32 | i)
+        if (h := before[i]) >= 0 and (r := rank_of(symbols[h] << 32 | made)) is not None:
+            push(heap, r << 32 | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -86,34 +100,26 @@ def single_spaced(text: str) -> bool:
     return not any(a + b in text for a in found for b in found)
 
 
-class _Memo(dict):
-    """piece -> ids; ``lead`` is what stands before each piece in the text. Ids are kept as packed int32."""
-
-    def __init__(self, words: _Words, lead: str):
-        self.words, self.lead = words, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, _WORD.findall(self.lead + piece)))
-        return _kept(self, piece, ids)
-
-
-class _Words(dict):
-    """word of the split pattern -> ids."""
-
-    def __init__(self, byte_ids: list[int], merges: dict):
-        self.byte_ids, self.merges = byte_ids, merges
+class Memo(dict):
+    """A bounded memo of ``make``: what the last two generations of ``MEMO_ENTRIES`` keys asked for is kept.
 
-    def __missing__(self, word: str) -> bytes:
-        ids = merge_symbols([self.byte_ids[b] for b in word.encode()], self.merges)
-        return _kept(self, word, array("i", ids).tobytes())
+    A hit is a plain dictionary lookup.
+    """
 
+    def __init__(self, make):
+        self.make, self.older = make, {}
 
-def _kept(memo: dict, key: str, ids: bytes) -> bytes:
-    if len(key) <= MEMO_PIECE_CHARS:
-        if len(memo) >= MEMO_ENTRIES:
-            memo.clear()
-        memo[key] = ids
-    return ids
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMO_PIECE_CHARS:
+                return value
+        if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class ByteBpe:
@@ -126,8 +132,6 @@ class ByteBpe:
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
             raise ValueError(f"{path}: not a plain byte-level BPE")
         vocab = model["vocab"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         alphabet = byte_alphabet()
         back = {c: b for b, c in alphabet.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -137,8 +141,23 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
-        words = _Words([vocab[alphabet[b]] for b in range(256)], merges)
-        self._spaced, self._plain = _Memo(words, " "), _Memo(words, "")
+        self._byte_ids = [vocab[alphabet[b]] for b in range(256)]
+        self._merges = Merges(vocab, model["merges"])
+        # Ids are kept as packed int32: by word of the split pattern, and by piece with or without a space before it.
+        self._words = Memo(self._word)
+        self._plain = Memo(self._piece)
+        self._spaced = Memo(lambda piece: self._piece(piece, " "))
+
+    def _word(self, word: str) -> bytes:
+        ids = merge_symbols([self._byte_ids[b] for b in word.encode()], self._merges)
+        return array("i", ids).tobytes()
+
+    def _piece(self, piece: str, lead: str = "") -> bytes:
+        if piece.isalpha():
+            return self._words[lead + piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return self._words[lead + piece[:-1]] + self._words[piece[-1]]
+        return b"".join(map(self._words.__getitem__, _WORD.findall(lead + piece)))
 
     def _plain_runs(self, text: str) -> Iterator[bytes]:
         if single_spaced(text):

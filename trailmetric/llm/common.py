@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
@@ -23,6 +24,8 @@ def ship(spark: SparkSession) -> None:
     Importing keeps per-process caches (vocabularies, word memos) alive between
     the tasks of a reused worker.
     """
+    # Documents can be long, so few rows go to a Python worker at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

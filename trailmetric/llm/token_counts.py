@@ -38,7 +38,7 @@ from .bpe import WS, Memo, Merges, byte_alphabet, merge_symbols, slices
 from .common import ship
 
 CHUNK_CHARS = 1 << 15
-MAX_STATES = 150_000
+MAX_STATES = 120_000
 PAIR_ENTRIES = 500_000
 
 RESET = 0
@@ -118,14 +118,11 @@ class Transducer:
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
-        self._clear()
-        self.pieces = Memo(self._piece)
-
-    def _clear(self) -> None:
         self.states: list[State] = [State("", _START, -1)]
         self.ids: dict[State, int] = {self.states[0]: RESET}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.closes: dict[int, int] = {RESET: 0}
+        self.pieces = Memo(self._piece)
 
     # -- BPE ---------------------------------------------------------------
     def _candidates(self, at: Open, byte: int, last: bool) -> tuple[bytes, int, int]:
@@ -194,28 +191,34 @@ class Transducer:
         return after, done + n
 
     # -- compiled machine ----------------------------------------------------
-    def _intern(self, s: State) -> int:
+    def _intern(self, s: State) -> int | State:
+        """The state's number; the state itself once MAX_STATES are compiled."""
         if (i := self.ids.get(s)) is None:
-            i = self.ids[s] = len(self.states)
+            if (i := len(self.states)) >= MAX_STATES:
+                return s
+            self.ids[s] = i
             self.states.append(s)
             self.moves.append({})
         return i
 
-    def advance(self, state: int, text: str) -> tuple[int, int]:
+    def advance(self, state: int | State, text: str) -> tuple[int | State, int]:
         """The state after ``text`` and the tokens emitted on the way."""
         n, moves = 0, self.moves
         for ch in text:
             try:
                 state, d = moves[state][ch]
-            except KeyError:
-                after, d = self._next(self.states[state], ch)
+            except (KeyError, TypeError):  # not compiled yet, or not to be
+                after, d = self._next(state if isinstance(state, State) else self.states[state], ch)
                 to = self._intern(after)
-                moves[state][ch] = to, d
+                if isinstance(state, int) and isinstance(to, int):
+                    moves[state][ch] = to, d
                 state = to
             n += d
         return state, n
 
-    def close(self, state: int) -> int:
+    def close(self, state: int | State) -> int:
+        if isinstance(state, State):
+            return self._ended(state)
         if (n := self.closes.get(state)) is None:
             n = self.closes[state] = self._ended(self.states[state])
         return n
@@ -255,8 +258,6 @@ class Transducer:
     def count(self, text: str | None, chunk: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
-        if len(self.states) > MAX_STATES:
-            self._clear()
         n, parts = 0, [text]
         for special in self.bpe.added:
             if special in text:
@@ -276,7 +277,7 @@ class ChunkMap(NamedTuple):
     """The effect of a chunk on the state it is entered in: ``head`` is run from it; ``after`` (tokens, state) holds whatever it was."""
 
     head: str
-    after: tuple[int, int] | None
+    after: tuple[int, int | State] | None
 
 
 def scan(items: list, compose) -> list:

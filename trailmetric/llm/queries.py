@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, packing, token_counts
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,6 +31,16 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack_documents(docs, BYTE_BPE, tokens=1024)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir), WORD_BPE, carry=["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -38,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op6_packing": op6_packing,
     "op10_token_counts": op10_token_counts,
 }
 

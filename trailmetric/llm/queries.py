@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts
+from . import bpe, exact_dedup, packing, token_counts
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,6 +31,22 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY sha) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, sha AS text_sha256
+FROM t WINDOW w AS (PARTITION BY sha ORDER BY size DESC, doc_id)
+"""
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack_documents(docs, BYTE_BPE, tokens=1024)
     crc = F.crc32("ids").alias("ids_crc32")
@@ -48,8 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_exact_dedup": op3_exact_dedup,
     "op6_packing": op6_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+}

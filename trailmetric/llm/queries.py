@@ -6,10 +6,10 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_counts
+from . import bpe, exact_dedup, packing, quality, token_counts
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,6 +47,18 @@ FROM t WINDOW w AS (PARTITION BY sha ORDER BY size DESC, doc_id)
 """
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a row's label is kept from training."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(4, 2)
+    labels = strict(table(spark, sf_dir, "labels"), "doc_id", "quality").filter(~out)
+    scored = quality.score(docs, quality.train(docs, labels), carry=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack_documents(docs, BYTE_BPE, tokens=1024)
     crc = F.crc32("ids").alias("ids_crc32")
@@ -65,6 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op10_token_counts": op10_token_counts,
 }

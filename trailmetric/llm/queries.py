@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, token_counts
+from . import bpe, exact_dedup, packing, quality, token_counts, toxicity
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,6 +69,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(5, 0)
+    labels = strict(table(spark, sf_dir, "labels"), "doc_id", "toxic").filter(~out)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), carry=["doc_id"])
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("offending"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir), WORD_BPE, carry=["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -87,7 +87,7 @@ def _screen(words: list[str], word: np.ndarray, document: np.ndarray, toxic: np.
     return chosen, pairs[:, 0], pairs[:, 1]
 
 
-def fit(texts: list[str | None], label: np.ndarray, rounds: int = 200, rate: float = 0.2, decay: float = 1e-4) -> Model:
+def fit(texts: list[str | None], label: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 2e-5) -> Model:
     n = len(texts)
     if n == 0 or len(np.unique(label)) < 2:
         return Model({}, 8.0 if n and label.all() else -12.0)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, token_counts, topk, toxicity
+from . import bpe, exact_dedup, licenses, packing, quality, token_counts, topk, toxicity
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -89,6 +89,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), held_out(5, 0)
     labels = strict(table(spark, sf_dir, "labels"), "doc_id", "toxic").filter(~out)
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op7_top_k": op7_top_k,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
@@ -115,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op7_top_k": OP7_SQL,
+    "op8_license_scan": licenses.sql(),
 }

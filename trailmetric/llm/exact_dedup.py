@@ -46,15 +46,17 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=
         .groupBy("sha")
         .agg(F.max_by("first_id", "size").alias("keep_id"), F.sum("n").alias("group_size"))
     )
+    # Another key than the aggregation's, so the join deals its rows anew and can split a large group's.
+    key = F.unhex("sha").alias("key")
     return (
-        norm.select("doc_id", "sha")
-        .join(found, "sha")
+        norm.select("doc_id", key)
+        .join(found.select(key, "keep_id", "group_size"), "key")
         .select(
             "doc_id",
             "keep_id",
             "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            F.col("sha").alias("text_sha256"),
+            F.lower(F.hex("key")).alias("text_sha256"),
         )
     )
 

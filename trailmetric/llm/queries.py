@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, packing, quality, token_counts, topk, toxicity
+from . import bpe, exact_dedup, licenses, near_dedup, packing, quality, token_counts, topk, toxicity
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -20,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(documents(spark, sf_dir), BYTE_BPE, carry=["doc_id"])
     back = bpe.decode(ids, BYTE_BPE)
@@ -107,6 +112,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,

@@ -39,6 +39,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: ``spark.checkpoint.dir``, or where none is set (tests, one machine) a temporary one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
@@ -47,11 +52,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def strict(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns: callers' further columns cannot clash with ours."""
     return df.select(*[F.col(c) for c in columns])
+
+
+def without(df: DataFrame, dropped: DataFrame, doc_id: str) -> DataFrame:
+    """``df`` without the ids in ``dropped`` (a column ``doc_id``). Texts move only if the dropped ids are too many to broadcast."""
+    gone = dropped.select(F.col("doc_id").alias("gone_id"))
+    return df.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+
+
+def repeated(df: DataFrame, doc_id: str) -> DataFrame:
+    """The ids (as ``doc_id``) of more than one row."""
+    return df.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")

@@ -10,7 +10,7 @@ keys can be split, as each has one row on the other side.
 
 Defined results: null texts count as empty; empty texts are equal to each other; of
 equal lengths the smallest id stays; rows that repeat an id each count, and each has
-``kept`` if the id stays (``deduplicate`` keeps one of them); an empty table gives no
+``kept`` if the id stays (``deduplicate`` keeps one of them, whatever its id); an empty table gives no
 rows; of the caller's columns only id and text are read.
 """
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import repeated, without
+
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -62,6 +64,11 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.  Of rows that repeat an id, an arbitrary one."""
-    stay = groups(df, doc_id, text).filter("kept").select(F.col("keep_id").alias(doc_id)).distinct()
-    return df.dropDuplicates([doc_id]).join(stay, doc_id, "left_semi")
+    """One row of each group, with all columns of ``df``; of rows alike in id and text, an arbitrary one."""
+    found = groups(df, doc_id, text)
+    again = repeated(df, doc_id)
+    if again.isEmpty():
+        return without(df, found.filter(~F.col("kept")), doc_id)
+    stay = found.filter("kept").select(F.col("keep_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    rows = df.withColumn("own_sha", F.sha2(without_blanks(F.col(text)), 256)).dropDuplicates([doc_id, "own_sha"])
+    return rows.join(stay, F.col(doc_id).eqNullSafe(F.col("stay_id")) & (F.col("own_sha") == F.col("stay_sha")), "left_semi").select(*df.columns)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo, slices
-from .common import checkpointed, ship
+from .common import checkpointed, repeated, ship, without
 
 POSITIONS = 4
 ERRORS = 1
@@ -236,6 +236,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
 
 
 def deduplicate(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that are the smallest of their component.  Of rows that repeat an id, an arbitrary one."""
-    stay = near_duplicates(df, size, percent, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return df.dropDuplicates([doc_id]).join(stay, doc_id, "left_semi")
+    """The rows of ``df``, with all their columns, that are the smallest of their component; of rows that repeat an id, an arbitrary one."""
+    found = near_duplicates(df, size, percent, doc_id, text)
+    once = df if repeated(df, doc_id).isEmpty() else df.dropDuplicates([doc_id])
+    return without(once, found.filter("doc_id <> component_id"), doc_id)

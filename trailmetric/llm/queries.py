@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, near_dedup, packing, quality, token_counts, topk, toxicity
+from . import bpe, exact_dedup, licenses, near_dedup, packing, pii, quality, token_counts, topk, toxicity
 from .common import strict, table
 
 BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +64,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: F.startswith(s, F.lit(f"{kind}:")))).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(F.array_join("base", ","), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, pii.KINDS), digest, F.array_join(F.concat("base", "terms"), ",").alias("spans"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack_documents(docs, BYTE_BPE, tokens=1024)
     crc = F.crc32("ids").alias("ids_crc32")
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_top_k": op7_top_k,
     "op8_license_scan": op8_license_scan,

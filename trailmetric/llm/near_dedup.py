@@ -11,8 +11,11 @@
    ``MISS``.
 4. Links are made in two rounds, so that a bucket is not expanded into all its pairs: first
    between each bucket's smallest member and the others; then, for buckets whose members are
-   not yet connected, between all members of different components.  Pairs above the
-   signature distance are left out, all others are confirmed on the whole shingle sets.
+   not yet connected, between all members of different components, each pair in the first
+   bucket it shares.  A pair goes no further if its signatures are too far apart, or if the
+   sets' sizes or their odd sketches (bitmaps in which every shingle flips a bit, so that they
+   differ in at most as many bits as the sets do in shingles) rule out the similarity.  All
+   others are confirmed on the whole shingle sets.
 5. Components are found by alternating large and small stars on distributed edges.
 
 Every cut of lineage is a reliable checkpoint.  Joins on keys that many rows share have one
@@ -44,6 +47,8 @@ from .common import checkpointed, repeated, ship, without
 POSITIONS = 4
 ERRORS = 1
 MISS = 1e-5
+SKETCH_WORDS = 16
+SLOT_BITS = 8
 SEED = 20_240_229
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,55 +109,99 @@ def signature(hashes: np.ndarray, chunks: int) -> np.ndarray:
     return (low << (np.arange(POSITIONS, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
 
 
+def odd_sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """A bitmap in which every hash flips one bit."""
+    bits = np.bincount((hashes >> np.uint64(20)) % np.uint64(64 * words), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def described(df: DataFrame, size: int, chunks: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets; null without shingles) and the chunks c0, c1, ... of every row."""
+    """doc_id, n_shingles, class (of equal sets; null without shingles), the signature's chunks c0, c1, ... and the sketch s0, s1, ... of every row."""
     ship(df.sparkSession)
-    names = [f"c{i}" for i in range(chunks)]
+    names = words_of(chunks)
     fields = [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType())]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column(text).to_pylist()]
-            words = np.array([signature(s, chunks) for s in sets], dtype=np.uint64).reshape(-1, chunks).view(np.int64)
+            words = np.array([np.concatenate([signature(s, chunks), odd_sketch(s)]) for s in sets], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
             columns = [batch.column(doc_id), pa.array(map(len, sets), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(words[:, i]) for i in range(chunks)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(words[:, i]) for i in range(len(names))]], names=schema.names)
 
     return df.select(doc_id, text).mapInArrow(run, schema)
 
 
+def words_of(chunks: int) -> list[str]:
+    return [*[f"c{i}" for i in range(chunks)], *[f"s{i}" for i in range(SKETCH_WORDS)]]
+
+
 # -- candidates ------------------------------------------------------------
-def bucket_keys(chunks: int) -> Column:
-    """All bucket keys of a row: each chunk without each choice of ``ERRORS`` positions."""
-    keys = []
+def slots(chunks: int) -> list[tuple[int, int]]:
+    """(chunk, mask) of every index: each chunk without each choice of ``ERRORS`` positions."""
+    found = []
     for i in range(chunks):
         for left_out in combinations(range(POSITIONS), ERRORS):
             mask = (1 << 64) - 1 - sum(0xFFFF << 16 * j for j in left_out)
-            mask -= 1 << 64 if mask >= 1 << 63 else 0
-            keys.append(F.xxhash64(F.lit(i), F.lit(str(left_out)), F.col(f"c{i}").bitwiseAND(F.lit(mask))))
+            found.append((i, mask - (1 << 64) if mask >= 1 << 63 else mask))
+    return found
+
+
+def bucket_keys(chunks: int) -> Column:
+    """All bucket keys of a row; the low ``SLOT_BITS`` bits are the index's number."""
+    keys = []
+    for slot, (i, mask) in enumerate(slots(chunks)):
+        hashed = F.xxhash64(F.lit(slot), F.col(f"c{i}").bitwiseAND(F.lit(mask)))
+        keys.append(F.shiftleft(hashed, SLOT_BITS).bitwiseOR(F.lit(slot)))
     return F.array(*keys)
 
 
+def _differ(a: str, b: str, i: int) -> Column:
+    return F.col(f"{a}c{i}").bitwiseXOR(F.col(f"{b}c{i}"))
+
+
 def signature_distance(a: str, b: str, chunks: int) -> Column:
     """Positions in which the signatures under the prefixes ``a`` and ``b`` differ."""
     total = F.lit(0)
     for i in range(chunks):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        x = _differ(a, b, i)
         for by in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, by))
         total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
     return total
 
 
-def within(pairs: DataFrame, reps: DataFrame, chunks: int) -> DataFrame:
-    """The pairs (a, b) whose signatures are near enough."""
-    side = lambda name, p: reps.select(F.col("rep").alias(name), *[F.col(f"c{i}").alias(f"{p}{i}") for i in range(chunks)])
-    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
-    return both.filter(signature_distance("x", "y", chunks) <= distance(chunks)).select("a", "b")
+def possible(a: str, b: str, chunks: int, percent: int) -> Column:
+    """Whether the sizes, the sketches and the signatures of two rows allow the similarity; the first two never rule out a pair that has it."""
+    na, nb = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
+    sizes = (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    bits = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        bits = bits + F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}")))
+    # Similar sets differ in at most (100 - p) / (100 + p) of their sizes' sum.
+    return sizes & ((100 + percent) * bits <= (100 - percent) * (na + nb)) & (signature_distance(a, b, chunks) <= distance(chunks))
+
+
+def first_shared(key: Column, a: str, b: str, chunks: int) -> Column:
+    """Whether ``key`` is of the first index in which the two rows meet."""
+    first = F.when(F.lit(False), -1)
+    for slot, (i, mask) in enumerate(slots(chunks)):
+        first = first.when(_differ(a, b, i).bitwiseAND(F.lit(mask)) == 0, slot)
+    return key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) == first
+
+
+def _side(reps: DataFrame, chunks: int, name: str, prefix: str, *more: Column) -> DataFrame:
+    return reps.select(F.col("rep").alias(name), *more, *[F.col(c).alias(prefix + c) for c in ("n_shingles", *words_of(chunks))])
+
+
+def within(pairs: DataFrame, reps: DataFrame, chunks: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be similar enough."""
+    both = pairs.join(_side(reps, chunks, "b", "y"), "b").join(_side(reps, chunks, "a", "x"), "a")
+    return both.filter(possible("x", "y", chunks, percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -168,7 +217,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         for batch in batches:
             keep = []
             for text_a, text_b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if text_a is not last and text_a != last:
+                if text_a != last:
                     last, left = text_a, shingles(text_a, size)
                 right = shingles(text_b, size)
                 common = len(np.intersect1d(left, right, assume_unique=True))
@@ -205,27 +254,26 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     chunks = chunks_for(percent)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = checkpointed(described(docs, size, chunks, "doc_id", "text"))
-    signs = [f"c{i}" for i in range(chunks)]
-    reps = checkpointed(rows.filter("n_shingles > 0").groupBy("class", *signs).agg(F.min("doc_id").alias("rep")))
+    reps = checkpointed(rows.filter("n_shingles > 0").groupBy("class", "n_shingles", *words_of(chunks)).agg(F.min("doc_id").alias("rep")))
 
     # Buckets of more than one class, and the smallest member of each.
     members = reps.select("rep", F.explode(bucket_keys(chunks)).alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "hub")
     shared = checkpointed(members.join(buckets, F.col("key") == F.col("bucket")).select("key", "rep", "hub"))
     stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(confirmed(within(stars, reps, chunks), docs, size, percent))
+    links = checkpointed(confirmed(within(stars, reps, chunks, percent), docs, size, percent))
     label = components(links)
 
     # Buckets that still hold several components: pairs across these.
     labelled = shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
     labelled = checkpointed(labelled)
     still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select(F.col("key").alias("bucket"))
-    rest = labelled.join(still, F.col("key") == F.col("bucket")).drop("bucket")
-    rest = checkpointed(rest.join(reps.drop("class").withColumnRenamed("rep", "node"), F.col("rep") == F.col("node")).drop("node"))
-    x = rest.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), "hub", *[F.col(c).alias("x" + c[1:]) for c in signs])
-    y = rest.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("label").alias("lb"), *[F.col(c).alias("y" + c[1:]) for c in signs])
-    near = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub"))
-    pairs = x.join(y, near & (signature_distance("x", "y", chunks) <= distance(chunks))).select("a", "b").distinct()
+    rest = labelled.join(still, F.col("key") == F.col("bucket")).select("key", F.col("rep").alias("member"), "hub", "label")
+    rest = checkpointed(rest.join(reps, F.col("rep") == F.col("member")))
+    x = _side(rest, chunks, "a", "x", "key", F.col("label").alias("la"), "hub")
+    y = _side(rest, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"))
+    across = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub"))
+    pairs = x.join(y, across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks)).select("a", "b")
     more = checkpointed(confirmed(pairs, docs, size, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))

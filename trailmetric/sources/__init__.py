@@ -1,0 +1,64 @@
+"""Scans and sinks of JSON collections and Parquet tables, with declared schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSON files of one array each, or of one record to a line (``.jsonl``)."""
+    return spark.read.schema(schema).option("multiLine", not path.endswith("l")).json(path)
+
+
+def read_wrapped(spark: SparkSession, path: str, field: str, schema: StructType) -> DataFrame:
+    """Files that hold an array under ``field`` beside their metadata, or just the array."""
+    item = schema.simpleString()
+    whole = spark.read.text(path, wholetext=True)
+    parsed = F.from_json("value", f"{field} array<{item}>")
+    rows = F.coalesce(parsed[field], F.from_json("value", f"array<{item}>"))
+    return whole.select(F.inline(rows))
+
+
+def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).json(path)
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report: one file with a header."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def export(df: DataFrame, condition: Column | None = None, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+    """A filtered part of a collection; a limit needs an order."""
+    out = df if condition is None else df.filter(condition)
+    return out if limit is None else out.orderBy(*(order or [])).limit(limit)
+
+
+def status(collections: dict[str, DataFrame], experiment: str | None = None) -> DataFrame:
+    """collection and number of records, of one experiment or all."""
+    parts = []
+    for name, df in collections.items():
+        rows = df.filter(F.col("experiment_id") == experiment) if experiment and "experiment_id" in df.columns else df
+        parts.append(rows.agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+STORAGE_FIELDS = ("_id", "stored_at", "updated_at", "version_tag")
+
+
+def without_storage(df: DataFrame) -> DataFrame:
+    return df.drop(*STORAGE_FIELDS)

@@ -31,8 +31,9 @@ SILENT_ROLES = ("extraction",)
 FINAL_ROLES = ("extraction", "final_response")
 DIAGNOSIS = r"(?i)bug|issue|problem|error|fix|cause"
 
-_BY = Window.partitionBy("trajectory_id")
-_ORDERED = _BY.orderBy("step_index")
+
+def _by():
+    return Window.partitionBy("trajectory_id")
 
 
 def low(name: str) -> Column:
@@ -96,7 +97,7 @@ def with_extraction(df: DataFrame) -> DataFrame:
     zero = lambda c: c.try_cast("double") == 0
     value = F.when(number.isNotNull() & ~zero(number), number).when(line.isNotNull() & ~zero(line), line).when(path.isNotNull(), path).otherwise(F.coalesce(line, number))
     kind = F.when(value == number, F.when(F.contains(number, F.lit(".")), "float").otherwise("integer")).when(value == line, "line_number").when(value == path, "filepath")
-    source = F.last(F.when(F.coalesce("observation", F.lit("")) != "", F.col("step_index")), ignorenulls=True).over(_ORDERED.rowsBetween(Window.unboundedPreceding, -1))
+    source = F.last(F.when(F.coalesce("observation", F.lit("")) != "", F.col("step_index")), ignorenulls=True).over(_by().orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1))
     ex = F.col("step_role") == "extraction"
     out = df.withColumns({"extracted_value": F.when(ex, value), "value_type": F.when(ex, kind), "source_step": F.when(ex, source)})
     grounded = F.col("extracted_value").isNotNull() & F.col("value_type").isNotNull() & F.col("source_step").isNotNull()
@@ -125,7 +126,7 @@ def with_flags(df: DataFrame) -> DataFrame:
     )
     return df.withColumns(
         {
-            "is_terminal_step": finish | (F.col("step_index") == F.max("step_index").over(_BY)),
+            "is_terminal_step": finish | (F.col("step_index") == F.max("step_index").over(_by())),
             "produces_final_answer": finish & ((F.coalesce(argument("return_type"), F.lit("")) == "give_answer") | has("final_answer")),
             "produces_patch": F.coalesce((F.col("benchmark") == "swebench") & (cmd != "view") & ~tool.isin(*READ_TOOLS) & editor & patch, F.lit(False)),
             "normalized_operation": operation,
@@ -292,10 +293,10 @@ def with_criticality(df: DataFrame, edges: DataFrame, closed: DataFrame) -> Data
     fans = fan_out(edges, closed)
     rows = df.join(fans, ["trajectory_id", "step_index"], "left").join(closed, ["trajectory_id", "step_index"], "left")
     rows = rows.withColumn("fan_out", F.coalesce("fan_out", F.lit(0.0)))
-    n = F.count(F.lit(1)).over(_BY)
-    terminal_at = F.coalesce(F.min(F.when(F.col("is_terminal_step"), F.col("step_index"))).over(_BY), F.max("step_index").over(_BY))
+    n = F.count(F.lit(1)).over(_by())
+    terminal_at = F.coalesce(F.min(F.when(F.col("is_terminal_step"), F.col("step_index"))).over(_by()), F.max("step_index").over(_by()))
     rows = rows.withColumn("_terminal", terminal_at)
-    of_terminal = F.first(F.when(F.col("step_index") == F.col("_terminal"), F.col("ancestors")), ignorenulls=True).over(_BY)
+    of_terminal = F.first(F.when(F.col("step_index") == F.col("_terminal"), F.col("ancestors")), ignorenulls=True).over(_by())
     called = df.filter("step_role = 'tool_call'").select("trajectory_id", "step_index")
     feeds = edges.join(called, ["trajectory_id", "step_index"]).select("trajectory_id", F.col("source_step").alias("step_index")).distinct().withColumn("_feeds", F.lit(True))
     rows = rows.withColumn("_up", F.coalesce(F.array_contains(of_terminal, F.col("step_index")), F.lit(False))).join(feeds, ["trajectory_id", "step_index"], "left")

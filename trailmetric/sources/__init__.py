@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one array each, or of one record to a line (``.jsonl``)."""
     return spark.read.schema(schema).option("multiLine", not path.endswith("l")).json(path)
 
 
-def read_wrapped(spark: SparkSession, path: str, field: str, schema: StructType) -> DataFrame:
+def read_wrapped(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """Files that hold an array under ``field`` beside their metadata, or just the array."""
-    item = schema.simpleString()
+    item = f"struct<{schema}>"
     whole = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", f"{field} array<{item}>")
     rows = F.coalesce(parsed[field], F.from_json("value", f"array<{item}>"))

@@ -180,18 +180,17 @@ def ccg_exclusions(df: DataFrame) -> DataFrame:
 def ccg_report(df: DataFrame, dimensions: list[str]) -> DataFrame:
     """Overall and per value of each dimension in one pass (grouping sets); rows with a null in a dimension aren't in its groups."""
     sets = ", ".join(f"({d})" for d in dimensions)
-    values = ", ".join(f"coalesce(cast({d} as string), '') as {d}" for d in dimensions)
+    values = ", ".join(f"cast({d} as string) as v_{d}" for d in dimensions)
     flags = " + ".join(f"case when grouping({d}) = 0 then {i + 1} else 0 end" for i, d in enumerate(dimensions))
-    kept = " and ".join(f"(grouping({d}) = 1 or {d} is not null)" for d in dimensions)
     df.createOrReplaceTempView("_ccg_rows")
     out = df.sparkSession.sql(
         f"""SELECT {flags} AS level, {values}, count(ccg) AS n, avg(ccg) AS mean_ccg, stddev_samp(ccg) AS std_ccg,
                    min(ccg) AS min_ccg, max(ccg) AS max_ccg, median(ccg) AS median_ccg, avg(jps) AS mean_jps, avg(tcs) AS mean_tcs
-            FROM _ccg_rows GROUP BY GROUPING SETS ((), {sets}) HAVING {kept}"""
+            FROM _ccg_rows GROUP BY GROUPING SETS ((), {sets})"""
     )
     names = F.array(F.lit("overall"), *[F.lit(d) for d in dimensions])
-    value = reduce(lambda acc, d: acc.when(F.col("level") == dimensions.index(d) + 1, F.col(d)), dimensions, F.when(F.lit(False), "")).otherwise("")
-    return out.select(F.element_at(names, F.col("level") + 1).alias("dimension"), value.alias("value"), "n", "mean_ccg", "std_ccg", "min_ccg", "max_ccg", "median_ccg", "mean_jps", "mean_tcs")
+    value = reduce(lambda acc, d: acc.when(F.col("level") == dimensions.index(d) + 1, F.col(f"v_{d}")), dimensions, F.when(F.col("level") == 0, ""))
+    return out.withColumn("value", value).filter("value is not null").select(F.element_at(names, F.col("level") + 1).alias("dimension"), "value", "n", "mean_ccg", "std_ccg", "min_ccg", "max_ccg", "median_ccg", "mean_jps", "mean_tcs")
 
 
 def spreads(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -215,10 +214,10 @@ def detection_table(df: DataFrame) -> DataFrame:
 def judge_samples(df: DataFrame) -> DataFrame:
     """Per unit and judge: mean and sample deviation (0 for one sample) of the impact, detected rate and modal step with its share.
 
-    A tie of steps goes to the one seen first by sample number.
+    A tie of steps goes to the one seen first by sample number, then to the larger name.
     """
     votes = df.filter("predicted_step is not null").groupBy("unit_id", "judge_model", "predicted_step").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("first_seen"))
-    modal = votes.groupBy("unit_id", "judge_model").agg(F.max_by("predicted_step", F.struct("n", (-F.col("first_seen")).alias("f"))).alias("modal_step"), (F.max("n") / F.sum("n")).alias("step_agreement"))
+    modal = votes.groupBy("unit_id", "judge_model").agg(F.max_by("predicted_step", F.struct("n", (-F.col("first_seen")).alias("f"), "predicted_step")).alias("modal_step"), (F.max("n") / F.sum("n")).alias("step_agreement"))
     stats = df.groupBy("unit_id", "judge_model").agg(
         F.count(F.lit(1)).alias("samples"), F.avg("predicted_impact").alias("mean_impact"), F.coalesce(F.stddev_samp("predicted_impact"), F.lit(0.0)).alias("std_impact"), F.avg(F.col("error_detected").cast("int")).alias("detected_rate")
     )

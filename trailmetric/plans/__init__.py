@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import facts, people, records, steps
+
+_PARTS = (facts, people, records, steps)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.S.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations per length band: turns as ordered steps, banded by their count."""
-    steps = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    per = steps.groupBy("conv_id").agg(F.count("*").alias("n_steps"), F.count_if(F.col("role") == "user").alias("n_user"))
-    band = F.when(F.col("n_steps") <= 4, "simple").when(F.col("n_steps") <= 6, "medium").otherwise("complex")
-    return per.groupBy(band.alias("complexity")).agg(F.count("*").alias("n"), F.sum("n_user").alias("user_turns"))
+    return QUERIES["conversation_bands"](spark, sf_dir)

@@ -51,7 +51,7 @@ def with_fill(df: DataFrame, column: str, key: str, quotas: dict[str, int], fill
     """Quotas per value, then a shortfall filled from what is left of the values in ``fill_order``."""
     total = sum(quotas.values())
     rank = F.row_number().over(Window.partitionBy(column).orderBy(order_key(seed, key), key))
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, fill_order)), F.col(column)), F.lit(len(fill_order) + 1))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, fill_order)), F.col(column)), F.lit(0)), F.lit(len(fill_order) + 1))
     # At most ``total`` rows of a value can be taken, so the frame ranked as a whole is small.
     ranked = df.withColumn("_rank", rank).filter(F.col("_rank") <= total).withColumn("_quota", quota_column(column, quotas))
     order = [(F.col("_rank") > F.col("_quota")).cast("int"), F.when(F.col("_rank") > F.col("_quota"), place).otherwise(0), order_key(seed, key), F.col(key)]

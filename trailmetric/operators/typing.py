@@ -223,8 +223,8 @@ def dependency_edges(df: DataFrame) -> DataFrame:
     pair = cur.join(prev, (F.col("trajectory_id") == F.col("t")) & (F.col("at") < F.col("step_index")))
     names = F.array_intersect("consumed_artifacts", "p_names")
     quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    says = lambda c: F.col("text").rlike(F.concat(F.lit(r"(?i)\b"), quote(c), F.lit(r"\b")))
-    by_number = F.col("text").rlike(F.concat(F.lit(r"(?i)step\s*"), F.col("at").cast("string")))
+    says = lambda c: F.rlike(F.col("text"), F.concat(F.lit(r"(?i)\b"), quote(c), F.lit(r"\b")))
+    by_number = F.rlike(F.col("text"), F.concat(F.lit(r"(?i)step\s*"), F.col("at").cast("string")))
     files_said = F.filter(F.transform("p_files", lambda p: F.substring_index(p, "/", -1)), lambda f: (F.length(f) > 3) & F.contains(F.lower("text"), F.lower(f)))
     textual = F.when(by_number, F.concat(F.lit("step_"), F.col("at"))).when((F.length("p_tool") > 3) & says(F.col("p_tool")), F.concat(F.lit("tool:"), F.col("p_tool"))).when(F.size(files_said) > 0, F.concat(F.lit("file:"), F.get(files_said, 0)))
     shared_files = F.array_intersect("files", "p_files")

@@ -1,2 +1,307 @@
+"""Queries of keyed records and texts: joins, upserts, dedup, pages, grading, identifiers, gates."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scoring, text
+from ..operators import curation, gates, perturbation, relational
+from ..sources import table
+from .base import FACTS_SQL, facts, r, rounded
+
 Q: dict = {}
 S: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        Q[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            S[name] = sql
+        return f
+
+    return add
+
+
+# -- joins and writes --------------------------------------------------------
+@query("join_left_default", "SELECT d.doc_id, coalesce(quality, 1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_left_default(spark, d):
+    return relational.left_default(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], {"quality": 1, "toxic": -1})
+
+
+@query("join_semi", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def join_semi(spark, d):
+    return relational.among(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").filter("toxic = 1"), ["doc_id"])
+
+
+@query("join_anti_resume", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def join_anti_resume(spark, d):
+    return relational.pending(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"])
+
+
+def _star(spark, d):
+    rows = facts(spark, d)
+    outputs = rows.groupBy(F.col("order_id").alias("unit_id"), "judge_model", "sample").agg(F.max("predicted_impact").alias("predicted_impact"))
+    orders = table(spark, d, "orders")
+    units = orders.filter("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("unit_id"), "o_orderpriority")
+    outcomes = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("unit_id"), "o_totalprice")
+    human = orders.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("unit_id"), "o_orderstatus")
+    return relational.analysis_star(outputs, units, outcomes, human)
+
+
+_FIRST = f"""WITH {FACTS_SQL}, o AS (SELECT order_id AS unit_id, judge_model, sample, max(predicted_impact) AS predicted_impact FROM facts GROUP BY ALL),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY unit_id, judge_model ORDER BY sample) = 1)"""
+
+
+@query(
+    "star_first_sample",
+    f"""{_FIRST} SELECT f.unit_id, judge_model, sample, {r('predicted_impact')} AS predicted_impact, u.o_orderpriority, {r('t.o_totalprice')} AS o_totalprice, h.o_orderstatus FROM f
+    JOIN orders u ON f.unit_id = u.o_orderkey AND u.o_orderkey % 10 <> 0 LEFT JOIN orders t ON f.unit_id = t.o_orderkey AND t.o_orderkey % 3 = 0 LEFT JOIN orders h ON f.unit_id = h.o_orderkey AND h.o_orderkey % 4 = 0""",
+)
+def star_first_sample(spark, d):
+    return _star(spark, d)[0]
+
+
+@query("star_errors", f"{_FIRST} SELECT f.unit_id, judge_model, 'unit not found' AS error FROM f WHERE unit_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)")
+def star_errors(spark, d):
+    return _star(spark, d)[1]
+
+
+_EV = "SELECT user_id, event_type, value, event_id FROM events WHERE {w} QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts {o}, event_id {o}) = 1"
+
+
+def _events(spark, d, condition: str) -> DataFrame:
+    return table(spark, d, "events").filter(condition)
+
+
+@query("upsert_latest", f"WITH n AS ({_EV.format(w='event_id % 3 = 0', o='DESC')}), p AS ({_EV.format(w='event_id % 3 > 0', o='DESC')}) SELECT * FROM n UNION ALL SELECT * FROM p WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM n)")
+def upsert_latest(spark, d):
+    last = lambda c: relational.last_by(_events(spark, d, c), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "value", "event_id")
+    return relational.upsert(last("event_id % 3 > 0"), last("event_id % 3 = 0"), ["user_id", "event_type"])
+
+
+@query("upsert_first_wins", f"WITH p AS ({_EV.format(w='event_id % 3 = 0', o='')}), n AS ({_EV.format(w='event_id % 3 > 0', o='')}) SELECT * FROM p UNION ALL SELECT * FROM n WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM p)")
+def upsert_first_wins(spark, d):
+    first = lambda c: relational.first_by(_events(spark, d, c), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "value", "event_id")
+    return relational.upsert(first("event_id % 3 = 0"), first("event_id % 3 > 0"), ["user_id", "event_type"], keep="old")
+
+
+@query("union_ids", "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE lang = 'de'")
+def union_ids(spark, d):
+    return relational.union_ids([table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'de'")], "doc_id")
+
+
+@query("set_overlap", "SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS \"both\", count(*) FILTER (WHERE d.doc_id IS NULL) AS left_only, count(*) FILTER (WHERE l.doc_id IS NULL) AS right_only FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE n_chars > 1000) d ON l.doc_id = d.doc_id")
+def set_overlap(spark, d):
+    return relational.set_overlap(table(spark, d, "labels"), table(spark, d, "documents").filter("n_chars > 1000"), ["doc_id"])
+
+
+def _perturbations(spark, d):
+    return table(spark, d, "events").select((F.col("event_id") % 400).alias("original_trajectory_id"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 900 + 300).alias("perturbed_trajectory_id"))
+
+
+@query("experiment_counts", "WITH p AS (SELECT event_id % 400 AS o, CASE WHEN event_id % 5 > 0 THEN event_id % 900 + 300 END AS p FROM events) SELECT count(DISTINCT o) AS original, count(p) AS perturbed, (SELECT count(*) FROM (SELECT o FROM p UNION SELECT p FROM p WHERE p IS NOT NULL)) AS \"all\" FROM p")
+def experiment_counts(spark, d):
+    return relational.trajectory_counts(_perturbations(spark, d))
+
+
+@query("experiment_trajectories", "SELECT doc_id AS trajectory_id FROM documents WHERE doc_id IN (SELECT event_id % 400 FROM events UNION SELECT event_id % 900 + 300 FROM events WHERE event_id % 5 > 0)")
+def experiment_trajectories(spark, d):
+    return relational.experiment_trajectories(_perturbations(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("trajectory_id")))
+
+
+@query("page_of_records", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
+def page_of_records(spark, d):
+    return relational.page(table(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 100, 50)
+
+
+@query("topk_per_group", "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 3")
+def topk_per_group(spark, d):
+    return relational.top_k(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
+
+
+_SQUEEZED = r"regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')"
+
+
+@query("dedup_keep_first", f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {_SQUEEZED} ORDER BY doc_id) AS duplicate_of FROM documents QUALIFY doc_id <> duplicate_of")
+def dedup_keep_first(spark, d):
+    return relational.keep_first(table(spark, d, "documents"), F.col("text"), [F.col("doc_id")], "doc_id")[1].select("doc_id", "duplicate_of")
+
+
+# -- texts -------------------------------------------------------------------
+@query("domain_cascade", "SELECT doc_id, CASE WHEN " + " WHEN ".join(" OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{c}'" for c, words in text.TOOLBENCH_DOMAINS.items()) + " ELSE 'other' END AS domain FROM documents")
+def domain_cascade(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.cascade(F.lower("text"), text.TOOLBENCH_DOMAINS, "other").alias("domain"))
+
+
+@query("regex_markers", r"SELECT doc_id, regexp_matches(text, '(?i)_(old|mutated|wrong|backup|test|v1)\b') AS marked, regexp_matches(text, '(?is)Thought:.*Thought:') AS repeated, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents")
+def regex_markers(spark, d):
+    repeated = F.coalesce(gates.corruption(F.col("text")) == "duplicate_thought", F.lit(False))
+    return table(spark, d, "documents").select("doc_id", gates.has_marker(F.col("text")).alias("marked"), repeated.alias("repeated"), F.regexp_count("text", F.lit("[0-9]+")).cast("bigint").alias("numbers"))
+
+
+@query("position_label", "SELECT conv_id, turn, CASE WHEN turn + 1 <= 2 THEN 'early' WHEN turn + 1 <= 5 THEN 'middle' ELSE 'late' END AS by_number, CASE WHEN n <= 3 THEN CASE WHEN turn = 0 THEN 'early' WHEN turn = n - 1 THEN 'late' ELSE 'middle' END WHEN turn < n / 3.0 THEN 'early' WHEN turn < 2 * n / 3.0 THEN 'middle' ELSE 'late' END AS by_thirds FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
+def position_label(spark, d):
+    turns = table(spark, d, "conversations")
+    n = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return turns.join(n, "conv_id").select("conv_id", "turn", text.position_by_number(F.col("turn") + 1).alias("by_number"), text.position_by_thirds(F.col("turn"), F.col("n")).alias("by_thirds"))
+
+
+@query("levenshtein_grade", f"WITH a AS (SELECT p_partkey, lower(p_name) AS a, lower(concat(p_brand, ' ', p_type)) AS b FROM part) SELECT p_partkey, {r('1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b))')} AS score, 1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) >= 0.3 AS passed FROM a")
+def levenshtein_grade(spark, d):
+    score = text.fuzzy_score(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type"))
+    return table(spark, d, "part").select("p_partkey", score.alias("score"), (score >= 0.3).alias("passed"))
+
+
+def _signals(words) -> str:
+    return " + ".join("CAST(contains(lower(text), '" + w.replace("'", "''") + "') AS INT)" for w in words)
+
+
+@query("heuristic_grade", f"WITH s AS (SELECT doc_id, greatest(0.0, least(1.0, 0.5 + least(({_signals(text.SUCCESS)}) * 0.1, 0.4) - ({_signals(text.FAILURE)}) * 0.15 - CAST({' OR '.join(f'''contains(lower(text), '{w}')''' for w in text.API_ERRORS)} AS INT) * 0.05)) AS score FROM documents) SELECT doc_id, {r('CAST(score AS DOUBLE)')} AS score, score >= 0.5 AS passed FROM s")
+def heuristic_grade(spark, d):
+    errors = text.any_of(F.lower("text"), text.API_ERRORS).cast("int")
+    score = F.bround(text.heuristic_score(F.col("text"), errors), 9)
+    return table(spark, d, "documents").select("doc_id", score.alias("score"), (score >= 0.5).alias("passed"))
+
+
+@query("json_validity", "SELECT event_id, json_valid(props) AS valid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_validity(spark, d):
+    v = F.try_parse_json("props")
+    return table(spark, d, "events").select("event_id", gates.parses(F.col("props")).alias("valid"), F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+_ID = "concat('src-', doc_id)"
+
+
+@query(
+    "canonical_ids",
+    f"""SELECT doc_id, concat({_ID}, '::base') AS base, concat({_ID}, '::pert::', lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0')) AS pert, concat('eval::', {_ID}, '::', lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0')) AS unit,
+    concat({_ID}, '::step::', doc_id % 7) AS step, {_ID} AS source, CAST(doc_id % 1000 AS INT) AS number, substr(md5(concat(lang, '|', source)), 1, 8) AS short FROM documents""",
+)
+def canonical_ids(spark, d):
+    rows = table(spark, d, "documents").withColumn("src", F.concat(F.lit("src-"), "doc_id")).withColumn("n", (F.col("doc_id") % 1000).cast("int"))
+    unit = text.unit_id(F.col("src"), F.col("n"))
+    return rows.select("doc_id", text.baseline_id(F.col("src")).alias("base"), text.perturbed_id(F.col("src"), F.col("n")).alias("pert"), unit.alias("unit"), text.step_id(F.col("src"), F.col("doc_id") % 7).alias("step"), text.source_of(unit).alias("source"), text.number_of(unit).alias("number"), text.short_hash(F.col("lang"), F.col("source")).alias("short"))
+
+
+_HEX = "position({h} IN '0123456789abcdef')"
+
+
+@query("blinding", f"SELECT doc_id, ({_HEX.format(h='substr(sha256(concat(doc_id, chr(58), 42)), 8, 1)')} - 1) % 2 = 0 AS by_sha, ({_HEX.format(h='right(md5(concat(doc_id, chr(58), 42)), 1)')} - 1) % 2 = 0 AS by_md5 FROM documents")
+def blinding(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.a_is_baseline(F.col("doc_id"), 42).alias("by_sha"), text.a_is_baseline_md5(F.col("doc_id"), 42).alias("by_md5"))
+
+
+@query("impact_levels", f"WITH {FACTS_SQL} SELECT DISTINCT {r('outcome_degradation')} AS od, CASE WHEN outcome_degradation = 0 THEN 0 WHEN outcome_degradation <= 0.25 THEN 1 WHEN outcome_degradation <= 0.5 THEN 2 ELSE 3 END AS signed, true_impact_level AS level, CASE WHEN outcome_degradation < 0 THEN 'negative' WHEN outcome_degradation = 0 THEN 'none' WHEN outcome_degradation <= 0.25 THEN 'minor' WHEN outcome_degradation <= 0.5 THEN 'moderate' ELSE 'critical' END AS category FROM leveled WHERE outcome_degradation IS NOT NULL")
+def impact_levels(spark, d):
+    od = F.col("outcome_degradation")
+    rows = facts(spark, d).filter(od.isNotNull()).select(od.alias("od"), scoring.impact_level_signed(od).alias("signed"), F.col("true_impact_level").alias("level"), scoring.degradation_category(od).alias("category"))
+    return rounded(rows).distinct()
+
+
+@query("expected_versus_true", f"WITH {FACTS_SQL} SELECT CASE WHEN true_impact_level = expected_impact THEN 'accurate' WHEN true_impact_level > expected_impact THEN 'underestimated' ELSE 'overestimated' END AS verdict, count(*) AS n FROM leveled WHERE true_impact_level IS NOT NULL GROUP BY 1")
+def expected_versus_true(spark, d):
+    rows = facts(spark, d).filter("true_impact_level is not null")
+    return rows.groupBy(scoring.expected_versus_true(F.col("true_impact_level"), F.col("expected_impact")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("judge_parse", "SELECT event_id, value > 10 AS error_detected, round(least(1.0, value / 100), 6) + 0.0 AS error_confidence, CASE WHEN event_id % 3 = 0 THEN 'partial' WHEN event_id % 3 = 1 THEN 'success' ELSE 'failed' END AS parse_status FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, false, 0.0, 'failed' FROM events WHERE event_id % 3 = 2")
+def judge_parse(spark, d):
+    """Answers with a fenced block, bare braces, or nothing to parse."""
+    found, value = F.when(F.col("value") > 10, "true").otherwise("false"), (F.col("value") / 100).cast("string")
+    partial = F.concat(F.lit('Here you are:\n```json\n{"error_detected": '), found, F.lit(', "error_confidence": '), value, F.lit("}\n```"))
+    full = F.concat(F.lit('So {"error_detected": '), found, F.lit(', "error_confidence": '), value, F.lit(', "predicted_impact_score": 0.5, "predicted_failure_prob": 0.2} it is'))
+    answer = F.when(F.col("event_id") % 3 == 0, partial).when(F.col("event_id") % 3 == 1, full).otherwise("I can't say.")
+    return table(spark, d, "events").select("event_id", text.judge_output(answer).alias("o")).select("event_id", "o.error_detected", "o.error_confidence", "o.parse_status")
+
+
+# -- gates -------------------------------------------------------------------
+def _gate(name: str, source: str, bad: str, key: str, value: str, threshold: float, ok: str, checked: str = "true", warn: str = "fail") -> str:
+    return f"""SELECT '{name}' AS gate, CASE WHEN checked = 0 THEN 'skip' WHEN {ok} THEN 'pass' ELSE '{warn}' END AS status, {r('v')} AS value, CAST({threshold} AS DOUBLE) AS threshold, checked, violations, examples FROM
+    (SELECT count(*) FILTER (WHERE {checked}) AS checked, count(*) FILTER (WHERE {bad}) AS violations, CAST({value} AS DOUBLE) AS v,
+     coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT CAST({key} AS VARCHAR) AS i FROM {source} WHERE {bad} ORDER BY i LIMIT 5)), '') AS examples FROM {source})"""
+
+
+_MARK = r"regexp_matches(text, '(?i)_(old|mutated|wrong|backup|test|v1)\b')"
+
+
+@query(
+    "gate_report",
+    f"WITH {FACTS_SQL}, turns AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), docs AS (SELECT * FROM documents) "
+    + " UNION ALL ".join(
+        [
+            _gate("trajectory_count", "turns", "false", "conv_id", "count(*)", 100, "v >= 100"),
+            _gate("no_synthetic_markers", "docs", _MARK, "doc_id", f"avg(CAST({_MARK} AS INT))", 0, "v <= 0"),
+            _gate("min_steps", "turns", "n < 3", "conv_id", "count(*) FILTER (WHERE n < 3)", 3, "v = 0"),
+            _gate("max_steps", "turns", "n > 50", "conv_id", "count(*) FILTER (WHERE n > 50)", 50, "v = 0"),
+            _gate("outcome_variance", "facts", "false", "order_id", "stddev_samp(outcome_degradation)", 0.1, "v >= 0.1", "outcome_degradation IS NOT NULL"),
+            _gate("json_validity", "events", "NOT json_valid(props)", "event_id", "avg(CAST(json_valid(props) AS INT))", 1, "v >= 1"),
+            _gate("position_distribution", "conversations", "turn > 4", "concat(conv_id, '-', turn)", "avg(CAST(turn > 4 AS INT))", 0.4, "v <= 0.4"),
+            _gate("task_success", "labels", "quality = 0", "doc_id", "avg(CAST(quality = 1 AS INT))", 0, "v >= 0"),
+            _gate("grader_pass_rate", "labels", "quality = 0", "doc_id", "avg(CAST(quality = 1 AS INT))", 0.3, "v >= 0.3"),
+        ]
+    ),
+)
+def gate_report(spark, d):
+    docs, events, labels_ = (table(spark, d, t) for t in ("documents", "events", "labels"))
+    turns = table(spark, d, "conversations")
+    per = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = turns.select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.when(F.col("turn") > 4, "late").otherwise("early").alias("position"))
+    marked = labels_.select("doc_id", (F.col("quality") == 1).alias("task_success"), F.lit(None).cast("boolean").alias("grader_passed"))
+    parts = [
+        gates.trajectory_count(per, "conv_id"),
+        gates.no_synthetic_markers(docs, "doc_id", "text"),
+        gates.step_bounds(per, "conv_id", "n", low=3),
+        gates.step_bounds(per, "conv_id", "n", low=None, high=50),
+        gates.outcome_variance(facts(spark, d), "order_id", "outcome_degradation"),
+        gates.json_validity(events, "event_id", "props"),
+        gates.position_distribution(placed, "id", "position"),
+        gates.task_success(marked, "doc_id", "task_success"),
+        gates.grader_pass_rate(marked, "doc_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("examples", F.array_join("examples", ","))
+
+
+# -- curation and perturbation ------------------------------------------------
+def trajectories(spark, d) -> DataFrame:
+    """Conversations as trajectories: every third assistant turn calls a tool."""
+    turns = table(spark, d, "conversations")
+    tool = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), "search_code").when((F.col("role") == "assistant") & (F.col("turn") == 5), "Finish")
+    given = F.when(tool == "Finish", '{"return_type": "give_answer", "final_answer": "done"}').when(tool.isNotNull() & (F.col("conv_id") % 2 == 0), '{"query": "x", "limit": 5}')
+    step = F.struct(
+        F.concat("conv_id", F.lit("-"), "turn").alias("step_id"), (F.col("turn") + 1).cast("int").alias("step_number"), F.when(tool.isNotNull(), "tool_execution").otherwise("reasoning").alias("step_type"),
+        F.col("text").alias("content"), tool.alias("tool_name"), given.alias("tool_input"), F.when(tool.isNotNull() & (F.col("conv_id") % 5 > 0), F.substring("text", 1, 50)).alias("tool_output"),
+    )
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(step.alias("s")), lambda a, b: a["step_number"] - b["step_number"]).alias("steps"))
+    truth = F.struct(F.lit("task").alias("task_description"), F.when(F.col("conv_id") % 7 > 0, "an answer").alias("expected_answer"), F.when(F.col("conv_id") % 11 > 0, F.col("conv_id") % 2 == 0).alias("task_success"))
+    return rows.select(F.col("conv_id").alias("trajectory_id"), "steps", truth.alias("ground_truth"))
+
+
+@query(
+    "filter_first_reason",
+    """WITH t AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'search_code' WHEN role = 'assistant' AND turn = 5 THEN 'Finish' END AS tool FROM conversations),
+    m AS (SELECT conv_id, count(*) AS n, count(tool) AS tools,
+      avg(CASE WHEN tool IS NOT NULL AND conv_id % 5 > 0 AND (contains(substr(text, 1, 50), '403') OR contains(substr(text, 1, 50), '500') OR contains(substr(text, 1, 50), '503')) THEN 1.0 ELSE 0 END) AS http,
+      count(*) FILTER (WHERE contains(text, 'Thought: None')) AS none, avg(CASE WHEN length(trim(text)) < 5 THEN 1.0 ELSE 0 END) AS blank,
+      count(*) FILTER (WHERE tool = 'search_code' AND conv_id % 2 = 1) AS missing FROM t GROUP BY 1)
+    SELECT conv_id AS trajectory_id, CASE WHEN http > 0.5 THEN format('http_error_rate:{:.2f}>0.5', http) WHEN none >= 2 THEN format('thought_none_count:{}>=2', none) WHEN blank > 0.2 THEN format('empty_content_rate:{:.2f}>0.2', blank)
+      WHEN missing / nullif(tools, 0) > 0.5 THEN format('missing_tool_input_rate:{:.2f}>0.5', missing / tools) WHEN conv_id % 7 = 0 OR conv_id % 11 = 0 THEN 'null_outcome' WHEN http > 0 AND none > 0 THEN 'combined_errors:http_errors+thought_none' END AS reject_reason FROM m""",
+)
+def filter_first_reason(spark, d):
+    return curation.reject_reason(trajectories(spark, d), "swebench", enabled=True).select("trajectory_id", "reject_reason")
+
+
+@query("step_cleaning", "SELECT conv_id AS trajectory_id, count(*) AS before, count(*) FILTER (WHERE length(trim(text)) >= 3 AND NOT contains(text, 'Thought: None')) AS after FROM conversations GROUP BY 1")
+def step_cleaning(spark, d):
+    return curation.with_clean_steps(trajectories(spark, d)).select("trajectory_id", F.col("steps_before").cast("bigint").alias("before"), F.size("steps").cast("bigint").alias("after"))
+
+
+@query("mutate_values")
+def mutate_values(spark, d):
+    kind = F.get(F.array(*map(F.lit, ("integer", "float", "filepath", "search_query", "string", "boolean", "ipv4", "identifier"))), (F.col("doc_id") % 8).cast("int"))
+    value = F.get(F.array(F.col("n_chars").cast("string"), (F.col("n_chars") / 7).cast("string"), F.concat(F.lit("src/"), "source", F.lit(".py")), F.substring("text", 1, 30), F.substring("text", 1, 12), F.lit("true"), F.concat(F.lit("10.0.0."), F.col("doc_id") % 256), F.col("source")), (F.col("doc_id") % 8).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", kind.alias("value_type"), value.alias("value"))
+    return rows.withColumn("m", perturbation.mutated(F.col("value_type"), F.col("value"), 42, F.col("doc_id"))).select("doc_id", "value_type", "value", F.col("m.value").alias("perturbed_value"), F.col("m.method").alias("method"))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import ship
 
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 250_000
 MEMO_PIECE_CHARS = 80
 ROWS_AT_ONCE = 512
 
@@ -50,45 +50,53 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Merges:
-    """Merge rules: ``rank`` by (left << 32 | right), ``made`` by rank."""
+    """Merge rules: ``rank[left][right]``, and ``made`` by rank."""
 
     def __init__(self, vocab: dict[str, int], rules: list):
         pairs = [r.split(" ") if isinstance(r, str) else r for r in rules]
         self.made = [vocab[a + b] for a, b in pairs]
-        self.rank = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in reversed(list(enumerate(pairs)))}
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for k, (a, b) in enumerate(pairs):
+            self.rank[vocab[a]].setdefault(vocab[b], k)
 
 
 def merge_symbols(symbols: list[int], merges: Merges) -> list[int]:
     """Apply merges to the list, in place: lowest rank first and leftmost among equals, until none is left.
 
-    A heap entry is rank << 32 | position of the pair's left symbol.
+    A heap entry is the rank above ``bits`` bits for the position of the pair's left symbol.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    rank_of, made_by = merges.rank.get, merges.made
-    heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
+    rank, made_by, bits = merges.rank, merges.made, 8 if n <= 256 else 40
+    heap, left = [], symbols[0]
+    for i in range(1, n):
+        right = symbols[i]
+        if right in (rules := rank[left]):
+            heap.append(rules[right] << bits | i - 1)
+        left = right
     if not heap:
         return symbols
     heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
+    pop, push, place = heapq.heappop, heapq.heappush, (1 << bits) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
         entry = pop(heap)
-        i = entry & 0xFFFFFFFF
+        i = entry & place
         if (left := symbols[i]) < 0 or (j := after[i]) >= n:
             continue
-        if rank_of(left << 32 | symbols[j]) != entry >> 32:
+        k = entry >> bits
+        if rank[left].get(symbols[j]) != k:
             continue  # stale: one side has been merged since
-        made = made_by[entry >> 32]
-        symbols[i], symbols[j] = made, -1
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if (r := rank_of(made << 32 | symbols[k])) is not None:
-                push(heap, r << 32 | i)
-        if (h := before[i]) >= 0 and (r := rank_of(symbols[h] << 32 | made)) is not None:
-            push(heap, r << 32 | h)
+        symbols[i] = made = made_by[k]
+        symbols[j] = -1
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+            if (right := symbols[j]) in (rules := rank[made]):
+                push(heap, rules[right] << bits | i)
+        if (h := before[i]) >= 0 and made in (rules := rank[symbols[h]]):
+            push(heap, rules[made] << bits | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -145,18 +153,18 @@ class ByteBpe:
         self._merges = Merges(vocab, model["merges"])
         # Ids are kept as packed int32: by word of the split pattern, and by piece with or without a space before it.
         self._words = Memo(self._word)
-        self._plain = Memo(self._piece)
-        self._spaced = Memo(lambda piece: self._piece(piece, " "))
+        self._plain = Memo(lambda piece: self._piece(piece, "", self._plain))
+        self._spaced = Memo(lambda piece: self._piece(piece, " ", self._spaced))
 
     def _word(self, word: str) -> bytes:
         ids = merge_symbols([self._byte_ids[b] for b in word.encode()], self._merges)
         return array("i", ids).tobytes()
 
-    def _piece(self, piece: str, lead: str = "") -> bytes:
+    def _piece(self, piece: str, lead: str, memo: Memo) -> bytes:
         if piece.isalpha():
-            return self._words[lead + piece]
+            return self._word(lead + piece)
         if piece[:-1].isalpha() and piece[-1] in ".,":
-            return self._words[lead + piece[:-1]] + self._words[piece[-1]]
+            return memo[piece[:-1]] + self._words[piece[-1]]
         return b"".join(map(self._words.__getitem__, _WORD.findall(lead + piece)))
 
     def _plain_runs(self, text: str) -> Iterator[bytes]:

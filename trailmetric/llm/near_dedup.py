@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo, slices
-from .common import checkpointed, repeated, ship, without
+from .common import checkpointed, repeated, ship, stored, without
 
 POSITIONS = 4
 ERRORS = 1
@@ -205,12 +205,9 @@ def within(pairs: DataFrame, reps: DataFrame, chunks: int, percent: int) -> Data
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
+    """The pairs (a, b) whose whole shingle sets are similar enough, checkpointed."""
     id_type = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
-    side = lambda name: docs.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
-    # The rows come ordered by ``a``, the side that repeats.
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.empty(0, np.uint64)
@@ -224,7 +221,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(common > 0 and 100 * common >= percent * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, schema)
+    with stored(pairs) as held:
+        # Only texts that a pair asks for move on: a few by a broadcast, more by a shuffle.
+        asked = held.select(F.col("a").alias("id")).union(held.select(F.col("b").alias("id")))
+        texts = docs.join(asked, F.col("doc_id") == F.col("id"), "left_semi")
+        side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
+        # The rows come ordered by ``a``, the side that repeats.
+        both = held.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        return checkpointed(both.mapInArrow(run, schema))
 
 
 # -- components --------------------------------------------------------------
@@ -261,7 +265,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "hub")
     shared = checkpointed(members.join(buckets, F.col("key") == F.col("bucket")).select("key", "rep", "hub"))
     stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(confirmed(within(stars, reps, chunks, percent), docs, size, percent))
+    links = confirmed(within(stars, reps, chunks, percent), docs, size, percent)
     label = components(links)
 
     # Buckets that still hold several components: pairs across these.
@@ -274,7 +278,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     y = _side(rest, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"))
     across = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub"))
     pairs = x.join(y, across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks)).select("a", "b")
-    more = checkpointed(confirmed(pairs, docs, size, percent))
+    more = confirmed(pairs, docs, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))
 

@@ -174,21 +174,31 @@ def class_needs(df: DataFrame, column: str, targets: dict[str, int]) -> DataFram
 def greedy_select(candidates: DataFrame, quotas: dict[str, int]) -> DataFrame:
     """Per trajectory, candidates by score: a class's quota, and no step twice unless it is the class's last place.
 
-    Sequential by nature, so one trajectory at a time in a Python group; trajectories are short.
+    Sequential by nature: a fold over each trajectory's candidates, as many as it has slots, in the JVM.
     """
-    order = ["trajectory_id", "score", "candidate_id"]
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        left, steps, rows = dict(quotas), set(), []
-        for row in frame.sort_values(order[1:], ascending=[False, True]).itertuples(index=False):
-            room = left.get(row.perturbation_class, 0)
-            if room > 0 and (row.step_index not in steps or room == 1):
-                left[row.perturbation_class] = room - 1
-                steps.add(row.step_index)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=frame.columns)
-
-    return candidates.groupBy("trajectory_id").applyInPandas(pick, candidates.schema)
+    row = F.struct((-F.col("score")).alias("below"), F.col("candidate_id").alias("by"), F.struct(*candidates.columns).alias("row"))
+    kind = candidates.select(F.struct(*candidates.columns).alias("row")).schema["row"].dataType.simpleString()
+    step_kind = candidates.schema["step_index"].dataType.simpleString()
+    names = list(quotas)
+    start = F.struct(
+        F.expr(f"cast(array() as array<{step_kind}>)").alias("steps"),
+        F.expr(f"cast(array() as array<{kind}>)").alias("out"),
+        *[F.lit(quotas[c]).alias(f"q{i}") for i, c in enumerate(names)],
+    )
+
+    def take(acc: Column, x: Column) -> Column:
+        c = x["row"]["perturbation_class"]
+        room = F.coalesce(*[F.when(c == name, acc[f"q{i}"]) for i, name in enumerate(names)], F.lit(0))
+        ok = (room > 0) & (~F.array_contains(acc["steps"], x["row"]["step_index"]) | (room == 1))
+        return F.struct(
+            F.when(ok, F.array_append(acc["steps"], x["row"]["step_index"])).otherwise(acc["steps"]).alias("steps"),
+            F.when(ok, F.array_append(acc["out"], x["row"])).otherwise(acc["out"]).alias("out"),
+            *[F.when(ok & (c == name), acc[f"q{i}"] - 1).otherwise(acc[f"q{i}"]).alias(f"q{i}") for i, name in enumerate(names)],
+        )
+
+    known = candidates.filter(F.col("step_index").isNotNull() & F.col("perturbation_class").isNotNull())
+    per = known.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(row)).alias("_c"))
+    return per.select(F.inline(F.aggregate("_c", start, take, lambda acc: acc["out"])))
 
 
 def in_batches(df: DataFrame, call, schema, size: int = 50) -> DataFrame:

@@ -10,6 +10,11 @@ TYPE_TO_FAMILY = {"planning": "structural", "tool_selection": "tool_selection",
 OUTCOME_NEUTRAL = 0.5
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends, line breaks and tabs included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def outcome_degradation(baseline: Column, perturbed: Column) -> Column:
     return baseline - perturbed
 
@@ -82,7 +87,7 @@ def propagation(baseline: Column, perturbed: Column, start: Column) -> Column:
     Texts differ if they do so trimmed and in lower case; steps beyond the baseline's end are divergent.
     """
     n = F.least(F.size(baseline), F.size(perturbed))
-    norm = lambda x: F.lower(F.trim(x))
+    norm = lambda x: F.lower(strip(x))
     places = F.when(n > start, F.sequence(start, n - 1)).otherwise(F.array().cast("array<int>"))
     differs = lambda i: ~norm(F.get(baseline, i)).eqNullSafe(norm(F.get(perturbed, i)))
     tail = F.when(F.size(perturbed) > n, F.sequence(n, F.size(perturbed) - 1)).otherwise(F.array().cast("array<int>"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scoring import strip
+
 #: Signals of success and failure in an answer, and of errors in tool output.
 SUCCESS = ("successfully", "completed", "here is", "here are", "the result is", "found")
 FAILURE = ("unable to", "could not", "failed to", "error", "sorry", "apologize", "cannot", "can't")
@@ -14,7 +16,8 @@ API_ERRORS = ("404", "500", "timeout", "rate limit", "connection refused")
 
 
 def squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s+", " ")
+    """White space as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
@@ -126,7 +129,7 @@ def api_error(output: Column) -> Column:
     """An output that is JSON with a non-empty error field, or else holds an error sign."""
     low = F.lower(F.coalesce(output, F.lit("")))
     field = F.try_variant_get(F.try_parse_json(output), "$.error", "string")
-    named = F.trim(F.coalesce(output, F.lit(""))).startswith("{") & (F.trim(F.coalesce(field, F.lit(""))) != "")
+    named = strip(F.coalesce(output, F.lit(""))).startswith("{") & (strip(F.coalesce(field, F.lit(""))) != "")
     return F.coalesce(named, F.lit(False)) | any_of(low, API_ERRORS)
 
 
@@ -147,7 +150,7 @@ def final_answer(steps: Column) -> Column:
     def candidate(s: Column) -> Column:
         given = F.try_variant_get(F.try_parse_json(s["tool_input"]), "$.final_answer", "string")
         finish = F.contains(F.lower(F.coalesce(s["tool_name"], F.lit(""))), F.lit("finish")) & (F.coalesce(given, F.lit("")) != "")
-        spoken = s["step_type"].isin(*SPOKEN) & (content(s) != "") & ~F.trim(content(s)).startswith("{")
+        spoken = s["step_type"].isin(*SPOKEN) & (content(s) != "") & ~strip(content(s)).startswith("{")
         return F.when(F.coalesce(finish, F.lit(False)), given).when(F.coalesce(spoken, F.lit(False)), content(s))
 
     found = F.filter(F.transform(F.reverse(steps), candidate), lambda x: x.isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.text import any_of, strip
 
 #: Fixed values.
 HTTP_ERRORS = ("403", "500", "503")
@@ -26,7 +26,7 @@ THRESHOLDS = {
 
 def _some(c: Column) -> Column:
     """A text that is there and not empty (nor an empty JSON object or list)."""
-    return ~F.coalesce(F.trim(c), F.lit("")).isin("", "{}", "[]")
+    return ~F.coalesce(strip(c), F.lit("")).isin("", "{}", "[]")
 
 
 def quality_metrics(steps: Column, answer: Column, success: Column) -> dict[str, Column]:
@@ -38,10 +38,10 @@ def quality_metrics(steps: Column, answer: Column, success: Column) -> dict[str,
     return {
         "http_error_rate": rate(count(steps, lambda s: any_of(s["tool_output"], HTTP_ERRORS)), n),
         "thought_none_count": count(steps, lambda s: F.contains(s["content"], F.lit("Thought: None"))),
-        "empty_content_rate": rate(count(steps, lambda s: F.length(F.trim(F.coalesce(s["content"], F.lit("")))) < 5), n),
+        "empty_content_rate": rate(count(steps, lambda s: F.length(strip(F.coalesce(s["content"], F.lit("")))) < 5), n),
         "missing_tool_input_rate": rate(count(tools, lambda s: ~_some(s["tool_input"])), F.size(tools)),
         "has_placeholder_answer": (n > 0) & any_of(text, PLACEHOLDERS),
-        "has_null_outcome": (n == 0) | (F.trim(text) == "") | success.isNull(),
+        "has_null_outcome": (n == 0) | (strip(text) == "") | success.isNull(),
         "has_finish_step": F.coalesce(F.exists(steps, lambda s: F.coalesce(s["tool_name"] == "Finish", F.lit(False))), F.lit(False)),
         "grounding_score": rate(count(tools, lambda s: _some(s["tool_input"]) | (F.coalesce(s["tool_output"], F.lit("")) != "")), F.size(tools)),
         "is_graceful_failure": F.coalesce((n > 0) & success & any_of(F.lower(text), APOLOGIES), F.lit(False)),
@@ -52,7 +52,7 @@ def strict_reason(steps: Column, success: Column) -> Column:
     """Why a trajectory fails the strict rule (an answered, grounded, successful one), or null."""
     last = F.try_element_at(steps, F.lit(-1))
     given = F.try_parse_json(last["tool_input"])
-    kind, answer = F.try_variant_get(given, "$.return_type", "string"), F.trim(F.coalesce(F.try_variant_get(given, "$.final_answer", "string"), F.lit("")))
+    kind, answer = F.try_variant_get(given, "$.return_type", "string"), strip(F.coalesce(F.try_variant_get(given, "$.final_answer", "string"), F.lit("")))
     real = F.exists(steps, lambda s: ~F.coalesce(s["tool_name"] == "Finish", F.lit(False)) & ~F.coalesce(s["tool_output"], F.lit("")).isin("", "{}", "[]"))
     out = (
         F.when(~F.coalesce(success, F.lit(False)), "task_success_not_true")
@@ -115,7 +115,7 @@ def rejection_counts(df: DataFrame) -> DataFrame:
 
 def cleaned_steps(steps: Column) -> Column:
     """Steps of 3 characters or more and not 'Thought: None', tool steps without a tool as reasoning, numbered anew."""
-    held = F.filter(steps, lambda s: (F.length(F.trim(F.coalesce(s["content"], F.lit("")))) >= 3) & ~F.contains(s["content"], F.lit("Thought: None")))
+    held = F.filter(steps, lambda s: (F.length(strip(F.coalesce(s["content"], F.lit("")))) >= 3) & ~F.contains(s["content"], F.lit("Thought: None")))
     no_tool = lambda s: (s["step_type"] == "tool_execution") & (F.coalesce(s["tool_name"], F.lit("")) == "")
     retyped = lambda s, i: s.withField("step_number", i + 1).withField("step_type", F.when(F.coalesce(no_tool(s), F.lit(False)), "reasoning").otherwise(s["step_type"]))
     return F.transform(held, retyped)

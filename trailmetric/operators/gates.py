@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 EXAMPLES = 5
 
 #: Markers of synthetic values, short list of pipeline runs and long list of perturbation checks.
@@ -47,7 +49,7 @@ def repeated_action(text: Column) -> Column:
 
 
 def looks_json(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike(r"^[{\[]"), F.lit(False))
+    return F.coalesce(strip(text).rlike(r"^[{\[]"), F.lit(False))
 
 
 def parses(text: Column) -> Column:

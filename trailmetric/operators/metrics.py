@@ -254,3 +254,34 @@ def over_represented(df: DataFrame, column: str, most: float = 0.35) -> DataFram
 def crosstab(df: DataFrame, rows: str, column: str, values: list[str]) -> DataFrame:
     """Counts per row value and listed column value, 0 where there are none."""
     return df.groupBy(rows).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def evaluation_summary(df: DataFrame) -> DataFrame:
+    """Per judge: evaluations and their scores."""
+    return df.groupBy("judge_model").agg(F.count(F.lit(1)).alias("n"), F.avg("overall_score").alias("avg_score"), F.min("overall_score").alias("min_score"), F.max("overall_score").alias("max_score"), F.avg("jps").alias("avg_jps"))
+
+
+def main_claim(df: DataFrame) -> DataFrame:
+    """pdr, ccorr and their gap: how far detection runs ahead of sizing. One row."""
+    pdr = df.agg(detection_aggregates()["pdr"].alias("pdr"))
+    known = df.filter(F.col("outcome_degradation").isNotNull())
+    both = pdr.join(spearman(known, "predicted_impact", "outcome_degradation", name="ccorr").select("ccorr"))
+    return both.withColumn("gap", F.col("pdr") - F.col("ccorr"))
+
+
+def claim_interval(df: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """low and high of the gap over resampled rows; for the rows of one annotated experiment. Under 10 rows both are null."""
+    import numpy as np
+
+    from .statistics import bootstrap_exact
+
+    def gap(t) -> float:
+        real = t[t["perturbation_class"] != "placebo"]
+        known = t.dropna(subset=["outcome_degradation"])
+        r = known["predicted_impact"].rank().corr(known["outcome_degradation"].rank()) if len(known) > 2 else np.nan
+        return float(real["error_detected"].mean() - r)
+
+    values = bootstrap_exact(df, ["perturbation_class", "error_detected", "predicted_impact", "outcome_degradation"], gap, replicates, seed)
+    n = df.count()
+    edge = lambda q: F.when(F.lit(n >= 10), F.percentile("value", F.lit(q)))
+    return values.filter(~F.isnan("value")).agg(edge(0.025).alias("low"), edge(0.975).alias("high"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import squeezed
+
 
 def left_default(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
     """Left join in which columns that found no partner, or a null one, take a default."""
@@ -94,7 +96,7 @@ def evaluations_with_od(evaluations: DataFrame, perturbations: DataFrame) -> Dat
 
 def keep_first(df: DataFrame, text: Column, order: list[Column], row_id: str) -> tuple[DataFrame, DataFrame]:
     """(kept, duplicates): of rows whose text is equal but for white space the first stays; a duplicate names it."""
-    norm = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    norm = squeezed(F.coalesce(text, F.lit("")))
     keyed = df.withColumn("_key", F.md5(norm))
     first = keyed.groupBy("_key").agg(F.min_by(row_id, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("duplicate_of"))
     joined = keyed.join(first.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).drop("_key", "_k")

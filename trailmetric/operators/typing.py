@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..functions.text import strip
 from pyspark.sql import types as T
 
 # Tool sets, role phrases and role scores.
@@ -58,7 +60,7 @@ def segmented(steps: Column) -> Column:
     def parts(s: Column) -> Column:
         return F.array_compact(
             F.array(
-                F.when(F.length(F.trim(s["content"])) > 10, part(s, "thought", s["content"], none, none, none)),
+                F.when(F.length(strip(s["content"])) > 10, part(s, "thought", s["content"], none, none, none)),
                 F.when(has(s["tool_name"]), part(s, "action", F.coalesce(s["tool_input"], F.lit("")), s["tool_name"], s["tool_input"], none)),
                 F.when(has(s["tool_output"]), part(s, "observation", s["tool_output"], s["tool_name"], none, s["tool_output"])),
             )
@@ -148,7 +150,7 @@ def entities() -> Column:
     """Sorted distinct entities of text and arguments."""
     text = F.concat_ws(" ", "raw_text", "tool_arguments")
     parts = [F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1 if "(" in p.replace("(?:", "") else 0))), 1, n) for p, n in ENTITIES]
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*parts), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(*parts), strip)))
 
 
 #: Tool words and the artifact they make.

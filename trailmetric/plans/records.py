@@ -123,7 +123,7 @@ def topk_per_group(spark, d):
     return relational.top_k(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
 
 
-_SQUEEZED = r"regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')"
+_SQUEEZED = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))"
 
 
 @query("dedup_keep_first", f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {_SQUEEZED} ORDER BY doc_id) AS duplicate_of FROM documents QUALIFY doc_id <> duplicate_of")

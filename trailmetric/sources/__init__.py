@@ -61,3 +61,12 @@ STORAGE_FIELDS = ("_id", "stored_at", "updated_at", "version_tag")
 
 def without_storage(df: DataFrame) -> DataFrame:
     return df.drop(*STORAGE_FIELDS)
+
+
+def write_manifest(sample: DataFrame, rejections: DataFrame, path: str, dims: list[str], seed: int) -> None:
+    """A sample's manifest: one record of totals and seed, counts by dimension, and the rejection log."""
+    from ..operators.metrics import distribution
+
+    write_json(sample.agg(F.count(F.lit(1)).alias("total"), F.lit(seed).alias("random_seed")).coalesce(1), f"{path}/manifest")
+    write_json(distribution(sample, dims).coalesce(1), f"{path}/counts")
+    write_json(rejections, f"{path}/rejections")

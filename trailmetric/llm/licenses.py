@@ -8,8 +8,8 @@ canonical length no known text has are not joined; that loses nothing.  The know
 the list below, so its size is fixed and it is broadcast.
 
 Defined results: null texts count as empty, and no known text is empty; a licence found
-on several lines counts once; rows that repeat an id are scanned as they are, and the
-lines' findings of one id are put together; an empty table gives no rows.
+on several lines counts once; rows that repeat an id each have their own result; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,21 +89,25 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts=KNOWN)
     listed = known(spark, texts)
     lengths = F.broadcast(listed.agg(F.collect_set("length").alias("lengths")))  # one row
     canon = df.select(F.col(doc_id).alias("doc_id"), by_line(F.col(text)).alias("lines"))
-    whole = canon.select("doc_id", F.sha2(entire(F.col("lines")), 256).alias("digest"))
-    named = listed.select("license", "digest")
-    lines = (
-        canon.join(lengths)
-        .select("doc_id", F.explode(F.filter(F.split("lines", "\n"), lambda x: F.array_contains("lengths", F.length(x)))).alias("line"))
-        .select("doc_id", F.sha2("line", 256).alias("digest"))
-        .join(F.broadcast(named), "digest")
-        .groupBy("doc_id")
-        .agg(F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("notices"))
+    digests = canon.join(lengths).select(
+        "doc_id",
+        F.sha2(entire(F.col("lines")), 256).alias("text_digest"),
+        F.transform(F.filter(F.split("lines", "\n"), lambda x: F.array_contains("lengths", F.length(x))), lambda x: F.sha2(x, 256)).alias("of_lines"),
     )
-    return (
-        whole.join(F.broadcast(named), "digest", "left")
-        .join(lines, "doc_id", "left")
-        .select("doc_id", F.col("digest").alias("text_digest"), "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    # The text itself (once a row) and the lines that may be known, in one pass over the texts.
+    part = lambda digest, whole: F.struct(digest.alias("digest"), F.lit(whole).alias("whole"))
+    parts = F.concat(F.array(part(F.col("text_digest"), True)), F.transform("of_lines", lambda x: part(x, False)))
+    units = digests.select("doc_id", "text_digest", F.explode(parts).alias("u")).select("doc_id", "text_digest", "u.*")
+    found = (
+        units.join(F.broadcast(listed.select("license", "digest")), "digest", "left")
+        .groupBy("doc_id", "text_digest")
+        .agg(
+            F.count_if("whole").alias("rows"),
+            F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
+            F.concat_ws(",", F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license"))))).alias("notices"),
+        )
     )
+    return found.select("doc_id", "text_digest", "license", "notices", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
 
 
 def sql(texts=KNOWN) -> str:

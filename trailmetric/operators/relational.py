@@ -99,7 +99,9 @@ def keep_first(df: DataFrame, text: Column, order: list[Column], row_id: str) ->
     norm = squeezed(F.coalesce(text, F.lit("")))
     keyed = df.withColumn("_key", F.md5(norm))
     first = keyed.groupBy("_key").agg(F.min_by(row_id, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("duplicate_of"))
-    joined = keyed.join(first.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).drop("_key", "_k")
+    # Another key than the aggregation's, so the join deals its rows anew and can split those of one text.
+    keyed, first = (f.withColumn("_k", F.unhex("_key")).drop("_key") for f in (keyed, first))
+    joined = keyed.join(first, "_k").drop("_k")
     same = F.col(row_id).eqNullSafe(F.col("duplicate_of"))
     return joined.filter(same).drop("duplicate_of"), joined.filter(~same)
 

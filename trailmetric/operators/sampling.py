@@ -112,16 +112,19 @@ def coverage_weights(column: str, counts: DataFrame, selected: int) -> Column:
 def cascade(df: DataFrame, steps: list[tuple[str, Column, int]], total: int, key: str, seed: int = 42) -> DataFrame:
     """Rows by a priority cascade: each step takes its quota of the rows that no step before took; then any up to ``total``.
 
-    A row's step is the first whose condition it meets and whose quota it is within, so a
-    row beyond one step's quota can still be taken by a later one.
+    A row beyond one step's quota can still be taken by a later one.  Each step is a distributed top-k; what it took,
+    as many rows as its quota at most, is sent to the next ones, which leave it out.
     """
-    taken = df.withColumn("stage", F.lit(None).cast("string"))
-    for name, condition, quota in steps:
-        wanted = F.coalesce(condition, F.lit(False)) & F.col("stage").isNull()
-        rank = F.row_number().over(Window.partitionBy(wanted).orderBy(order_key(seed, key), key))
-        taken = taken.withColumn("_r", rank).withColumn("stage", F.when(wanted & (F.col("_r") <= quota), name).otherwise(F.col("stage"))).drop("_r")
-    first = F.col("stage").isNull().cast("int")
-    return taken.orderBy(first, order_key(seed, key), key).limit(total).withColumn("stage", F.coalesce("stage", F.lit("fill")))
+    order = [order_key(seed, key), F.col(key)]
+    left, parts = df, []
+    for name, condition, quota in [*steps, ("fill", F.lit(True), total)]:  # the last limit settles how many fill up
+        picked = left.filter(condition).orderBy(*order).limit(quota).withColumn("stage", F.lit(name))
+        parts.append(picked.withColumn("_at", F.lit(int(name == "fill"))))
+        left = left.join(F.broadcast(picked.select(key)), key, "left_anti")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("_at", *order).limit(total).drop("_at")
 
 
 def numbered(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

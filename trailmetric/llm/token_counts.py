@@ -46,10 +46,19 @@ _SPACE = re.compile(f"[{WS}]")
 _WS_RUN = re.compile(f"[{WS}]+")
 _ODD_WS = re.compile("[\x1c-\x1f]")  # white space to str.split() only
 _LETTER, _NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+#: Letters newer than Python's tables and their lower case.
+_NEW_LOWER = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
 #: The contractions of the split pattern, after their quote.
 _SHORT, _LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 
 
+def _kind(ch: str) -> tuple[bool, bool]:
+    """(letter, number). The newer tables of the two hold below plane 3, above it the standard library's are right."""
+    if ord(ch) < 0x30000:
+        return bool(_LETTER.match(ch)), bool(_NUMBER.match(ch))
+    return (kind := unicodedata.category(ch)[0]) == "L", kind == "N"
+
+
 class WordBpe:
     """The vocabulary: merges over byte symbols, the last one of a word marked."""
 
@@ -167,7 +176,7 @@ class Transducer:
         fresh = self.states[RESET]
         if _SPACE.match(ch):
             return fresh, self._ended(s)
-        letter = bool(_LETTER.match(ch))
+        letter, number = _kind(ch)
         if s.mode == "Q":
             if ch in _SHORT:
                 return fresh, self._word("'" + ch)
@@ -179,7 +188,6 @@ class Transducer:
                 return fresh, self._word("'" + s.mode + ch)
             after, n = self._next(self._take(fresh, s.mode, "L")[0], ch)
             return after, n + self._word("'")
-        number = bool(_NUMBER.match(ch))
         if s.mode == "L" and letter or s.mode == "P" and not letter and not number:
             return self._take(s, ch, s.mode)
         done = self._ended(s)
@@ -298,6 +306,8 @@ def normalise(text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")
+        if "\ua7cb" in text or "\ua7dc" in text:
+            text = text.translate(_NEW_LOWER)
     return text.lower()
 
 

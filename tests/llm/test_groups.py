@@ -98,6 +98,17 @@ def test_near_duplicates_against_all_pairs(spark, size, percent):
     assert near_dedup.near_duplicates(frame_of(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, "")]
+    got = near_dedup.near_duplicates(frame_of(spark, rows)).collect()
+    assert len(got) == 4 and {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 2}
+    assert near_dedup.deduplicate(frame_of(spark, rows)).filter("doc_id is not null").count() == 2
+    assert exact_dedup.groups(frame_of(spark, rows)).count() == 4
+    assert {r.doc_id for r in exact_dedup.deduplicate(frame_of(spark, rows)).collect()} >= {1}
+    assert pii.find(frame_of(spark, rows)).count() == 4 and pii.sanitise(frame_of(spark, rows)).count() == 4
+    assert queries.packed(frame_of(spark, rows).select("doc_id", "text")).select("doc_id").distinct().count() == 3
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in near_dedup.components(edges).collect()}
@@ -168,6 +179,8 @@ def test_licences(spark):
         (4, mit[:-10]),
         (5, "Licensed under CC BY-NC 4.0."),
     ]
+    again = licenses.scan(frame_of(spark, rows + rows[1:2] + [(2, "other"), (None, "x"), (6, "y " * 50_000)])).collect()
+    assert sorted((r.license or "", r.notices) for r in again if r.doc_id == 2) == [("", ""), ("", "MIT"), ("", "MIT")] and len(again) == 9
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(frame_of(spark, rows)).collect()}
     assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0")}
     assert licenses.scan(frame_of(spark, rows).limit(0)).count() == 0

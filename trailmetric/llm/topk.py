@@ -35,6 +35,7 @@ from .common import ship
 SHARD_ROWS = 8192
 LOT_ROWS = 2048
 BLOCK_ROWS = 16
+QUERIES_AT_ONCE = 256
 EXACT = 1 << 53
 
 
@@ -54,34 +55,45 @@ class BlockIndex:
         self.ids, self.terms = ids[order], terms[order]
         cuts = np.arange(0, len(ids), rows)
         self.cuts = np.append(cuts, len(ids))
+        self.forward = self.terms.astype(np.float64)
         self.most = np.maximum.reduceat(self.terms, cuts, axis=0).astype(np.float64)
         self.least = np.minimum.reduceat(self.terms, cuts, axis=0).astype(np.float64)
         self.size = float(np.abs(self.terms).max(initial=0))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """(query id, row id, score): the k best rows of each query, ties to smaller ids, the query's own id left out."""
-        reach = self.size * float(np.abs(queries).max(initial=0)) * queries.shape[1]
-        exact = reach < EXACT
-        q = queries.astype(np.float64)
+        if self.size * float(np.abs(queries).max(initial=0)) * queries.shape[1] >= EXACT:
+            yield from self._search_integers(query_ids, queries, k)
+            return
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            yield from self._search_some(query_ids[at : at + QUERIES_AT_ONCE], queries[at : at + QUERIES_AT_ONCE].astype(np.float64), k)
+
+    def _search_some(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         bounds = np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T
-        if not exact:
-            bounds += np.abs(bounds) * 1e-9 + 1
-        forward = self.terms.astype(np.float64 if exact else object)
-        for own, row, bound in zip(query_ids, q if exact else queries.astype(object), bounds):
-            order = np.argsort(-bound, kind="stable")
-            scores, ids, kth = np.empty(0), np.empty(0, self.ids.dtype), None
-            for at in range(0, len(order), 4):
-                # A few blocks at once; those behind the first can only add to what is scored.
-                if kth is not None and bound[order[at]] < kth:
-                    break
-                rows = np.concatenate([np.arange(self.cuts[b], self.cuts[b + 1]) for b in order[at : at + 4]])
-                rows = rows[self.ids[rows] != own]
-                scores = np.concatenate([scores, forward[rows] @ row])
-                ids = np.concatenate([ids, self.ids[rows]])
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
-                kth = scores[-1] if len(scores) == k else None
-            yield from ((own, i, int(s)) for i, s in zip(ids, scores))
+        place = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        scores = np.full((len(q), len(self.ids)), -np.inf)
+        own = query_ids[:, None] == self.ids[None, :]
+        kth = np.full(len(q), -np.inf)
+        # Each query's blocks in the order of their bounds, in three goes; later goes leave out what the k-th score rules out.
+        for low, high in ((0, 4), (4, 32), (32, len(self.cuts))):
+            todo = (place >= low) & (place < high) & (bounds >= kth[:, None])
+            for b in np.flatnonzero(todo.any(axis=0)):
+                asking, rows = np.flatnonzero(todo[:, b]), slice(self.cuts[b], self.cuts[b + 1])
+                scores[asking, rows] = q[asking] @ self.forward[rows].T
+            scores[own] = -np.inf
+            if scores.shape[1] >= k:
+                kth = np.partition(scores, -k, axis=1)[:, -k]
+        for me, row, least in zip(query_ids, scores, kth):
+            hits = np.flatnonzero((row >= least) & np.isfinite(row))
+            for h in hits[np.lexsort((self.ids[hits], -row[hits]))[:k]]:
+                yield me, self.ids[h], int(row[h])
+
+    def _search_integers(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """Scores beyond what doubles hold, as Python integers over all rows."""
+        terms = self.terms.astype(object)
+        for me, row in zip(query_ids, queries.astype(object)):
+            found = sorted((-s, i) for s, i in zip(terms @ row, self.ids) if i != me)[:k]
+            yield from ((me, i, -s) for s, i in found)
 
 
 def cluster(terms: np.ndarray, rows: int) -> np.ndarray:

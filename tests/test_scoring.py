@@ -137,3 +137,16 @@ def test_tukey(spark):
     frame = spark.createDataFrame([(g, float(v + 10 * (g == "c"))) for g in "abc" for v in range(8)], "g string, v double")
     found = {(r["group1"], r["group2"]): r["p"] for r in st.tukey_hsd(frame, "v", "g")}
     assert found["a", "c"] < 0.01 < 0.5 < found["a", "b"]
+
+
+def test_capabilities_and_tiers(spark):
+    assert [one(spark, tx.default_tier(F.lit(b))) for b in ("SWEbench", "gaia", "toolbench")] == [1, 3, None]
+    assert one(spark, tx.capability(F.lit("gaia"), "can_replay", F.lit(True))) is True
+    with pytest.raises(Exception, match="unknown benchmark"):
+        one(spark, tx.capability(F.lit("other"), "can_replay"))
+
+
+@pytest.mark.parametrize("criticality,affects,recoverable,kind,want", [(0.2, False, True, "fine_grained", 0), (0.2, True, False, "fine_grained", 1), (0.8, True, None, "fine_grained", 2), (None, None, None, "coarse_grained", 2), (0.9, True, False, "placebo", 0)])
+def test_derived_impact(spark, criticality, affects, recoverable, kind, want):
+    c = lambda v, t: F.lit(v).cast(t)
+    assert one(spark, sc.impact_from_criticality(c(criticality, "double"), c(affects, "boolean"), c(recoverable, "boolean"), F.lit(kind))) == want

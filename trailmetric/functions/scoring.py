@@ -206,8 +206,9 @@ def ccg(jps: Column, criticality: Column, capped: bool = True) -> Column:
 
 
 def impact_from_criticality(criticality: Column, affects: Column, recoverable: Column, kind: Column) -> Column:
-    """Impact 0-3 by the criticality's band, one more if the answer is affected, one less if recoverable; placebos 0, coarse ones 2 at least."""
-    band = F.when(criticality >= 0.8, 3).when(criticality >= 0.5, 2).when(criticality >= 0.3, 1).otherwise(0)
-    moved = band + F.coalesce(affects, F.lit(False)).cast("int") - F.coalesce(recoverable, F.lit(False)).cast("int")
-    held = F.greatest(F.lit(0), F.least(F.lit(3), moved))
-    return F.when(kind == "placebo", 0).when(kind == "coarse_grained", F.greatest(held, F.lit(2))).otherwise(held)
+    """Impact 0-3 by quarters of criticality (0.5 if unknown), one more if the answer is affected, one less if recoverable (or not known to be not); placebos 0, coarse ones 2 at least."""
+    c = F.coalesce(criticality, F.lit(0.5))
+    band = F.when(c < 0.25, 0).when(c < 0.5, 1).when(c < 0.75, 2).otherwise(3)
+    up = F.least(F.lit(3), band + F.coalesce(affects, F.lit(False)).cast("int"))
+    down = F.greatest(F.lit(0), up - F.coalesce(recoverable, F.lit(True)).cast("int"))
+    return F.when(kind == "placebo", 0).when(kind == "coarse_grained", F.greatest(down, F.lit(2))).otherwise(down)

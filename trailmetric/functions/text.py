@@ -85,24 +85,33 @@ def benchmark_of(identifier: Column) -> Column:
     return F.when(F.contains(low, F.lit("toolbench")), "toolbench").when(F.contains(low, F.lit("gaia")), "gaia").when(F.contains(low, F.lit("swe")), "swebench").otherwise("unknown")
 
 
-def replay_tier(full_replay: Column, partial_replay: Column, grader: Column) -> Column:
-    """1 if a run can be replayed in full, 2 in part, 3 if only its answer can be graded, else null."""
-    return F.when(full_replay, 1).when(partial_replay, 2).when(grader, 3)
+def replay_tier(can_replay: Column, environment: Column, verifier: Column, downstream: Column, truth: Column) -> Column:
+    """1 for a full replay with a verifier, 2 for downstream regeneration with one, 3 for a truth or verifier to compare with, else null."""
+    return F.when(can_replay & environment & verifier, 1).when(downstream & verifier, 2).when(truth | verifier, 3)
 
 
-#: Fixed values: (deterministic, environment, grader) capabilities by benchmark.
-CAPABILITIES = {"toolbench": (False, False, True), "swebench": (True, True, True), "gaia": (False, False, True)}
+#: What can be evaluated, by benchmark.
+CAPABILITIES = {
+    "swebench": {"can_replay": True, "environment_accessible": True, "has_objective_verifier": True, "can_regenerate_downstream": True, "ground_truth_available": True},
+    "gaia": {"can_replay": False, "environment_accessible": False, "has_objective_verifier": True, "can_regenerate_downstream": False, "ground_truth_available": True},
+    "toolbench": {"can_replay": False, "environment_accessible": False, "has_objective_verifier": False, "can_regenerate_downstream": False, "ground_truth_available": False},
+}
 
 
-def capability(benchmark: Column, place: int, override: Column | None = None) -> Column:
+def capability(benchmark: Column, name: str, override: Column | None = None) -> Column:
     """A capability by benchmark, or what overrides it; an unknown benchmark raises."""
     out = F.when(F.lit(False), F.lit(False))
-    for name, values in CAPABILITIES.items():
-        out = out.when(benchmark == name, F.lit(values[place]))
+    for known, flags in CAPABILITIES.items():
+        out = out.when(F.lower(benchmark) == known, F.lit(flags[name]))
     out = out.otherwise(F.raise_error(F.concat(F.lit("unknown benchmark "), benchmark)).cast("boolean"))
     return out if override is None else F.coalesce(override, out)
 
 
+def default_tier(benchmark: Column) -> Column:
+    """The replay tier of a benchmark's own capabilities."""
+    return replay_tier(*[capability(benchmark, n) for n in ("can_replay", "environment_accessible", "has_objective_verifier", "can_regenerate_downstream", "ground_truth_available")])
+
+
 # -- grading -----------------------------------------------------------------
 def answer_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(squeezed(text)), r"^(the answer is|answer:)\s*", ""))

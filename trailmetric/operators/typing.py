@@ -154,7 +154,12 @@ def entities() -> Column:
 
 
 #: Tool words and the artifact they make.
-TOOL_ARTIFACTS = {"search": "search_results", "find": "search_results", "grep": "search_results", "edit": "patch", "replace": "patch", "patch": "patch", "test": "text", "bash": "text"}
+TOOL_ARTIFACTS = {
+    "edit": "patch", "str_replace": "patch", "str_replace_editor": "patch", "patch": "patch", "write": "patch", "file_edit": "patch",
+    "bash": "text", "run": "text", "execute": "text", "test": "text",
+}
+#: Words of tools that only read.
+READ_WORDS = ("view", "file_view", "read", "open", "cat", "search", "find", "list", "ls", "tree", "grep", "rg", "ag", "head", "tail", "less", "more")
 
 
 def produced_artifacts() -> Column:
@@ -179,7 +184,7 @@ def produced_artifacts() -> Column:
             F.when(F.col("produces_final_answer"), one("text", "final_answer")),
         )
     )
-    reads = F.coalesce(tool.rlike("|".join(READ_TOOLS)), F.lit(False)) & (tool != "")
+    reads = F.coalesce(tool.rlike("|".join(READ_WORDS)), F.lit(False))
     fallback = F.when(out, F.array(one("text", "output"))).otherwise(F.slice(F.array(one("text")), 1, 0))
     return F.when(reads, F.slice(F.array(one("text")), 1, 0)).when(F.size(found) > 0, found).otherwise(fallback)
 
@@ -188,8 +193,8 @@ def with_consumed(df: DataFrame) -> DataFrame:
     """Adds consumed_artifacts: earlier paths or numbers that the text may mean, and what its source step made."""
     made = df.select(F.col("trajectory_id").alias("t"), F.col("step_index").alias("at"), F.explode("produced_artifacts.name").alias("name"))
     text = F.coalesce("raw_text", F.lit(""))
-    uses_path = text.rlike(r"(?:/[\w.-]+)+\.\w+") & (F.col("at") < F.col("step_index")) & F.contains("name", F.lit("filepath"))
-    uses_number = text.rlike(r"\b\d+(?:\.\d+)?\b") & (F.col("at") < F.col("step_index")) & F.contains("name", F.lit("numeric_answer"))
+    uses_path = text.rlike(r"(?:/[\w.-]+)+(?:\.\w+)?") & (F.col("at") < F.col("step_index")) & F.contains("name", F.lit("filepath"))
+    uses_number = text.rlike(r"\((\d+(?:\.\d+)?)\)") & (F.col("at") < F.col("step_index")) & F.contains("name", F.lit("numeric_answer"))
     own = df.select("trajectory_id", "step_index", "raw_text", "source_step")
     both = own.join(made, (F.col("trajectory_id") == F.col("t")) & (F.col("at") <= F.col("step_index")))
     hits = both.filter(uses_path | uses_number | F.coalesce(F.col("at") == F.col("source_step"), F.lit(False)))
@@ -327,7 +332,10 @@ ARGUMENT_TYPES = (
     ("path", "filepath"), ("file", "filepath"), ("filepath", "filepath"), ("filename", "filepath"), ("directory", "filepath"), ("dir", "filepath"), ("line", "line_number"),
     ("line_number", "line_number"), ("start_line", "line_number"), ("end_line", "line_number"), ("query", "search_query"), ("search", "search_query"), ("q", "search_query"),
     ("keyword", "search_query"), ("code", "code_snippet"), ("old_str", "code_snippet"), ("new_str", "code_snippet"), ("content", "code_snippet"), ("command", "string"), ("url", "url"),
-    ("endpoint", "api_endpoint"), ("api", "api_endpoint"), ("ip", "ipv4"), ("ip_address", "ipv4"), ("host", "domain"), ("id", "identifier"), ("name", "identifier"),
+    ("endpoint", "api_endpoint"), ("api", "api_endpoint"), ("ip", "ipv4"), ("ip_address", "ipv4"), ("host", "domain"), ("domain", "domain"), ("hostname", "domain"), ("email", "email"),
+    ("latitude", "latitude"), ("lat", "latitude"), ("longitude", "longitude"), ("lng", "longitude"), ("lon", "longitude"), ("count", "integer"), ("limit", "integer"), ("top_k", "integer"),
+    ("year", "integer"), ("num", "integer"), ("threshold", "float"), ("temperature", "float"), ("name", "identifier"), ("id", "identifier"), ("key", "identifier"), ("function", "identifier"),
+    ("class", "identifier"), ("method", "identifier"),
 )
 
 
@@ -345,13 +353,13 @@ def value_type(name: Column, value: Column, kind: Column) -> Column:
         .when((kind == "float") & lng & number.between(-180, 180), "longitude")
         .when(kind == "float", "float")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
-        .when(value.rlike(r"^[\w.+-]+@[\w-]+\.[\w.]+$"), "email")
-        .when(value.rlike(r"^([a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}$"), "domain")
+        .when(value.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"), "email")
+        .when(value.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+$"), "domain")
         .when(value.rlike(r"^-?\d{1,3}\.\d+$") & lat, "latitude")
         .when(value.rlike(r"^-?\d{1,3}\.\d+$") & lng, "longitude")
         .when(value.rlike(r"^https?://"), "url")
-        .when(value.rlike(r"^(?:/|\./|\.\./|[\w-]+/)[\w./-]*$|^[\w-]+\.\w{1,5}$"), "filepath")
-        .when(value.rlike(r"\bdef \w+\(|\bclass \w+|\breturn\b|[{};]\s*$|=>"), "code_snippet")
+        .when(value.rlike(r"^[/\\]?[\w.-]+([/\\][\w.-]+)*\.\w{1,6}$"), "filepath")
+        .when(value.rlike(r"[{}()\[\];=]|def |class |import "), "code_snippet")
         .otherwise("string")
     )
 
@@ -394,7 +402,8 @@ def slots(df: DataFrame, key: list[str], arguments: str = "tool_arguments") -> D
 
 def allowed_perturbations(value_type_: Column) -> Column:
     """What may be done to a slot by its type."""
-    return F.array_compact(F.array(F.lit("parameter"), F.when(value_type_.isin("filepath", "line_number", "integer"), "data_reference"), F.when(value_type_ == "code_snippet", "structural"), F.when(value_type_ == "tool", "tool_selection")))
+    params = F.array_compact(F.array(F.lit("parameter"), F.lit("data_reference"), F.when(value_type_ == "code_snippet", "structural")))
+    return F.when(value_type_ == "tool", F.array(F.lit("tool_selection"))).otherwise(params)
 
 
 def get_path(document: str | None, path: str):

@@ -150,3 +150,37 @@ def test_capabilities_and_tiers(spark):
 def test_derived_impact(spark, criticality, affects, recoverable, kind, want):
     c = lambda v, t: F.lit(v).cast(t)
     assert one(spark, sc.impact_from_criticality(c(criticality, "double"), c(affects, "boolean"), c(recoverable, "boolean"), F.lit(kind))) == want
+
+
+def test_claim_interval_is_over_all_rows(spark):
+    """The interval lies around the gap of all rows and is about as wide as that of an index bootstrap."""
+    import numpy as np
+
+    from tests.oracle import DATA
+    from trailmetric.operators import metrics
+    from trailmetric.plans import QUERIES
+    from trailmetric.plans.base import evaluated
+
+    rows = evaluated(spark, DATA)
+    got, gap = QUERIES["claim_interval"](spark, DATA).first(), metrics.main_claim(rows).first().gap
+    t = rows.selectExpr("perturbation_class <> 'placebo' as real", "error_detected as hit", "predicted_impact as x", "outcome_degradation as y").toPandas()
+    rng, gaps = np.random.default_rng(1), []
+    for _ in range(100):
+        s = t.iloc[rng.integers(0, len(t), len(t))]
+        known = s.dropna(subset=["y"])
+        gaps.append(s[s["real"]]["hit"].mean() - known["x"].rank().corr(known["y"].rank()))
+    low, high = np.percentile(gaps, [2.5, 97.5])
+    assert got.low < gap < got.high and 0.7 < (got.high - got.low) / (high - low) < 1.4
+    assert tuple(metrics.claim_interval(rows.limit(9), replicates=20).first()) == (None, None)
+
+
+def test_ranks_of_replicates(spark):
+    """Weighted ranks in every replicate equal those of the repeated rows."""
+    frame = spark.range(300).selectExpr("cast(id * 37 % 101 as double) as x", "if(id % 11 = 0, null, cast(id * id % 53 as double)) as y")
+    drawn = st.poisson_replicates(frame, ["x", "y"], replicates=20).cache()
+    t = drawn.toPandas()
+    assert 250 < t.groupby("replicate")["w"].sum().mean() < 350
+    for r in st.replicate_spearman(drawn, "x", "y").collect():
+        own = t[t["replicate"] == r.replicate].dropna()
+        own = own.loc[own.index.repeat(own["w"])]
+        assert own["x"].rank().corr(own["y"].rank()) == pytest.approx(r.r, abs=1e-9)

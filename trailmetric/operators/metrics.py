@@ -270,18 +270,20 @@ def main_claim(df: DataFrame) -> DataFrame:
 
 
 def claim_interval(df: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """low and high of the gap over resampled rows; for the rows of one annotated experiment. Under 10 rows both are null."""
-    import numpy as np
+    """low and high of the gap of ``main_claim`` over resamples of all rows (Poisson bootstrap).
 
-    from .statistics import bootstrap_exact
-
-    def gap(t) -> float:
-        real = t[t["perturbation_class"] != "placebo"]
-        known = t.dropna(subset=["outcome_degradation"])
-        r = known["predicted_impact"].rank().corr(known["outcome_degradation"].rank()) if len(known) > 2 else np.nan
-        return float(real["error_detected"].mean() - r)
-
-    values = bootstrap_exact(df, ["perturbation_class", "error_detected", "predicted_impact", "outcome_degradation"], gap, replicates, seed)
-    n = df.count()
-    edge = lambda q: F.when(F.lit(n >= 10), F.percentile("value", F.lit(q)))
-    return values.filter(~F.isnan("value")).agg(edge(0.025).alias("low"), edge(0.975).alias("high"))
+    A replicate without real rows, with under three known outcomes or without variance has no
+    gap and is left out. Under 10 rows both are null.
+    """
+    from .statistics import poisson_replicates, replicate_spearman
+
+    cells = df.select((F.col("perturbation_class") != "placebo").alias("real"), F.coalesce("is_tp", F.lit(False)).alias("tp"), F.coalesce("is_fn", F.lit(False)).alias("fn"), F.col("predicted_impact").alias("x"), F.col("outcome_degradation").alias("y"))
+    drawn = poisson_replicates(cells, ["real", "tp", "fn", "x", "y"], replicates, seed)
+    weight = lambda c: F.sum(F.when(F.col(c), F.col("w")).otherwise(0))
+    pdr = drawn.groupBy("replicate").agg(weight("real").alias("n_real"), weight("tp").alias("tp"), weight("fn").alias("fn"))
+    pdr = pdr.filter("n_real > 0").select("replicate", F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), F.lit(0.0)).alias("pdr"))
+    gaps = pdr.join(replicate_spearman(drawn, "x", "y"), "replicate").select((F.col("pdr") - F.col("r")).alias("gap"))
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    edges = gaps.agg(F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
+    edge = lambda c: F.when(F.col("n") >= 10, F.col(c)).alias(c)
+    return edges.join(n).select(edge("low"), edge("high"))

@@ -76,14 +76,18 @@ def _weighted_ranks(pairs: DataFrame, value: str, by: list[str]) -> DataFrame:
     return _running(counts, value)
 
 
-def _running(counts: DataFrame, value: str) -> DataFrame:
-    """(value, average rank) from (value, _n), by ranges: no task sees all values."""
-    placed = counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id())
-    placed = placed.withColumn("_run", F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = placed.groupBy("_part").agg(F.sum("_n").alias("_all"), F.min(value).alias("_low"))
-    other = totals.select(F.col("_all").alias("_b_all"), F.col("_low").alias("_b_low"))
-    offset = totals.join(F.broadcast(other), F.col("_b_low") < F.col("_low"), "left").groupBy("_part").agg(F.coalesce(F.sum("_b_all"), F.lit(0)).alias("_off"))
-    return placed.join(F.broadcast(offset), "_part").select(value, (F.col("_off") + F.col("_run") - F.col("_n") + (F.col("_n") + 1) / 2).alias("_rank"))
+def _running(counts: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., value, average rank) from (by..., value, _n), by ranges: no task sees all values."""
+    by = by or []
+    placed = counts.repartitionByRange(*map(F.col, by), F.col(value)).withColumn("_part", F.spark_partition_id())
+    placed = placed.withColumn("_run", F.sum("_n").over(Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = placed.groupBy("_part", *by).agg(F.sum("_n").alias("_all"), F.min(value).alias("_low"))
+    other = totals.select(F.col("_all").alias("_b_all"), F.col("_low").alias("_b_low"), *[F.col(c).alias(f"_b_{c}") for c in by])
+    before = F.col("_b_low") < F.col("_low")
+    for c in by:
+        before = before & (F.col(f"_b_{c}") == F.col(c))
+    offset = totals.join(F.broadcast(other), before, "left").groupBy("_part", *by).agg(F.coalesce(F.sum("_b_all"), F.lit(0)).alias("_off"))
+    return placed.join(F.broadcast(offset), ["_part", *by]).select(*by, value, (F.col("_off") + F.col("_run") - F.col("_n") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def auc(df: DataFrame, positive: Column, score: str, name: str = "auc") -> DataFrame:
@@ -243,6 +247,46 @@ def bootstrap_ci(df: DataFrame, unit: str, statistic: str, value: str, replicate
     return per.agg(F.avg(statistic).alias("mean"), F.percentile(statistic, F.lit(low)).alias("low"), F.percentile(statistic, F.lit(high)).alias("high"), F.count(statistic).alias("replicates"))
 
 
+def poisson_replicates(df: DataFrame, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, *columns, w): the weight of every distinct row in each Poisson resample of ``df``; zero weights are left out.
+
+    n equal rows with Poisson(1) weights each weigh Poisson(n) together, so one draw stands for all of them. The
+    draws of a distinct row come from the seed and its hash and depend on neither partitions nor order.
+    """
+    cells = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    # By a hash of the values: the same cell is drawn once, wherever it is.
+    cells = cells.withColumn("_h", F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]))
+    schema = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("_h", T.LongType()), *[cells.schema[c] for c in columns], T.StructField("w", T.LongType())])
+    names, step = schema.names, 100  # cells whose draws are held at a time
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), step):
+                part = frame.iloc[at : at + step]
+                weights = np.stack([np.random.default_rng([seed, h % 2**64]).poisson(n, replicates) for h, n in zip(map(int, part["_h"]), part["_n"])])
+                row, r = np.nonzero(weights)
+                yield part.iloc[row].assign(replicate=r.astype("int32"), w=weights[row, r])[names]
+
+    return cells.mapInPandas(run, schema).drop("_h")
+
+
+def replicate_spearman(drawn: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
+    """(replicate, r): correlation of average ranks in each replicate by weights ``w``; only replicates that have one.
+
+    Ranks run over ranges of (replicate, value), so neither a replicate nor a frequent value is one task.
+    """
+    pairs = drawn.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("replicate", F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.sum("w").alias("_w"))
+    rank = lambda v, name: _running(pairs.groupBy("replicate", v).agg(F.sum("_w").alias("_n")), v, ["replicate"]).withColumnRenamed("_rank", name)
+    ranked = pairs.join(rank("_x", "_rx"), ["replicate", "_x"]).join(rank("_y", "_ry"), ["replicate", "_y"])
+    w = F.col("_w")
+    n, sx, sy = F.sum(w), F.sum(w * F.col("_rx")), F.sum(w * F.col("_ry"))
+    cov = F.sum(w * F.col("_rx") * F.col("_ry")) - sx * sy / n
+    vx = F.sum(w * F.col("_rx") * F.col("_rx")) - sx * sx / n
+    vy = F.sum(w * F.col("_ry") * F.col("_ry")) - sy * sy / n
+    r = F.when((vx > 0) & (vy > 0) & (n >= least), cov / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0)))
+    return ranked.groupBy("replicate").agg(r.alias("r")).filter("r is not null")
+
+
 def bootstrap_exact(df: DataFrame, columns: list[str], statistic, replicates: int = 1000, seed: int = 42, parts: int = 16) -> DataFrame:
     """(replicate, value) by index resampling of a small table (annotation-sized: its rows are sent to each group of replicates)."""
     table = df.select(*columns).toPandas()

@@ -186,6 +186,30 @@ def test_licences(spark):
     assert licenses.scan(frame_of(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_as_published(spark):
+    """With title, copyright lines and wrapped lines; whole long licences; lines that only begin with the word stay."""
+    import textwrap
+
+    from trailmetric.llm.license_texts import TEXTS
+
+    short = dict(reversed(licenses._SHORT[:6]))
+    wrapped = {n: "\n".join(textwrap.fill(line, 70) for line in t.split("\n")) for n, t in short.items()}
+    isc = wrapped["ISC"].replace("that the above copyright notice", "that the above\ncopyright notice")
+    files = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A B\n\n" + wrapped["MIT"]),
+        ("MIT", "The MIT License (MIT)\n\nCopyright Some One\n\n" + wrapped["MIT"]),
+        ("ISC", "ISC License\n\n(c) 2019, C D <c@d.org>\n\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2001, E\nAll rights reserved.\n\n" + wrapped["BSD-3-Clause"].replace("\n3. ", "\n* ").replace("\n2. ", "\n* ").replace("\n1. ", "\n* ")),
+        *[(n, t) for n, t in TEXTS],
+        ("Apache-2.0", TEXTS[0][1].replace("[yyyy] [name of copyright owner]", "2021 F G").split("   END OF TERMS")[0]),
+    ]
+    got = {r.doc_id: r.license for r in licenses.scan(frame_of(spark, list(enumerate(t for _, t in files)))).collect()}
+    assert [got[i] for i in range(len(files))] == [n for n, _ in files]
+    body = [(1, "one\ncopyright notice two"), (2, "one\ntwo"), (3, "one\n(c) you must"), (4, "one\ncopyright 2020 x"), (5, "one"), (6, "one\ncopyrighted works")]
+    digest = {r.doc_id: r.text_digest for r in licenses.scan(frame_of(spark, body)).collect()}
+    assert len(set(digest.values())) == 5 and digest[4] == digest[5]
+
+
 def luhn(digits):
     return sum((d := int(c) * (1 + i % 2)) - 9 * (d > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
 

@@ -1,6 +1,7 @@
 """Licence scan by canonical digests (operator 8), DataFrame functions only.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, punctuation
+A text is brought to a canonical form: lower case, copyright lines dropped (but not the
+wrapped lines of a licence that begin with the word or with item (c)), punctuation
 and blanks as single spaces, equivalent spellings as one.  Its SHA-256 is then looked up,
 by a hash join, among the digests of known licences: once for the entire text and once for
 each of its lines, so that a one-line notice inside a document is found too.  Lines whose
@@ -14,12 +15,18 @@ table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 #: Fixed values: (pattern, replacement) in the order they are applied to lower-case text. \\1 is the first group.
 RULES = (
-    (r"(^|\n)[ \t*/#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    # A wrapped line of a licence that begins with this word is set apart from copyright lines, by a sign that goes later.
+    (r"(^|\n)([ \t*/#;-]*copyright([a-z]+|[ \t]*(\n|$)|[ \t,;]+(and|are|disclaimer|doctrines|holders?|if|interests?|in|laws?|licen[cs]es?|notices?|of|on|or|owners?|ownership|permission|rights?|statements?|the (software|library|program|work)|treat(y|ies))\b))", r"\1.\2"),
+    (r"(^|\n)[ \t*/#;-]*(copyright|\(c\)[ \t,]*(copyright|©|[12][0-9]{3}\b)|©|all rights reserved)[^\n]*", "\n"),
     (r"[^\p{L}\p{N}\n]+", " "),
     (r" *\n[ \n]*", "\n"),
     (r"licenc", "licens"),
@@ -40,8 +47,8 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 """
 _ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Fixed values: (licence, text) of whole licences and of one-line notices.
-KNOWN = (
+#: Fixed values: (licence, text) of short licences and of one-line notices.
+_SHORT = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -63,6 +70,47 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Titles that short licences are published under.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License", "New BSD License", "Revised BSD License", "BSD License", "The BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "Zero Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
+
+def _forms() -> list[tuple[str, str]]:
+    """The licences in the forms that they are published in: with a title, with bullets for numbers, without the appendix, older addresses."""
+    mit, regents = _SHORT[0][1], "the University"
+    notice = mit[mit.index(", subject to the following") : mit.index("THE SOFTWARE IS")]
+    short = [*_SHORT, ("MIT-0", mit.replace(notice, ".\n"))]
+    out = []
+    for name, text in short:
+        own = [text]
+        if name.startswith("BSD") or name == "Zlib":
+            own.append(re.sub(r"(?m)^[1-3]\. ", "* ", text))
+        if name.startswith("BSD-3"):
+            own += [t.replace("the copyright holder nor", f"{other} nor") for t in own for other in (regents, "the author", "the copyright holders")]
+        if name in ("ISC", "0BSD"):
+            own.append(text.replace("modify, and/or", "modify, and"))
+        out += [(name, t) for t in own]
+        if len(text) > 300:
+            out += [(name, f"{title}\n\n{t}") for title in _TITLES.get(name, ()) for t in own]
+    for name, text in TEXTS:
+        own = {text, *(text[: at.start()] for at in re.finditer(r"(?m)^ *(How to Apply|APPENDIX: How|Appendix: How|ADDENDUM: How)", text))}
+        own |= {t[: t.index("END OF TERMS AND CONDITIONS")] for t in own if "END OF TERMS AND CONDITIONS" in t}
+        own |= {t.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", old).replace("51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA", old) for t in own for old in ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA")}
+        own |= {t.replace("http://", "https://") for t in own}
+        own |= {re.sub(r"<?https?://fsf\.org/>?", "<https://fsf.org/>", t) for t in own}
+        out += [(name, t) for t in sorted(own)]
+    return list(dict.fromkeys(out))
+
+
+KNOWN = tuple(_forms())
+
 
 def by_line(text: Column) -> Column:
     """The canonical form with its lines kept apart."""
@@ -77,10 +125,12 @@ def entire(lines: Column) -> Column:
 
 
 def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """license, digest and length of the known texts."""
+    """license, digest and length of the known texts: a small job, so that plans hold digests and not the texts."""
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in texts])
     canon = spark.range(1).select(F.inline(rows)).select("license", entire(by_line(F.col("text"))).alias("canon"))
-    return canon.select("license", F.sha2("canon", 256).alias("digest"), F.length("canon").alias("length")).distinct()
+    listed = canon.select("license", F.sha2("canon", 256).alias("digest"), F.length("canon").alias("length")).distinct().collect()
+    rows = F.array(*[F.struct(F.lit(r.license).alias("license"), F.lit(r.digest).alias("digest"), F.lit(r.length).alias("length")) for r in sorted(listed)])
+    return spark.range(1).select(F.inline(rows))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts=KNOWN) -> DataFrame:

@@ -109,6 +109,15 @@ def test_rows_without_an_id(spark):
     assert queries.packed(frame_of(spark, rows).select("doc_id", "text")).select("doc_id").distinct().count() == 3
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    far = [" ".join(f"{w}{i}" for i in range(30)) for w in "pqrst"]
+    rows = [(None, far[0]), (None, far[1]), (3, far[2]), (3, far[3]), (-4, far[3]), (None, far[3]), (5, far[4]), (5, far[4]), (10, far[4]), (6, None), (6, "")]
+    got = near_dedup.deduplicate(frame_of(spark, rows)).select("doc_id", "text").collect()
+    want = [(None, far[0]), (None, far[1]), (3, far[2]), (-4, far[3]), (5, far[4]), (6, None), (6, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert near_dedup.deduplicate(frame_of(spark, [(None, far[0]), (1, far[0])])).collect()[0].doc_id == 1
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in near_dedup.components(edges).collect()}

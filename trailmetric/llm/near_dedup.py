@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo, slices
-from .common import checkpointed, repeated, ship, stored, without
+from .common import checkpointed, ship, stored, without
 
 POSITIONS = 4
 ERRORS = 1
@@ -287,8 +287,23 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     return rows.select("doc_id", "n_shingles", F.hex("class").alias("key")).join(by_class, "key", "left").select("doc_id", "n_shingles", own)
 
 
+def row_key(df: DataFrame, doc_id: str, text: str) -> Column:
+    """A string for each different (id, text), null or not, in the order of the ids, null last."""
+    own = F.col(doc_id).cast("string")
+    if isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        own = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), own), F.lit("1")), F.lit(":"), F.coalesce(F.sha2(text, 256), F.lit("")))
+
+
 def deduplicate(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that are the smallest of their component; of rows that repeat an id, an arbitrary one."""
-    found = near_duplicates(df, size, percent, doc_id, text)
-    once = df if repeated(df, doc_id).isEmpty() else df.dropDuplicates([doc_id])
-    return without(once, found.filter("doc_id <> component_id"), doc_id)
+    """The rows of ``df``, with all their columns, that are the smallest of their component.
+
+    Where ids are null or repeat, a row is known by its id and text together, so unlike texts of one id have each
+    their own fate; of rows alike in both, an arbitrary one.
+    """
+    unclear = df.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return without(df, near_duplicates(df, size, percent, doc_id, text).filter("doc_id <> component_id"), doc_id)
+    once = df.withColumn("own_key", row_key(df, doc_id, text)).dropDuplicates(["own_key"])
+    gone = near_duplicates(once, size, percent, "own_key", text).filter("doc_id <> component_id")
+    return without(once, gone, "own_key").select(*df.columns)

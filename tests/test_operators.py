@@ -300,3 +300,18 @@ def test_metric_edges(spark):
     assert bins[9] == 1 and bins[0] == 1 and len(bins) == 10
     few = spark.createDataFrame([(0.5, True)], "predicted_failure_prob double, failure_actual boolean")
     assert metrics.failure_ece(few).first().failure_ece is None
+
+
+def test_positions_of_a_whole_table(spark):
+    """Every row has its position in hash order, and no window ranks all rows."""
+    import hashlib
+
+    from trailmetric.operators import sampling
+
+    rows = spark.range(5000).unionByName(spark.range(3))
+    got = sorted((r.position, r.id) for r in sampling.numbered(rows, "id").collect())
+    order = sorted([*range(5000), *range(3)], key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert got == list(enumerate(order))
+    plan = sampling.numbered(rows, "id")._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.split("\n") if "Window" in line and "row_number()" in line]
+    assert ranks and all("_range" in line for line in ranks)

@@ -1,8 +1,8 @@
 """Deterministic sampling: shuffles, quotas, caps, weights and assignments by hash order.
 
 The order of a key is the MD5 of seed and key, so a sample depends on neither partitions
-nor engine.  Quotas rank rows inside their stratum; only small frames (sampled units,
-annotators) are ranked as a whole.
+nor engine.  Quotas rank rows inside their stratum; positions in a whole table are by
+ranges of the hash.
 """
 
 from __future__ import annotations
@@ -128,8 +128,18 @@ def cascade(df: DataFrame, steps: list[tuple[str, Column, int]], total: int, key
 
 
 def numbered(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """``position`` from 0 in hash order, for samples that fit one task."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order_key(seed, key), key)) - 1)
+    """``position`` from 0 in hash order: ranks inside the ranges of the hash's first digits, after the counts of the ranges before.
+
+    The ranges are fixed (4096), so no task ranks all rows and only their counts meet in one place.
+    """
+    # Ranges in the order of the hash; a null key has the hash of the seed alone, as any other.
+    placed = df.withColumn("_range", F.substring(order_key(seed, key), 1, 3))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offset = counts.select(F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order_key(seed, key), key)) - 1
+    ranked = placed.withColumn("_at", inside).join(F.broadcast(offset), F.col("_range") == F.col("_of"))
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_at")).cast("int").alias("position"))
 
 
 def round_robin(df: DataFrame, key: str, annotators: list[str], seed: int = 42) -> DataFrame:

@@ -262,6 +262,18 @@ def test_disclosing_terms(spark):
     assert "smithers" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[5][1] and len(clean) == len(rows)
 
 
+def test_terms_far_from_their_entity(spark):
+    """A term disclosed by whole documents, wherever it stands; copies and near copies are no evidence."""
+    rows = [(i, f"smithers{' x' * 40} a{i} mail bob@x.org b{i}{' x' * 40} Smithers") for i in range(4)] + [(None, "smithers and c1 bob@x.org d1")]
+    rows += [(10 + i, f"x and mail text n{i}") for i in range(100)]
+    rows += [(200 + i, f"odd neighbour far far far off of al@y.org in near copies {i // 5}") for i in range(20)]
+    found = pii.find(frame_of(spark, rows)).collect()
+    cut = lambda r, text: [text[int(a) : int(b)] for _, a, b in (t.split(":") for t in r.terms)]
+    by = {r.doc_id: r for r in found}
+    assert all(cut(by[i], rows[i][1]) == ["smithers", "Smithers"] for i in range(4)) and cut(by[None], rows[4][1]) == ["smithers"]
+    assert not any(r.terms for r in found if r.doc_id is not None and r.doc_id >= 10)
+
+
 def test_sanitise_keeps_rows_and_nulls(spark):
     rows = [(1, None), (2, ""), (3, "a@b.cc and 10.0.0.1"), (3, "other 10.0.0.1"), (4, "no data")]
     frame = frame_of(spark, rows)

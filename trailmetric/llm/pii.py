@@ -1,19 +1,20 @@
 """PII by patterns and information-theoretic sanitisation (operator 5), DataFrame functions only.
 
 Protected entities are the values that fixed patterns find: e-mail and IP addresses, card
-and phone numbers.  What stands around them may reveal them too.  For a term t in the
-window of an entity e, with document counts d over the whole corpus of D documents,
+and phone numbers.  What stands in the same document may reveal them too.  For a term t in
+a document with an entity e, with counts d of different texts over the D of the corpus,
 
     PMI(t; e) = log2(d(t, e) * D / (d(t) * d(e))),    IC(e) = log2(D / d(e)),
 
 PMI / IC is how much of the entity's information the term gives away: 1 if the term is
 never seen without it.  Terms at or above ``GENERALISE`` become their kind, those at or above
-``REMOVE`` go, wherever they stand in a window of that entity.  Copies are no evidence: a
-term counts only with ``SUPPORT`` different windows of the entity.
+``REMOVE`` go, wherever they stand in a document with that entity.  Copies are no evidence:
+equal texts count once, and the texts that a term shares with an entity must have ``SUPPORT``
+different windows (words around the entity), which near copies have in common.
 
-The scan of the texts is one narrow pass; occurrences, not texts, are shuffled, and all
-counts are combined before they move.  Only rows whose text has a digit or an @ can hold
-an entity, so only those meet the terms' spans in a join.
+The scan of the texts is one narrow pass that keeps the texts with entities; the terms of an
+entity without enough windows are not counted, as none of them could have enough.  Only rows
+whose text has a digit or an @ can hold an entity, so only those meet the terms' spans in a join.
 
 Defined results: null texts count as empty and stay null; an entity is its value in lower
 case (digits only for numbers); spans count code points, end exclusive; a span inside an
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -115,65 +116,76 @@ def _words(window: Column) -> Column:
     return F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
 
 
-def _placed(window: Column, origin: Column) -> Column:
-    """array<struct<start, end, word>> of a window's words; ``origin`` is where it starts in the text."""
-    none = F.expr("cast(array() as array<struct<start: int, end: int, word: string>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["word"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word")))).alias("out"))
-
-    return F.aggregate(_words(window), F.struct(origin.cast("int").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def occurrences(base: DataFrame, doc_id: str) -> DataFrame:
-    """One row per term in a window: doc, entity, window (hash), term, start, end."""
-    spans = base.filter(F.size("pii_base") > 0).select(
-        F.col(doc_id).alias("doc"), F.xxhash64("pii_text").alias("version"), "pii_text", "pii_base", F.explode("pii_base").alias("span")
-    )
-    start, end = F.col("span.start"), F.col("span.end")
+    """The rows with entities: doc, version (of the text), pii_text, pii_base and entities: array<struct<entity, window (hash of the words around)>>."""
     size = F.length("pii_text")
-    reach = F.greatest(start - WINDOW_CHARS, F.lit(0))
-    before = F.substring(F.col("pii_text"), reach + 1, start - reach)
-    after = F.substring(F.col("pii_text"), end + 1, F.least(F.lit(WINDOW_CHARS), size - end))
-    # A word that the window cuts is none; neither is one inside another entity.
-    left = F.filter(_placed(before, reach), lambda w: (w["start"] > reach) | (reach == 0))
-    right = F.filter(_placed(after, end), lambda w: (w["end"] < end + WINDOW_CHARS) | (w["end"] == size))
-    free = lambda w: ~F.exists("pii_base", lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"]))
-    near = F.concat(
-        F.slice(F.reverse(F.filter(left, free)), 1, WINDOW),
-        F.slice(F.filter(right, free), 1, WINDOW),
-    )
-    windows = spans.select("doc", "version", _entity(F.col("span")).alias("entity"), near.alias("near"))
-    windows = windows.withColumn("window", F.xxhash64(F.transform("near", lambda w: F.lower(w["word"]))))
-    return windows.select("doc", "version", "entity", "window", F.explode("near").alias("w")).select(
-        "doc", "version", "entity", "window", F.lower("w.word").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")
-    )
-
-
-def disclosing(df: DataFrame, near: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(entity, term, disclosure) of the terms that give away at least ``GENERALISE`` of an entity."""
-    total = df.count()
-    together = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc").alias("d_te"))
-    together = together.filter(F.col("windows") >= SUPPORT)
-    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("d_e"))
-    wanted = together.select("term").distinct()
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t")).join(wanted, "term", "left_semi")
-    both = together.join(entities, "entity").join(terms, "term")
+
+    def around(span: Column) -> Column:
+        start, end = span["start"], span["end"]
+        reach = F.greatest(start - WINDOW_CHARS, F.lit(0))
+        before = F.substring(F.col("pii_text"), reach + 1, start - reach)
+        after = F.substring(F.col("pii_text"), end + 1, F.least(F.lit(WINDOW_CHARS), size - end))
+        words = lambda stretch: F.regexp_extract_all(F.lower(stretch), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        return F.xxhash64(F.slice(F.reverse(words(before)), 1, WINDOW), F.slice(words(after), 1, WINDOW))
+
+    entities = F.transform("pii_base", lambda s: F.struct(_entity(s).alias("entity"), around(s).alias("window")))
+    return base.filter(F.size("pii_base") > 0).select(F.col(doc_id).alias("doc"), F.xxhash64("pii_text").alias("version"), "pii_text", "pii_base", entities.alias("entities"))
+
+
+def _blanked(spans: Column) -> Column:
+    """The spans, in order, to be replaced by a blank: what is left are words outside entities."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("label"))))
+
+
+def disclosing(df: DataFrame, each: DataFrame, one: DataFrame, text: str) -> DataFrame:
+    """(entity, term, disclosure) of the terms that give away at least ``GENERALISE`` of an entity.
+
+    ``one`` has one row of each different text with entities, ``each`` a row for each of these and each entity in it.
+    """
+    enough = F.count_distinct("window") >= SUPPORT
+    able = each.groupBy("entity").agg(F.count(F.lit(1)).alias("d_e"), enough.alias("_enough")).filter("_enough").drop("_enough")
+    able = checkpointed(each.join(able, "entity"))
+    inside = F.regexp_extract_all(F.lower(_replaced(F.col("pii_text"), _blanked(F.col("pii_base")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = one.join(able.select("version").distinct(), "version", "left_semi").select("version", F.explode(F.array_distinct(inside)).alias("term"))
+    together = words.join(able, "version").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_te"), F.max("d_e").alias("d_e"), enough.alias("_enough")).filter("_enough").drop("_enough")
+    together = checkpointed(together)
+    version = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version")
+    total = df.select(version).distinct().count()
+    with stored(together.select("term").distinct()) as wanted:
+        all_words = df.select(version, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+        terms = checkpointed(all_words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("version").alias("d_t")))
+    both = together.join(terms, "term")
     pmi = F.log2(F.col("d_te") * F.lit(float(total)) / (F.col("d_t") * F.col("d_e")))
     content = F.log2(F.lit(float(total)) / F.col("d_e"))
     both = both.filter(F.col("d_e") < total).withColumn("disclosure", F.least(pmi / content, F.lit(1.0)))
     return both.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
+def _places(text: Column, blanked: Column, terms: Column) -> Column:
+    """array<struct<start, end, disclosure>> of the words that ``terms`` (a map) has, outside the spans ``blanked``: one fold, linear in the words."""
+    none = F.expr("cast(array() as array<struct<start: int, end: int, disclosure: double>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["word"])
+        of = F.element_at(terms, F.lower(x["word"]))
+        hit = of.isNotNull() & ~F.exists(blanked, lambda s: (start < s["end"]) & (end > s["start"]))
+        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), of.alias("disclosure"))))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(_words(text), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def term_spans(df: DataFrame, base: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, version (of the text) and terms: array<struct<start, end, kind, disclosure>> in order, each place once."""
-    near = checkpointed(occurrences(base, doc_id))  # the texts are searched once, the few words around are used thrice
-    hits = near.join(disclosing(df, near, doc_id, text), ["entity", "term"])
-    each = hits.groupBy("doc", "version", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return each.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    """doc, version (of the text) and terms: array<struct<start, end, disclosure>> in order, each place once."""
+    near = checkpointed(occurrences(base, doc_id))  # the texts are searched once; only those with entities are kept
+    one = near.dropDuplicates(["version"])
+    each = one.select("version", F.explode("entities").alias("e")).groupBy("version", "e.entity").agg(F.min("e.window").alias("window"))
+    each = checkpointed(each)
+    hits = each.join(disclosing(df, each, one, text), "entity").groupBy("version", "term").agg(F.max("disclosure").alias("disclosure"))
+    hits = hits.groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("of"))
+    # A row of each text is searched for the places, and rows of the same text have the same.
+    placed = one.join(hits, "version").select("version", _places(F.col("pii_text"), F.col("pii_base"), F.col("of")).alias("terms"))
+    return near.select("doc", "version").distinct().join(placed, "version")
 
 
 def _listed(span: Column, kind: Column) -> Column:
@@ -186,7 +198,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     base = with_base(own, "text")
     terms = term_spans(own, base, "doc_id", "text")
     rows = base.select("doc_id", F.xxhash64("pii_text").alias("at"), F.transform("pii_base", lambda s: _listed(s, s["kind"])).alias("base"))
-    rows = rows.join(terms, (F.col("doc_id") == F.col("doc")) & (F.col("at") == F.col("version")), "left")
+    rows = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("at") == F.col("version")), "left")
     listed = F.transform("terms", lambda s: _listed(s, F.lit(TERM)))
     return rows.select("doc_id", "base", F.coalesce(listed, F.expr("cast(array() as array<string>)")).alias("terms"))
 
@@ -209,7 +221,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     base = with_base(df.filter(suspect), text)
     terms = term_spans(df, base, doc_id, text)
     rows = base.withColumn("pii_version", F.xxhash64("pii_text"))
-    rows = rows.join(terms, (F.col(doc_id) == F.col("doc")) & (F.col("pii_version") == F.col("version")), "left")
+    rows = rows.join(terms, F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("pii_version") == F.col("version")), "left")
     kinds = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     label = lambda s: F.when(s["disclosure"] >= REMOVE, "").otherwise("[TERM]")
     own = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))

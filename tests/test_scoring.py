@@ -184,3 +184,10 @@ def test_ranks_of_replicates(spark):
         own = t[t["replicate"] == r.replicate].dropna()
         own = own.loc[own.index.repeat(own["w"])]
         assert own["x"].rank().corr(own["y"].rank()) == pytest.approx(r.r, abs=1e-9)
+
+
+def test_bootstrap_query_has_all_replicates(spark):
+    from tests.oracle import DATA
+    from trailmetric.plans import QUERIES
+
+    assert QUERIES["bootstrap_ci"](spark, DATA).first().replicates == 1000

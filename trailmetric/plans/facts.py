@@ -264,4 +264,4 @@ def anova_eta(spark, d):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     rows = facts(spark, d).filter("perturbation_class <> 'placebo'")
-    return statistics.bootstrap_ci(rows.withColumn("hit", F.col("error_detected").cast("int")), "unit_id", "pdr", "hit", replicates=200)
+    return statistics.bootstrap_ci(rows.withColumn("hit", F.col("error_detected").cast("int")), "unit_id", "pdr", "hit")

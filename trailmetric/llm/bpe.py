@@ -8,7 +8,10 @@ Words repeat, so ids are memoised by white-space piece; the memo is bounded and
 miss only costs the merge loop again.  State per worker: vocabulary plus memo.
 
 Defined results: null and empty texts give no ids and decode to ''; an id outside
-the vocabulary adds nothing, as a null id does; null id lists decode to ''.
+the vocabulary adds nothing, as a null id does; null id lists decode to ''; texts of any
+length are encoded whole; rows are independent, so repeated ones give the same result each
+and a null id is carried; an empty table gives no rows; a carried column of the result's
+name raises ValueError, other columns are carried or left as the caller says.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import local, ship, shipped
 
 MEMO_ENTRIES = 250_000
 MEMO_PIECE_CHARS = 80
@@ -229,10 +232,11 @@ def _with(df: DataFrame, carry: list[str] | None, column: str, kind: T.DataType)
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``df`` (or those in ``carry``) and the token ids of ``text`` as array<int>."""
     ship(df.sparkSession)
+    vocabulary = shipped(df.sparkSession, vocabulary)
     names, schema = _with(df, carry, ids, T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(local(vocabulary))
         for batch in slices(batches):
             ends, flat = encode_batch(bpe, batch.column(text))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
@@ -244,10 +248,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``df`` (or those in ``carry``) and the text of the token ids."""
     ship(df.sparkSession)
+    vocabulary = shipped(df.sparkSession, vocabulary)
     names, schema = _with(df, carry, text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(local(vocabulary))
         for batch in slices(batches):
             column = batch.column(ids)
             flat, ends = column.values, column.offsets.to_pylist()

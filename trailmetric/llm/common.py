@@ -10,10 +10,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 _SHIPPED: set[str] = set()
 
 
@@ -27,8 +28,10 @@ def ship(spark: SparkSession) -> None:
     Importing keeps per-process caches (vocabularies, word memos) alive between
     the tasks of a reused worker.
     """
-    # Documents can be long, so few rows go to a Python worker at once.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # Documents can be long, so few rows go to a Python worker at once. The session keeps this limit, or a lower one of its own.
+    limit = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < limit <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -42,16 +45,35 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all executors; ``local`` finds it there by the name that this gives."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def local(name: str) -> str:
+    return SparkFiles.get(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: ``spark.checkpoint.dir``, or where none is set (tests, one machine) a temporary one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """A folder that all executors see: ``spark.checkpoint.dir``. Only a local session may do without and has a temporary one."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir", None):
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    The folder comes from the session; only where none is set (tests, one
-    machine) a temporary one is used.
+    Its files go when the session cleans what it no longer refers to (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -72,8 +94,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, path)
 
 
 def strict(df: DataFrame, *columns: str) -> DataFrame:
@@ -81,10 +102,18 @@ def strict(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, dropped: DataFrame, doc_id: str) -> DataFrame:
     """``df`` without the ids in ``dropped`` (a column ``doc_id``). Texts move only if the dropped ids are too many to broadcast."""
-    gone = dropped.select(F.col("doc_id").alias("gone_id"))
-    return df.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    gone = unused(df, "gone_id")
+    return df.join(dropped.select(F.col("doc_id").alias(gone)), F.col(doc_id) == F.col(gone), "left_anti")
 
 
 def repeated(df: DataFrame, doc_id: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 from . import bpe, exact_dedup, licenses, near_dedup, packing, pii, quality, token_counts, topk, toxicity
 from .common import strict, table
 
-BYTE_BPE = os.environ.get("BYTE_BPE_FILE", public_tokenizers.path("byte_bpe_50k.json"))
-WORD_BPE = os.environ.get("WORD_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
+# Files of the driver; the operators send them to the executors.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,15 @@ over characters whose transitions carry the number of tokens they emit:
 
 States and transitions are interned as they are met (a lazy subset construction), and
 the extended transition of a whole piece from ``RESET`` is memoised, both within bounds.
-A text is cut into chunks; a chunk's state map is constant after its first white space,
-so it is (what precedes that, count after it, end state).  Maps compose associatively
-and a tree-shaped prefix scan puts the document together.
-
-Defined results: null and empty texts have 0 bytes and 0 tokens.
+Every text is cut into chunks. A chunk's state map is constant after its first white space,
+so it is (what precedes that, count after it, end state).  Maps compose associatively: a
+prefix scan, whose rounds hold only independent compositions, gives the state that every
+chunk is entered in; each chunk then emits its own count, and a text's count is their sum.
+
+Defined results: null and empty texts have 0 bytes and 0 tokens, blanks have no token; texts
+of any length are read whole; every row counts, whether or not its id or text repeats or its
+id is null; an empty table gives no rows; a carried column named n_bytes or n_tokens raises
+ValueError, other columns are carried or left as the caller says.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import WS, Memo, Merges, byte_alphabet, merge_symbols, slices
-from .common import ship
+from .common import local, ship, shipped
 
-CHUNK_CHARS = 1 << 15
+CHUNK_CHARS = 1 << 12
 MAX_STATES = 120_000
 PAIR_ENTRIES = 500_000
 
@@ -154,10 +158,15 @@ class Transducer:
     def _finish(self, at: Open, byte: int) -> int:
         return self._candidates(at, byte, last=True)[2]
 
+    # -- lexer -------------------------------------------------------------
     def _word(self, word: str) -> int:
-        return len(self.bpe.encode(word.encode(), last=True))
+        """Tokens of a word that the lexer has seen the end of."""
+        state, n = self.states[RESET], 0
+        for ch in word:
+            state, d = self._take(state, ch, "P")
+            n += d
+        return n + self._finish(state.bpe, state.pending)
 
-    # -- lexer -------------------------------------------------------------
     def _take(self, s: State, ch: str, mode: str) -> tuple[State, int]:
         bpe, pending, n = s.bpe, s.pending, 0
         for byte in ch.encode():
@@ -258,27 +267,31 @@ class Transducer:
             return ChunkMap(a.head, (count + n, state))
         return ChunkMap(a.head, (count + n + self.close(state) + b.after[0], b.after[1]))
 
-    def _apply(self, m: ChunkMap) -> int:
-        state, n = self.advance(RESET, m.head)
-        n += self.close(state)
-        return n if m.after is None else n + m.after[0] + self.close(m.after[1])
+    def chunk_counts(self, text: str, chunk: int = CHUNK_CHARS) -> list[int]:
+        """Tokens by chunk of a normalised text without special strings; what a chunk leaves open counts for the one that ends it."""
+        maps = [self._map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        entered = [(0, RESET), *(self._left(m) for m in scan(maps, self._compose))]
+        # The scan's prefixes count all that was emitted before a chunk and give the state it is entered in.
+        counts = [after[0] - before[0] for before, after in zip(entered, entered[1:])]
+        if counts:
+            counts[-1] += self.close(entered[-1][1])
+        return counts
+
+    def _left(self, prefix: ChunkMap) -> tuple[int, int | State]:
+        """(tokens emitted, state) after a prefix of the text."""
+        state, n = self.advance(RESET, prefix.head)
+        if prefix.after is None:
+            return n, state
+        return n + self.close(state) + prefix.after[0], prefix.after[1]
 
     def count(self, text: str | None, chunk: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
-        n, parts = 0, [text]
+        parts = [text]
         for special in self.bpe.added:
             if special in text:
                 parts = [q for p in parts for q in p.split(special)]
-        n = len(parts) - 1
-        for part in parts:
-            plain = normalise(part)
-            if len(plain) <= chunk and not _ODD_WS.search(plain):
-                n += sum(map(self.pieces.__getitem__, plain.split()))
-                continue
-            maps = [self._map(plain[i : i + chunk]) for i in range(0, len(plain), chunk)]
-            n += self._apply(scan(maps, self._compose)[-1]) if maps else 0
-        return n
+        return len(parts) - 1 + sum(sum(self.chunk_counts(normalise(part), chunk)) for part in parts)
 
 
 class ChunkMap(NamedTuple):
@@ -289,14 +302,17 @@ class ChunkMap(NamedTuple):
 
 
 def scan(items: list, compose) -> list:
-    """Inclusive prefix scan in a logarithmic number of rounds, each of which could run in parallel."""
-    if len(items) < 2:
-        return items
-    pairs = [compose(a, b) for a, b in zip(items[::2], items[1::2])]
-    inner = scan(pairs, compose)
-    out = [items[0]]
-    for i in range(1, len(items)):
-        out.append(inner[i // 2] if i % 2 else compose(inner[i // 2 - 1], items[i]))
+    """Inclusive prefix scan: an up-sweep and a down-sweep of rounds whose compositions don't depend on each other."""
+    out, n, width = list(items), len(items), 1
+    while width < n:
+        for i in range(2 * width - 1, n, 2 * width):
+            out[i] = compose(out[i - width], out[i])
+        width *= 2
+    while width > 1:
+        half = width // 2
+        for i in range(width + half - 1, n, width):
+            out[i] = compose(out[i - half], out[i])
+        width = half
     return out
 
 
@@ -319,6 +335,7 @@ def load(path: str) -> Transducer:
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``df`` (or those in ``carry``), n_bytes (UTF-8) and n_tokens of ``text``."""
     ship(df.sparkSession)
+    vocabulary = shipped(df.sparkSession, vocabulary)
     names = df.columns if carry is None else carry
     if {"n_bytes", "n_tokens"} & set(names):
         raise ValueError("columns n_bytes and n_tokens are taken")
@@ -326,7 +343,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", carry: list
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("n_bytes", long), T.StructField("n_tokens", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = load(vocabulary)
+        machine = load(local(vocabulary))
         for batch in slices(batches):
             texts = batch.column(text).to_pylist()
             n_bytes = [len(t) if t.isascii() else len(t.encode()) for t in (t or "" for t in texts)]

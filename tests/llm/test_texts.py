@@ -148,7 +148,7 @@ def test_packing_of_edges(spark, byte):
 
 
 def test_segment_limit_holds():
-    packer = packing.DocumentPacker(tokens=64, segments=3, loss=64, end=0, pool=16)
+    packer = packing.DocumentPacker(tokens=64, segments=3, loss=64, pool=16)
     found = []
     for i in range(200):
         found += packer.add(i, np.array([1] * (i % 9) + [0], dtype="<u4"))

@@ -14,9 +14,15 @@ are powers of two.  ``pack_examples`` never cuts.
 Each partition packs its own rows in one pass with a bounded pool: no shuffle, and a
 lost partition is made again from its input.  Sequence ids hold the partition's number.
 
-Defined results: a null or empty text has only its end id; an example beyond a limit
-raises in ``pack_examples``; rows with a null demand count as 0 of it; empty input packs
-to no rows; repeated ids are packed as separate documents.
+Of a document's tokens all but its end id bear loss, so the default limit of loss-bearing
+tokens (that of all tokens) binds only if it is set lower, which trades padding for it;
+examples with a loss count of their own go to ``pack_examples``.
+
+Defined results: a null or empty text has only its end id; a long text is cut into as many
+pieces as it needs; of slots that fit equally well the first is taken; an example beyond a
+limit raises in ``pack_examples``; rows with a null demand count as 0 of it; a null id is
+carried; repeated rows and ids are packed as separate documents; empty input packs to no
+rows; of the caller's columns only those named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import byte_alphabet, slices
-from .common import ship
+from .common import local, ship, shipped
 
 POOL = 1024
 PARTITION_SHIFT = 40  # sequence_id = partition << 40 | number within it
@@ -105,18 +111,19 @@ class Pool:
 class DocumentPacker:
     """Packs token arrays, cutting them freely. Yields (piece, sequence number, offset)."""
 
-    def __init__(self, tokens: int, segments: int, loss: int, end: int, pool: int = POOL):
-        self.tokens, self.end = tokens, end
+    def __init__(self, tokens: int, segments: int, loss: int, pool: int = POOL):
+        self.tokens = tokens
         self.pool = Pool((tokens, segments, loss), pool)
         self.sequences = 0
 
-    def _demand(self, ids: np.ndarray) -> tuple[int, int, int]:
-        # All tokens bear loss but a closing end id.
-        return len(ids), 1, len(ids) - int(ids[-1] == self.end)
+    @staticmethod
+    def _demand(ids: np.ndarray, closes: bool) -> tuple[int, int, int]:
+        """All tokens bear loss but the end id, which only a document's last piece has."""
+        return len(ids), 1, len(ids) - int(closes)
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
         total, at = len(ids), 0
-        while total - at >= self.tokens and self._demand(ids[at : at + self.tokens])[2] <= self.pool.limits[2]:
+        while total - at >= self.tokens and self.tokens - (total - at == self.tokens) <= self.pool.limits[2]:
             yield from self._sequence([(doc, at, ids[at : at + self.tokens], total)])
             at += self.tokens
         if at == total:
@@ -124,7 +131,7 @@ class DocumentPacker:
         if not self.pool.free:
             while len(self.pool) > len(self.pool.held) // 2:
                 yield from self._sequence(self._fill())
-        self.pool.put(self._demand(ids[at:]), (doc, at, ids[at:], total))
+        self.pool.put(self._demand(ids[at:], True), (doc, at, ids[at:], total))
 
     def finish(self) -> Iterator[tuple]:
         while len(self.pool):
@@ -148,14 +155,14 @@ class DocumentPacker:
                 n = int(min(left[0], left[2]))
                 if len(ids) > n:
                     self.pool.take(big)
-                    self.pool.put(self._demand(ids[n:]), (doc, at + n, ids[n:], total))
+                    self.pool.put(self._demand(ids[n:], True), (doc, at + n, ids[n:], total))
                     pieces.append((doc, at, ids[:n], total))
-                    left -= self._demand(ids[:n])
+                    left -= self._demand(ids[:n], False)
                     continue
             if k is None:
                 break
             pieces.append(self.pool.take(k))
-            left -= self._demand(pieces[-1][2])
+            left -= self._demand(pieces[-1][2], True)
         return pieces
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
@@ -191,13 +198,14 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
     ship(df.sparkSession)
+    vocabulary = shipped(df.sparkSession, vocabulary)
     kind = df.schema[doc_id].dataType
     long = T.LongType()
     fields = [("doc_id", kind), ("start", long), ("length", long), ("ids", T.BinaryType()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)]
     schema = T.StructType([T.StructField(n, k) for n, k in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = load(vocabulary), DocumentPacker(tokens, segments, loss, end)
+        ids, packer = load(local(vocabulary)), DocumentPacker(tokens, segments, loss)
         base = TaskContext.get().partitionId() << PARTITION_SHIFT
         doc_type = None
 

@@ -1,6 +1,7 @@
 """Dedup, search, licences, PII and the pipeline, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -21,7 +22,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def frame_of(spark, rows):
     """With further columns of names that the operators use themselves."""
-    extra = {c: F.lit(1) for c in ("norm", "size", "rep", "key", "a", "b", "label", "hash", "n")}
+    extra = {c: F.lit(1) for c in ("norm", "size", "rep", "key", "a", "b", "label", "hash", "n", "variant", "gone_id", "own_sha", "own_key", "stay_id", "version", "terms", "doc", "pii_text", "lines", "license")}
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra)
 
 
@@ -33,13 +34,15 @@ def test_exact_groups_with_colliding_hashes(spark):
     want = {}
     for i, t in rows:
         want.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
-    for weak in (exact_dedup.first_bits, lambda digest: F.lit("0")):
-        got = exact_dedup.groups(frame_of(spark, rows), hash128=weak).collect()
+    same = lambda norm: F.lit("x")
+    # With a weak hash, and also with a weak digest, only the bytes tell texts apart.
+    for how in ({}, {"hash128": same}, {"hash128": same, "digest": same}, {"hash128": lambda norm: F.substring(F.md5(norm), 1, 1)}):
+        got = exact_dedup.groups(frame_of(spark, rows), **how).collect()
         assert len(got) == len(rows)
         for r, t in ((r, t) for r in got for i, t in rows if i == r.doc_id):
             norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
             assert (r.keep_id, r.group_size) == (min(want[norm])[1], len(want[norm])) and r.kept == (r.doc_id == r.keep_id)
-            assert r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()
+            assert r.text_sha256 == ("x" if "digest" in how else hashlib.sha256(norm.encode()).hexdigest())
     assert exact_dedup.groups(frame_of(spark, rows).limit(0)).count() == 0
 
 
@@ -146,12 +149,16 @@ def test_sketch_never_rules_out_a_similar_pair():
         assert sum(int(v).bit_count() for v in (x ^ y)) <= len(np.setxor1d(a, b))
 
 
+LONG = (1 << 63) - 1
+
+
 def brute_top(rows, k=5):
-    terms = {i: np.floor(256 * np.array(v, dtype=float)).astype(object) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    held = lambda x: max(-LONG - 1, min(LONG, x))
+    terms = {i: [held(math.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     out = set()
     for q, t in terms.items():
         if q % 50 == 0:
-            scores = sorted((-int((t * u).sum()), i) for i, u in terms.items() if i != q and len(u) == len(t))[:k]
+            scores = sorted((-held(sum(a * b for a, b in zip(t, u))), i) for i, u in terms.items() if i != q and len(u) == len(t))[:k]
             out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
     return out
 
@@ -160,23 +167,42 @@ def test_top_k_edges(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(300)]
     rows += [(i + 1000, rows[7][1]) for i in range(20)]  # ties
-    rows += [(400, None), (450, []), (500, [1.0, None]), (550, [float("nan")] * 6), (600, [float("inf")] * 6), (650, [1.0, 2.0]), (651, [2.0, 1.0]), (None, [1.0] * 6), (700, [1e15] * 6), (701, [-1e15] * 6)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "dims": F.lit(2)})
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
-    monkeypatch.setattr(topk, "LOT_ROWS", 3)
-    small = [r for r in rows if r[0] not in (700, 701)]
-    got = topk.top_k(frame.filter("vec_id is null or vec_id not in (700, 701)"), F.col("vec_id") % 50 == 0)
-    assert {tuple(r) for r in got.collect()} == brute_top(small)
-    assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-
-
-def test_exact_scores_beyond_doubles():
-    ids = np.arange(40)
-    terms = np.random.default_rng(1).integers(-(1 << 28), 1 << 28, (40, 8))
-    index = topk.BlockIndex(ids, terms)
-    got = list(index.search(np.array([0]), terms[:1], 5))
-    scores = sorted((-int((terms[0].astype(object) * t.astype(object)).sum()), i) for i, t in enumerate(terms) if i)[:5]
-    assert [(s, i) for _, i, s in got] == [(-s, i) for s, i in scores]
+    rows += [(i * 50 + 2000, rows[9][1]) for i in range(9)]  # queries of one vector
+    rows += [(400, None), (450, []), (500, [1.0, None]), (550, [float("nan")] * 6), (600, [float("inf")] * 6), (650, [1.0, 2.0]), (651, [2.0, 1.0]), (None, [1.0] * 6), (7, rows[7][1]), (50, rows[50][1])]
+    frame = lambda found: spark.createDataFrame(found, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("score", "dims", "cell", "terms", "bound")})
+    for name, value in (("SHARE_ROWS", 100), ("LOT_ROWS", 3), ("SAMPLE_ROWS", 200), ("CELL_SAMPLE", 20), ("SCORES_AT_ONCE", 300)):
+        monkeypatch.setattr(topk, name, value)
+    huge = rows + [(700, [1e15] * 6), (701, [-1e15] * 6), (702, [1e17] * 6), (703, [3e17] * 6), (704, [1e300] * 6)]
+    for some in (rows, huge, rows[:3], rows[:1]):
+        got = topk.top_k(frame(some), F.col("vec_id") % 50 == 0)
+        assert {tuple(r) for r in got.collect()} == brute_top(some)
+    assert topk.top_k(frame(rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("bits", [9, 28, 60])
+def test_blocks_are_searched_exactly(bits):
+    """Within what doubles hold and beyond it, with floors and ties."""
+    rng = np.random.default_rng(bits)
+    terms = rng.integers(-(1 << bits), 1 << bits, (200, 8))
+    terms[50:60] = terms[3]
+    index = topk.BlockIndex(np.arange(200), terms)
+    for k in (1, 5, 300):
+        for q in (3, 90):
+            scores = sorted((-max(-LONG - 1, min(LONG, int((terms[q].astype(object) * t.astype(object)).sum()))), i) for i, t in enumerate(terms))
+            floor = -np.inf if q == 3 else float(np.nextafter(-scores[2][0], -np.inf))
+            want = [(i, -s) for s, i in scores[:k] if -s >= floor]
+            assert [(i, s) for _, i, s in index.search(np.array([q]), terms[q : q + 1], k, np.array([floor]))] == want
+
+
+def test_bounds_leave_blocks_out():
+    """Alike rows stand in one block, and blocks whose bound is below the k-th score are not scored."""
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-2000, 2000, (40, 16))
+    terms = np.repeat(centres, 16, axis=0) + rng.integers(-5, 5, (640, 16))
+    index = topk.BlockIndex(np.arange(640), terms)
+    bounds = topk._bounds(terms[:1].astype(float), index.most.astype(float), index.least.astype(float))
+    kth = np.sort(terms @ terms[0])[-5]
+    assert (bounds >= kth).sum() <= 2 and len(list(index.search(np.array([0]), terms[:1], 5))) == 5
 
 
 def test_licences(spark):

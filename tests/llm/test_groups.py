@@ -91,8 +91,11 @@ def near_rows(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_against_all_pairs(spark, size, percent):
+@pytest.mark.parametrize("size,percent,split", [(3, 85, False), (5, 80, True)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, percent, split):
+    if split:  # hot keys and buckets in many parts
+        monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 2)
+        monkeypatch.setattr(near_dedup, "MEMBERS_AT_ONCE", 3)
     for rows in (near_rows(), [r for r in EDGES if r[0] != 6]):
         want, sizes = components(rows, size, percent)
         got = near_dedup.near_duplicates(frame_of(spark, rows), size, percent).collect()

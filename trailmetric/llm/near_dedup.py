@@ -18,13 +18,17 @@
    others are confirmed on the whole shingle sets.
 5. Components are found by alternating large and small stars on distributed edges.
 
-Every cut of lineage is a reliable checkpoint.  Joins on keys that many rows share have one
-small row per key on the other side, or may be split by adaptive execution.
+Every cut of lineage is a reliable checkpoint.  A row that many pairs ask for goes to one task
+for each ``PAIRS_AT_ONCE`` of them.  A bucket is split by bands of set sizes, as pairs of sizes
+too far apart can't be similar, and a band of many members into parts, each of which meets the
+band and its neighbour.
 
 Defined results: null and empty texts, and those of blanks, have no shingle, a component of
-their own and no link; a text of fewer words than a shingle is one shingle; repeated rows
-are copies; rows that repeat an id share its links; an empty table gives no rows; of
-the caller's columns only id and text are read.
+their own and no link; a text of fewer words than a shingle is one shingle; texts of any length
+are read whole; repeated rows are copies; rows that repeat an id share its links; of rows
+without an id each has its own result, and their component is null unless they are linked to
+a row with one; an empty table gives no rows; of the caller's columns only id and text are
+read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Memo, slices
-from .common import checkpointed, ship, stored, without
+from .common import checkpointed, ship, stored, unused, without
 
 POSITIONS = 4
 ERRORS = 1
@@ -50,6 +54,8 @@ MISS = 1e-5
 SKETCH_WORDS = 16
 SLOT_BITS = 8
 SEED = 20_240_229
+PAIRS_AT_ONCE = 64
+MEMBERS_AT_ONCE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +109,7 @@ def signature(hashes: np.ndarray, chunks: int) -> np.ndarray:
     scale, shift = _permutations(chunks * POSITIONS)
     least = np.full(len(scale), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
-        part = (hashes[at : at + 4096, None] * scale + shift) ^ np.uint64(0)
+        part = hashes[at : at + 4096, None] * scale + shift
         least = np.minimum(least, part.min(axis=0))
     low = (_mixed(least) & np.uint64(0xFFFF)).reshape(chunks, POSITIONS)
     return (low << (np.arange(POSITIONS, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
@@ -194,14 +200,52 @@ def first_shared(key: Column, a: str, b: str, chunks: int) -> Column:
     return key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) == first
 
 
+def size_band(percent: int) -> Column:
+    """Bands of set sizes: similar sets are in one band or in neighbours."""
+    # A little wider than the largest ratio, so that rounding can't put a band between two similar sizes.
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent * (1 + 1e-6))).cast("int")
+
+
+def bucket_pairs(rest: DataFrame, chunks: int, percent: int) -> DataFrame:
+    """(a, b) of the possible pairs across the components of a bucket, each in the first bucket that the two share; hubs have met all others."""
+    counts = rest.groupBy(F.col("key").alias("of"), F.col("band").alias("in")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
+    with stored(counts) as sizes:
+        at = lambda band: (F.col("key") == F.col("of")) & (F.col(band) == F.col("in"))
+        # The left side holds a part of a band, the right one all of the band and of the one above.
+        x = rest.join(sizes, at("band")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        y = rest.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(sizes, at("low"))
+        y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x = _side(x, chunks, "a", "x", "key", F.col("label").alias("la"), "hub", "band", "part")
+        y = _side(y, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"), F.col("low").alias("yl"), F.col("band").alias("yb"), F.col("part").alias("yp"))
+        meet = (F.col("key") == F.col("k")) & (F.col("band") == F.col("yl")) & (F.col("part") == F.col("yp"))
+        across = ((F.col("band") < F.col("yb")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))
+        both = x.join(y, meet & across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks))
+        return checkpointed(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def _side(reps: DataFrame, chunks: int, name: str, prefix: str, *more: Column) -> DataFrame:
     return reps.select(F.col("rep").alias(name), *more, *[F.col(c).alias(prefix + c) for c in ("n_shingles", *words_of(chunks))])
 
 
+def often(pairs: DataFrame, key: str) -> DataFrame:
+    """(often, parts) of the keys of more than PAIRS_AT_ONCE pairs."""
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS_AT_ONCE)
+    return counts.select(F.col(key).alias("often"), F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int").alias("parts"))
+
+
+def salted(pairs: DataFrame, heavy: DataFrame, key: str, other: str, side: DataFrame) -> DataFrame:
+    """``pairs`` with the row of ``side`` (one to a ``key``); a key in ``heavy`` meets copies of its row, each with a part of its pairs."""
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(heavy, F.col(key) == F.col("often"), "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int"))
+    right = side.join(heavy, F.col(key) == F.col("often"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("often", "parts").join(right.drop("often", "parts"), [key, "salt"]).drop("salt")
+
+
 def within(pairs: DataFrame, reps: DataFrame, chunks: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be similar enough."""
-    both = pairs.join(_side(reps, chunks, "b", "y"), "b").join(_side(reps, chunks, "a", "x"), "a")
-    return both.filter(possible("x", "y", chunks, percent)).select("a", "b")
+    """The pairs (a, b) that may be similar enough, checkpointed."""
+    with stored(often(pairs, "a")) as heavy:
+        both = salted(pairs.join(_side(reps, chunks, "b", "y"), "b"), heavy, "a", "b", _side(reps, chunks, "a", "x"))
+        return checkpointed(both.filter(possible("x", "y", chunks, percent)).select("a", "b"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -221,14 +265,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(common > 0 and 100 * common >= percent * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with stored(pairs) as held:
+    with stored(pairs) as held, stored(often(held, "a")) as of_a, stored(often(held, "b")) as of_b:
         # Only texts that a pair asks for move on: a few by a broadcast, more by a shuffle.
         asked = held.select(F.col("a").alias("id")).union(held.select(F.col("b").alias("id")))
         texts = docs.join(asked, F.col("doc_id") == F.col("id"), "left_semi")
         side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
+        both = salted(salted(held, of_b, "b", "a", side("b")), of_a, "a", "b", side("a"))
         # The rows come ordered by ``a``, the side that repeats.
-        both = held.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return checkpointed(both.mapInArrow(run, schema))
+        return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema))
 
 
 # -- components --------------------------------------------------------------
@@ -264,7 +308,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     members = reps.select("rep", F.explode(bucket_keys(chunks)).alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "hub")
     shared = checkpointed(members.join(buckets, F.col("key") == F.col("bucket")).select("key", "rep", "hub"))
-    stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = checkpointed(shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     links = confirmed(within(stars, reps, chunks, percent), docs, size, percent)
     label = components(links)
 
@@ -273,11 +317,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     labelled = checkpointed(labelled)
     still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select(F.col("key").alias("bucket"))
     rest = labelled.join(still, F.col("key") == F.col("bucket")).select("key", F.col("rep").alias("member"), "hub", "label")
-    rest = checkpointed(rest.join(reps, F.col("rep") == F.col("member")))
-    x = _side(rest, chunks, "a", "x", "key", F.col("label").alias("la"), "hub")
-    y = _side(rest, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"))
-    across = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub"))
-    pairs = x.join(y, across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks)).select("a", "b")
+    rest = checkpointed(rest.join(reps, F.col("rep") == F.col("member")).withColumn("band", size_band(percent)))
+    pairs = bucket_pairs(rest, chunks, percent)
     more = confirmed(pairs, docs, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))
@@ -304,6 +345,7 @@ def deduplicate(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "
     unclear = df.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if unclear.isEmpty():
         return without(df, near_duplicates(df, size, percent, doc_id, text).filter("doc_id <> component_id"), doc_id)
-    once = df.withColumn("own_key", row_key(df, doc_id, text)).dropDuplicates(["own_key"])
-    gone = near_duplicates(once, size, percent, "own_key", text).filter("doc_id <> component_id")
-    return without(once, gone, "own_key").select(*df.columns)
+    own = unused(df, "own_key")
+    once = df.withColumn(own, row_key(df, doc_id, text)).dropDuplicates([own])
+    gone = near_duplicates(once, size, percent, own, text).filter("doc_id <> component_id")
+    return without(once, gone, own).select(*df.columns)

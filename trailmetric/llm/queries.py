@@ -152,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op5_pii": pii.sql(),
     "op7_top_k": OP7_SQL,
     "op8_license_scan": licenses.sql(),
 }

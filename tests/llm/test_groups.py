@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import agree
+from tests.oracle import rows as oracle_rows
 from trailmetric.llm import exact_dedup, licenses, near_dedup, pii, queries, topk
 
 DATA = "/root/testdata/sf0.01"
@@ -248,6 +249,35 @@ def test_licences_as_published(spark):
     assert len(set(digest.values())) == 5 and digest[4] == digest[5]
 
 
+def test_licences_of_one_digest_are_all_named(spark):
+    texts = [("B", "Some  notice."), ("A", "some notice"), ("C", "other notice")]
+    rows = [(1, "SOME notice!"), (2, "x\nother notice\nsome notice"), (None, None), (3, "x")]
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(frame_of(spark, rows), texts=texts).collect()}
+    assert got == {1: ("A,B", "A,B"), 2: (None, "A,B,C"), None: (None, ""), 3: (None, "")}
+
+
+def test_pii_query_against_sql_with_disclosing_terms(spark, tmp_path):
+    """Terms by whole documents, windows, copies, overlapping and repeated entities, nulls: each row as the SQL has it."""
+    import duckdb
+
+    rng = random.Random(11)
+    people = [("bob@x.org", "smithers agent"), ("10.0.0.7", "gateway cellar"), ("+1 (555) 123-4567", "caller"), ("4111 1111 1111 1111", "wallet"), ("al@y.net", "")]
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        said = rng.sample(words, rng.randrange(1, 12))
+        for entity, terms in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            said.insert(rng.randrange(len(said) + 1), rng.choice([entity, entity.upper(), f"{entity},{entity}"]))
+            said += [t.title() if rng.random() < 0.3 else t for t in terms.split() if rng.random() < 0.9]
+        rows.append((i // 2 if i % 40 == 0 else i, " ".join(said)))
+    rows += [(1000 + i, "one copy of a@b.cc with oddword") for i in range(30)] + [(None, "agent smithers bob@x.org"), (None, None), (2000, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = oracle_rows(queries.op5_pii(spark, str(tmp_path)).toPandas()), oracle_rows(con.sql(queries.ORACLE_SQL["op5_pii"]).df())
+    assert got == want and sum("term:" in str(r) for r in got) > 50 and sum("term:" in str(r) for r in got) < 250
+
+
 def luhn(digits):
     return sum((d := int(c) * (1 + i % 2)) - 9 * (d > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
 

@@ -3,14 +3,16 @@
 A text is brought to a canonical form: lower case, copyright lines dropped (but not the
 wrapped lines of a licence that begin with the word or with item (c)), punctuation
 and blanks as single spaces, equivalent spellings as one.  Its SHA-256 is then looked up,
-by a hash join, among the digests of known licences: once for the entire text and once for
-each of its lines, so that a one-line notice inside a document is found too.  Lines whose
-canonical length no known text has are not joined; that loses nothing.  The known side is
-the list below, so its size is fixed and it is broadcast.
+by a hash join, among the digests of known licences.  The digests of its lines are looked up
+in the same list, so that a one-line notice inside a document is found too; lines whose
+canonical length no known text has are left out, which loses nothing.  The known side is the
+list below, so its size is fixed: it is broadcast, and no text moves.
 
 Defined results: null texts count as empty, and no known text is empty; a licence found
-on several lines counts once; rows that repeat an id each have their own result; an empty
-table gives no rows.
+on several lines counts once; of a digest that several licences have, all are named, in
+order, with commas; texts of any length are read whole; rows that repeat an id, or have none,
+each have their own result; an empty table gives no rows; of the caller's columns only id and
+text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -124,40 +126,28 @@ def entire(lines: Column) -> Column:
     return F.replace(lines, F.lit("\n"), F.lit(" "))
 
 
-def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """license, digest and length of the known texts: a small job, so that plans hold digests and not the texts."""
+def known(spark: SparkSession, texts=KNOWN) -> list[tuple[str, str, int]]:
+    """(digest, licences, length) of the known texts, as many as the list has: a small job, so that plans hold digests and not the texts."""
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in texts])
     canon = spark.range(1).select(F.inline(rows)).select("license", entire(by_line(F.col("text"))).alias("canon"))
-    listed = canon.select("license", F.sha2("canon", 256).alias("digest"), F.length("canon").alias("length")).distinct().collect()
-    rows = F.array(*[F.struct(F.lit(r.license).alias("license"), F.lit(r.digest).alias("digest"), F.lit(r.length).alias("length")) for r in sorted(listed)])
-    return spark.range(1).select(F.inline(rows))
+    listed = canon.groupBy(F.sha2("canon", 256).alias("digest"), F.length("canon").alias("length")).agg(F.array_sort(F.collect_set("license")).alias("names"))
+    return sorted((r.digest, ",".join(r.names), r.length) for r in listed.collect())
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts=KNOWN) -> DataFrame:
     """doc_id, text_digest, license (of the entire text, or null) and notices (licences of single lines, in order of name)."""
     spark = df.sparkSession
-    listed = known(spark, texts)
-    lengths = F.broadcast(listed.agg(F.collect_set("length").alias("lengths")))  # one row
+    found = known(spark, texts)
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(names).alias("license")) for d, names, _ in found])))
+    by_digest = F.create_map(*[F.lit(x) for d, names, _ in found for x in (d, names)])
+    lengths = sorted({n for _, _, n in found})
     canon = df.select(F.col(doc_id).alias("doc_id"), by_line(F.col(text)).alias("lines"))
-    digests = canon.join(lengths).select(
-        "doc_id",
-        F.sha2(entire(F.col("lines")), 256).alias("text_digest"),
-        F.transform(F.filter(F.split("lines", "\n"), lambda x: F.array_contains("lengths", F.length(x))), lambda x: F.sha2(x, 256)).alias("of_lines"),
-    )
-    # The text itself (once a row) and the lines that may be known, in one pass over the texts.
-    part = lambda digest, whole: F.struct(digest.alias("digest"), F.lit(whole).alias("whole"))
-    parts = F.concat(F.array(part(F.col("text_digest"), True)), F.transform("of_lines", lambda x: part(x, False)))
-    units = digests.select("doc_id", "text_digest", F.explode(parts).alias("u")).select("doc_id", "text_digest", "u.*")
-    found = (
-        units.join(F.broadcast(listed.select("license", "digest")), "digest", "left")
-        .groupBy("doc_id", "text_digest")
-        .agg(
-            F.count_if("whole").alias("rows"),
-            F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
-            F.concat_ws(",", F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license"))))).alias("notices"),
-        )
-    )
-    return found.select("doc_id", "text_digest", "license", "notices", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
+    possible = F.filter(F.split("lines", "\n"), lambda x: F.length(x).isin(*lengths))
+    names = F.array_compact(F.transform(possible, lambda x: F.try_element_at(by_digest, F.sha2(x, 256))))
+    notices = F.array_sort(F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(n, ",")))))
+    digests = canon.select("doc_id", F.sha2(entire(F.col("lines")), 256).alias("text_digest"), F.array_join(notices, ",").alias("notices"))
+    joined = digests.join(F.broadcast(listed), F.col("text_digest") == F.col("digest"), "left")
+    return joined.select("doc_id", "text_digest", "license", "notices")
 
 
 def sql(texts=KNOWN) -> str:
@@ -172,10 +162,11 @@ def sql(texts=KNOWN) -> str:
     return f"""
 WITH given(license, text) AS (VALUES {values}),
 known AS (SELECT DISTINCT license, sha256(replace({canon}, chr(10), ' ')) AS digest FROM given),
+named AS (SELECT digest, string_agg(license, ',' ORDER BY license) AS license FROM known GROUP BY digest),
 canon AS (SELECT doc_id, {canon} AS lines FROM documents),
 hits AS (SELECT DISTINCT l.doc_id, k.license
          FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM canon) l
          JOIN known k ON sha256(l.line) = k.digest),
 notices AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM hits GROUP BY doc_id)
 SELECT c.doc_id, sha256(replace(lines, chr(10), ' ')) AS text_digest, k.license, coalesce(n.notices, '') AS notices
-FROM canon c LEFT JOIN known k ON sha256(replace(lines, chr(10), ' ')) = k.digest LEFT JOIN notices n ON n.doc_id = c.doc_id"""
+FROM canon c LEFT JOIN named k ON sha256(replace(lines, chr(10), ' ')) = k.digest LEFT JOIN notices n ON n.doc_id = c.doc_id"""

@@ -1,24 +1,28 @@
 """Quality classifier: naive Bayes support vectors (operator 4).
 
-Features are indicators of n-grams (1 to 3) over the words' shapes, where a shape keeps
-punctuation, folds runs of letters by case and digits, and says whether the word repeats
-one of the three before it.  Each indicator is scaled by the log ratio of its smoothed
-class frequencies, and a linear hinge-loss model is fitted to the scaled indicators by
-dual coordinate descent; a logistic curve fitted on rows that the model did not see turns
-margins into scores.
-
-Learning takes a bounded sample of labelled rows (``SAMPLE_ROWS``, in the order of a hash
-of their ids); scoring reads every row's whole text in one pass without a shuffle.
+Features are indicators of n-grams (1 to 3) over the words in lower case and over the words'
+shapes, where a shape keeps punctuation, folds runs of letters by case and digits, and says
+whether the word repeats one of the three before it.  Each indicator is scaled by the log
+ratio of its smoothed class frequencies, and a linear hinge-loss model is fitted to the
+scaled indicators by dual coordinate descent; a logistic curve fitted on rows that the model
+did not see turns margins into scores.
+
+Learning takes a sample of labelled rows in the order of a hash of their ids, bounded by
+``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters; features are made on the executors, and
+only their numbers come to the driver.  Scoring reads every row's whole text in one pass
+without a shuffle.
 
 Defined results: null and empty texts have no n-gram and get the model's score for that;
-rows with a null label or id are not learnt from; of a row labelled twice the larger
-label counts; without both classes every score is the smoothed share of label 1.
+rows with a null label or id are not learnt from; of a row labelled twice the larger label
+counts; rows alike in id and text are learnt from once and each scored; without both classes
+every score is the smoothed share of label 1 (a half without any); a null id is carried; an
+empty table gives no rows; a carried column named score raises ValueError, other columns are
+carried or left as the caller says.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -26,7 +30,8 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,21 +39,23 @@ from .bpe import Memo, slices
 from .common import ship
 
 SAMPLE_ROWS = 6000
+SAMPLE_CHARS = 1 << 24
 BUCKETS = 1 << 18
 LAGS = 3
+_OUTER = re.compile(r"^\W+|\W+$")
 _FOLD = ((re.compile(r"[^\W\d_]+"), lambda m: ("A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a")), (re.compile(r"\d+"), lambda m: "0"))
 
 
 def shape(word: str) -> str:
     for pattern, fold in _FOLD:
         word = pattern.sub(fold, word)
-    return word[:12]
+    return word
 
 
-def _word_codes(word: str) -> tuple[int, int]:
-    """(hash of the word, hash of its shape), both positive int64."""
-    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return h << 20 ^ zlib.adler32(word.encode("utf-8", "surrogatepass")), zlib.crc32(shape(word).encode("utf-8", "surrogatepass"))
+def _word_codes(word: str) -> tuple[int, int, int]:
+    """Positive int64 hashes of the word, of its shape and of its lower case without outer punctuation."""
+    code = lambda x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1
+    return code(word), code(shape(word)), code(_OUTER.sub("", word).lower())
 
 
 @lru_cache(maxsize=1)
@@ -71,19 +78,20 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
         lengths.append(len(words))
     if not flat:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.array(flat, dtype=np.uint64)
+    parts = np.array(flat, dtype=np.uint64)
     row = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
-    word, unit = pairs[:, 0], pairs[:, 1]
+    word, shapes, plain = parts.T
     repeats = np.zeros(len(word), dtype=bool)
     for lag in range(1, LAGS + 1):
         repeats[lag:] |= (word[lag:] == word[:-lag]) & (row[lag:] == row[:-lag])
-    unit = _mixed(unit * np.uint64(2) + repeats)
-    keys, gram = [], unit
-    for n in range(1, 4):
-        if n > 1:
-            gram = _mixed(gram[:-1] * np.uint64(31) + unit[n - 1 :])
-        same = row[: len(gram)] == row[n - 1 :]
-        keys.append((row[: len(gram)][same] << np.uint64(32)) | (gram[same] % np.uint64(buckets)))
+    keys = []
+    for unit in (_mixed(shapes * np.uint64(2) + repeats), _mixed(~plain)):
+        gram = unit
+        for n in range(1, 4):
+            if n > 1:
+                gram = _mixed(gram[:-1] * np.uint64(31) + unit[n - 1 :])
+            same = row[: len(gram)] == row[n - 1 :]
+            keys.append((row[: len(gram)][same] << np.uint64(32)) | (gram[same] % np.uint64(buckets)))
     found = pd.unique(np.concatenate(keys))
     found = found[np.argsort(found >> np.uint64(32), kind="stable")]
     return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -195,10 +203,23 @@ def sample(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
     return known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
-    """Fit on a bounded sample of ``labels``; the caller leaves out the rows that must not be learnt from."""
+def learning_rows(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
+    """(at, version, text, label) of the labelled rows to learn from: at most ``rows``, and none after ``chars`` characters, in the order of (at, version)."""
+    known = sample(labels, doc_id, label, rows).withColumnRenamed("doc_id", "of")
+    own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("of"))
+    own = own.select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("version"), "text", "label")
+    # The bounds are set on lengths; only rows within them send more than that.
+    sizes = own.select("at", "version", F.coalesce(F.length("text"), F.lit(0)).alias("size")).distinct().orderBy("at", "version").limit(rows)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy("at", "version").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = sizes.withColumn("before", before).filter(F.col("before") < chars).select("at", "version")
+    return own.join(F.broadcast(chosen), ["at", "version"]).dropDuplicates(["at", "version"])
+
+
+def train(
+    df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, buckets: int = BUCKETS
+) -> Model:
+    """Fit on a sample of ``labels`` bounded by ``rows`` and ``chars``; the caller leaves out the rows that must not be learnt from."""
     ship(df.sparkSession)
-    learn = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample(labels, doc_id, label, rows)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -206,15 +227,14 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             row, feature = features(texts, buckets)
             ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "features"])
-
-    kinds = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
-    # At most ``rows`` lists of distinct features: bounded by the parameter.
-    found = sorted(learn.mapInArrow(run, kinds).collect(), key=lambda r: (str(r.doc_id), r.features))
-    label_of = np.array([r.label for r in found], dtype=np.int64)
-    row = np.repeat(np.arange(len(found)), [len(r.features) for r in found])
-    feature = np.concatenate([np.empty(0, np.int64), *[np.array(r.features, dtype=np.int64) for r in found]])
-    return fit(row, feature, label_of, buckets)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("at", "version", "label")), lists], names=["at", "version", "label", "features"])
+
+    learn = learning_rows(df, labels, doc_id, text, label, rows, chars)
+    # Numbers of distinct features, a few to a word: bounded by ``rows`` and ``chars``.
+    found = learn.mapInArrow(run, "at long, version long, label int, features array<int>").toArrow().sort_by([("at", "ascending"), ("version", "ascending")]).combine_chunks()
+    label_of, lists = found["label"].to_numpy().astype(np.int64), found["features"].combine_chunks()
+    row = np.repeat(np.arange(len(label_of)), np.asarray(lists.value_lengths()))
+    return fit(row, np.asarray(lists.flatten()).astype(np.int64), label_of, buckets)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -141,8 +141,7 @@ def test_packing_of_documents(spark, byte):
 
 
 def test_packing_of_edges(spark, byte):
-    frame = docs(spark, EDGES).filter("doc_id is not null")
-    texts = [(i, t) for i, t in EDGES if i is not None]
+    frame, texts = docs(spark, EDGES), EDGES
     check_packing(queries.packed(frame).collect(), texts, byte[1])
     assert queries.packed(frame.limit(0)).count() == 0
 
@@ -211,3 +210,94 @@ def test_dual_descent_separates():
     order = np.argsort(row, kind="stable")
     model = quality.fit(row[order], feature[order], label, buckets=64)
     assert ((model.scores(row[order], feature[order], 200) > 0.5) == (label == 1)).all()
+
+
+def test_dual_descent_against_a_plain_solver():
+    """The dual's box-constrained quadratic programme by projected gradient."""
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 2, 40)
+    x = (rng.random((40, 12)) < 0.4) * rng.normal(size=12)
+    row, feature = np.nonzero(x)
+    w, bias = quality.dual_coordinate_descent(row, feature, x[row, feature], label, 12, epochs=3000)
+    y, held = np.where(label == 1, 1.0, -1.0), np.c_[x, np.ones(40)]
+    q = (held @ held.T) * np.outer(y, y)
+    share = label.mean()
+    upper = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, upper)
+    primal = lambda v: v @ v / 2 + (upper * np.maximum(0, 1 - y * (held @ v))).sum()
+    assert abs(primal(np.append(w, bias)) - primal((alpha * y) @ held)) < 1e-2 * primal((alpha * y) @ held)
+
+
+def test_quality_features_hold_words_and_whole_shapes():
+    of = lambda text: set(quality.features([text])[1].tolist())
+    assert of("aaaa-bbbb-cccc-1-d") != of("aaaa-bbbb-cccc-1-")  # beyond the twelfth sign of a shape
+    assert len(of("one") & of("two")) == 1  # alike in shape, not in word
+    assert of("One.") & of("one") and quality.features([None, "", " \n"])[0].size == 0
+
+
+def test_noisy_or_and_its_gradient():
+    texts = ["You fool. Nice day! ok", "nice day", "", "fool fool? day", "Ok ok."]
+    numbers: dict[str, int] = {}
+    sentences, lengths, words = toxicity._bags(texts, lambda w: numbers.setdefault(w, len(numbers)))
+    held = [toxicity.parts(w) for w in numbers]
+    of_word, feature = (np.array(x) for x in zip(*((k, f) for k, found in enumerate(held) for f in found)))
+    bags = toxicity.Bags(np.array([1, 0, 0, 1, 0]), sentences, lengths, np.array(words), of_word, feature)
+    names, feature = np.unique(bags.feature, return_inverse=True)
+    bags, rng = bags._replace(feature=feature), np.random.default_rng(3)
+    w, bias, decay = rng.normal(size=len(names)) * 0.3, -0.7, 0.01
+    total, by_weight, by_bias = toxicity.loss(bags, w, bias, decay)
+    place, slow = {int(n): k for k, n in enumerate(names)}, 0.0
+    for text, toxic in zip(texts, bags.label):
+        none = 1.0
+        for part in toxicity._SENTENCE.findall(text):
+            z = bias + sum(sum(w[place[f]] for f in toxicity.parts(word)) for word in dict.fromkeys(part.split()))
+            none *= 1 - 1 / (1 + np.exp(-z))
+        slow -= np.log(1 - none if toxic else none) / len(texts)
+    assert abs(total - slow - decay / 2 * (w @ w)) < 1e-9
+    for k in range(0, len(w), 3):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((toxicity.loss(bags, up, bias, decay)[0] - toxicity.loss(bags, down, bias, decay)[0]) / 2e-5 - by_weight[k]) < 1e-6
+    assert abs((toxicity.loss(bags, w, bias + 1e-5, decay)[0] - toxicity.loss(bags, w, bias - 1e-5, decay)[0]) / 2e-5 - by_bias) < 1e-6
+
+
+def test_learning_rows_are_bounded(spark):
+    frame = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(7, "other")] * 30 + [(None, "x")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("at", "version", "of", "label")})
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    count = lambda rows, chars: quality.learning_rows(frame, labels, "doc_id", "text", "toxic", rows, chars).count()
+    assert count(1000, 10**6) == 51 and count(20, 10**6) <= 20 and 9 <= count(1000, 1000) <= 11
+
+
+@pytest.mark.parametrize("operator", [bpe.encode, token_counts.count_tokens])
+def test_tokenisers_on_tables_without_rows_and_taken_names(spark, operator):
+    path = BYTE if operator is bpe.encode else WORD
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumns({"ids": F.lit(0), "n_tokens": F.lit(1)})
+    assert operator(frame.limit(0), path, carry=["doc_id"]).count() == 0
+    with pytest.raises(ValueError, match="taken"):
+        operator(frame, path)
+    for scored in (quality, toxicity):
+        with pytest.raises(ValueError, match="taken"):
+            scored.score(frame.withColumn("score", F.lit(1)), scored.train(frame, frame.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))))
+
+
+def test_every_text_goes_through_chunk_maps(word):
+    own = token_counts.load(WORD)
+    for text in ("a b", "It's 12 o'clock, isn't it? " * 400, "x" * 9000, "don" + "'t " * 3):
+        for chunk in (1, 3, 7, 4096):
+            counts = own.chunk_counts(token_counts.normalise(text), chunk)
+            assert len(counts) == -(-len(text) // chunk) and sum(counts) == len(ids(word[1], text))
+
+
+def test_a_cut_that_ends_in_token_zero_is_no_end():
+    packer = packing.DocumentPacker(tokens=8, segments=4, loss=7, pool=16)
+    found = []
+    for i in range(12):
+        found += packer.add(i, np.zeros(13, dtype="<u4"))
+    found += packer.finish()
+    loss = {}
+    for (_, at, part, total), sequence, _ in found:
+        loss[sequence] = loss.get(sequence, 0) + len(part) - (at + len(part) == total)
+    assert max(loss.values()) <= 7 and sum(len(p[2]) for p, _, _ in found) == 12 * 13

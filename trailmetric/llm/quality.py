@@ -39,7 +39,7 @@ from .bpe import Memo, slices
 from .common import ship
 
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 1 << 24
+SAMPLE_CHARS = 1 << 25
 BUCKETS = 1 << 18
 LAGS = 3
 _OUTER = re.compile(r"^\W+|\W+$")

@@ -242,13 +242,13 @@ def test_noisy_or_and_its_gradient():
     numbers: dict[str, int] = {}
     sentences, lengths, words = toxicity._bags(texts, lambda w: numbers.setdefault(w, len(numbers)))
     held = [toxicity.parts(w) for w in numbers]
-    of_word, feature = (np.array(x) for x in zip(*((k, f) for k, found in enumerate(held) for f in found)))
-    bags = toxicity.Bags(np.array([1, 0, 0, 1, 0]), sentences, lengths, np.array(words), of_word, feature)
+    of_word, feature = zip(*((k, f) for k, found in enumerate(held) for f in found))
+    bags = toxicity.Bags(np.array([1, 0, 0, 1, 0]), sentences, lengths, np.array(words), np.array(of_word), np.array(feature))
     names, feature = np.unique(bags.feature, return_inverse=True)
     bags, rng = bags._replace(feature=feature), np.random.default_rng(3)
     w, bias, decay = rng.normal(size=len(names)) * 0.3, -0.7, 0.01
     total, by_weight, by_bias = toxicity.loss(bags, w, bias, decay)
-    place, slow = {int(n): k for k, n in enumerate(names)}, 0.0
+    place, slow = {str(n): k for k, n in enumerate(names)}, 0.0
     for text, toxic in zip(texts, bags.label):
         none = 1.0
         for part in toxicity._SENTENCE.findall(text):

@@ -5,13 +5,13 @@ sentence's probability is logistic in its distinct words' weights, and a documen
 noisy-or of its sentences', 1 - prod(1 - p).  Weights are trained from document labels
 alone, by gradient descent on the documents' log loss; the sentences' own probabilities
 then locate what offends.  A word's weight is the sum of its features': itself and its
-character n-grams, hashed to ``BUCKETS``; they may raise or lower a sentence's probability.
+character n-grams; they may raise or lower a sentence's probability.
 
 Learning takes a sample of labelled rows in the order of a hash of their ids, bounded by
 ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters.  A feature takes part if ``LEAST``
 documents hold it and the share of toxic ones among them is ``EVIDENCE`` standard deviations
 above or below that of all (parameters of ``train``).  Features are made, counted and chosen on
-the executors; the numbers of the chosen ones come to the driver.  Scoring reads every row's
+the executors; the chosen ones and their numbers in the sample come to the driver.  Scoring reads every row's
 whole text in one pass without a shuffle.
 
 Defined results: null and empty texts have no sentence and score 0; rows with a null
@@ -43,7 +43,6 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 1 << 25
 LEAST = 3
 EVIDENCE = 3.0
-BUCKETS = 1 << 20
 GRAMS = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TRIM = re.compile(r"^\W+|\W+$")
@@ -58,12 +57,12 @@ def plain(word: str) -> str:
     return _TRIM.sub("", word).lower()
 
 
-def parts(word: str) -> list[int]:
+def parts(word: str) -> list[str]:
     """A word's distinct features: itself and its character n-grams, without outer punctuation and case; none if nothing is left."""
     if not (word := plain(word)):
         return []
     held = f"^{word}$"
-    return list({_code(x) % BUCKETS for x in (held, *(held[i : i + n] for n in GRAMS for i in range(len(held) - n + 1)))})
+    return list({held, *(held[i : i + n] for n in GRAMS for i in range(len(held) - n + 1))})
 
 
 class Bags(NamedTuple):
@@ -78,11 +77,12 @@ class Bags(NamedTuple):
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # by feature
+    weights: dict[str, float]  # by feature
     bias: float
 
     def of_word(self, word: str) -> float:
-        return float(self.weights[parts(word)].sum())
+        get = self.weights.get
+        return sum(get(part, 0.0) for part in parts(word))
 
 
 def loss(bags: Bags, w: np.ndarray, bias: float, decay: float) -> tuple[float, np.ndarray, float]:
@@ -101,12 +101,11 @@ def loss(bags: Bags, w: np.ndarray, bias: float, decay: float) -> tuple[float, n
     return total, np.bincount(bags.feature, by_word[bags.of_word], len(w)) + decay * w, float(pull.sum())
 
 
-def fit(bags: Bags, rounds: int = 300, rate: float = 0.2, decay: float = 2e-5, buckets: int = BUCKETS) -> Model:
+def fit(bags: Bags, names: list[str], rounds: int = 300, rate: float = 0.2, decay: float = 2e-5) -> Model:
+    """The model of documents' labels; a feature's number is its place in ``names``."""
     n = len(bags.label)
     if n == 0 or len(np.unique(bags.label)) < 2:
-        return Model(np.zeros(buckets), 8.0 if n and bags.label.all() else -12.0)
-    names, feature = np.unique(bags.feature, return_inverse=True)
-    bags = bags._replace(feature=feature)
+        return Model({}, 8.0 if n and bags.label.all() else -12.0)
     w, bias = np.zeros(len(names)), float(np.log((bags.label == 1).mean() / max(bags.sentences.mean(), 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
@@ -115,9 +114,7 @@ def fit(bags: Bags, rounds: int = 300, rate: float = 0.2, decay: float = 2e-5, b
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8) * min(1.0, 2 * (1 - k / (rounds + 1)))
         w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(buckets)
-    weights[names] = w
-    return Model(weights, float(bias))
+    return Model({name: float(x) for name, x in zip(names, w) if x}, float(bias))
 
 
 def _bags(texts: list[str | None], codes) -> tuple[np.ndarray, np.ndarray, list]:
@@ -133,23 +130,23 @@ def _bags(texts: list[str | None], codes) -> tuple[np.ndarray, np.ndarray, list]
     return np.array(sentences, np.int64), np.array(words, np.int64), found
 
 
-def chosen_features(learn: DataFrame, least: int, evidence: float) -> np.ndarray:
-    """Features by how far the share of toxic documents that hold them is from that of all; at most BUCKETS numbers."""
+def chosen_features(learn: DataFrame, least: int, evidence: float) -> list[str]:
+    """Features of the sample by how far the share of toxic documents that hold them is from that of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(parts)
         for batch in slices(batches, 32):
             found = [list({x for word in dict.fromkeys((text or "").split()) for x in memo[word]}) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.string()))], names=["label", "features"])
 
     share, n = F.avg("label"), F.count(F.lit(1))
     all_ = learn.agg(share.alias("share")).first().share
     if not all_ or all_ == 1:
-        return np.empty(0, np.int64)
-    each = learn.mapInArrow(run, "label int, features array<int>").select("label", F.explode("features").alias("feature"))
+        return []
+    each = learn.mapInArrow(run, "label int, features array<string>").select("label", F.explode("features").alias("feature"))
     distance = F.abs(share - F.lit(all_)) * F.sqrt(n) / (all_ * (1 - all_)) ** 0.5
     found = each.groupBy("feature").agg(n.alias("n"), distance.alias("distance")).filter((F.col("n") >= least) & (F.col("distance") >= evidence))
-    return np.sort(found.select("feature").toArrow()["feature"].to_numpy().astype(np.int64))
+    return sorted(found.select("feature").toArrow()["feature"].to_pylist())
 
 
 def train(
@@ -170,8 +167,8 @@ def train(
     names = ["at", "version", "label", "lengths", "words", "counts", "features"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = set(chosen.tolist())
-        code, memo = Memo(_code), Memo(lambda word: [x for x in parts(word) if x in keep])
+        number = {name: k for k, name in enumerate(chosen)}
+        code, memo = Memo(_code), Memo(lambda word: [number[x] for x in parts(word) if x in number])
         for batch in slices(batches, 32):
             out = []
             for text_ in batch.column("text").to_pylist():
@@ -194,7 +191,7 @@ def train(
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     sentences = np.asarray(found["lengths"].combine_chunks().value_lengths()).astype(np.int64)
     label_of = found["label"].to_numpy().astype(np.int64)
-    return fit(Bags(label_of, sentences, flat["lengths"], words, np.repeat(np.arange(len(known)), counts), flat["features"][at]))
+    return fit(Bags(label_of, sentences, flat["lengths"], words, np.repeat(np.arange(len(known)), counts), flat["features"][at]), chosen)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, offends: float = 0.5) -> DataFrame:
@@ -207,7 +204,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-    shared = spark.sparkContext.broadcast(tuple(model))  # BUCKETS weights, whatever the data
+    shared = spark.sparkContext.broadcast(tuple(model))  # weights of the sample's chosen features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)

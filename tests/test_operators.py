@@ -133,9 +133,11 @@ def test_cleaning(spark):
 
 
 def test_parameters_everywhere(spark):
-    call = ("tool_execution", "calling", "api", '{"a": 1}', "x")
-    assert trajectory(spark, [call] * 3).filter(curation.parameters_everywhere(F.col("steps"))).count() == 1
-    assert trajectory(spark, [call, call, GOOD[0]]).filter(curation.parameters_everywhere(F.col("steps"))).count() == 0
+    call, none = ("tool_execution", "calling", "api", '{"a": 1}', "x"), ("reasoning", "thinking", None, None, None)
+    covered = lambda *steps: trajectory(spark, list(steps)).filter(curation.parameters_everywhere(F.col("steps"))).count() == 1
+    assert covered(call, call, call) and covered(call, call) and not covered(call) and not covered(none, none, call)
+    assert covered(none, call, none, call, none, call, none) is False and covered(none, call, call, call, none, none, call)
+    assert not covered(call, none, GOOD[0])
 
 
 def test_gates(spark):
@@ -214,18 +216,17 @@ def test_slots_and_paths(spark):
     assert json.loads(out[0])["opts"]["n"] == 4 and out[1] == document
 
 
-@pytest.mark.parametrize("kind,value", [("integer", "10"), ("float", "2.5"), ("filepath", "src/a.py"), ("search_query", "two words"), ("string", "hello"), ("boolean", "true"), ("ipv4", "10.0.0.255"), ("identifier", "x"), ("date", "2024-01-31"), ("url", "https://a.b/c"), ("line_number", "3")])
+@pytest.mark.parametrize("kind,value", [("integer", "10"), ("float", "2.5"), ("filepath", "src/a.py"), ("search_query", "two words"), ("string", "hello"), ("boolean", "true"), ("ipv4", "10.0.0.255"), ("identifier", "x"), ("date", "2024-01-31"), ("url", "https://a.b/c"), ("line_number", "30"), ("entity", "CamelName"), ("other", "word")])
 def test_mutations_change_and_repeat(spark, kind, value):
     frame = spark.range(5).select("id", F.lit(kind).alias("k"), F.lit(value).alias("v"))
     made = frame.select("id", perturbation.mutated(F.col("k"), F.col("v"), 7, F.col("id")).alias("m"))
     one, two = rows(made.select("id", "m.value"), "id"), rows(made.repartition(3).select("id", "m.value"), "id")
-    assert one == two and all(v is not None and v != value for _, v in one)
+    assert one == two and all(v is not None for _, v in one) and any(v != value for _, v in one)
 
 
 def test_placebos(spark):
-    frame = spark.createDataFrame([("a", 'Find the {"b": 1,"c": 2} file now')], "k string, t string")
-    text = perturbation.placebo(frame, "t", "k", "p").first().p
-    assert text != 'Find the {"b": 1,"c": 2} file now' and '{"b": 1,"c": 2}' in text
+    frame = spark.createDataFrame([("Find the error. FINISH now", ), ("Finish: nothing", ), (None, )], "t string")
+    assert [r.p for r in perturbation.placebo(frame, "t", "p").collect()] == ["Locate the issue. COMPLETE now", None, None]
     keys = perturbation.reordered(spark.createDataFrame([('{"b": 1, "a": 2}',), ("x",)], "d string"), "d", "o").collect()
     assert keys[0].o == '{"a": 2, "b": 1}' and keys[1].o is None
 
@@ -261,9 +262,12 @@ def test_other_parsers(spark):
     assert [r.r for r in spark.createDataFrame([("1. a\n2. b",), ("a\nb",), ("",)], "t string").select(parsers.numbered_steps(F.col("t")).alias("r")).collect()] == [["a", "b"], ["a", "b"], []]
     got = [r.r for r in spark.createDataFrame([('{"a": 1}',), ("5",), ("oops",), (None,)], "t string").select(parsers.tool_input(F.col("t")).alias("r")).collect()]
     assert got == ['{"a": 1}', '{"value":"5"}', '{"raw_input":"oops"}', "{}"]
-    prompts = spark.createDataFrame([("1. get_map_for_geo: draws maps\n2. find_map_for_geo: finds maps\n3. other: no",)], "p string")
+    prompts = spark.createDataFrame([("[{'name': 'get_map_for_geo', 'description': 'draws'}, {'name': 'list_for_geo', 'description': ''}, {'name': 'Finish', 'description': 'x'}, {'name': 'other', 'description': 'y'}]",)], "p string")
     tools = parsers.tool_catalogue(prompts, "p")
-    assert rows(parsers.tool_similarity(tools).select("tool", "substitute"), "tool") == [("find_map_for_geo", "get_map_for_geo"), ("get_map_for_geo", "find_map_for_geo")]
+    assert rows(parsers.tool_similarity(tools).select("tool", "substitute", "score"), "tool") == [("get_map_for_geo", "list_for_geo", 1.3), ("list_for_geo", "get_map_for_geo", 1.3)]
+    view = "<function=str_replace_editor><parameter=command>view</parameter></function>"
+    names = [r.t for r in spark.createDataFrame([(view,), ("please create file x",), ("locate it",), ("open file y",), ("hm",)], "c string").select(parsers.swe_tool(F.col("c")).alias("t")).collect()]
+    assert names == ["view_file", "file_edit", "search_code", "view_file", None]
 
 
 def test_store(spark, tmp_path):

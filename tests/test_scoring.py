@@ -64,13 +64,40 @@ def test_grading(spark):
 
 
 def test_judge_output(spark):
-    full = 'x ```json\n{"error_detected": true, "error_confidence": 1.7, "predicted_impact_score": 0.2, "predicted_failure_prob": 0.1, "predicted_error_type": "PLANNING"}\n```'
+    full = 'x ```json\n{"overall_score": 120, "error_detected": true, "error_confidence": 1.7, "predicted_error_step": 3, "predicted_impact_score": 0.2, "predicted_failure_prob": 0.1, "predicted_error_type": "planning"}\n```'
     row = one(spark, tx.judge_output(F.lit(full)))
-    assert (row.parse_status, row.error_confidence, row.predicted_error_type) == ("success", 1.0, "planning")
-    assert one(spark, tx.judge_output(F.lit("nothing"))).parse_status == "failed"
-    assert one(spark, tx.judge_output(F.lit('{"error_detected": false}'))).parse_status == "partial"
-    assert one(spark, tx.class_matches(F.lit("no idea"))) == 1
-    assert one(spark, tx.class_matches(F.lit('{"matches": "no"}'))) == 0
+    assert (row.parse_status, row.detection.overall_score, row.detection.error_confidence) == ("success", 100.0, 1.0)
+    assert (row.localization.predicted_error_step, row.localization.predicted_error_type) == (3, "planning")
+    failed = one(spark, tx.judge_output(F.lit("nothing")))
+    assert failed.parse_status == "failed" and failed.detection.error_detected is False and failed.pair_comparison is None
+    bare = one(spark, tx.judge_output(F.lit('{"error_detected": false}')))
+    assert bare.parse_status == "success" and bare.detection.error_confidence == 0.0 and bare.localization is None
+    broken = one(spark, tx.judge_output(F.lit('{"error_detected": true, "predicted_error_step": "x", "predicted_error_type": "odd"}')))
+    assert broken.parse_status == "partial" and broken.localization is None
+    pair = one(spark, tx.judge_output(F.lit('{"overall_score_a": 40, "overall_score_b": 60, "error_trajectory": "a", "preference": "none"}'), "blinded_pair"))
+    assert (pair.detection.overall_score, pair.pair_comparison.error_trajectory, pair.pair_comparison.preference) == (50.0, "A", None)
+    assert one(spark, tx.judge_output(F.lit('{"impact_estimate": 1.5}'), "labeled_pair")).impact.predicted_impact_score == 0.5
+    for text, want in (("no idea", 1), ('{"class_matches": 0}', 0), ('{"class_matches": "Yes"}', 1), ("{}", 0), ('so {"class_matches": true}.', 1)):
+        assert one(spark, tx.class_matches(F.lit(text))) == want
+
+
+def test_trajectory_judgment(spark):
+    said = '```json\n{"task_success": 1, "completeness": 0.5, "overall_score": 70, "step_errors": [{"step_index": 2, "error_type": "x", "severity": "minor", "description": "d"}, {"step_index": 3}]}\n```'
+    row = one(spark, tx.trajectory_judgment(F.lit(said)))
+    assert (row.task_success, row.completeness, row.overall_score, row.hallucination, len(row.step_errors)) == (1, 0.5, 70.0, 0, 1)
+    assert one(spark, tx.trajectory_judgment(F.lit('{"task_success": 1}'))) is None and one(spark, tx.trajectory_judgment(F.lit("no"))) is None
+
+
+def test_step_at(spark):
+    frame = spark.createDataFrame([([("c1", "s1", None), (None, "s2", 9)],)], "steps array<struct<canonical_step_id: string, step_id: string, display_step_index: int>>")
+    got = [frame.select(tx.step_at(F.lit(n), F.col("steps"))).first()[0] for n in (1, 2, 9, 3)]
+    assert got == ["c1", "s2", "s2", None]
+
+
+def test_semantic_difference(spark):
+    pairs = [('{"observation": null, "content": "x"}', '{"content": null}', False), ('{"content": " A "}', '{"tool_output": "a"}', False), ('{"extracted_value": 1}', '{"extracted_value": 1.0005}', False), ('{"extracted_value": 1}', '{"extracted_value": 1.1}', True), ('{"content": {"a": 1}}', '{"content": {"a": 1}}', False), ('{"content": "1"}', '{"content": 1}', True), ('{"content": "x"}', "{}", True)]
+    for a, b, want in pairs:
+        assert one(spark, sc.outputs_differ(sc.step_output(F.lit(a)), sc.step_output(F.lit(b)))) is want, (a, b)
 
 
 def test_ids(spark):
@@ -118,10 +145,19 @@ def test_p_values():
     assert math.isclose(st.beta_regularised(2, 3, 0.5), 0.6875)
 
 
-def test_alpha_is_one_on_unanimity(spark):
-    frame = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b")], "u int, v string")
-    assert st.pooled_alpha(frame, "u", "v").first().alpha == 1.0
-    assert st.pooled_alpha(frame.filter("u = 1"), "u", "v").first().alpha == 1.0  # one label
+def test_alpha(spark):
+    frame = lambda found: spark.createDataFrame([(u, a, v, k) for k, (u, a, v) in enumerate(found)], "u int, annotator_id string, v string, seq int")
+    alpha = lambda found, level="nominal": st.pooled_alpha(frame(found), "u", "v", level).first()
+    assert alpha([(1, "x", "a"), (1, "y", "a"), (2, "x", "b"), (2, "y", "b")]).alpha == 1.0
+    assert alpha([(1, "x", "a"), (1, "y", "a")]).alpha == 1.0  # one label
+    half = alpha([(1, "x", "a"), (1, "y", "a"), (2, "x", "a"), (2, "y", "b")])
+    assert half.alpha == pytest.approx(2 / 3) and half.band == "acceptable"
+    # The last value of an annotator counts; units of one annotator don't.
+    assert alpha([(1, "x", "b"), (1, "x", "a"), (1, "y", "a"), (2, "x", "a"), (2, "y", "b"), (3, "x", "c")]).alpha == pytest.approx(2 / 3)
+    assert alpha([(1, "x", "a"), (2, "y", "b")]).band == "insufficient_data"
+    assert alpha([(1, "x", "a"), (1, "y", "c"), (2, "x", "b"), (2, "y", "b")], "ordinal").alpha == pytest.approx(0.5)
+    pairs = st.pairwise_agreement(frame([(1, "x", None), (1, "y", None), (2, "x", "a"), (2, "y", "a"), (3, "z", "a")]), "u", "annotator_id", "v").orderBy("a1", "a2").collect()
+    assert [(r.a1, r.a2, r.shared, r.agreed) for r in pairs] == [("x", "y", 1, 1), ("x", "z", 0, 0), ("y", "z", 0, 0)]
 
 
 def test_bootstrap(spark):

@@ -95,6 +95,26 @@ def propagation(baseline: Column, perturbed: Column, start: Column) -> Column:
     return F.struct(F.size(divergent).alias("depth"), divergent.alias("divergent"), F.filter(places, lambda i: ~differs(i)).alias("convergent"))
 
 
+#: Where a step's output is looked for, in order, and how far numbers may be apart.
+OUTPUT_FIELDS, NUMBER_TOLERANCE = ("observation", "extracted_value", "tool_output", "content"), 0.001
+
+
+def step_output(step_json: Column) -> Column:
+    """The first of the output fields that a step (JSON) has, as a variant, also if it is null there."""
+    v = F.try_parse_json(step_json)
+    return F.coalesce(*[F.try_variant_get(v, f"$.{name}", "variant") for name in OUTPUT_FIELDS])
+
+
+def outputs_differ(a: Column, b: Column) -> Column:
+    """Whether two outputs (variants) differ: texts trimmed and in lower case, numbers by more than the tolerance, others as JSON."""
+    none = lambda x: x.isNull() | F.coalesce(F.is_variant_null(x), F.lit(False))
+    kind = lambda x: F.schema_of_variant(x)
+    text = lambda x: F.lower(strip(F.try_variant_get(x, "$", "string")))
+    number = lambda x: F.when(kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(x, "$", "double"))
+    out = F.when(none(a) & none(b), False).when(none(a) | none(b), True).when((kind(a) == "STRING") & (kind(b) == "STRING"), text(a) != text(b))
+    return out.when(number(a).isNotNull() & number(b).isNotNull(), F.abs(number(a) - number(b)) > NUMBER_TOLERANCE).otherwise(F.to_json(a) != F.to_json(b))
+
+
 #: Step types that are tool calls, and phrases of a retry.
 CALL_TYPES = ("tool_call", "tool_use", "action")
 RETRY_PHRASES = ("retry", "try again", "error", "failed", "let me try")

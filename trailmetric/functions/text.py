@@ -243,51 +243,192 @@ def a_is_baseline_md5(perturbation: Column, seed: int) -> Column:
 
 
 # -- judge output ------------------------------------------------------------
+#: Error types that a judge may name, and the sides of a pair.
+JUDGE_TYPES = ("planning", "tool_selection", "parameter", "data_reference", "other")
+ERROR_SIDES, PREFERENCES = ("A", "B", "neither", "both"), ("A", "B", "tie")
+PAIR_MODES = ("blinded_pair", "labeled_pair")
+
+
+def let(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def json_block(text: Column) -> Column:
-    """The JSON of an answer: a fenced block, or else what the outermost braces hold; null if there is none."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.nullif(F.when(fenced != "", fenced).otherwise(braces), F.lit(""))
-
-
-def judge_output(text: Column) -> Column:
-    """struct of typed fields with defaults and ``parse_status``: success, partial (a field is missing) or failed."""
-    v = F.try_parse_json(json_block(text))
-    get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    detected, confidence = get("error_detected", "boolean"), get("error_confidence", "double")
-    impact, failure = get("predicted_impact_score", "double"), get("predicted_failure_prob", "double")
-    kind = F.lower(get("predicted_error_type", "string"))
-    complete = detected.isNotNull() & confidence.isNotNull() & impact.isNotNull() & failure.isNotNull()
+    """The JSON of an answer: what a fence holds, then, unless that starts with a brace, what the outermost braces hold."""
+
+    def inner(t: Column) -> Column:
+        fence = lambda opening: F.coalesce(strip(F.nullif(F.regexp_extract(t, rf"(?s){opening}\s*(.*?)\s*```", 1), F.lit(""))), t)
+        return F.when(F.contains(t, F.lit("```json")), fence("```json")).when(F.contains(t, F.lit("```")), fence("```")).otherwise(t)
+
+    braces = lambda x: F.when(F.startswith(x, F.lit("{")), x).otherwise(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")), x))
+    return let(let(strip(text), inner), braces)
+
+
+def json_object(text: Column) -> Column:
+    """The object that a text is, null if it is none or goes on after it."""
+    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(text))
+
+
+class _Fields:
+    """Typed fields of a JSON object: a missing one takes its default, one that is there but can't be read is an error."""
+
+    def __init__(self, value: Column):
+        self.value = value
+
+    def raw(self, name: str) -> Column:
+        return F.try_variant_get(self.value, f"$.{name}", "variant")
+
+    def kind(self, name: str) -> Column:
+        """BOOLEAN, BIGINT, DOUBLE, DECIMAL.., STRING, VOID, OBJECT.. or ARRAY..; null if missing."""
+        return F.schema_of_variant(self.raw(name))
+
+    def text(self, name: str) -> Column:
+        return F.when(self.kind(name) == "STRING", F.try_variant_get(self.value, f"$.{name}", "string"))
+
+    def number(self, name: str, default: float) -> tuple[Column, Column]:
+        """(value, whether it can't be read)."""
+        found = F.try_variant_get(self.value, f"$.{name}", "double")
+        return F.when(self.raw(name).isNull(), F.lit(default)).otherwise(found), self.raw(name).isNotNull() & found.isNull()
+
+    def truth(self, name: str) -> Column:
+        """What is there and not false, zero, empty or null."""
+        kind, number = self.kind(name), F.try_variant_get(self.value, f"$.{name}", "double")
+        some = F.when(kind == "BOOLEAN", F.try_variant_get(self.value, f"$.{name}", "boolean")).when(kind == "STRING", self.text(name) != "").when(kind == "VOID", False)
+        some = some.when(number.isNotNull(), number != 0).otherwise(~F.to_json(self.raw(name)).isin("{}", "[]"))
+        return F.coalesce(some, F.lit(False))
+
+
+def held(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+
+
+def judge_output(text: Column, mode: str = "single") -> Column:
+    """struct of a judge's answer by mode (single, blinded_pair, labeled_pair) and ``parse_status``.
+
+    detection, localization (only of a detected error), impact and pair comparison (only in a pair mode) are each null if
+    a field of theirs can't be read, which makes the answer partial; without JSON it is failed and all take defaults.
+    """
+    return let(let(json_block(text), json_object), lambda v: _judged(v, mode))
+
+
+def _judged(v: Column, mode: str) -> Column:
+    fields = _Fields(v)
+    if mode == "blinded_pair":
+        (a, bad_a), (b, bad_b) = fields.number("overall_score_a", 0), fields.number("overall_score_b", 0)
+        score, bad_score = (a + b) / 2, bad_a | bad_b
+    else:
+        score, bad_score = fields.number("overall_score", 0)
+    confidence, bad_confidence = fields.number("error_confidence", 0)
+    detected = fields.truth("error_detected")
+    detection = F.struct(held(score, 0, 100).alias("overall_score"), detected.alias("error_detected"), held(confidence, 0, 1).alias("error_confidence"))
+
+    step, kind = F.try_variant_get(v, "$.predicted_error_step", "double"), fields.kind("predicted_error_step")
+    bad_step = (kind != "VOID") & (step.isNull() | (kind == "STRING") & ~fields.text("predicted_error_step").rlike(r"^\s*[+-]?\d+\s*$"))
+    sure, bad_sure = fields.number("localization_confidence", 0)
+    sure = F.when(fields.kind("localization_confidence") != "VOID", held(sure, 0, 1))
+    said = fields.text("predicted_error_type")
+    named = F.when(said.isin(*JUDGE_TYPES) | (said == ""), said).when(fields.truth("predicted_error_type"), "other")
+    localization = F.struct(step.cast("int").alias("predicted_error_step"), sure.alias("localization_confidence"), named.alias("predicted_error_type"))
+
+    impact_score, bad_impact = fields.number("impact_estimate" if mode == "labeled_pair" else "predicted_impact_score", 0)
+    failure, bad_failure = fields.number("predicted_failure_prob", 0)
+    first = lambda *names: F.coalesce(*[F.nullif(fields.text(n), F.lit("")) for n in names])
+    impact = F.struct(
+        held(impact_score / 3 if mode == "labeled_pair" else impact_score, 0, 1).alias("predicted_impact_score"),
+        held(failure, 0, 1).alias("predicted_failure_prob"),
+        first("impact_explanation", "explanation").alias("impact_explanation"),
+    )
+
+    def side(name: str, known: tuple[str, ...]) -> Column:
+        said = fields.text(name)
+        said = F.when(said.isin("a", "b"), F.upper(said)).otherwise(said)
+        return F.when(said.isin(*known), said)
+
+    pair = F.struct(side("error_trajectory", ERROR_SIDES).alias("error_trajectory"), side("preference", PREFERENCES).alias("preference"), first("comparison_explanation", "explanation").alias("comparison_explanation"))
+    none = lambda bad: F.coalesce(bad, F.lit(False))
+    # A JSON null is there but can't be read as a number; where a field may be null it counts as missing.
+    bad_detection = none(bad_score | bad_confidence)
+    looks = ~bad_detection & detected
+    bad_localization = looks & none(bad_step | (bad_sure & (fields.kind("localization_confidence") != "VOID")))
+    bad_impacts = none(bad_impact | bad_failure)
     return F.struct(
-        F.coalesce(detected, F.lit(False)).alias("error_detected"),
-        unit(F.coalesce(confidence, F.lit(0.0))).alias("error_confidence"),
-        get("predicted_step", "string").alias("predicted_step"),
-        F.when(kind.isin("planning", "tool_selection", "parameter", "data_reference"), kind).when(kind.isNotNull(), "other").alias("predicted_error_type"),
-        unit(F.coalesce(impact, F.lit(0.0))).alias("predicted_impact_score"),
-        unit(F.coalesce(failure, F.lit(0.0))).alias("predicted_failure_prob"),
-        F.when(v.isNull(), "failed").when(complete, "success").otherwise("partial").alias("parse_status"),
+        F.when(~bad_detection, detection).alias("detection"),
+        F.when(looks & ~bad_localization, localization).alias("localization"),
+        F.when(~bad_impacts, impact).alias("impact"),
+        (pair if mode in PAIR_MODES else F.lit(None).cast("struct<error_trajectory: string, preference: string, comparison_explanation: string>")).alias("pair_comparison"),
+        F.when(v.isNull(), "failed").when(bad_detection | bad_localization | bad_impacts, "partial").otherwise("success").alias("parse_status"),
+    )
+
+
+#: Levels of a step error in a trajectory judge's answer.
+SEVERITIES = ("critical", "major", "minor", "none")
+
+
+def trajectory_judgment(text: Column) -> Column:
+    """struct of a trajectory judge's answer, null if there is no JSON or one of its required fields is missing.
+
+    A fence is taken off, but no braces are looked for; step errors that lack a field are left out.
+    """
+
+
+    def inner(t: Column) -> Column:
+        fence = lambda opening: strip(F.regexp_extract(t, rf"(?s){opening}(.*?)```", 1))
+        return F.when(F.contains(t, F.lit("```json")), fence("```json")).when(F.contains(t, F.lit("```")), fence("```")).otherwise(t)
+
+    return let(let(let(strip(text), inner), json_object), _trajectory_judged)
+
+
+def _trajectory_judged(v: Column) -> Column:
+    fields = _Fields(v)
+    whole = lambda name: fields.number(name, 0)[0].cast("int")
+    errors = F.from_json(F.to_json(fields.raw("step_errors")), "array<struct<step_index: int, error_type: string, severity: string, description: string, impacts_task_success: boolean>>")
+    good = lambda e: e["step_index"].isNotNull() & e["error_type"].isNotNull() & e["severity"].isin(*SEVERITIES) & e["description"].isNotNull()
+    out = F.struct(
+        *[whole(n).alias(n) for n in ("task_success", "efficiency_errors", "hallucination", "sycophancy")],
+        *[fields.number(n, 0)[0].alias(n) for n in ("completeness", "overall_score")],
+        F.coalesce(F.filter(errors, good), F.expr("array()")).alias("step_errors"),
+        F.coalesce(fields.text("reasoning"), F.lit("")).alias("reasoning"),
     )
+    needed = [F.try_variant_get(fields.value, f"$.{n}", "double").isNotNull() for n in ("task_success", "completeness", "overall_score")]
+    return F.when(reduce(lambda a, b: a & b, needed), out)
+
+
+def step_at(display: Column, steps: Column) -> Column:
+    """The canonical id of the step shown under a number: by its own display index, else by its place."""
+    name = lambda s: F.coalesce(F.nullif(s["canonical_step_id"], F.lit("")), s["step_id"])
+    shown = F.filter(steps, lambda s: s["display_step_index"] == display)
+    placed = F.when(display.between(1, F.size(steps)), name(F.get(steps, display - 1)))
+    return F.when(F.size(shown) > 0, name(F.get(shown, 0))).otherwise(placed)
 
 
 def output_errors(out: Column) -> Column:
-    """Names of what is wrong with a judge output."""
-    wrong = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), name)
+    """Names of what is wrong with a judge output of ``judge_output``."""
+    wrong = lambda bad, name: F.when(F.coalesce(bad, F.lit(False)), name)
     return F.array_compact(
         F.array(
             wrong(out["parse_status"] == "failed", "unparsed"),
-            wrong(~out["error_confidence"].between(0, 1), "error_confidence"),
-            wrong(~out["predicted_impact_score"].between(0, 1), "predicted_impact_score"),
-            wrong(out["error_detected"] & out["predicted_step"].isNull(), "predicted_step"),
+            wrong(out["detection"].isNull(), "detection"),
+            wrong(out["impact"].isNull(), "impact"),
+            wrong(out["detection"]["error_detected"] & out["localization"].isNull(), "localization"),
+            wrong(~out["detection"]["overall_score"].between(0, 100), "overall_score"),
         )
     )
 
 
 def class_matches(text: Column) -> Column:
-    """1 or 0 from a validator's answer, bool, word or number; 1 if it can't be read."""
-    v = F.try_parse_json(json_block(text))
-    said = F.lower(F.coalesce(F.try_variant_get(v, "$.matches", "string"), F.try_variant_get(v, "$.match", "string")))
-    return F.when(said.isin("true", "yes", "1"), 1).when(said.isin("false", "no", "0"), 0).otherwise(1)
+    """1 or 0 from a validator's ``class_matches``: true, 1 or yes, or a number above 0; 0 if it is missing, 1 if the answer can't be read."""
+    part = lambda opening: F.get(F.split(F.get(F.split(text, opening), 1), "```"), 0)
+    tries = [text, part("```json"), part("```"), F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))]
+    return let(F.coalesce(*map(json_object, tries)), _class_matched)
+
+
+def _class_matched(v: Column) -> Column:
+    fields = _Fields(v)
+    number = F.try_variant_get(v, "$.class_matches", "double")
+    said = F.when(fields.kind("class_matches") == "STRING", F.lower(fields.text("class_matches")).isin("1", "true", "yes").cast("int"))
+    said = said.when(fields.kind("class_matches") == "BOOLEAN", F.try_variant_get(v, "$.class_matches", "boolean").cast("int")).otherwise((F.coalesce(number, F.lit(0.0)) >= 1).cast("int"))
+    return F.when(v.isNull(), 1).otherwise(said)
 
 
 def rendered(template: Column, values: dict[str, Column]) -> Column:

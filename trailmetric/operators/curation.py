@@ -126,22 +126,34 @@ def with_clean_steps(df: DataFrame) -> DataFrame:
     return df.withColumn("steps_before", before).withColumn("steps", cleaned_steps(F.col("steps"))).withColumn("steps_removed", F.col("steps_before") - F.size("steps"))
 
 
-def parameters_everywhere(steps: Column, extra=None) -> Column:
-    """Whether each third of the steps has a tool step with parameters (and, with ``extra``, one that meets it)."""
-    n = F.size(steps)
+def position_ranges(n: Column) -> dict[str, tuple[Column, Column]]:
+    """First and last step number of the early, middle and late part; short trajectories have parts that overlap."""
+    third = F.floor(n / 3).cast("int")
+    return {
+        "early": (F.lit(1), F.greatest(F.lit(2), third)),
+        "middle": (F.when(n <= 3, 2).otherwise(third + 1), F.when(n <= 3, 2).otherwise(third * 2)),
+        "late": (F.greatest(n - 1, n - third, F.lit(1)), n),
+    }
 
-    def in_third(k: int) -> Column:
-        inside = F.filter(steps, lambda s, i: (F.floor(i * 3 / n) == k))
-        ok = lambda s: (F.coalesce(s["tool_name"], F.lit("")) != "") & (s["tool_name"] != "Finish") & _some(s["tool_input"]) & (F.lit(True) if extra is None else extra(s))
-        return F.exists(inside, lambda s: F.coalesce(ok(s), F.lit(False)))
 
-    return F.when(n > 0, in_third(0) & in_third(1) & in_third(2)).otherwise(False)
+def parameters_everywhere(steps: Column, extra=None) -> Column:
+    """Whether each part of the steps has one, not Finish, with parameters; with ``extra``, one that meets it instead."""
+    n = F.size(steps)
+    good = lambda s: (F.coalesce(s["tool_name"], F.lit("")) != "Finish") & (_some(s["tool_input"]) if extra is None else extra(s))
+    has = lambda low, high: F.exists(steps, lambda s: F.coalesce(s["step_number"].between(low, high) & good(s), F.lit(False)))
+    early, middle, late = position_ranges(n).values()
+    return F.when(n > 0, has(*early) & has(*middle) & has(*late)).otherwise(False)
 
 
 def diverse_tools(df: DataFrame, substitutes: DataFrame) -> DataFrame:
-    """Rows in each third of whose steps some tool has a substitute; ``substitutes`` (tool, ...) is a catalogue."""
-    known = substitutes.agg(F.collect_set("tool").alias("_known"))  # as many as the catalogue has tools
-    return df.join(known).filter(parameters_everywhere(F.col("steps"), lambda s: F.array_contains("_known", s["tool_name"]))).drop("_known")
+    """Rows in each part of whose steps some tool has a substitute; ``substitutes`` (tool, ...) is a catalogue.
+
+    Tools are looked up by a join of those that occur, so the catalogue may be of any size.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id()) if "trajectory_id" not in df.columns else df.withColumn("_row", F.col("trajectory_id"))
+    used = rows.select("_row", F.explode("steps.tool_name").alias("tool")).distinct().join(substitutes.select("tool").distinct(), "tool", "left_semi")
+    known = used.groupBy("_row").agg(F.collect_set("tool").alias("_known"))  # as many as a trajectory has tools
+    return rows.join(known, "_row").filter(parameters_everywhere(F.col("steps"), lambda s: F.array_contains("_known", s["tool_name"]))).select(*df.columns)
 
 
 def verified_baselines(df: DataFrame, responses: DataFrame, least: float, target: int | None = None) -> DataFrame:
@@ -154,5 +166,33 @@ def verified_baselines(df: DataFrame, responses: DataFrame, least: float, target
 
 
 def first_present(names: list[str], df: DataFrame) -> Column:
-    """The first of the columns that the frame has (nested ones by path)."""
-    return F.coalesce(*[F.col(n) for n in names if n.split(".")[0] in df.columns])
+    """The first of the columns that the frame has (nested ones by path), also if it is null there; null if it has none."""
+    for name in names:
+        head, *rest = name.split(".")
+        kind = df.schema[head].dataType if head in df.columns else None
+        for part in rest:
+            kind = kind[part].dataType if kind is not None and hasattr(kind, "names") and part in kind.names else None
+        if kind is not None:
+            return F.col(name)
+    return F.lit(None).cast("string")
+
+
+def loaded(df: DataFrame, benchmark: str, size: int | None = None, low: int | None = None, high: int | None = None, success: bool | None = None, difficulty: str | None = None, coverage: bool = False, quality: dict | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(sample, rejections) of parsed trajectories: step counts, success, difficulty and coverage, quality rules if given, then a seeded sample.
+
+    A rejected trajectory is logged with the first rule that it breaks; the sample is the first ``size`` by the hash of seed and id.
+    """
+    from .sampling import shuffled_head
+
+    n = F.size("steps")
+    rule = F.when(n < (low or 0), F.format_string("too_few_steps:%d", n)).when(n > (high or 1 << 30), F.format_string("too_many_steps:%d", n))
+    if success is not None:
+        rule = rule.when(~F.coalesce(F.col("ground_truth.task_success") == success, F.lit(False)), "task_success")
+    if difficulty is not None:
+        rule = rule.when(~F.coalesce(F.col("ground_truth.difficulty") == difficulty, F.lit(False)), "difficulty")
+    if coverage:
+        rule = rule.when(~parameters_everywhere(F.col("steps")), "parameter_coverage")
+    marked = reject_reason(df, benchmark, quality, enabled=quality is not None)
+    marked = marked.withColumn("reject_reason", F.coalesce(rule, "reject_reason"))
+    kept, log = split_rejected(marked)
+    return kept if size is None else shuffled_head(kept, "trajectory_id", size, seed), log

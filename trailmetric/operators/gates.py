@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
 EXAMPLES = 5
+REPORT = "gate string, status string, value double, threshold double, checked bigint, violations bigint, examples array<string>"
 
 #: Markers of synthetic values, short list of pipeline runs and long list of perturbation checks.
 MARKERS_SHORT = ("old", "mutated", "wrong", "backup", "test", "v1")
@@ -196,16 +197,19 @@ def output_parsability(df: DataFrame, row_id: str, output: str, least: float = 0
 
 
 def run_phase(phase: str, gates: list) -> DataFrame:
-    """One report of a phase's gates, given as functions of no argument; one that raises fails and the others go on."""
+    """One report of a phase's gates, given as functions of no argument; one that raises, when planned or run, fails and the others go on."""
     rows, failed = [], []
     for gate in gates:
         try:
-            rows.append(gate())
+            row = gate()
+            made = row.collect()  # a report's few rows
+            rows.append(row.sparkSession.createDataFrame(made, row.schema))
         except Exception as error:  # a gate's failure is a result
-            failed.append((getattr(gate, "__name__", str(gate)), str(error)))
-    report_ = reduce(DataFrame.unionByName, rows)
+            failed.append((getattr(gate, "__name__", str(gate)), str(error).split("\n")[0]))
+    spark = SparkSession.getActiveSession()
+    report_ = reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], REPORT)
     for name, error in failed:
-        one = report_.sparkSession.range(1).select(F.lit(name).alias("gate"), F.lit("fail").alias("status"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("checked"), F.lit(0).cast("bigint").alias("violations"), F.array(F.lit(error)).alias("examples"))
+        one = spark.range(1).select(F.lit(name).alias("gate"), F.lit("fail").alias("status"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("checked"), F.lit(0).cast("bigint").alias("violations"), F.array(F.lit(error)).alias("examples"))
         report_ = report_.unionByName(one)
     return report_.select(F.lit(phase).alias("phase"), "*")
 

@@ -110,7 +110,7 @@ DIMENSIONS = {
 def agreement_report(annotations: DataFrame, dimensions: dict[str, tuple[str, float]] = DIMENSIONS) -> DataFrame:
     """dimension, alpha, threshold, met; ``acceptable`` if four in five of those with an alpha are met, or there is none."""
     parts = [
-        pooled_alpha(annotations, "unit_id", d, level).filter("n_units > 0").select(F.lit(d).alias("dimension"), "alpha", "band", F.lit(t).alias("threshold"), (F.col("alpha") >= t).alias("met"))
+        pooled_alpha(annotations, "unit_id", d, level).select(F.lit(d).alias("dimension"), "alpha", "band", F.lit(t).alias("threshold"), (F.col("alpha") >= t).alias("met"))
         for d, (level, t) in dimensions.items()
         if d in annotations.columns
     ]

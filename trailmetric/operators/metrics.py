@@ -212,16 +212,27 @@ def detection_table(df: DataFrame) -> DataFrame:
 
 
 def judge_samples(df: DataFrame) -> DataFrame:
-    """Per unit and judge: mean and sample deviation (0 for one sample) of the impact, detected rate and modal step with its share.
+    """Per unit and judge over its samples: means and sample deviations (0 for one sample) of score, confidence, impact and failure, detected rate, modal step and type.
 
-    A tie of steps goes to the one seen first by sample number, then to the larger name.
+    Steps and types count from samples that detect an error; a tie goes to the one seen first by sample number. Without any
+    the mode is null and its share 0.
     """
-    votes = df.filter("predicted_step is not null").groupBy("unit_id", "judge_model", "predicted_step").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("first_seen"))
-    modal = votes.groupBy("unit_id", "judge_model").agg(F.max_by("predicted_step", F.struct("n", (-F.col("first_seen")).alias("f"), "predicted_step")).alias("modal_step"), (F.max("n") / F.sum("n")).alias("step_agreement"))
-    stats = df.groupBy("unit_id", "judge_model").agg(
-        F.count(F.lit(1)).alias("samples"), F.avg("predicted_impact").alias("mean_impact"), F.coalesce(F.stddev_samp("predicted_impact"), F.lit(0.0)).alias("std_impact"), F.avg(F.col("error_detected").cast("int")).alias("detected_rate")
+    by = ["unit_id", "judge_model"]
+    hits = df.filter("error_detected")
+
+    def modal(column: str, name: str) -> DataFrame:
+        votes = hits.filter(F.coalesce(F.col(column), F.lit("")) != "").groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("seen"))
+        return votes.groupBy(*by).agg(F.min_by(column, F.struct((-F.col("n")).alias("n"), "seen", column)).alias(f"modal_{name}"), (F.max("n") / F.sum("n")).alias(f"{name}_agreement"))
+
+    spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    measures = [("overall_score", "score"), ("error_confidence", "confidence"), ("predicted_impact", "impact"), ("predicted_failure_prob", "failure")]
+    stats = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.avg(F.col("error_detected").cast("int")).alias("detected_rate"),
+        *[f for c, name in measures for f in (F.avg(c).alias(f"mean_{name}"), spread(c).alias(f"std_{name}"))],
     )
-    return stats.join(modal, ["unit_id", "judge_model"], "left")
+    out = stats.join(modal("predicted_step", "step"), by, "left").join(modal("predicted_error_type", "type"), by, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("step_agreement", "type_agreement")})
 
 
 def call_log_stats(df: DataFrame) -> DataFrame:

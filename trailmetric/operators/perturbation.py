@@ -11,117 +11,220 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import impact_from_criticality
 
-# Classes and the families each may have.
-FAMILIES = {"placebo": ("placebo",), "fine_grained": ("data_reference", "parameter", "tool_selection"), "coarse_grained": ("structural", "tool_selection")}
+# Classes and the families each may have, families and their types.
+FAMILIES = {
+    "placebo": ("data_reference", "parameter"),
+    "fine_grained": ("data_reference", "parameter", "tool_selection"),
+    "coarse_grained": ("tool_selection", "structural", "terminal_flag"),
+}
 TYPES = {
-    "placebo": ("paraphrase", "formatting", "synonym", "reorder_args"),
-    "data_reference": ("wrong_value", "off_by_one", "typo", "copied_value"),
-    "parameter": ("threshold_shift", "query_drift", "wrong_parameter"),
+    "data_reference": ("wrong_value", "off_by_one", "typo_in_id", "wrong_field", "copied_value_error", "paraphrase", "formatting", "synonym"),
+    "parameter": ("threshold_shift", "query_drift", "wrong_parameter", "paraphrase", "formatting", "reorder_args"),
     "tool_selection": ("near_neighbor_tool", "wrong_tool_family"),
-    "structural": ("wrong_plan", "false_terminal", "premature_termination"),
+    "structural": ("wrong_plan", "wrong_branch", "hallucinated_dependency"),
+    "terminal_flag": ("premature_termination", "false_terminal"),
 }
+PLACEBO_TYPES = ("paraphrase", "formatting", "synonym", "reorder_args", "trivial_rename")
+# Fixed values of the mutations.
+LINE_SHIFTS = {"off_by_minus_1": -1, "off_by_plus_1": 1, "off_by_minus_5": -5, "off_by_plus_5": 5, "off_by_minus_10": -10, "off_by_plus_10": 10}
+FLOAT_SCALES = (0.9, 1.1, 0.95, 1.05)
+QUERY_WORDS = ("base", "large", "small", "v2", "latest", "old", "new")
+ENTITY_SWAPS = {"bert": "gpt", "gpt": "bert", "base": "large", "large": "base", "python": "java", "java": "python", "linux": "windows", "windows": "linux", "v1": "v2", "v2": "v1"}
+EXTENSIONS = {"py": "pyx", "js": "jsx", "ts": "tsx", "c": "cpp", "h": "hpp"}
+DOMAIN_TYPOS = {"google": "gogle", "github": "gitub", "stackoverflow": "stackoverfow"}
+
+
+def draw(seed: int, key: Column, salt: str, n: int | Column) -> Column:
+    """0 .. n - 1, by the MD5 of seed, key and salt."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(salt)))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def draw(seed: int, key: Column, salt: str, n: int) -> Column:
-    """0 .. n - 1."""
-    return F.pmod(F.xxhash64(F.lit(seed), key.cast("string"), F.lit(salt)), F.lit(n)).cast("int")
+def _made(value: Column, method: str | Column) -> Column:
+    return F.struct(value.cast("string").alias("value"), (F.lit(method) if isinstance(method, str) else method).alias("method"))
 
 
-def _made(value: Column, method: str) -> Column:
-    return F.struct(value.alias("value"), F.lit(method).alias("method"))
+def _first(*options: tuple[Column, Column]) -> Column:
+    """The value of the first condition that holds."""
+    out = F.when(options[0][0], options[0][1])
+    for condition, value in options[1:]:
+        out = out.when(condition, value)
+    return out
 
 
 def pick(seed: int, key: Column, salt: str, options: list[Column]) -> Column:
     return F.get(F.array(*options), draw(seed, key, salt, len(options)))
 
 
+def swapped(text: Column, at: Column) -> Column:
+    """The text with the characters at the 0-based place and after it changed over."""
+    return F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + 2, F.lit(1)), F.substring(text, at + 1, F.lit(1)), F.substring(text, at + 3, F.length(text)))
+
+
+def _number(value: Column) -> Column:
+    """A whole number: text of digits alone."""
+    return F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value.try_cast("bigint"))
+
+
 def wrong_integer(value: Column, seed: int, key: Column) -> Column:
-    """Up or down by a fifth, but 2 at least."""
-    n = value.try_cast("bigint")
-    by = F.greatest(F.lit(2), F.floor(F.abs(n) / 5))
-    return _made(pick(seed, key, "int", [n + by, n - by]).cast("string"), "wrong_value")
+    """One, two or ten up or down, or two neighbouring digits changed over (one digit: one up)."""
+    n, how, up = _number(value), draw(seed, key, "int", 4), draw(seed, key, "sign", 2) * 2 - 1
+    offset = up * F.get(F.array(F.lit(1), F.lit(2), F.lit(10)), how)
+    digits = F.abs(n).cast("string")
+    turned = swapped(digits, draw(seed, key, "digit", F.greatest(F.length(digits) - 1, F.lit(1)))).cast("bigint") * F.when(n < 0, -1).otherwise(1)
+    shifted = _made(n + offset, F.concat(F.lit("offset_"), F.when(offset > 0, "+").otherwise(""), offset.cast("string")))
+    return _first((n.isNull(), _made(F.lit(None), "skip_unparseable")), (how < 3, shifted), (F.length(digits) >= 2, _made(turned, "digit_swap"))).otherwise(_made(n + 1, "offset_+1"))
 
 
 def off_by_one(value: Column, seed: int, key: Column) -> Column:
-    n = value.try_cast("bigint")
-    return _made(F.when(n == 0, n + 1).otherwise(pick(seed, key, "obo", [n + 1, n - 1])).cast("string"), "off_by_one")
+    n = _number(value)
+    return _made(n + draw(seed, key, "obo", 2) * 2 - 1, "off_by_one")
 
 
-def scaled(value: Column, seed: int, key: Column) -> Column:
-    """Ten times or a tenth."""
-    x = value.try_cast("double")
-    return _made(F.when(x != 0, pick(seed, key, "scale", [x * 10, x / 10])).cast("string"), "threshold_shift")
+def wrong_line(value: Column, seed: int, key: Column) -> Column:
+    n, how = _number(value), draw(seed, key, "line", len(LINE_SHIFTS))
+    shift, name = F.get(F.array(*map(F.lit, LINE_SHIFTS.values())), how), F.get(F.array(*map(F.lit, LINE_SHIFTS)), how)
+    return F.when(n.isNull(), _made(value, "no_mutation")).otherwise(_made(F.greatest(F.lit(1), n + shift), name))
 
 
-def typo(value: Column, seed: int, key: Column) -> Column:
-    """Two neighbouring characters change places; texts of under 3 or of one repeated character don't apply."""
-    n = F.length(value)
-    at = F.pmod(F.xxhash64(F.lit(seed), key.cast("string"), F.lit("typo")), F.greatest(n - 1, F.lit(1))).cast("int") + 1
-    moved = F.concat(F.substring(value, F.lit(1), at - 1), F.substring(value, at + 1, F.lit(1)), F.substring(value, at, F.lit(1)), F.substring(value, at + 2, n))
-    return _made(F.when((n >= 3) & (moved != value), moved), "adjacent_swap")
+def wrong_float(value: Column, seed: int, key: Column) -> Column:
+    """Up to a tenth off, scaled, or rounded."""
+    x, how, scale = value.try_cast("double"), draw(seed, key, "float", 3), draw(seed, key, "scale", len(FLOAT_SCALES))
+    by = F.get(F.array(*map(F.lit, FLOAT_SCALES)), scale)
+    offset = F.when(x == 0, 0.01).otherwise((draw(seed, key, "share", 2001) - 1000) / 10000 * F.abs(x))
+    return _first((x.isNull(), _made(value, "no_mutation")), (how == 0, _made(F.bround(x + offset, 4), "small_offset")), (how == 1, _made(F.bround(x * by, 4), F.concat(F.lit("scale_"), by.cast("string"))))).otherwise(_made(F.bround(x, 1), "reduce_precision"))
 
 
 def wrong_path(value: Column, seed: int, key: Column) -> Column:
-    """Another file in the folder, of the same ending."""
-    folder, name = F.regexp_extract(value, r"^(.*/)?([^/]*)$", 1), F.regexp_extract(value, r"^(.*/)?([^/]*)$", 2)
-    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    other = pick(seed, key, "path", [F.lit("utils"), F.lit("config"), F.lit("helpers"), F.lit("main")])
-    return _made(F.when(value != "", F.concat(folder, F.when(stem == other, F.lit("core")).otherwise(other), ending)), "wrong_file")
+    """A character moved on, another extension, two folders changed over, or an underscore in a wrong place."""
+    how, base, ext = draw(seed, key, "path", 4), F.regexp_extract(value, r"(?s)^(.*)\.([^.]*)$", 1), F.regexp_extract(value, r"(?s)^(.*)\.([^.]*)$", 2)
+    dotted, parts = F.contains(value, F.lit(".")), F.split(value, "/")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)).rlike("[A-Za-z0-9]"))
+    at = F.get(places, draw(seed, key, "char", F.greatest(F.size(places), F.lit(1))))
+    ch = F.substring(value, at, F.lit(1))
+    code = F.ascii(ch)
+    other = F.when(ch.rlike("[0-9]"), ((ch.cast("int") + 1) % 10).cast("string")).when(F.lower(ch) < "z", F.char(code + 1)).otherwise(F.char(code - 1))
+    moved = F.concat(F.substring(value, F.lit(1), at - 1), other, F.substring(value, at + 1, F.length(value)))
+    renamed = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), ext), F.concat(ext, F.lit("x")))
+    i = draw(seed, key, "folder", F.greatest(F.size(parts) - 2, F.lit(1)))
+    turned = F.array_join(F.transform(parts, lambda p, k: F.when(k == i, F.get(parts, i + 1)).when(k == i + 1, F.get(parts, i)).otherwise(p)), "/")
+    return _first(
+        ((how == 0) & (F.length(value) > 3) & (F.size(places) > 0), _made(moved, "char_substitution")),
+        ((how == 1) & dotted, _made(F.concat_ws(".", base, renamed), "extension_change")),
+        ((how == 2) & (F.size(parts) >= 3), _made(turned, "dir_swap")),
+        (F.contains(value, F.lit("_")), _made(F.regexp_replace(value, r"^([^.]*)\.", "$1_"), "underscore_typo")),
+        (dotted, _made(F.concat(base, F.lit("_."), ext), "trailing_underscore")),
+    ).otherwise(_made(F.concat(value, F.lit("_")), "append_underscore"))
 
 
-def wrong_line(value: Column, seed: int, key: Column) -> Column:
-    n = value.try_cast("bigint")
-    return _made(F.greatest(F.lit(1), n + pick(seed, key, "line", [F.lit(5), F.lit(-5), F.lit(10), F.lit(-10)])).cast("string"), "line_shift")
+def query_drift(value: Column, seed: int, key: Column) -> Column:
+    """A word more, one less, an entity for its like, or a word a little changed."""
+    words, how = F.filter(F.split(F.trim(value), r"\s+"), lambda w: w != ""), draw(seed, key, "query", 4)
+    n = F.size(words)
+    at, gap = draw(seed, key, "word", F.greatest(n, F.lit(1))), draw(seed, key, "gap", n + 1)
+    more = F.concat(F.slice(words, F.lit(1), gap), F.array(pick(seed, key, "more", [F.lit(w) for w in QUERY_WORDS])), F.slice(words, gap + 1, n + 1))
+    word = F.get(words, at)
+    joined = lambda x: F.array_join(x, " ")
+    put = lambda new: joined(F.transform(words, lambda w, k: F.when(k == at, new).otherwise(w)))
+    swaps = F.create_map(*[F.lit(x) for kv in ENTITY_SWAPS.items() for x in kv])
+    known = F.filter(F.transform(words, lambda w, k: F.when(F.map_contains_key(swaps, F.lower(w)), k)), lambda k: k.isNotNull())
+    entity = F.get(words, F.get(known, 0))
+    like = F.element_at(swaps, F.lower(entity))
+    like = F.when(F.substring(entity, 1, 1) != F.lower(F.substring(entity, 1, 1)), F.initcap(like)).otherwise(like)
+    for_entity = joined(F.transform(words, lambda w, k: F.when(k == F.get(known, 0), like).otherwise(w)))
+    shorter = F.substring(word, F.lit(1), F.length(word) - 1)
+    return _first(
+        (n == 0, _made(F.concat(value, F.lit(" extra")), "append_word")),
+        ((how == 0) | (n == 1), _made(joined(more), "add_word")),
+        ((how == 1) & (n > 2), _made(joined(F.concat(F.slice(words, F.lit(1), at), F.slice(words, at + 2, n))), F.concat(F.lit("remove_word_"), word))),
+        ((how == 2) & (F.size(known) > 0), _made(for_entity, F.concat(F.lit("swap_entity_"), F.lower(entity), F.lit("_to_"), like))),
+        (how == 2, _made(put(F.when(F.endswith(word, F.lit("s")), shorter).otherwise(F.concat(word, F.lit("s")))), "pluralize_word")),
+    ).otherwise(_made(put(F.when(F.length(word) > 2, shorter).otherwise(F.concat(word, F.lit("s")))), F.concat(F.lit("modify_word_"), word)))
 
 
-def wrong_float(value: Column, seed: int, key: Column) -> Column:
-    x = value.try_cast("double")
-    return _made((x * pick(seed, key, "float", [F.lit(1.1), F.lit(0.9), F.lit(1.5), F.lit(0.5)])).cast("string"), "float_shift")
+def wrong_identifier(value: Column, seed: int, key: Column) -> Column:
+    """A digit or number at the end, or a number in it one up or down."""
+    how, digit, number, by = draw(seed, key, "ident", 3), draw(seed, key, "digit", 10), draw(seed, key, "number", 99) + 1, draw(seed, key, "by", 2) * 2 - 1
+    tail, inner = F.regexp_extract(value, r"(\d+)$", 1), F.regexp_extract(value, r"(\d+)", 1)
+    step = lambda x: (x.try_cast("bigint") + by).cast("string")
+    at = F.instr(value, inner)
+    embedded = F.concat(F.substring(value, F.lit(1), at - 1), step(inner), F.substring(value, at + F.length(inner), F.length(value)))
+    return _first(
+        ((how == 0) & (tail != ""), _made(F.concat(value, digit), "append_digit")),
+        (how == 0, _made(F.concat(value, F.lit("_"), number), "append_number")),
+        ((how == 1) & (tail != ""), _made(F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(tail)), step(tail)), "increment_suffix")),
+        (how == 1, _made(F.concat(value, F.lit("_1")), "add_suffix_number")),
+        (inner != "", _made(embedded, "change_embedded_number")),
+    ).otherwise(_made(F.concat(value, F.lit("_v2")), "append_version"))
+
+
+def wrong_entity(value: Column, seed: int, key: Column) -> Column:
+    digit = draw(seed, key, "entity", 9) + 1
+    named = F.when(F.contains(value, F.lit("_")), "append_digit_to_name").when(F.substring(value, 2, 1000).rlike("[A-Z]"), "append_version").otherwise("append_digit")
+    return _made(F.when(named == "append_version", F.concat(value, F.lit("V2"))).otherwise(F.concat(value, digit)), named)
+
+
+def wrong_url(value: Column, seed: int, key: Column) -> Column:
+    """A path segment cut by a sign, a usual slip in the host, or one more parameter."""
+    how, parts = draw(seed, key, "url", 3), F.split(value, "/")
+    at = F.lit(3) + draw(seed, key, "segment", F.greatest(F.size(parts) - 3, F.lit(1)))
+    cut = lambda p: F.when(F.length(p) > 1, F.substring(p, F.lit(1), F.length(p) - 1)).when(p != "", F.concat(p, F.lit("s"))).otherwise(p)
+    path = F.array_join(F.transform(parts, lambda p, k: F.when(k == at, cut(p)).otherwise(p)), "/")
+    hosts = [((how == 1) & F.contains(F.lower(value), F.lit(right)), _made(F.replace(value, F.lit(right), F.lit(wrong)), f"domain_typo_{right}")) for right, wrong in DOMAIN_TYPOS.items()]
+    return _first(((how == 0) & F.contains(value, F.lit("/")), _made(path, "path_typo")), *hosts, (F.contains(value, F.lit("?")), _made(F.concat(value, F.lit("&extra=1")), "add_param"))).otherwise(_made(F.concat(value, F.lit("?v=1")), "add_query_param"))
 
 
 def wrong_ipv4(value: Column, seed: int, key: Column) -> Column:
     parts = F.split(value, r"\.")
-    last = F.pmod(F.get(parts, 3).try_cast("int") + 1 + draw(seed, key, "ip", 9), F.lit(256))
-    return _made(F.concat_ws(".", F.slice(parts, 1, 3), last.cast("string")), "octet_shift")
+    last = (_number(F.get(parts, 3)) + draw(seed, key, "ip", 10) + 1) % 256
+    return F.when((F.size(parts) == 4) & last.isNotNull(), _made(F.concat_ws(".", F.slice(parts, 1, 3), last.cast("string")), "change_last_octet")).otherwise(_made(F.concat(value, F.lit(".1")), "append_octet"))
 
 
 def wrong_date(value: Column, seed: int, key: Column) -> Column:
-    day = F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))
-    return _made(F.date_format(F.date_add(day, pick(seed, key, "date", [F.lit(1), F.lit(-1), F.lit(7), F.lit(30)])), "yyyy-MM-dd"), "date_shift")
+    """Day, month or year of an ISO date moved; other dates don't apply."""
+    how, part = draw(seed, key, "date", 3), lambda g: F.regexp_extract(value, r"^(\d{4})-(\d{2})-(\d{2})", g).try_cast("int")
+    year, month, day = part(1), part(2), part(3)
+    made = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
+    new_day, new_month = (day + draw(seed, key, "days", 5)) % 28 + 1, (month + draw(seed, key, "months", 3)) % 12 + 1
+    return _first(
+        (year.isNull(), _made(F.lit(None), "skip_unparseable_date")),
+        (how == 0, _made(made(year, month, new_day), "change_day")),
+        (how == 1, _made(made(year, new_month, day), "change_month")),
+    ).otherwise(_made(made(year + draw(seed, key, "years", 2) * 2 - 1, month, day), "change_year"))
 
 
 def flipped(value: Column) -> Column:
-    return _made(F.when(F.lower(value) == "true", "false").when(F.lower(value) == "false", "true"), "flip")
-
-
-def wrong_url(value: Column, seed: int, key: Column) -> Column:
-    return _made(F.when(value.rlike("^https?://"), F.regexp_replace(value, r"(/[^/?#]*)?([?#].*)?$", pick_text(seed, key, "url", ("/index", "/home", "/api")))), "wrong_path")
+    low = F.lower(value)
+    return F.when(low.isin("true", "false"), _made(F.when(low == "true", "false").otherwise("true"), "flip_boolean_string")).otherwise(_made(value, "no_mutation"))
 
 
-def pick_text(seed: int, key: Column, salt: str, options: tuple[str, ...]) -> Column:
-    return pick(seed, key, salt, [F.lit(o) for o in options])
-
+def wrong_text(value: Column, seed: int, key: Column) -> Column:
+    """Two neighbouring characters changed over, another case, or the last character gone."""
+    how, n = draw(seed, key, "text", 3), F.length(value)
+    other = F.when(value == F.lower(value), F.upper(value)).when(value == F.upper(value), F.lower(value)).otherwise(F.translate(value, _LOWER + _UPPER, _UPPER + _LOWER))
+    lower, upper = (value == F.lower(value)) & value.rlike("[a-z]"), (value == F.upper(value)) & value.rlike("[A-Z]")
+    named = F.when(lower, "to_upper").when(upper, "to_lower").otherwise("swap_case")
+    return _first(
+        (n == 0, _made(F.lit("_"), "replace_empty")),
+        ((how == 0) & (n > 2), _made(swapped(value, draw(seed, key, "place", F.greatest(n - 1, F.lit(1)))), "adjacent_char_swap")),
+        (how == 1, _made(other, named)),
+        (n > 3, _made(F.substring(value, F.lit(1), n - 1), "truncate_last")),
+    ).otherwise(_made(F.concat(value, F.lit("_")), "append_underscore"))
 
-def query_drift(value: Column, seed: int, key: Column) -> Column:
-    """The last word of several goes, or one is put after a single one."""
-    words = F.split(F.trim(value), r"\s+")
-    shorter = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " ")
-    return _made(F.when(F.size(words) > 1, shorter).otherwise(F.concat_ws(" ", value, pick_text(seed, key, "query", ("overview", "history", "example")))), "query_drift")
 
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-def wrong_identifier(value: Column, seed: int, key: Column) -> Column:
-    return _made(F.when(value != "", F.concat(value, pick_text(seed, key, "ident", ("_list", "_info", "_id")))), "identifier_suffix")
 
-
-def wrong_text(value: Column, seed: int, key: Column) -> Column:
-    swapped = typo(value, seed, key)["value"]
-    return _made(F.coalesce(swapped, F.when(value != "", F.concat(value, value))), "string_change")
+def typo(value: Column, seed: int, key: Column) -> Column:
+    """Two neighbouring characters changed over; texts under 3 don't apply."""
+    n = F.length(value)
+    return _made(F.when(n >= 3, swapped(value, draw(seed, key, "typo", F.greatest(n - 1, F.lit(1))))), "adjacent_char_swap")
 
 
 def mutated(value_type: Column, value: Column, seed: int, key: Column) -> Column:
@@ -132,23 +235,35 @@ def mutated(value_type: Column, value: Column, seed: int, key: Column) -> Column
         (("float", "latitude", "longitude"), wrong_float(value, seed, key)),
         (("filepath",), wrong_path(value, seed, key)),
         (("search_query",), query_drift(value, seed, key)),
-        (("identifier", "entity"), wrong_identifier(value, seed, key)),
+        (("identifier",), wrong_identifier(value, seed, key)),
+        (("entity", "entity_name"), wrong_entity(value, seed, key)),
         (("url", "api_endpoint"), wrong_url(value, seed, key)),
         (("ipv4",), wrong_ipv4(value, seed, key)),
         (("date",), wrong_date(value, seed, key)),
         (("boolean",), flipped(value)),
+        (("string",), wrong_text(value, seed, key)),
     ):
         out = out.when(value_type.isin(*kinds), made)
-    return out.otherwise(wrong_text(value, seed, key))
+    return out.otherwise(typo(value, seed, key))
+
+
+def pick_text(seed: int, key: Column, salt: str, options: tuple[str, ...]) -> Column:
+    return pick(seed, key, salt, [F.lit(o) for o in options])
 
 
 def copied_values(slots: DataFrame) -> DataFrame:
-    """Adds ``copied``: the value of the first other step's slot of the same type with another value, or null."""
-    a = slots
-    b = slots.select(F.col("trajectory_id").alias("t"), F.col("value_type").alias("k"), F.col("step_index").alias("at"), F.col("slot").alias("os"), F.col("value").alias("ov"))
-    hit = a.join(b, (F.col("trajectory_id") == F.col("t")) & (F.col("value_type") == F.col("k")) & (F.col("at") != F.col("step_index")) & (F.col("ov") != F.col("value")))
-    first = hit.groupBy("trajectory_id", "step_index", "slot").agg(F.min_by("ov", F.struct("at", "os")).alias("copied"))
-    return a.join(first, ["trajectory_id", "step_index", "slot"], "left")
+    """Adds ``copied``: the value of the first other step's slot of the same type with another value, or null.
+
+    That is the type's first value, or for slots that have it themselves the first that differs from it: two window values
+    instead of a join of a type's slots with themselves.
+    """
+    kind = Window.partitionBy("trajectory_id", "value_type")
+    order = F.struct("step_index", "slot")
+    known = slots.filter(F.col("value").isNotNull()).groupBy("trajectory_id", "value_type", "value").agg(F.min(order).alias("_at"))
+    ranked = known.withColumn("_rank", F.row_number().over(kind.orderBy("_at"))).filter("_rank <= 2")
+    two = ranked.groupBy("trajectory_id", "value_type").agg(F.min_by("value", "_rank").alias("_first"), F.max_by("value", "_rank").alias("_second"), F.count(F.lit(1)).alias("_n"))
+    copied = F.when(F.col("value") != F.col("_first"), F.col("_first")).when((F.col("_n") > 1) & (F.col("value") == F.col("_first")), F.col("_second"))
+    return slots.join(two, ["trajectory_id", "value_type"], "left").withColumn("copied", copied).select(*slots.columns, "copied")
 
 
 def near_tool(slots: DataFrame, substitutes: DataFrame) -> DataFrame:
@@ -180,37 +295,40 @@ def with_step(steps: Column, index: Column, field: str, value: Column) -> Column
     return F.transform(steps, lambda s, i: F.when(i + 1 == index, s.withField(field, value)).otherwise(s))
 
 
-# Pairs of words that may stand for each other.
-SYNONYMS = {
-    "find": "locate", "get": "obtain", "use": "employ", "show": "display", "need": "require", "help": "assist", "check": "verify", "start": "begin", "end": "finish", "make": "create",
-    "big": "large", "small": "little", "quick": "fast", "correct": "right", "wrong": "incorrect", "search": "look", "look": "examine", "see": "view", "ask": "request", "give": "provide",
-    "try": "attempt", "keep": "retain", "change": "modify", "choose": "select", "answer": "reply", "question": "query", "result": "outcome", "list": "enumerate", "next": "following",
-    "also": "additionally", "now": "currently",
-}
-PROTECTED = r"[/\\_.\d{}\[\]=<>]"
+# Pairs of words, of which the second may stand for the first.
+SYNONYMS = (
+    ("retrieve", "fetch"), ("search", "look up"), ("find", "locate"), ("examine", "inspect"), ("check", "verify"), ("create", "generate"), ("delete", "remove"), ("modify", "alter"),
+    ("update", "change"), ("execute", "run"), ("start", "begin"), ("finish", "complete"), ("get", "obtain"), ("put", "place"), ("send", "transmit"), ("receive", "accept"),
+    ("read", "access"), ("write", "save"), ("open", "access"), ("close", "terminate"), ("analyze", "examine"), ("compute", "calculate"), ("display", "show"), ("output", "return"),
+    ("input", "provide"), ("validate", "verify"), ("error", "issue"), ("problem", "issue"), ("contains", "includes"), ("using", "with"), ("via", "through"),
+)
+#: Marks of a step's parts, which stay as they are.
+PROTECTED = ("Action:", "Action Input:", "Observation:", "Thought:", "Final Answer:", "Finish", "Tool:", "Tool Input:", "Tool Output:")
 
 
-def placebo(df: DataFrame, text: str, key: str, out: str, seed: int = 42) -> DataFrame:
-    """Adds ``out``: the text with one word in its pair's place, case kept; words with code or path signs are left alone.
+def placebo(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the text with every word of a pair as its other, case kept and marks left alone; null if there is none.
 
-    Place and case depend on the words around, so the text is rewritten in an Arrow-fed Python step.
+    A word of several pairs takes the last one's. Case depends on each word, so the text is rewritten in an Arrow-fed step.
     """
-    pairs = {**SYNONYMS, **{v: k for k, v in SYNONYMS.items() if v not in SYNONYMS}}
+    pairs = {word: other for a, b in SYNONYMS for word, other in ((a, b), (b, a))}
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    marks, words = re.compile("|".join(map(re.escape, sorted(PROTECTED, key=len, reverse=True)))), re.compile(r"\b\w+\b")
 
-    def one(value: str | None, k) -> str | None:
-        places = [m for m in re.finditer(r"\S+", value or "") if not re.search(PROTECTED, m[0]) and (w := re.sub(r"\W", "", m[0]).lower()) in pairs and w in m[0].lower()]
-        if not places:
-            return None
-        m = places[sum(map(ord, f"{seed}:{k}")) % len(places)]
-        core = re.search(r"\w+", m[0])
-        new = pairs[core[0].lower()]
-        new = new.upper() if core[0].isupper() and len(core[0]) > 1 else new.capitalize() if core[0][0].isupper() else new
-        return value[: m.start() + core.start()] + new + value[m.start() + core.end() :]
+    def one(value: str | None) -> str | None:
+        kept = [m.span() for m in marks.finditer(value or "")]
+
+        def other(m: re.Match) -> str:
+            if (new := pairs.get(m[0].lower())) is None or any(m.start() < e and m.end() > s for s, e in kept):
+                return m[0]
+            return new.upper() if m[0].isupper() else new.capitalize() if m[0][0].isupper() else new
+
+        made = words.sub(other, value or "")
+        return made if made != (value or "") else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{out: [one(v, k) for v, k in zip(frame[text], frame[key])]})
+            yield frame.assign(**{out: [one(v) for v in frame[text]]})
 
     return df.mapInPandas(run, schema)
 
@@ -306,18 +424,36 @@ def with_ids(steps: Column, source: Column) -> Column:
     return F.transform(steps, lambda s, i: F.struct(F.format_string("%s::step::%d", source, i + 1).alias("canonical_step_id"), (i + 1).alias("display_step_index"), s.alias("step")))
 
 
-CACHE_FIELDS = ("perturbation_class", "perturbation_family", "perturbation_type", "benchmark", "expected_impact", "expected_detectability", "target_step_index", "replay_tier", "is_placebo")
+#: Fields of a unit's denormalised view.
+CACHE_FIELDS = (
+    "baseline_outcome", "baseline_num_steps", "perturbed_num_steps", "perturbation_class", "perturbation_family", "perturbation_type", "target_step_canonical_id", "expected_impact",
+    "expected_detectability",
+)
+
+
+def _cached_now() -> dict[str, Column]:
+    """The view's fields from a unit's own: baseline_outcome, baseline and perturbed (steps), original_trajectory_id, target_step_index and the perturbation's."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    now = {
+        "baseline_outcome": F.coalesce("baseline_outcome", F.lit(0.0)),
+        "baseline_num_steps": size("baseline"),
+        "perturbed_num_steps": size("perturbed"),
+        "target_step_canonical_id": F.format_string("%s::step::%d", text("original_trajectory_id"), F.coalesce("target_step_index", F.lit(0)).cast("int")),
+        "expected_impact": F.coalesce("expected_impact", F.lit(0)).cast("int"),
+        "expected_detectability": F.coalesce("expected_detectability", F.lit(1)).cast("int"),
+    } | {c: text(c) for c in ("perturbation_class", "perturbation_family", "perturbation_type")}
+    return {c: now[c] for c in CACHE_FIELDS}
 
 
 def derived_cache(df: DataFrame) -> DataFrame:
-    """Adds ``derived_cache``, the unit's denormalised view."""
-    return df.withColumn("derived_cache", F.struct(*[F.col(c) for c in CACHE_FIELDS if c != "is_placebo"], (F.col("perturbation_class") == "placebo").alias("is_placebo")))
+    """Adds ``derived_cache``, the unit's denormalised view; built again from the unit, never edited."""
+    return df.withColumn("derived_cache", F.struct(*[v.alias(c) for c, v in _cached_now().items()]))
 
 
 def cache_mismatches(df: DataFrame) -> DataFrame:
     """Adds ``mismatches``: fields in which the cache is not what the unit says."""
-    now = {c: F.col(c) for c in CACHE_FIELDS if c != "is_placebo"} | {"is_placebo": F.col("perturbation_class") == "placebo"}
-    return df.withColumn("mismatches", F.array_compact(F.array(*[F.when(~F.col(f"derived_cache.{c}").eqNullSafe(v), c) for c, v in now.items()])))
+    return df.withColumn("mismatches", F.array_compact(F.array(*[F.when(~F.col(f"derived_cache.{c}").eqNullSafe(v), c) for c, v in _cached_now().items()])))
 
 
 def unit_errors(df: DataFrame) -> DataFrame:

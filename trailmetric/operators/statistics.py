@@ -184,52 +184,82 @@ def hypothesis_strength(criteria: dict[str, bool]) -> str:
     return "strong" if met >= 4 else "moderate" if met == 3 else "weak" if met == 2 else "none"
 
 
-def pooled_alpha(df: DataFrame, unit: str, value: str, level: str = "nominal") -> DataFrame:
-    """Pooled agreement alpha: n_units, observed, expected, alpha, band.
+def last_values(df: DataFrame, unit: str, annotator: str, value: str, order: str) -> DataFrame:
+    """(u, a, v): the last non-null value, as text, that an annotator gave a unit."""
+    known = df.filter(F.col(unit).isNotNull() & F.col(value).isNotNull())
+    return known.groupBy(F.col(unit).alias("u"), F.col(annotator).alias("a")).agg(F.max_by(F.col(value).cast("string"), order).alias("v"))
 
-    Disagreement is pooled over all pairs inside units, against all pairs of values, with
-    codes in the order of the values as text. Closed forms over counts replace the pairs.
-    Under two distinct values alpha is 1; without expected disagreement 1 or null.
+
+def pooled_alpha(df: DataFrame, unit: str, value: str, level: str = "nominal", annotator: str = "annotator_id", order: str = "seq") -> DataFrame:
+    """Pooled agreement alpha: n_units, n_annotators, n_observations, observed, expected, alpha, band.
+
+    Over units of two annotators or more: disagreement summed over the pairs inside units, and over all pairs of
+    values, both shares of n(n-1)/2 for the n values. Values are coded in the order of their text; the difference
+    of two codes is 0 or 1 (nominal) or their squared distance (ordinal and interval, as codes are dense). Closed forms
+    over counts replace the pairs. One value alone gives 1; no expected disagreement 1 or null; no such unit null.
     """
-    rows = df.filter(F.col(unit).isNotNull() & F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("string").alias("v"))
-    totals = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # The codes of a label set: a list as long as the set of labels.
-    totals = totals.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("v")) - 1)
-    per = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).join(totals.select("v", "code"), "v")
-
-    def pairs(frame: DataFrame, by: list[str]) -> DataFrame:
-        """Pairs and their summed disagreement: n(n-1)/2 less equal pairs, or n*sum(c^2) - sum(c)^2."""
-        n, c = F.col("n"), F.col("code").cast("double")
-        same, square = F.sum(n * (n - 1) / 2), F.sum(n) * F.sum(n * c * c) - F.pow(F.sum(n * c), 2)
-        all_ = F.sum(n) * (F.sum(n) - 1) / 2
-        return frame.groupBy(*by).agg(all_.alias("pairs"), (all_ - same if level == "nominal" else square).alias("bad"), F.sum("n").alias("m"))
-
-    observed = pairs(per, ["u"]).filter("m > 1").agg(F.count(F.lit(1)).alias("n_units"), F.sum("pairs").alias("op"), F.sum("bad").alias("ob"))
-    expected = pairs(totals, []).select(F.col("pairs").alias("ep"), F.col("bad").alias("eb")).join(totals.agg(F.count(F.lit(1)).alias("labels")))
-    both = observed.join(expected).withColumns({"observed": F.col("ob") / F.nullif("op", F.lit(0.0)), "expected": F.col("eb") / F.nullif("ep", F.lit(0.0))})
-    alpha = F.when(F.col("labels") < 2, 1.0).when(F.col("expected") == 0, F.when(F.col("observed") == 0, 1.0)).otherwise(1 - F.col("observed") / F.nullif("expected", F.lit(0.0)))
-    return both.withColumn("alpha", alpha).select("n_units", "observed", "expected", "alpha", alpha_band(F.col("alpha")).alias("band"))
+    if level not in ("nominal", "ordinal", "interval"):
+        raise ValueError(f"unknown level {level!r}")
+    rows = last_values(df, unit, annotator, value, order)
+    per = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    several = per.groupBy("u").agg(F.sum("n").alias("m")).filter("m > 1").select("u")
+    per = per.join(several, "u")
+    totals = per.groupBy("v").agg(F.sum("n").alias("n"))
+    codes = _running(totals.select("v", F.lit(1).alias("_n")), "v").select("v", (F.col("_rank") - 1).alias("code"))
+
+    def bad(frame: DataFrame, by: list[str]) -> DataFrame:
+        """Summed disagreement of all pairs: those of unequal values, or n * sum(c^2) - sum(c)^2."""
+        n, c = F.col("n"), F.col("code")
+        all_, same = F.sum(n) * (F.sum(n) - 1) / 2, F.sum(n * (n - 1) / 2)
+        square = F.sum(n) * F.sum(n * c * c) - F.pow(F.sum(n * c), 2)
+        return frame.groupBy(*by).agg((all_ - same if level == "nominal" else square).alias("bad"), F.sum("n").alias("m"))
+
+    inside = bad(per.join(codes, "v"), ["u"]).agg(F.count(F.lit(1)).alias("n_units"), F.sum("bad").alias("inside"))
+    # One row on each side.
+    every = bad(totals.join(codes, "v"), []).select(F.col("bad").alias("every"), F.col("m").alias("n")).join(totals.agg(F.count(F.lit(1)).alias("labels")))
+    sizes = rows.agg(F.count_distinct("a").alias("n_annotators"), F.count(F.lit(1)).alias("n_observations"))
+    pairs = F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))
+    both = inside.join(every).join(sizes).withColumns({"observed": F.col("inside") / pairs, "expected": F.col("every") / pairs})
+    alpha = (
+        F.when((F.col("n_units") == 0) | (F.col("n_annotators") < 2), F.lit(None).cast("double"))
+        .when(F.col("labels") < 2, 1.0)
+        .when(F.col("expected") == 0, F.when(F.col("observed") == 0, 1.0))
+        .otherwise(1 - F.col("observed") / F.nullif("expected", F.lit(0.0)))
+    )
+    return both.withColumn("alpha", alpha).select("n_units", "n_annotators", "n_observations", "observed", "expected", "alpha", alpha_band(F.col("alpha")).alias("band"))
 
 
 def alpha_band(alpha: Column) -> Column:
-    return F.when(alpha >= 0.8, "excellent").when(alpha >= 0.6, "good").when(alpha >= 0.4, "moderate").when(alpha.isNotNull(), "poor").otherwise("undefined")
+    return F.when(alpha >= 0.8, "high").when(alpha >= 0.6, "acceptable").when(alpha >= 0.4, "moderate").when(alpha.isNotNull(), "low").otherwise("insufficient_data")
 
 
-def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str) -> DataFrame:
-    """a1, a2, shared, agreed, rate for every pair of annotators, those without a shared unit included.
+def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
+    """a1, a2, shared, agreed, rate for every pair of annotators with a value, those without a shared unit included.
 
-    The pairs are of annotators; shared units meet in an equi-join on the unit.
+    An annotator's last known value of a unit counts. Shared units meet in an equi-join on the unit; the result has a row
+    for each pair of annotators, by its contract.
     """
-    rows = df.groupBy(F.col(unit).alias("u"), F.col(annotator).alias("a")).agg(F.min(F.struct(value)).alias("s")).select("u", "a", F.col(f"s.{value}").alias("v"))
+    rows = last_values(df, unit, annotator, value, order)
     left, right = rows.select("u", F.col("a").alias("a1"), F.col("v").alias("v1")), rows.select("u", F.col("a").alias("a2"), F.col("v").alias("v2"))
-    met = left.join(right, "u").filter("a1 < a2").groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("v1").eqNullSafe(F.col("v2"))).alias("agreed"))
-    # One row holds the annotators; their number bounds it.
-    people = rows.agg(F.array_sort(F.collect_set("a")).alias("all"))
-    every = people.select(F.explode("all").alias("a1"), "all").select("a1", F.explode("all").alias("a2")).filter("a1 < a2")
+    met = left.join(right, "u").filter("a1 < a2").groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("v1") == F.col("v2")).alias("agreed"))
+    people = rows.select("a").distinct()
+    every = people.select(F.col("a").alias("a1")).join(people.select(F.col("a").alias("a2")), F.col("a1") < F.col("a2"))
     joined = every.join(met, ["a1", "a2"], "left")
     return joined.select("a1", "a2", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("agreed", F.lit(0)).alias("agreed"), (F.col("agreed") / F.col("shared")).alias("rate"))
 
 
+def overall_agreement(pairs: DataFrame) -> DataFrame:
+    """shared, agreed and their ratio over all pairs of annotators, null without a shared unit."""
+    return pairs.agg(F.sum("shared").alias("shared"), F.sum("agreed").alias("agreed"), (F.sum("agreed") / F.nullif(F.sum("shared"), F.lit(0))).alias("rate"))
+
+
+def annotator_agreement(df: DataFrame, pairs: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
+    """annotator, n_annotations (units with a value) and the mean of the rates with the others that share a unit."""
+    own = last_values(df, unit, annotator, value, order).groupBy("a").agg(F.count(F.lit(1)).alias("n_annotations"))
+    sides = pairs.filter("rate is not null").select(F.explode(F.array("a1", "a2")).alias("b"), "rate").groupBy("b").agg(F.avg("rate").alias("mean_agreement"))
+    return own.join(sides, F.col("a") == F.col("b"), "left").select(F.col("a").alias("annotator"), "n_annotations", "mean_agreement")
+
+
 def bootstrap_ci(df: DataFrame, unit: str, statistic: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval (linear interpolation) of the mean by Poisson bootstrap: each row's weight in a replicate comes from a hash of seed, unit and replicate.
 

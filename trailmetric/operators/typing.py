@@ -401,11 +401,29 @@ def slots(df: DataFrame, key: list[str], arguments: str = "tool_arguments") -> D
 
 
 def allowed_perturbations(value_type_: Column) -> Column:
-    """What may be done to a slot by its type."""
+    """What may be done to an argument's slot by its type."""
     params = F.array_compact(F.array(F.lit("parameter"), F.lit("data_reference"), F.when(value_type_ == "code_snippet", "structural")))
     return F.when(value_type_ == "tool", F.array(F.lit("tool_selection"))).otherwise(params)
 
 
+def step_slots(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., slot, value_type, value, allowed) of typed steps: the called tool, its arguments, an extracted value and a final answer."""
+    only = lambda kind: F.array(F.lit(kind))
+    row = lambda frame, slot, kind, value, allowed: frame.select(*key, F.lit(slot).alias("slot"), kind.alias("value_type"), value.cast("string").alias("value"), allowed.alias("allowed"))
+    some = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    tool = row(df.filter((F.col("step_role") == "tool_call") & some(F.col("tool_name"))), "tool_name", F.lit("tool"), F.col("tool_name"), only("tool_selection"))
+    own = slots(df, key).withColumn("allowed", allowed_perturbations(F.col("value_type"))).select(*key, "slot", "value_type", "value", "allowed")
+    # An empty name leaves the type to the value; text that is a number has no other kind than string.
+    by_value = lambda c: value_type(F.lit(""), c.cast("string"), F.lit("string"))
+    extracted = df.filter((F.col("step_role") == "extraction") & F.col("extracted_value").isNotNull())
+    extracted = row(extracted, "extracted_value", F.coalesce(F.nullif(F.col("value_type"), F.lit("")), by_value(F.col("extracted_value"))), F.col("extracted_value"), only("data_reference"))
+    said = strip(F.regexp_extract(F.coalesce("raw_text", F.lit("")), r"(?i)(?:answer|result)\s*[:=]\s*(.+?)(?:\n|$)", 1))
+    answer = F.coalesce(argument("final_answer"), F.nullif(said, F.lit("")))
+    final = df.filter(F.col("produces_final_answer") & some(answer))
+    final = row(final, "final_answer", by_value(answer), answer, only("data_reference"))
+    return tool.unionByName(own).unionByName(extracted).unionByName(final)
+
+
 def get_path(document: str | None, path: str):
     """The value at ``a.b[0].c`` of JSON text, None if there is none."""
     try:

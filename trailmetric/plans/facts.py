@@ -175,18 +175,24 @@ def detection_table(spark, d):
     return out.withColumn("rate", F.col("rate").cast("double"))
 
 
+def _mode(column: str, name: str) -> str:
+    return f"""{name}_v AS (SELECT unit_id, judge_model, {column} AS x, count(*) AS n, min(sample) AS f FROM o WHERE error_detected AND {column} IS NOT NULL GROUP BY ALL),
+    {name}_m AS (SELECT *, row_number() OVER (PARTITION BY unit_id, judge_model ORDER BY n DESC, f, x) AS k, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY unit_id, judge_model) AS share FROM {name}_v)"""
+
+
+_MEASURES = [("overall_score", "score"), ("error_confidence", "confidence"), ("predicted_impact", "impact"), ("predicted_failure_prob", "failure")]
+
+
 @query(
     "judge_samples",
-    f""", o AS (SELECT order_id AS unit_id, judge_model, sample, predicted_step, predicted_impact, error_detected FROM facts),
-    v AS (SELECT unit_id, judge_model, predicted_step, count(*) AS n, min(sample) AS f FROM o WHERE predicted_step IS NOT NULL GROUP BY ALL),
-    m AS (SELECT *, row_number() OVER (PARTITION BY unit_id, judge_model ORDER BY n DESC, f, predicted_step DESC) AS k, sum(n) OVER (PARTITION BY unit_id, judge_model) AS t FROM v),
-    s AS (SELECT unit_id, judge_model, count(*) AS samples, avg(predicted_impact) AS mi, coalesce(stddev_samp(predicted_impact), 0.0) AS si, avg(CAST(error_detected AS INT)) AS dr FROM o GROUP BY ALL)
-    SELECT s.unit_id, s.judge_model, samples, {r('mi')} AS mean_impact, {r('si')} AS std_impact, {r('dr')} AS detected_rate, m.predicted_step AS modal_step, {r('CAST(m.n AS DOUBLE) / m.t')} AS step_agreement
-    FROM s LEFT JOIN m ON s.unit_id = m.unit_id AND s.judge_model = m.judge_model AND m.k = 1""",
+    f""", o AS (SELECT *, order_id AS unit_id FROM (SELECT * EXCLUDE (unit_id) FROM facts)), {_mode('predicted_step', 'step')}, {_mode('predicted_error_type', 'type')},
+    s AS (SELECT unit_id, judge_model, count(*) AS samples, avg(CAST(error_detected AS INT)) AS dr, {', '.join(f'avg({c}) AS m_{n}, coalesce(stddev_samp({c}), 0.0) AS s_{n}' for c, n in _MEASURES)} FROM o GROUP BY ALL)
+    SELECT s.unit_id, s.judge_model, samples, {r('dr')} AS detected_rate, {', '.join(f"{r(f'm_{n}')} AS mean_{n}, {r(f's_{n}')} AS std_{n}" for _, n in _MEASURES)},
+      a.x AS modal_step, {r('coalesce(a.share, 0.0)')} AS step_agreement, b.x AS modal_type, {r('coalesce(b.share, 0.0)')} AS type_agreement
+    FROM s LEFT JOIN step_m a ON s.unit_id = a.unit_id AND s.judge_model = a.judge_model AND a.k = 1 LEFT JOIN type_m b ON s.unit_id = b.unit_id AND s.judge_model = b.judge_model AND b.k = 1""",
 )
 def judge_samples(spark, d):
-    rows = facts(spark, d).withColumn("unit_id", F.col("order_id"))
-    return metrics.judge_samples(rows)
+    return metrics.judge_samples(facts(spark, d).withColumn("unit_id", F.col("order_id")))
 
 
 @query("distribution", " UNION ALL ".join(f"SELECT '{c}' AS dimension, coalesce(CAST({c} AS VARCHAR), 'none') AS value, count(*) AS n, {r('100.0 * count(*) / (SELECT count(*) FROM facts)')} AS percent FROM facts GROUP BY 2" for c in _DIMS))

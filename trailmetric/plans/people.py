@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, sampling, statistics
+from ..operators import labels, relational, sampling, statistics
 from ..sources import table
 from .base import ANNOTATIONS_SQL, FACTS_SQL, annotations, facts, r, rounded
 
@@ -54,21 +54,31 @@ def label_aggregation(spark, d):
     return labels.aggregate_labels(annotations(spark, d)).withColumn("annotation_ids", F.array_join("annotation_ids", ","))
 
 
-@query("aggregation_summary")
+@query(
+    "aggregation_summary",
+    f"""{A}, {_vote('error_detected', 'detected')}, {_vote('error_trajectory', 'trajectory')}, {_vote('error_type', 'type')}, {_vote('preference', 'preference')},
+    u AS (SELECT unit_id, count(DISTINCT annotator_id) AS na FROM ann GROUP BY 1),
+    j AS (SELECT na, d.detected_agreement AS da, y.type_agreement AS ta, coalesce(d.detected_agreement < 0.6, false) OR coalesce(t.trajectory_agreement < 0.6, false) AS adj, coalesce(f.preference_agreement < 0.6, false) AS pl
+      FROM u LEFT JOIN detected d ON d.unit_id = u.unit_id AND d.k = 1 LEFT JOIN trajectory t ON t.unit_id = u.unit_id AND t.k = 1 LEFT JOIN type y ON y.unit_id = u.unit_id AND y.k = 1 LEFT JOIN preference f ON f.unit_id = u.unit_id AND f.k = 1)
+    SELECT count(*) AS units, count(*) FILTER (WHERE adj OR pl) AS low_agreement, count(*) FILTER (WHERE adj) AS adjudication, {r('avg(da)')} AS mean_detected_agreement, {r('avg(ta)')} AS mean_type_agreement, {r('avg(na)')} AS mean_annotators FROM j""",
+)
 def aggregation_summary(spark, d):
     return labels.aggregation_summary(labels.aggregate_labels(annotations(spark, d)))
 
 
-_ALPHA = """{A}, x AS (SELECT unit_id AS u, CAST({v} AS VARCHAR) AS v FROM ann WHERE {v} IS NOT NULL),
-t AS (SELECT v, count(*) AS n, row_number() OVER (ORDER BY v) - 1 AS c FROM x GROUP BY v), p AS (SELECT u, x.v, c, count(*) AS n FROM x JOIN t ON x.v = t.v GROUP BY ALL),
-o AS (SELECT u, sum(n) * (sum(n) - 1) / 2.0 AS pairs, {bad} AS bad, sum(n) AS m FROM p GROUP BY u HAVING sum(n) > 1),
-e AS (SELECT sum(n) * (sum(n) - 1) / 2.0 AS pairs, {bad} AS bad FROM t), z AS (SELECT count(*) AS n_units, sum(o.bad) / sum(o.pairs) AS ob, any_value(e.bad / e.pairs) AS ex FROM o, e)
-SELECT n_units, {ob} AS observed, {ex} AS expected, {al} AS alpha, CASE WHEN 1 - ob / ex >= 0.8 THEN 'excellent' WHEN 1 - ob / ex >= 0.6 THEN 'good' WHEN 1 - ob / ex >= 0.4 THEN 'moderate' ELSE 'poor' END AS band FROM z"""
-_NOMINAL, _ORDINAL = "sum(n) * (sum(n) - 1) / 2.0 - sum(n * (n - 1) / 2.0)", "CAST(sum(n) AS DOUBLE) * sum(n * c * c) - pow(sum(n * c), 2)"
+_ALPHA = """{n}_x AS (SELECT unit_id AS u, annotator_id AS a, CAST(arg_max({v}, seq) AS VARCHAR) AS v FROM ann WHERE {v} IS NOT NULL GROUP BY ALL),
+{n}_o AS (SELECT u, a, v FROM {n}_x WHERE u IN (SELECT u FROM {n}_x GROUP BY u HAVING count(*) > 1)),
+{n}_t AS (SELECT v, count(*) AS n, row_number() OVER (ORDER BY v) - 1 AS c FROM {n}_o GROUP BY v),
+{n}_i AS (SELECT coalesce(sum({bad}), 0) AS bad FROM (SELECT u, a, x.v, c FROM {n}_o x JOIN {n}_t USING (v)) l JOIN (SELECT u, a, x.v, c FROM {n}_o x JOIN {n}_t USING (v)) r ON l.u = r.u AND l.a < r.a),
+{n}_e AS (SELECT coalesce(sum(l.n * r.n * {bad}), 0) AS bad FROM {n}_t l JOIN {n}_t r ON l.v < r.v),
+{n}_z AS (SELECT (SELECT count(DISTINCT u) FROM {n}_o) AS n_units, (SELECT count(DISTINCT a) FROM {n}_x) AS n_annotators, (SELECT count(*) FROM {n}_x) AS n_observations,
+  {n}_i.bad / (m * (m - 1) / 2.0) AS ob, {n}_e.bad / (m * (m - 1) / 2.0) AS ex, 1 - ob / ex AS alpha FROM {n}_i, {n}_e, (SELECT CAST(count(*) AS DOUBLE) AS m FROM {n}_o))"""
+_BAND = "CASE WHEN alpha >= 0.8 THEN 'high' WHEN alpha >= 0.6 THEN 'acceptable' WHEN alpha >= 0.4 THEN 'moderate' ELSE 'low' END"
+_NOMINAL, _SQUARED = "CASE WHEN l.v = r.v THEN 0 ELSE 1 END", "(l.c - r.c) * (l.c - r.c)"
 
 
 def _alpha(v: str, bad: str) -> str:
-    return _ALPHA.format(A=A, v=v, bad=bad, ob=r("ob"), ex=r("ex"), al=r("1 - ob / ex"))
+    return f"{A}, {_ALPHA.format(n='q', v=v, bad=bad)} SELECT n_units, n_annotators, n_observations, {r('ob')} AS observed, {r('ex')} AS expected, {r('alpha')} AS alpha, {_BAND} AS band FROM q_z"
 
 
 @query("alpha_pooled_nominal", _alpha("error_type", _NOMINAL))
@@ -76,26 +86,55 @@ def alpha_nominal(spark, d):
     return statistics.pooled_alpha(annotations(spark, d), "unit_id", "error_type")
 
 
-@query("alpha_pooled_ordinal", _alpha("confidence", _ORDINAL))
+@query("alpha_pooled_ordinal", _alpha("confidence", _SQUARED))
 def alpha_ordinal(spark, d):
     return statistics.pooled_alpha(annotations(spark, d), "unit_id", "confidence", level="ordinal")
 
 
-@query("agreement_report")
+@query("alpha_pooled_interval", _alpha("propagation_depth", _SQUARED))
+def alpha_interval(spark, d):
+    return statistics.pooled_alpha(annotations(spark, d), "unit_id", "propagation_depth", level="interval")
+
+
+_REPORT = {name: kind for name, kind in labels.DIMENSIONS.items()}
+
+
+@query(
+    "agreement_report",
+    f"{A}, "
+    + ", ".join(_ALPHA.format(n=c, v=c, bad=_NOMINAL if kind == "nominal" else _SQUARED) for c, (kind, _) in _REPORT.items())
+    + ", parts AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS dimension, alpha, CAST({t} AS DOUBLE) AS threshold FROM {c}_z" for c, (_, t) in _REPORT.items())
+    + f") SELECT dimension, {r('alpha')} AS alpha, {_BAND} AS band, threshold, alpha >= threshold AS met, (SELECT avg(CAST(alpha >= threshold AS INT)) >= 0.8 FROM parts) AS acceptable FROM parts",
+)
 def agreement_report(spark, d):
     return labels.agreement_report(annotations(spark, d))
 
 
-@query(
-    "pairwise_agreement",
-    f"""{A}, x AS (SELECT unit_id AS u, annotator_id AS a, min(event_type) AS v FROM (SELECT *, error_type AS event_type FROM ann) GROUP BY ALL),
+_PAIRS = """x AS (SELECT unit_id AS u, annotator_id AS a, arg_max(error_trajectory, seq) AS v FROM ann WHERE error_trajectory IS NOT NULL GROUP BY ALL),
     m AS (SELECT l.a AS a1, q.a AS a2, count(*) AS shared, count(*) FILTER (WHERE l.v = q.v) AS agreed FROM x l JOIN x q ON l.u = q.u AND l.a < q.a GROUP BY ALL),
-    p AS (SELECT DISTINCT a FROM x)
-    SELECT p.a AS a1, q.a AS a2, coalesce(shared, 0) AS shared, coalesce(agreed, 0) AS agreed, {r('CAST(agreed AS DOUBLE) / shared')} AS rate
-    FROM p JOIN p q ON p.a < q.a LEFT JOIN m ON m.a1 = p.a AND m.a2 = q.a""",
-)
+    p AS (SELECT DISTINCT a FROM x), every AS (SELECT p.a AS a1, q.a AS a2, coalesce(shared, 0) AS shared, coalesce(agreed, 0) AS agreed, CAST(agreed AS DOUBLE) / shared AS rate
+    FROM p JOIN p q ON p.a < q.a LEFT JOIN m ON m.a1 = p.a AND m.a2 = q.a)"""
+
+
+@query("pairwise_agreement", f"{A}, {_PAIRS} SELECT a1, a2, shared, agreed, {r('rate')} AS rate FROM every")
 def pairwise_agreement(spark, d):
-    return statistics.pairwise_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_type")
+    return statistics.pairwise_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_trajectory")
+
+
+@query("overall_agreement", f"{A}, {_PAIRS} SELECT CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(agreed) AS BIGINT) AS agreed, {r('CAST(sum(agreed) AS DOUBLE) / sum(shared)')} AS rate FROM every")
+def overall_agreement(spark, d):
+    return statistics.overall_agreement(statistics.pairwise_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_trajectory"))
+
+
+@query(
+    "annotator_agreement",
+    f"{A}, {_PAIRS} SELECT a AS annotator, count(*) AS n_annotations, (SELECT {r('avg(rate)')} FROM every WHERE a1 = x.a OR a2 = x.a) AS mean_agreement FROM x GROUP BY a",
+)
+def annotator_agreement(spark, d):
+    rows = annotations(spark, d)
+    pairs = statistics.pairwise_agreement(rows, "unit_id", "annotator_id", "error_trajectory")
+    return statistics.annotator_agreement(rows, pairs, "unit_id", "annotator_id", "error_trajectory")
 
 
 _RUNS = """{A}, c AS (SELECT annotator_id, error_trajectory AS v, seq, CASE WHEN error_trajectory IS NULL OR coalesce(error_trajectory <> lag(error_trajectory) OVER w, true) THEN 1 ELSE 0 END AS ch,
@@ -125,7 +164,7 @@ def time_bounds(spark, d):
 
 @query(
     "gold_accuracy",
-    f"""{A}, gold AS (SELECT DISTINCT unit_id, error_detected AS gd, error_trajectory AS gt FROM ann WHERE seq < 3000 AND unit_id % 10 = 0),
+    f"""{A}, gold AS (SELECT unit_id, error_detected AS gd, error_trajectory AS gt FROM ann QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq) = 1),
     j AS (SELECT annotator_id, CASE WHEN error_detected IS NOT DISTINCT FROM gd THEN 1 ELSE 0 END + CASE WHEN error_trajectory IS NOT DISTINCT FROM gt THEN 1 ELSE 0 END AS h FROM ann JOIN gold ON ann.unit_id = gold.unit_id),
     p AS (SELECT annotator_id, count(*) * 2 AS compared, CAST(sum(h) AS BIGINT) AS correct FROM j GROUP BY 1)
     SELECT a.annotator_id, coalesce(compared, 0) AS compared, coalesce(correct, 0) AS correct, {r('CAST(correct AS DOUBLE) / compared')} AS accuracy,
@@ -134,7 +173,7 @@ def time_bounds(spark, d):
 )
 def gold_accuracy(spark, d):
     rows = annotations(spark, d)
-    gold = rows.filter("seq < 3000 and unit_id % 10 = 0").select("unit_id", "error_detected", "error_trajectory").distinct()
+    gold = relational.first_by(rows.select("unit_id", "seq", "error_detected", "error_trajectory"), ["unit_id"], [F.col("seq")])
     return labels.gold_accuracy(rows, gold, "annotator_id", "unit_id", ["error_detected", "error_trajectory"])
 
 
@@ -206,12 +245,12 @@ def class_sample(spark, d):
     return sampling.class_sample(rows, 200, {"placebo": 0.2, "fine_grained": 0.5, "coarse_grained": 0.3})
 
 
-_SAMPLE = f"s AS (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS position FROM documents WHERE source = 'src3')"
+_SAMPLE = f"s AS (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS position FROM documents)"
 
 
 @query("round_robin", f"WITH {_SAMPLE} SELECT doc_id, CAST(position AS INT) AS position, CASE position % 3 WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' ELSE 'cid' END AS annotator FROM s")
 def round_robin(spark, d):
-    return sampling.round_robin(table(spark, d, "documents").filter("source = 'src3'").select("doc_id"), "doc_id", ["ann", "bob", "cid"])
+    return sampling.round_robin(table(spark, d, "documents").select("doc_id"), "doc_id", ["ann", "bob", "cid"])
 
 
 @query("batches", "SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 25) AS INT) AS batch FROM documents")
@@ -227,7 +266,7 @@ def batches(spark, d):
     SELECT doc_id, CAST(position AS INT) AS position, unnest(who) AS annotator FROM w""",
 )
 def overlap_assignment(spark, d):
-    return sampling.overlap(table(spark, d, "documents").filter("source = 'src3'").select("doc_id"), "doc_id", ["ann", "bob", "cid"], to_all=10, paired=20)
+    return sampling.overlap(table(spark, d, "documents").select("doc_id"), "doc_id", ["ann", "bob", "cid"], to_all=10, paired=20)
 
 
 @query("weighted_sample")

@@ -208,14 +208,75 @@ def expected_versus_true(spark, d):
     return rows.groupBy(scoring.expected_versus_true(F.col("true_impact_level"), F.col("expected_impact")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("judge_parse", "SELECT event_id, value > 10 AS error_detected, round(least(1.0, value / 100), 6) + 0.0 AS error_confidence, CASE WHEN event_id % 3 = 0 THEN 'partial' WHEN event_id % 3 = 1 THEN 'success' ELSE 'failed' END AS parse_status FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, false, 0.0, 'failed' FROM events WHERE event_id % 3 = 2")
+#: Answers of a judge, the same text in both engines: fences, braces, defaults, nulls, texts for numbers, nothing to parse.
+_ANSWER = """CASE event_id % 9
+  WHEN 0 THEN concat('Sure:', chr(10), '```json', chr(10), '{"overall_score": ', user_id, ', "error_detected": true, "error_confidence": 1.7, "predicted_error_step": ', event_id % 5, ', "predicted_error_type": "', event_type, '", "localization_confidence": 0.4, "predicted_impact_score": 0.5, "predicted_failure_prob": 0.25, "impact_explanation": "it breaks"}', chr(10), '```')
+  WHEN 1 THEN concat('So {"overall_score": 130, "error_detected": false, "error_confidence": 0.5, "predicted_error_step": 2, "predicted_impact_score": -3} it is')
+  WHEN 2 THEN concat('```', chr(10), '{"error_detected": 1, "predicted_error_type": "planning"}', chr(10), '```')
+  WHEN 3 THEN 'I cannot say.'
+  WHEN 4 THEN '{"overall_score": 50, "error_detected": true, "error_confidence": null, "predicted_impact_score": 1}'
+  WHEN 5 THEN '{"overall_score": 50, "error_detected": true, "error_confidence": 0.5, "predicted_error_step": "x"}'
+  WHEN 6 THEN '{"overall_score": "70", "error_detected": "no", "error_confidence": "0.25", "predicted_error_step": "4", "predicted_failure_prob": 2, "explanation": "short"}'
+  WHEN 7 THEN '{"overall_score": 50} trailing'
+  ELSE '{"overall_score": 50, "error_detected": "", "predicted_impact_score": "high"}' END"""
+_INNER = """CASE WHEN contains(t, '```json') THEN trim(regexp_extract(t, '(?s)```json\\s*(.*?)\\s*```', 1)) WHEN contains(t, '```') THEN trim(regexp_extract(t, '(?s)```\\s*(.*?)\\s*```', 1)) ELSE t END"""
+_JUDGED = f"""raw AS (SELECT event_id, trim({_ANSWER}) AS t FROM events), cut AS (SELECT event_id, {_INNER} AS c FROM raw),
+j AS (SELECT event_id, TRY_CAST(CASE WHEN c LIKE '{{%' THEN CASE WHEN c LIKE '%}}' THEN c END ELSE regexp_extract(c, '(?s)\\{{.*\\}}') END AS JSON) AS j FROM cut),
+f AS (SELECT event_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j FROM j)"""
+
+
+def _number(name: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{name}') IS NULL THEN 0 ELSE TRY_CAST(json_extract_string(j, '$.{name}') AS DOUBLE) END"
+
+
+def _held(x: str, high: int) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least({high}.0, {x})) END"
+
+
+_TRUTH = "CASE json_type(j, '$.error_detected') WHEN 'BOOLEAN' THEN json_extract_string(j, '$.error_detected') = 'true' WHEN 'VARCHAR' THEN json_extract_string(j, '$.error_detected') <> '' ELSE coalesce(TRY_CAST(json_extract_string(j, '$.error_detected') AS DOUBLE) <> 0, false) END"
+
+
+@query(
+    "judge_parse",
+    f"""WITH {_JUDGED}, n AS (SELECT event_id, j, {_number('overall_score')} AS score, {_number('error_confidence')} AS conf, {_TRUTH} AS hit, {_number('predicted_impact_score')} AS imp, {_number('predicted_failure_prob')} AS fail,
+      TRY_CAST(json_extract_string(j, '$.predicted_error_step') AS INT) AS step, json_type(j, '$.predicted_error_step') AS kind, json_extract_string(j, '$.predicted_error_type') AS said FROM f),
+    g AS (SELECT *, score IS NOT NULL AND conf IS NOT NULL AS d, imp IS NOT NULL AND fail IS NOT NULL AS i, kind IS NULL OR step IS NOT NULL AS l FROM n)
+    SELECT event_id, {r(f"CASE WHEN d THEN {_held('score', 100)} END")} AS overall_score, CASE WHEN d THEN hit END AS error_detected, {r(f"CASE WHEN d THEN {_held('conf', 1)} END")} AS error_confidence,
+      CASE WHEN d AND hit AND l THEN step END AS predicted_error_step, CASE WHEN d AND hit AND l THEN CASE WHEN said IN ('planning', 'tool_selection', 'parameter', 'data_reference', 'other') THEN said WHEN said IS NOT NULL THEN 'other' END END AS predicted_error_type,
+      {r(f"CASE WHEN i THEN {_held('imp', 1)} END")} AS predicted_impact_score, {r(f"CASE WHEN i THEN {_held('fail', 1)} END")} AS predicted_failure_prob,
+      CASE WHEN j IS NULL THEN 'failed' WHEN NOT d OR NOT i OR (d AND hit AND NOT l) THEN 'partial' ELSE 'success' END AS parse_status FROM g""",
+)
 def judge_parse(spark, d):
-    """Answers with a fenced block, bare braces, or nothing to parse."""
-    found, value = F.when(F.col("value") > 10, "true").otherwise("false"), (F.col("value") / 100).cast("string")
-    partial = F.concat(F.lit('Here you are:\n```json\n{"error_detected": '), found, F.lit(', "error_confidence": '), value, F.lit("}\n```"))
-    full = F.concat(F.lit('So {"error_detected": '), found, F.lit(', "error_confidence": '), value, F.lit(', "predicted_impact_score": 0.5, "predicted_failure_prob": 0.2} it is'))
-    answer = F.when(F.col("event_id") % 3 == 0, partial).when(F.col("event_id") % 3 == 1, full).otherwise("I can't say.")
-    return table(spark, d, "events").select("event_id", text.judge_output(answer).alias("o")).select("event_id", "o.error_detected", "o.error_confidence", "o.parse_status")
+    rows = table(spark, d, "events").select("event_id", text.judge_output(F.expr(_ANSWER)).alias("o"))
+    return rows.select("event_id", "o.detection.*", "o.localization.predicted_error_step", "o.localization.predicted_error_type", "o.impact.predicted_impact_score", "o.impact.predicted_failure_prob", "o.parse_status")
+
+
+_PAIR = """concat('{"overall_score_a": ', user_id % 90, ', "overall_score_b": ', event_id % 7, ', "impact_estimate": ', event_id % 5, ', "error_trajectory": "', CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'both' WHEN 2 THEN 'C' ELSE 'B' END, '", "preference": "', CASE event_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'tie' ELSE 'none' END, '"}')"""
+
+
+@query(
+    "pair_judge_parse",
+    f"""WITH p AS (SELECT event_id, {_PAIR} AS j FROM events) SELECT event_id, {r("(CAST(json_extract_string(j, '$.overall_score_a') AS DOUBLE) + CAST(json_extract_string(j, '$.overall_score_b') AS DOUBLE)) / 2")} AS blinded_score,
+    {r("least(1.0, CAST(json_extract_string(j, '$.impact_estimate') AS DOUBLE) / 3)")} AS labeled_impact, CASE json_extract_string(j, '$.error_trajectory') WHEN 'a' THEN 'A' WHEN 'b' THEN 'B' WHEN 'C' THEN NULL ELSE json_extract_string(j, '$.error_trajectory') END AS error_trajectory,
+    CASE json_extract_string(j, '$.preference') WHEN 'b' THEN 'B' WHEN 'tie' THEN 'tie' END AS preference FROM p""",
+)
+def pair_judge_parse(spark, d):
+    said = F.expr(_PAIR)
+    rows = table(spark, d, "events").select("event_id", text.judge_output(said, "blinded_pair").alias("b"), text.judge_output(said, "labeled_pair").alias("l"))
+    return rows.select("event_id", F.col("b.detection.overall_score").alias("blinded_score"), F.col("l.impact.predicted_impact_score").alias("labeled_impact"), "b.pair_comparison.error_trajectory", "b.pair_comparison.preference")
+
+
+_VALIDATED = """CASE event_id % 8 WHEN 0 THEN '{"class_matches": 1}' WHEN 1 THEN '{"class_matches": 0, "reasoning": "no"}' WHEN 2 THEN concat('Here', chr(10), '```json', chr(10), '{"class_matches": "Yes"}', chr(10), '```')
+  WHEN 3 THEN 'I say {"class_matches": false} here' WHEN 4 THEN 'none' WHEN 5 THEN '{"reasoning": "x"}' WHEN 6 THEN concat('```', '{"class_matches": true}', '```') ELSE '{"class_matches": "no"}' END"""
+
+
+@query(
+    "class_validation",
+    f"""WITH raw AS (SELECT event_id, {_VALIDATED} AS t FROM events), j AS (SELECT event_id, TRY_CAST(regexp_extract(t, '(?s)\\{{.*\\}}') AS JSON) AS j FROM raw)
+    SELECT event_id, CASE WHEN j IS NULL OR json_type(j) IS NULL THEN 1 WHEN lower(json_extract_string(j, '$.class_matches')) IN ('1', 'true', 'yes') THEN 1 ELSE 0 END AS class_matches FROM j""",
+)
+def class_validation(spark, d):
+    return table(spark, d, "events").select("event_id", text.class_matches(F.expr(_VALIDATED)).alias("class_matches"))
 
 
 # -- gates -------------------------------------------------------------------
@@ -273,7 +334,7 @@ def trajectories(spark, d) -> DataFrame:
     given = F.when(tool == "Finish", '{"return_type": "give_answer", "final_answer": "done"}').when(tool.isNotNull() & (F.col("conv_id") % 2 == 0), '{"query": "x", "limit": 5}')
     step = F.struct(
         F.concat("conv_id", F.lit("-"), "turn").alias("step_id"), (F.col("turn") + 1).cast("int").alias("step_number"), F.when(tool.isNotNull(), "tool_execution").otherwise("reasoning").alias("step_type"),
-        F.col("text").alias("content"), tool.alias("tool_name"), given.alias("tool_input"), F.when(tool.isNotNull() & (F.col("conv_id") % 5 > 0), F.substring("text", 1, 50)).alias("tool_output"),
+        F.col("text").alias("content"), tool.alias("tool_name"), given.alias("tool_input"), F.when(tool.isNotNull() & (F.col("conv_id") % 5 > 0), F.col("text")).alias("tool_output"),
     )
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(step.alias("s")), lambda a, b: a["step_number"] - b["step_number"]).alias("steps"))
     truth = F.struct(F.lit("task").alias("task_description"), F.when(F.col("conv_id") % 7 > 0, "an answer").alias("expected_answer"), F.when(F.col("conv_id") % 11 > 0, F.col("conv_id") % 2 == 0).alias("task_success"))
@@ -284,7 +345,7 @@ def trajectories(spark, d) -> DataFrame:
     "filter_first_reason",
     """WITH t AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'search_code' WHEN role = 'assistant' AND turn = 5 THEN 'Finish' END AS tool FROM conversations),
     m AS (SELECT conv_id, count(*) AS n, count(tool) AS tools,
-      avg(CASE WHEN tool IS NOT NULL AND conv_id % 5 > 0 AND (contains(substr(text, 1, 50), '403') OR contains(substr(text, 1, 50), '500') OR contains(substr(text, 1, 50), '503')) THEN 1.0 ELSE 0 END) AS http,
+      avg(CASE WHEN tool IS NOT NULL AND conv_id % 5 > 0 AND (contains(text, '403') OR contains(text, '500') OR contains(text, '503')) THEN 1.0 ELSE 0 END) AS http,
       count(*) FILTER (WHERE contains(text, 'Thought: None')) AS none, avg(CASE WHEN length(trim(text)) < 5 THEN 1.0 ELSE 0 END) AS blank,
       count(*) FILTER (WHERE tool = 'search_code' AND conv_id % 2 = 1) AS missing FROM t GROUP BY 1)
     SELECT conv_id AS trajectory_id, CASE WHEN http > 0.5 THEN format('http_error_rate:{:.2f}>0.5', http) WHEN none >= 2 THEN format('thought_none_count:{}>=2', none) WHEN blank > 0.2 THEN format('empty_content_rate:{:.2f}>0.2', blank)
@@ -299,9 +360,60 @@ def step_cleaning(spark, d):
     return curation.with_clean_steps(trajectories(spark, d)).select("trajectory_id", F.col("steps_before").cast("bigint").alias("before"), F.size("steps").cast("bigint").alias("after"))
 
 
-@query("mutate_values")
+#: Slots of eight types, the same text in both engines.
+_SLOT_KIND = "CASE doc_id % 8 WHEN 0 THEN 'integer' WHEN 1 THEN 'line_number' WHEN 2 THEN 'ipv4' WHEN 3 THEN 'date' WHEN 4 THEN 'boolean' WHEN 5 THEN 'identifier' WHEN 6 THEN 'entity' ELSE 'string' END"
+_SLOT_VALUE = """CASE doc_id % 8 WHEN 0 THEN CAST(n_chars % 700 - 20 AS STRING) WHEN 1 THEN CAST(n_chars % 30 AS STRING) WHEN 2 THEN concat('10.0.7.', doc_id % 256) WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN 'soon' ELSE concat('2024-0', n_chars % 9 + 1, '-1', doc_id % 10) END
+  WHEN 4 THEN CASE WHEN n_chars % 2 = 0 THEN 'True' ELSE 'maybe' END WHEN 5 THEN CASE WHEN n_chars % 3 = 0 THEN source ELSE concat(lang, n_chars % 50, '_x') END WHEN 6 THEN CASE WHEN n_chars % 2 = 0 THEN concat(lang, '_', source) ELSE 'CamelName' END ELSE concat(lang, '-', source) END"""
+
+
+def _drawn(salt: str, n: int | str) -> str:
+    return f"(CAST(concat('0x', substr(md5(concat('42:', doc_id, ':{salt}')), 1, 8)) AS BIGINT) % ({n}))"
+
+
+def _turned(text: str, at: str) -> str:
+    return f"concat(substr({text}, 1, {at}), substr({text}, {at} + 2, 1), substr({text}, {at} + 1, 1), substr({text}, {at} + 3))"
+
+
+_UP, _SIGN, _ABS = f"({_drawn('by', 2)} * 2 - 1)", f"({_drawn('sign', 2)} * 2 - 1)", "CAST(abs(n) AS VARCHAR)"
+_SHIFTED = f"({_SIGN} * CASE {_drawn('int', 4)} WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END)"
+_MUTATED = {
+    "integer": (
+        f"CASE WHEN {_drawn('int', 4)} < 3 THEN CAST(n + {_SHIFTED} AS VARCHAR) WHEN length({_ABS}) >= 2 THEN CAST(CAST({_turned(_ABS, _drawn('digit', f'greatest(length({_ABS}) - 1, 1)'))} AS BIGINT) * CASE WHEN n < 0 THEN -1 ELSE 1 END AS VARCHAR) ELSE CAST(n + 1 AS VARCHAR) END",
+        f"CASE WHEN {_drawn('int', 4)} < 3 THEN concat('offset_', CASE WHEN {_SHIFTED} > 0 THEN '+' ELSE '' END, {_SHIFTED}) WHEN length({_ABS}) >= 2 THEN 'digit_swap' ELSE 'offset_+1' END",
+    ),
+    "line_number": (f"CAST(greatest(1, n + [-1, 1, -5, 5, -10, 10][{_drawn('line', 6)} + 1]) AS VARCHAR)", f"['off_by_minus_1', 'off_by_plus_1', 'off_by_minus_5', 'off_by_plus_5', 'off_by_minus_10', 'off_by_plus_10'][{_drawn('line', 6)} + 1]"),
+    "ipv4": (f"concat('10.0.7.', (CAST(split_part(v, '.', 4) AS INT) + {_drawn('ip', 10)} + 1) % 256)", "'change_last_octet'"),
+    "date": (
+        f"CASE WHEN v = 'soon' THEN NULL WHEN {_drawn('date', 3)} = 0 THEN concat(substr(v, 1, 8), lpad(CAST((CAST(substr(v, 9, 2) AS INT) + {_drawn('days', 5)}) % 28 + 1 AS VARCHAR), 2, '0')) WHEN {_drawn('date', 3)} = 1 THEN concat('2024-', lpad(CAST((CAST(substr(v, 6, 2) AS INT) + {_drawn('months', 3)}) % 12 + 1 AS VARCHAR), 2, '0'), substr(v, 8)) ELSE concat(2024 + {_drawn('years', 2)} * 2 - 1, substr(v, 5)) END",
+        f"CASE WHEN v = 'soon' THEN 'skip_unparseable_date' ELSE ['change_day', 'change_month', 'change_year'][{_drawn('date', 3)} + 1] END",
+    ),
+    "boolean": ("CASE v WHEN 'True' THEN 'false' ELSE v END", "CASE v WHEN 'True' THEN 'flip_boolean_string' ELSE 'no_mutation' END"),
+    "identifier": (
+        f"CASE {_drawn('ident', 3)} WHEN 0 THEN CASE WHEN tail <> '' THEN concat(v, {_drawn('digit', 10)}) ELSE concat(v, '_', {_drawn('number', 99)} + 1) END WHEN 1 THEN CASE WHEN tail <> '' THEN concat(left(v, length(v) - length(tail)), CAST(tail AS BIGINT) + {_UP}) ELSE concat(v, '_1') END ELSE CASE WHEN inner_ <> '' THEN concat(left(v, instr(v, inner_) - 1), CAST(inner_ AS BIGINT) + {_UP}, substr(v, instr(v, inner_) + length(inner_))) ELSE concat(v, '_v2') END END",
+        f"CASE {_drawn('ident', 3)} WHEN 0 THEN CASE WHEN tail <> '' THEN 'append_digit' ELSE 'append_number' END WHEN 1 THEN CASE WHEN tail <> '' THEN 'increment_suffix' ELSE 'add_suffix_number' END ELSE CASE WHEN inner_ <> '' THEN 'change_embedded_number' ELSE 'append_version' END END",
+    ),
+    "entity": (f"CASE v WHEN 'CamelName' THEN 'CamelNameV2' ELSE concat(v, {_drawn('entity', 9)} + 1) END", "CASE v WHEN 'CamelName' THEN 'append_version' ELSE 'append_digit_to_name' END"),
+    "string": (f"CASE {_drawn('text', 3)} WHEN 0 THEN {_turned('v', _drawn('place', 'length(v) - 1'))} WHEN 1 THEN upper(v) ELSE left(v, length(v) - 1) END", f"['adjacent_char_swap', 'to_upper', 'truncate_last'][{_drawn('text', 3)} + 1]"),
+}
+
+
+@query(
+    "mutate_values",
+    f"WITH s AS (SELECT doc_id, {_SLOT_KIND} AS value_type, {_SLOT_VALUE} AS v FROM documents), x AS (SELECT *, TRY_CAST(v AS BIGINT) AS n, regexp_extract(v, '([0-9]+)$', 1) AS tail, regexp_extract(v, '([0-9]+)', 1) AS inner_ FROM s) "
+    + " UNION ALL ".join(f"SELECT doc_id, value_type, v AS value, {made} AS perturbed_value, {how} AS method FROM x WHERE value_type = '{kind}'" for kind, (made, how) in _MUTATED.items()),
+)
 def mutate_values(spark, d):
-    kind = F.get(F.array(*map(F.lit, ("integer", "float", "filepath", "search_query", "string", "boolean", "ipv4", "identifier"))), (F.col("doc_id") % 8).cast("int"))
-    value = F.get(F.array(F.col("n_chars").cast("string"), (F.col("n_chars") / 7).cast("string"), F.concat(F.lit("src/"), "source", F.lit(".py")), F.substring("text", 1, 30), F.substring("text", 1, 12), F.lit("true"), F.concat(F.lit("10.0.0."), F.col("doc_id") % 256), F.col("source")), (F.col("doc_id") % 8).cast("int"))
-    rows = table(spark, d, "documents").select("doc_id", kind.alias("value_type"), value.alias("value"))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_SLOT_KIND).alias("value_type"), F.expr(_SLOT_VALUE).alias("value"))
     return rows.withColumn("m", perturbation.mutated(F.col("value_type"), F.col("value"), 42, F.col("doc_id"))).select("doc_id", "value_type", "value", F.col("m.value").alias("perturbed_value"), F.col("m.method").alias("method"))
+
+
+_PARAMETERS = "CASE WHEN role = 'assistant' AND turn % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END"
+
+
+@query(
+    "parameter_coverage",
+    f"""WITH t AS (SELECT conv_id, turn + 1 AS i, {_PARAMETERS} AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id AS trajectory_id, coalesce(bool_or(p = 1 AND i <= greatest(2, n // 3)), false) AND coalesce(bool_or(p = 1 AND CASE WHEN n <= 3 THEN i = 2 ELSE i BETWEEN n // 3 + 1 AND 2 * (n // 3) END), false) AND coalesce(bool_or(p = 1 AND i >= greatest(n - 1, n - n // 3, 1)), false) AS covered FROM t GROUP BY 1""",
+)
+def parameter_coverage(spark, d):
+    return trajectories(spark, d).select("trajectory_id", curation.parameters_everywhere(F.col("steps")).alias("covered"))

@@ -157,11 +157,17 @@ def disclosing(df: DataFrame, each: DataFrame, one: DataFrame, text: str) -> Dat
     together = checkpointed(together)
     if together.isEmpty():
         return None
-    version = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version")
-    total = df.select(version).distinct().count()
-    with stored(together.select("term").distinct()) as wanted:
-        all_words = df.select(version, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-        terms = checkpointed(all_words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("version").alias("d_t")))
+    held = F.coalesce(F.col(text), F.lit(""))
+    copies = checkpointed(df.groupBy(F.xxhash64(held).alias("version")).agg(F.count(F.lit(1)).alias("n")))
+    total = copies.count()
+    said = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(held), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term")
+    with stored(together.select("term").distinct()) as wanted, stored(copies.filter("n > 1").select(F.col("version").alias("again"), "n")) as repeated:
+        # Rows are counted by term alone, which tasks combine before they send anything; what copies add is taken off again.
+        rows = df.select(said).groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(wanted, "term", "left_semi")
+        texts = df.select(F.xxhash64(held).alias("version"), F.col(text)).join(repeated.select("again"), F.col("version") == F.col("again"), "left_semi")
+        pairs = texts.select("version", said).join(wanted, "term", "left_semi").distinct().join(repeated, F.col("version") == F.col("again"))
+        extra = pairs.groupBy("term").agg(F.sum(F.col("n") - 1).alias("extra"))
+        terms = checkpointed(rows.join(extra, "term", "left").select("term", (F.col("rows") - F.coalesce("extra", F.lit(0))).alias("d_t")))
     both = together.join(terms, "term")
     pmi = F.log2(F.col("d_te") * F.lit(float(total)) / (F.col("d_t") * F.col("d_e")))
     content = F.log2(F.lit(float(total)) / F.col("d_e"))

@@ -239,12 +239,6 @@ def downsample(spark, d):
     return sampling.downsample(table(spark, d, "documents").select("doc_id", "lang"), "lang", 100, {"en": 0.6, "es": 0.25}, "doc_id")
 
 
-@query("class_sample")
-def class_sample(spark, d):
-    rows = facts(spark, d).select(F.col("unit_id").alias("perturbation_id"), "perturbation_class", (F.col("expected_detectability") > 0).alias("is_primary_for_experiment")).dropDuplicates(["perturbation_id"])
-    return sampling.class_sample(rows, 200, {"placebo": 0.2, "fine_grained": 0.5, "coarse_grained": 0.3})
-
-
 _SAMPLE = f"s AS (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS position FROM documents)"
 
 

@@ -161,12 +161,20 @@ def test_alpha(spark):
 
 
 def test_bootstrap(spark):
-    frame = spark.range(400).select(F.col("id"), (F.col("id") % 2).alias("v"))
-    row = st.bootstrap_ci(frame, "id", "m", "v", replicates=100).first()
+    frame = spark.range(400).select(F.col("id"), (F.col("id") % 2).alias("v"), (F.col("id") % 20).alias("x"), (F.col("id") % 20 + F.col("id") % 7).alias("y"))
+    row = st.bootstrap_ci(frame, "m", "v", replicates=100).first()
     assert row.low < 0.5 < row.high and row.replicates == 100
-    values = st.bootstrap_exact(frame, ["v"], lambda t: float(t["v"].mean()), replicates=50, parts=2)
-    interval = st.index_interval(values, "value").first()
-    assert interval.low < 0.5 < interval.high
+    found, whole = st.correlation_interval(frame, "x", "y", replicates=100).first(), st.spearman(frame, "x", "y").first().spearman
+    assert found.low < whole < found.high and found.high - found.low < 0.1
+    assert st.correlation_interval(frame.limit(0), "x", "y", replicates=10).first().low is None
+
+
+def test_hypothesis(spark):
+    rows = [("early", "planning", -0.5 - i / 100) for i in range(9)] + [("late", "parameter", 0.4 + i / 100) for i in range(9)]
+    found = st.assess_hypothesis(spark.createDataFrame(rows, "position string, perturbation_type string, ccg double")).first()
+    assert found.criteria_met == 5 and found.support == "strong" and found.p_value < 1e-6
+    none = st.assess_hypothesis(spark.createDataFrame(rows[:1], "position string, perturbation_type string, ccg double")).first()
+    assert none.support == "not supported" and none.d is None and none.criteria_met == 1
 
 
 def test_tukey(spark):

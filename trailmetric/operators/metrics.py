@@ -179,15 +179,12 @@ def ccg_exclusions(df: DataFrame) -> DataFrame:
 
 def ccg_report(df: DataFrame, dimensions: list[str]) -> DataFrame:
     """Overall and per value of each dimension in one pass (grouping sets); rows with a null in a dimension aren't in its groups."""
-    sets = ", ".join(f"({d})" for d in dimensions)
-    values = ", ".join(f"cast({d} as string) as v_{d}" for d in dimensions)
-    flags = " + ".join(f"case when grouping({d}) = 0 then {i + 1} else 0 end" for i, d in enumerate(dimensions))
-    df.createOrReplaceTempView("_ccg_rows")
-    out = df.sparkSession.sql(
-        f"""SELECT {flags} AS level, {values}, count(ccg) AS n, avg(ccg) AS mean_ccg, stddev_samp(ccg) AS std_ccg,
-                   min(ccg) AS min_ccg, max(ccg) AS max_ccg, median(ccg) AS median_ccg, avg(jps) AS mean_jps, avg(tcs) AS mean_tcs
-            FROM _ccg_rows GROUP BY GROUPING SETS ((), {sets})"""
+    c = F.col("ccg")
+    flags = sum((F.when(F.grouping(d) == 0, i + 1).otherwise(0) for i, d in enumerate(dimensions)), F.lit(0))
+    out = df.groupingSets([[], *[[d] for d in dimensions]], *dimensions).agg(
+        flags.alias("level"), F.count(c).alias("n"), F.avg(c).alias("mean_ccg"), F.stddev_samp(c).alias("std_ccg"), F.min(c).alias("min_ccg"), F.max(c).alias("max_ccg"), F.median(c).alias("median_ccg"), F.avg("jps").alias("mean_jps"), F.avg("tcs").alias("mean_tcs")
     )
+    out = out.withColumns({f"v_{d}": F.col(d).cast("string") for d in dimensions})
     names = F.array(F.lit("overall"), *[F.lit(d) for d in dimensions])
     value = reduce(lambda acc, d: acc.when(F.col("level") == dimensions.index(d) + 1, F.col(f"v_{d}")), dimensions, F.when(F.col("level") == 0, ""))
     return out.withColumn("value", value).filter("value is not null").select(F.element_at(names, F.col("level") + 1).alias("dimension"), "value", "n", "mean_ccg", "std_ccg", "min_ccg", "max_ccg", "median_ccg", "mean_jps", "mean_tcs")

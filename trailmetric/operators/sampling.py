@@ -27,9 +27,11 @@ def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(order_key(seed, key), key).limit(n)
 
 
-def per_stratum(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int = 42) -> DataFrame:
-    """The first ``quota`` rows of each stratum in hash order."""
+def per_stratum(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int = 42, most: int | None = None) -> DataFrame:
+    """The first ``quota`` rows of each stratum in hash order; where no quota exceeds ``most``, tasks cut strata to that before they send them."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order_key(seed, key), key)))
+    if most is not None:
+        ranked = ranked.filter(F.col("_rank") <= max(most, 0))
     return ranked.filter(F.col("_rank") <= quota).drop("_rank")
 
 
@@ -71,7 +73,7 @@ def complexity_rebalance(df: DataFrame, target: int, key: str = "trajectory_id",
 def domain_caps(df: DataFrame, target: int, caps: dict[str, float], key: str = "trajectory_id", seed: int = 42) -> DataFrame:
     """At most int(target * cap) rows of a capped domain, all of the others, shuffled to ``target``."""
     quota = quota_column("domain", {d: int(target * c) for d, c in caps.items()}, otherwise=target)
-    return shuffled_head(per_stratum(df, ["domain"], key, quota, seed), key, target, seed)
+    return shuffled_head(per_stratum(df, ["domain"], key, quota, seed, most=target), key, target, seed)
 
 
 def fair_shares(df: DataFrame, benchmark: str, domain: str, targets: dict[str, int], key: str = "trajectory_id", oversample: float = 1.5, seed: int = 42) -> DataFrame:
@@ -79,13 +81,15 @@ def fair_shares(df: DataFrame, benchmark: str, domain: str, targets: dict[str, i
     domains = df.groupBy(benchmark).agg(F.count_distinct(domain).alias("_domains"))
     want = quota_column(benchmark, {b: int(n * oversample) for b, n in targets.items()})
     cap = F.ceil(2 * want / F.greatest(F.col("_domains"), F.lit(1)))
-    inside = per_stratum(df.join(domains, benchmark), [benchmark, domain], key, cap, seed).drop("_domains")
-    return per_stratum(inside, [benchmark], key, want, seed)
+    most = max([int(n * oversample) for n in targets.values()], default=0)
+    inside = per_stratum(df.join(domains, benchmark), [benchmark, domain], key, cap, seed, most=2 * most).drop("_domains")
+    return per_stratum(inside, [benchmark], key, want, seed, most=most)
 
 
 def downsample(df: DataFrame, column: str, target: int, weights: dict[str, float], key: str, seed: int = 42) -> DataFrame:
     """int(target * weight) rows per class at most, none of other classes, none added."""
-    return per_stratum(df, [column], key, quota_column(column, {c: int(target * w) for c, w in weights.items()}), seed)
+    quotas = {c: int(target * w) for c, w in weights.items()}
+    return per_stratum(df, [column], key, quota_column(column, quotas), seed, most=max(quotas.values(), default=0))
 
 
 def weighted_without_replacement(df: DataFrame, weight: Column, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -96,7 +100,7 @@ def weighted_without_replacement(df: DataFrame, weight: Column, key: str, k: int
 
 def with_minimums(df: DataFrame, column: str, minimums: dict[str, int], total: int, key: str, seed: int = 42) -> DataFrame:
     """The minimum of each value first, then up to ``total`` weighted by 1 / (1 + share of what is chosen already)."""
-    first = per_stratum(df, [column], key, quota_column(column, minimums), seed)
+    first = per_stratum(df, [column], key, quota_column(column, minimums), seed, most=max(minimums.values(), default=0))
     chosen = first.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
     rest = df.join(first.select(key), key, "left_anti").join(chosen, column, "left")
     n = sum(minimums.values())
@@ -112,15 +116,15 @@ def coverage_weights(column: str, counts: DataFrame, selected: int) -> Column:
 def cascade(df: DataFrame, steps: list[tuple[str, Column, int]], total: int, key: str, seed: int = 42) -> DataFrame:
     """Rows by a priority cascade: each step takes its quota of the rows that no step before took; then any up to ``total``.
 
-    A row beyond one step's quota can still be taken by a later one.  Each step is a distributed top-k; what it took,
-    as many rows as its quota at most, is sent to the next ones, which leave it out.
+    A row beyond one step's quota can still be taken by a later one.  Each step is a distributed top-k; the next ones
+    leave out what it took, which the planner broadcasts if its size allows.
     """
     order = [order_key(seed, key), F.col(key)]
     left, parts = df, []
     for name, condition, quota in [*steps, ("fill", F.lit(True), total)]:  # the last limit settles how many fill up
         picked = left.filter(condition).orderBy(*order).limit(quota).withColumn("stage", F.lit(name))
         parts.append(picked.withColumn("_at", F.lit(int(name == "fill"))))
-        left = left.join(F.broadcast(picked.select(key)), key, "left_anti")
+        left = left.join(picked.select(key), key, "left_anti")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

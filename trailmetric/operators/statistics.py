@@ -178,10 +178,64 @@ def tukey_hsd(df: DataFrame, value: str, group: str, draws: int = 20_000, seed:
     return out
 
 
+#: Error types by kind, and the sides of the four contrasts.
+STRUCTURAL_TYPES, SURFACE_TYPES = ("planning", "tool_selection"), ("parameter", "data_reference")
+
+
+def contrasts(kind: str = "perturbation_type", position: str = "position") -> dict[str, tuple[Column, Column]]:
+    at = lambda p: F.col(position) == p
+    structural, surface = F.col(kind).isin(*STRUCTURAL_TYPES), F.col(kind).isin(*SURFACE_TYPES)
+    return {
+        "early_vs_late": (at("early"), at("late")),
+        "planning_vs_parameter": (F.col(kind) == "planning", F.col(kind) == "parameter"),
+        "structural_vs_surface": (structural, surface),
+        "early_structural_vs_late_surface": (at("early") & structural, at("late") & surface),
+    }
+
+
+def effect_contrasts(df: DataFrame, value: str = "ccg", sides: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """contrast, n1, n2, mean1, mean2, d (pooled, 0 without variance) of each pair of sides with two rows or more each: one pass for all."""
+    sides = sides or contrasts()
+    aggs = []
+    for name, pair in sides.items():
+        for i, side in enumerate(pair):
+            v = F.when(side, F.col(value))
+            aggs += [F.count(v).alias(f"{name}_n{i}"), F.avg(v).alias(f"{name}_m{i}"), F.var_pop(v).alias(f"{name}_v{i}")]
+    one = df.agg(*aggs)
+
+    def row(name: str) -> Column:
+        n1, n2, m1, m2, v1, v2 = (F.col(f"{name}_{k}{i}") for k in "nmv" for i in (0, 1))
+        pooled = F.sqrt((n1 * v1 + n2 * v2) / F.nullif(n1 + n2 - 2, F.lit(0)))
+        d = F.when(pooled > 0, (m1 - m2) / F.nullif(pooled, F.lit(0.0))).otherwise(0.0)
+        return F.struct(F.lit(name).alias("contrast"), n1.alias("n1"), n2.alias("n2"), m1.alias("mean1"), m2.alias("mean2"), d.alias("d"))
+
+    return one.select(F.inline(F.array(*map(row, sides)))).filter("n1 > 1 and n2 > 1")
+
+
+def assess_hypothesis(df: DataFrame, value: str = "ccg") -> DataFrame:
+    """One row: means of early structural and late surface errors, effect size, t and p of their difference, the five criteria and the support they give."""
+    both = contrasts()["early_structural_vs_late_surface"]
+    found = df.agg(*[f(F.when(side, F.col(value))).alias(f"{n}{i}") for i, side in enumerate(both) for f, n in ((F.count, "n"), (F.avg, "m"))]).first()
+    pairs = effect_contrasts(df, value, {"key": both}).collect()  # one row at most
+    d = pairs[0].d if pairs else None
+    t, p = welch_free_t(d, found.n0, found.n1) if d is not None else (None, None)
+    early, late = found.m0, found.m1
+    criteria = {
+        "early_under_penalized": early is not None and early < 0,
+        "late_over_penalized": late is not None and late > 0,
+        "direction_correct": early is not None and late is not None and early < late,
+        "statistically_significant": p is not None and p < 0.05,
+        "meaningful_effect_size": d is not None and abs(d) > 0.5,
+    }
+    names = ", ".join(f"{c} boolean" for c in criteria)
+    schema = f"early_structural_mean double, late_surface_mean double, d double, t double, p_value double, {names}, criteria_met int, support string"
+    return df.sparkSession.createDataFrame([(early, late, d, t, p, *criteria.values(), sum(criteria.values()), hypothesis_strength(criteria))], schema)
+
+
 def hypothesis_strength(criteria: dict[str, bool]) -> str:
     """Strength of support by how many of five criteria hold."""
     met = sum(map(bool, criteria.values()))
-    return "strong" if met >= 4 else "moderate" if met == 3 else "weak" if met == 2 else "none"
+    return "strong" if met >= 4 else "moderate" if met == 3 else "weak" if met == 2 else "not supported"
 
 
 def last_values(df: DataFrame, unit: str, annotator: str, value: str, order: str) -> DataFrame:
@@ -260,23 +314,23 @@ def annotator_agreement(df: DataFrame, pairs: DataFrame, unit: str, annotator: s
     return own.join(sides, F.col("a") == F.col("b"), "left").select(F.col("a").alias("annotator"), "n_annotations", "mean_agreement")
 
 
-def bootstrap_ci(df: DataFrame, unit: str, statistic: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval (linear interpolation) of the mean by Poisson bootstrap: each row's weight in a replicate comes from a hash of seed, unit and replicate.
+def bootstrap_ci(df: DataFrame, statistic: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval (linear interpolation) of the mean by Poisson bootstrap.
 
-    Rows are expanded map-side and combined before the shuffle: it moves ``replicates`` rows a task.
+    Equal values are drawn together, so the work grows with the distinct values, not with the rows.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(unit).cast("string"), "r"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    weight, tail, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        tail += p
-        weight = weight + (u > tail).cast("int")
-        p /= k + 1
-    weighted = df.select(unit, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", weight)
-    per = weighted.groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias(statistic))
+    drawn = poisson_replicates(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), ["v"], replicates, seed)
+    per = drawn.groupBy("replicate").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias(statistic))
     low, high = (1 - level) / 2, (1 + level) / 2
     return per.agg(F.avg(statistic).alias("mean"), F.percentile(statistic, F.lit(low)).alias("low"), F.percentile(statistic, F.lit(high)).alias("high"), F.count(statistic).alias("replicates"))
 
 
+def correlation_interval(df: DataFrame, x: str, y: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(low, high) of the rank correlation by Poisson bootstrap, at the sorted replicates' places; nulls without a replicate that has one."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    return index_interval(replicate_spearman(poisson_replicates(known, ["x", "y"], replicates, seed), "x", "y"), "r", alpha)
+
+
 def poisson_replicates(df: DataFrame, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(replicate, *columns, w): the weight of every distinct row in each Poisson resample of ``df``; zero weights are left out.
 
@@ -317,22 +371,6 @@ def replicate_spearman(drawn: DataFrame, x: str, y: str, least: int = 3) -> Data
     return ranked.groupBy("replicate").agg(r.alias("r")).filter("r is not null")
 
 
-def bootstrap_exact(df: DataFrame, columns: list[str], statistic, replicates: int = 1000, seed: int = 42, parts: int = 16) -> DataFrame:
-    """(replicate, value) by index resampling of a small table (annotation-sized: its rows are sent to each group of replicates)."""
-    table = df.select(*columns).toPandas()
-    schema = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("value", T.DoubleType())])
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                out.append((int(r), statistic(table.iloc[rng.integers(0, len(table), len(table))])))
-            yield pd.DataFrame(out, columns=["replicate", "value"])
-
-    return df.sparkSession.range(replicates).repartition(parts).mapInPandas(run, schema)
-
-
 def index_interval(values: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
     """(low, high): the sorted values at int(alpha / 2 * n) and int((1 - alpha / 2) * n) - 1, of a table of replicates."""
     held = values.agg(F.array_sort(F.collect_list(value)).alias("v"))  # as many values as replicates

@@ -460,9 +460,12 @@ def with_path_set(df: DataFrame, document: str, path: str, value: str, out: str)
 
 
 def typed(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(typed steps, edges): all passes in order; artifacts are consumed before dependencies are known."""
+    """(typed steps, edges): all passes in order; artifacts are consumed before dependencies are known.
+
+    Steps and edges are used several times, so both are kept once made (spilled to disk where memory is short; a lost part is made again).
+    """
     rows = with_extraction(steps.withColumn("step_role", step_role()))
     rows = with_flags(rows)
-    rows = with_consumed(rows.withColumn("produced_artifacts", produced_artifacts()))
-    edges = dependency_edges(rows)
+    rows = with_consumed(rows.withColumn("produced_artifacts", produced_artifacts())).persist()
+    edges = dependency_edges(rows).persist()
     return with_criticality(rows, edges, closure(edges)), edges

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checks, facts, more, people, records, steps
+from . import checks, facts, further, more, people, records, steps
 
-_PARTS = (facts, people, records, steps, more, checks)
+_PARTS = (facts, people, records, steps, more, checks, further)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.S.items()}
 

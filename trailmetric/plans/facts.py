@@ -270,4 +270,9 @@ def anova_eta(spark, d):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     rows = facts(spark, d).filter("perturbation_class <> 'placebo'")
-    return statistics.bootstrap_ci(rows.withColumn("hit", F.col("error_detected").cast("int")), "unit_id", "pdr", "hit")
+    return statistics.bootstrap_ci(rows.withColumn("hit", F.col("error_detected").cast("int")), "pdr", "hit")
+
+
+@query("correlation_interval")
+def correlation_interval(spark, d):
+    return statistics.correlation_interval(facts(spark, d), "predicted_impact", "outcome_degradation")

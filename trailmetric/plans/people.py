@@ -219,7 +219,7 @@ _QUOTA = "CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 30 WHEN 'fr' THEN 5000 ELSE
 @query("quota_sample", f"SELECT doc_id, lang FROM (SELECT *, {_RANK} AS k FROM documents) WHERE k <= {_QUOTA}")
 def quota_sample(spark, d):
     quotas = {"en": 50, "de": 30, "fr": 5000}
-    return sampling.per_stratum(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", sampling.quota_column("lang", quotas))
+    return sampling.per_stratum(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", sampling.quota_column("lang", quotas), most=max(quotas.values()))
 
 
 _FILL = "CASE lang WHEN 'en' THEN 10 WHEN 'de' THEN 20 WHEN 'xx' THEN 400 ELSE 0 END"
@@ -263,11 +263,6 @@ def overlap_assignment(spark, d):
     return sampling.overlap(table(spark, d, "documents").select("doc_id"), "doc_id", ["ann", "bob", "cid"], to_all=10, paired=20)
 
 
-@query("weighted_sample")
-def weighted_sample(spark, d):
-    return sampling.weighted_without_replacement(table(spark, d, "documents").select("doc_id", "n_chars"), F.col("n_chars").cast("double"), "doc_id", 100)
-
-
 _CASCADE = [("high", "n_chars > 4000", 30), ("english", "lang = 'en'", 40), ("rest", "true", 20)]
 
 
@@ -293,9 +288,3 @@ def cascade_sample(spark, d):
 )
 def class_needs(spark, d):
     return sampling.class_needs(facts(spark, d), "perturbation_class", {"placebo": 30000, "fine_grained": 25000, "other": 4000})
-
-
-@query("greedy_select")
-def greedy_select(spark, d):
-    rows = facts(spark, d).select(F.col("order_id").alias("trajectory_id"), F.col("unit_id").alias("candidate_id"), F.col("sample").alias("step_index"), "perturbation_class", F.col("predicted_impact").alias("score"))
-    return sampling.greedy_select(rows, {"placebo": 1, "fine_grained": 2, "coarse_grained": 1})

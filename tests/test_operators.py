@@ -136,7 +136,7 @@ def test_parameters_everywhere(spark):
     call, none = ("tool_execution", "calling", "api", '{"a": 1}', "x"), ("reasoning", "thinking", None, None, None)
     covered = lambda *steps: trajectory(spark, list(steps)).filter(curation.parameters_everywhere(F.col("steps"))).count() == 1
     assert covered(call, call, call) and covered(call, call) and not covered(call) and not covered(none, none, call)
-    assert covered(none, call, none, call, none, call, none) is False and covered(none, call, call, call, none, none, call)
+    assert covered(none, call, none, none, none, call, none) is False and covered(none, call, call, call, none, none, call)
     assert not covered(call, none, GOOD[0])
 
 

@@ -39,7 +39,7 @@ from .bpe import Memo, slices
 from .common import ship
 
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 1 << 25
+SAMPLE_CHARS = 1 << 24
 BUCKETS = 1 << 18
 LAGS = 3
 _OUTER = re.compile(r"^\W+|\W+$")
@@ -174,12 +174,13 @@ def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, buckets: int =
         return Model(np.zeros(buckets), 0.0, 0.0, float(np.log(share / (1 - share))))
 
     def learn(rows: np.ndarray) -> tuple[np.ndarray, float]:
-        number = np.full(n, -1)
+        number = np.full(n, -1, dtype=np.int32)
         number[rows] = np.arange(len(rows))
-        mine = number[row] >= 0
-        r, f, y = number[row[mine]], feature[mine], label[rows]
+        r = number[row]
+        mine = r >= 0
+        r, f, y = r[mine], feature[mine], label[rows]
         ratio = log_ratios(r, f, y, buckets)
-        w, bias = dual_coordinate_descent(r, f, ratio[f], y, buckets)
+        w, bias = dual_coordinate_descent(r, f, ratio.astype(np.float32)[f], y, buckets)
         return w * ratio, bias
 
     # Margins of rows that were not learnt from, in turn, give the curve; all rows give the weights.
@@ -232,9 +233,12 @@ def train(
     learn = learning_rows(df, labels, doc_id, text, label, rows, chars)
     # Numbers of distinct features, a few to a word: bounded by ``rows`` and ``chars``.
     found = learn.mapInArrow(run, "at long, version long, label int, features array<int>").toArrow().sort_by([("at", "ascending"), ("version", "ascending")]).combine_chunks()
-    label_of, lists = found["label"].to_numpy().astype(np.int64), found["features"].combine_chunks()
-    row = np.repeat(np.arange(len(label_of)), np.asarray(lists.value_lengths()))
-    return fit(row, np.asarray(lists.flatten()).astype(np.int64), label_of, buckets)
+    # Small numbers in small types: the driver holds a few of these arrays at a time.
+    label_of, lists = found["label"].to_numpy().astype(np.int8), found["features"].combine_chunks()
+    del found
+    lengths, feature = np.asarray(lists.value_lengths()), np.array(lists.flatten())
+    del lists
+    return fit(np.repeat(np.arange(len(label_of), dtype=np.int32), lengths), feature, label_of, buckets)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import pooled_alpha
+from .statistics import pooled_alphas
 
 LOW_AGREEMENT = 0.6
 
@@ -109,14 +109,10 @@ DIMENSIONS = {
 
 def agreement_report(annotations: DataFrame, dimensions: dict[str, tuple[str, float]] = DIMENSIONS) -> DataFrame:
     """dimension, alpha, threshold, met; ``acceptable`` if four in five of those with an alpha are met, or there is none."""
-    parts = [
-        pooled_alpha(annotations, "unit_id", d, level).select(F.lit(d).alias("dimension"), "alpha", "band", F.lit(t).alias("threshold"), (F.col("alpha") >= t).alias("met"))
-        for d, (level, t) in dimensions.items()
-        if d in annotations.columns
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
+    known = {d: kind for d, kind in dimensions.items() if d in annotations.columns}
+    threshold = F.element_at(F.create_map(*[F.lit(x) for d, (_, t) in known.items() for x in (d, float(t))]), F.col("dimension"))
+    alphas = pooled_alphas(annotations, "unit_id", {d: level for d, (level, _) in known.items()})
+    report = alphas.select("dimension", "alpha", "band", threshold.alias("threshold"), (F.col("alpha") >= threshold).alias("met"))
     share = report.agg(F.avg(F.col("met").cast("int")).alias("s"))
     return report.join(share).withColumn("acceptable", F.coalesce(F.col("s") >= 0.8, F.lit(True))).drop("s")
 

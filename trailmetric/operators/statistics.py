@@ -243,43 +243,53 @@ def last_values(df: DataFrame, unit: str, annotator: str, value: str, order: str
     return known.groupBy(F.col(unit).alias("u"), F.col(annotator).alias("a")).agg(F.max_by(F.col(value).cast("string"), order).alias("v"))
 
 
-def pooled_alpha(df: DataFrame, unit: str, value: str, level: str = "nominal", annotator: str = "annotator_id", order: str = "seq") -> DataFrame:
-    """Pooled agreement alpha: n_units, n_annotators, n_observations, observed, expected, alpha, band.
+def pooled_alphas(df: DataFrame, unit: str, levels: dict[str, str], annotator: str = "annotator_id", order: str = "seq") -> DataFrame:
+    """Pooled agreement alpha of each dimension (column): n_units, n_annotators, n_observations, observed, expected, alpha, band; one pass for all.
 
     Over units of two annotators or more: disagreement summed over the pairs inside units, and over all pairs of
     values, both shares of n(n-1)/2 for the n values. Values are coded in the order of their text; the difference
     of two codes is 0 or 1 (nominal) or their squared distance (ordinal and interval, as codes are dense). Closed forms
     over counts replace the pairs. One value alone gives 1; no expected disagreement 1 or null; no such unit null.
     """
-    if level not in ("nominal", "ordinal", "interval"):
-        raise ValueError(f"unknown level {level!r}")
-    rows = last_values(df, unit, annotator, value, order)
-    per = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    several = per.groupBy("u").agg(F.sum("n").alias("m")).filter("m > 1").select("u")
-    per = per.join(several, "u")
-    totals = per.groupBy("v").agg(F.sum("n").alias("n"))
-    codes = _running(totals.select("v", F.lit(1).alias("_n")), "v").select("v", (F.col("_rank") - 1).alias("code"))
-
-    def bad(frame: DataFrame, by: list[str]) -> DataFrame:
-        """Summed disagreement of all pairs: those of unequal values, or n * sum(c^2) - sum(c)^2."""
+    if unknown := set(levels.values()) - {"nominal", "ordinal", "interval"}:
+        raise ValueError(f"unknown level {sorted(unknown)}")
+    said = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("v")) for d in levels])
+    each = df.filter(F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.col(annotator).alias("a"), F.col(order).alias("o"), F.explode(said).alias("s")).select("u", "a", "o", "s.*")
+    rows = each.filter("v is not null").groupBy("dimension", "u", "a").agg(F.max_by("v", "o").alias("v"))
+    per = rows.groupBy("dimension", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    several = per.groupBy("dimension", "u").agg(F.sum("n").alias("m")).filter("m > 1").select("dimension", "u")
+    per = per.join(several, ["dimension", "u"])
+    totals = per.groupBy("dimension", "v").agg(F.sum("n").alias("n"))
+    codes = _running(totals.select("dimension", "v", F.lit(1).alias("_n")), "v", ["dimension"]).select("dimension", "v", (F.col("_rank") - 1).alias("code"))
+    squared = F.col("dimension").isin(*[d for d, level in levels.items() if level != "nominal"])
+
+    def bad(frame: DataFrame, *by: str) -> DataFrame:
+        """Summed disagreement of all pairs: n * sum(c^2) - sum(c)^2, or those of unequal values."""
         n, c = F.col("n"), F.col("code")
-        all_, same = F.sum(n) * (F.sum(n) - 1) / 2, F.sum(n * (n - 1) / 2)
+        unequal = F.sum(n) * (F.sum(n) - 1) / 2 - F.sum(n * (n - 1) / 2)
         square = F.sum(n) * F.sum(n * c * c) - F.pow(F.sum(n * c), 2)
-        return frame.groupBy(*by).agg((all_ - same if level == "nominal" else square).alias("bad"), F.sum("n").alias("m"))
-
-    inside = bad(per.join(codes, "v"), ["u"]).agg(F.count(F.lit(1)).alias("n_units"), F.sum("bad").alias("inside"))
-    # One row on each side.
-    every = bad(totals.join(codes, "v"), []).select(F.col("bad").alias("every"), F.col("m").alias("n")).join(totals.agg(F.count(F.lit(1)).alias("labels")))
-    sizes = rows.agg(F.count_distinct("a").alias("n_annotators"), F.count(F.lit(1)).alias("n_observations"))
+        out = frame.join(codes, ["dimension", "v"]).groupBy(*by).agg(unequal.alias("unequal"), square.alias("square"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels"))
+        return out.withColumn("bad", F.when(squared, F.col("square")).otherwise(F.col("unequal")))
+
+    inside = bad(per, "dimension", "u").groupBy("dimension").agg(F.count(F.lit(1)).alias("n_units"), F.sum("bad").alias("inside"))
+    every = bad(totals, "dimension").select("dimension", F.col("bad").alias("every"), F.col("m").alias("n"), "labels")
+    sizes = rows.groupBy("dimension").agg(F.count_distinct("a").alias("n_annotators"), F.count(F.lit(1)).alias("n_observations"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, levels))).alias("dimension"))
+    both = names.join(sizes, "dimension", "left").join(inside, "dimension", "left").join(every, "dimension", "left").na.fill(0, ["n_units", "n_annotators", "n_observations"])
     pairs = F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))
-    both = inside.join(every).join(sizes).withColumns({"observed": F.col("inside") / pairs, "expected": F.col("every") / pairs})
+    both = both.withColumns({"observed": F.col("inside") / pairs, "expected": F.col("every") / pairs})
     alpha = (
         F.when((F.col("n_units") == 0) | (F.col("n_annotators") < 2), F.lit(None).cast("double"))
         .when(F.col("labels") < 2, 1.0)
         .when(F.col("expected") == 0, F.when(F.col("observed") == 0, 1.0))
         .otherwise(1 - F.col("observed") / F.nullif("expected", F.lit(0.0)))
     )
-    return both.withColumn("alpha", alpha).select("n_units", "n_annotators", "n_observations", "observed", "expected", "alpha", alpha_band(F.col("alpha")).alias("band"))
+    return both.withColumn("alpha", alpha).select("dimension", "n_units", "n_annotators", "n_observations", "observed", "expected", "alpha", alpha_band(F.col("alpha")).alias("band"))
+
+
+def pooled_alpha(df: DataFrame, unit: str, value: str, level: str = "nominal", annotator: str = "annotator_id", order: str = "seq") -> DataFrame:
+    """``pooled_alphas`` of one dimension."""
+    return pooled_alphas(df, unit, {value: level}, annotator, order).drop("dimension")
 
 
 def alpha_band(alpha: Column) -> Column:

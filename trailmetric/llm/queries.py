@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, near_dedup, packing, pii, quality, token_counts, topk, toxicity
+from . import bpe, clusters, divergence, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, token_counts, topk, toxicity
 from .common import strict, table
 
 # Files of the driver; the operators send them to the executors.
@@ -136,6 +136,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(strict(table(spark, sf_dir, "documents"), "text", "lang", "source"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(strict(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), k=40, rounds=5, seed=2, dims=64)
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(strict(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), weights=(5, 2, 1), most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -147,6 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_divergence": op11_divergence,
+    "op12_clusters": op12_clusters,
+    "op13_mixture": op13_mixture,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +170,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_pii": pii.sql(),
     "op7_top_k": OP7_SQL,
     "op8_license_scan": licenses.sql(),
+    "op11_divergence": divergence.SQL,
+    "op12_clusters": clusters.sql(),
 }

@@ -11,8 +11,9 @@
    at once, kept inside a bracket of the root.
 3. Copies: from large to small sizes, a size gets the number of copies that brings the words
    taken closest to the rates' words so far, so what is left over is passed on to smaller
-   documents and a source ends about half its smallest document from the target. The copies of
-   one size are dealt evenly, one more to the documents of the smallest hashes.
+   documents and a source ends about half its smallest document from the target, or a small
+   one where those below it are all at a bound. The copies of one size are dealt evenly, one
+   more to the documents of the smallest hashes.
 
 The text is read once; from then on rows are (id, source, size). Documents of one source and
 size share a rate, so the rest works on the different sizes: a source of W words has at most

@@ -238,7 +238,7 @@ def test_quality_check(spark):
     )
     got = {r.perturbation_id: r for r in perturbation.quality_check(frame).collect()}
     assert got["p1"].qc_status == "valid" and got["p1"].derived_impact == 3
-    assert got["p2"].qc_failed == ["no_change", "class_family", "family_type"] and got["p2"].derived_impact == 0
+    assert got["p2"].qc_failed == ["no_change", "family_type"] and got["p2"].derived_impact == 0
     stats = {(r.kind, r.value): r.n for r in perturbation.qc_statistics(perturbation.quality_check(frame)).collect()}
     assert stats["impact", "1"] == 0 and stats["status", "invalid"] == 1
 

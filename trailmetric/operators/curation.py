@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, strip
+from ..functions.text import any_of, api_error, final_answer, heuristic_score, strip
 
 #: Fixed values.
 HTTP_ERRORS = ("403", "500", "503")
@@ -177,22 +177,48 @@ def first_present(names: list[str], df: DataFrame) -> Column:
     return F.lit(None).cast("string")
 
 
-def loaded(df: DataFrame, benchmark: str, size: int | None = None, low: int | None = None, high: int | None = None, success: bool | None = None, difficulty: str | None = None, coverage: bool = False, quality: dict | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(sample, rejections) of parsed trajectories: step counts, success, difficulty and coverage, quality rules if given, then a seeded sample.
+#: Step counts that a scan keeps if it isn't told otherwise.
+STEP_BOUNDS = {"toolbench": (1, 100), "gaia": (1, 100), "swebench": (4, 30)}
+#: Fixed value: the heuristic score from which an answer passes.
+PASS_SCORE = 0.5
 
-    A rejected trajectory is logged with the first rule that it breaks; the sample is the first ``size`` by the hash of seed and id.
+
+def grader_aligned(steps: Column, success: Column) -> Column:
+    """A success by its own record whose final answer also passes the heuristic grader; one of unknown outcome is none."""
+    errors = F.size(F.filter(steps, lambda s: api_error(s["tool_output"])))
+    return F.coalesce(success, F.lit(False)) & (heuristic_score(final_answer(steps), errors) >= PASS_SCORE)
+
+
+def loaded(
+    df: DataFrame, benchmark: str, size: int | None = None, low: int | None = None, high: int | None = None, success: bool = False, aligned: bool = False, difficulty: str | None = None, coverage: bool = False,
+    substitutes: DataFrame | None = None, quality: dict | None = None, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """(sample, rejections) of parsed trajectories: step counts, outcome, difficulty, coverage, tools with substitutes, quality rules if given, then a seeded sample.
+
+    ``success`` rejects what is known to have failed, so an unknown outcome stays; ``aligned`` wants a success that the
+    grader sees too, and then ``success`` says nothing more. A rejected trajectory is logged with the first rule that it
+    breaks; the sample is the first ``size`` by the hash of seed and id.
     """
     from .sampling import shuffled_head
 
-    n = F.size("steps")
-    rule = F.when(n < (low or 0), F.format_string("too_few_steps:%d", n)).when(n > (high or 1 << 30), F.format_string("too_many_steps:%d", n))
-    if success is not None:
-        rule = rule.when(~F.coalesce(F.col("ground_truth.task_success") == success, F.lit(False)), "task_success")
+    least, most = STEP_BOUNDS[benchmark]
+    low, high = least if low is None else low, most if high is None else high
+    n, outcome = F.size("steps"), F.col("ground_truth.task_success")
+    rule = F.when(n < low, F.format_string("too_few_steps:%d", n)).when(n > high, F.format_string("too_many_steps:%d", n))
+    if aligned:
+        rule = rule.when(~grader_aligned(F.col("steps"), outcome), "grader_aligned")
+    elif success:
+        rule = rule.when(F.coalesce(~outcome, F.lit(False)), "task_success")
     if difficulty is not None:
         rule = rule.when(~F.coalesce(F.col("ground_truth.difficulty") == difficulty, F.lit(False)), "difficulty")
     if coverage:
-        rule = rule.when(~parameters_everywhere(F.col("steps")), "parameter_coverage")
+        rule = rule.when(~F.coalesce(parameters_everywhere(F.col("steps")), F.lit(False)), "parameter_coverage")
+    columns = df.columns
+    if substitutes is not None:
+        diverse = diverse_tools(df, substitutes).select("trajectory_id").distinct().withColumn("_diverse", F.lit(True))
+        df = df.join(diverse, "trajectory_id", "left")
+        rule = rule.when(F.col("_diverse").isNull(), "tool_diversity")
     marked = reject_reason(df, benchmark, quality, enabled=quality is not None)
-    marked = marked.withColumn("reject_reason", F.coalesce(rule, "reject_reason"))
+    marked = marked.withColumn("reject_reason", F.coalesce(rule, "reject_reason")).select(*columns, "reject_reason")
     kept, log = split_rejected(marked)
     return kept if size is None else shuffled_head(kept, "trajectory_id", size, seed), log

@@ -269,9 +269,10 @@ def closure(edges: DataFrame, key: str = "trajectory_id", node: str = "step_inde
 
 
 def closure_recursive(spark, edges_view: str) -> DataFrame:
-    """(trajectory_id, node, ancestor) as a recursive query, within Spark's recursion limit."""
+    """(trajectory_id, node, ancestor) as a recursive query; as many levels as the trajectory of the most dependent steps could have."""
+    levels = spark.sql(f"SELECT max(n) AS n FROM (SELECT count(DISTINCT step_index) AS n FROM {edges_view} GROUP BY trajectory_id)").first().n or 1  # one number
     return spark.sql(
-        f"""WITH RECURSIVE up(trajectory_id, node, ancestor) AS (
+        f"""WITH RECURSIVE up(trajectory_id, node, ancestor) MAX RECURSION LEVEL {levels + 1} AS (
               SELECT trajectory_id, step_index, source_step FROM {edges_view}
               UNION ALL
               SELECT u.trajectory_id, u.node, e.source_step FROM up u JOIN {edges_view} e ON u.trajectory_id = e.trajectory_id AND u.ancestor = e.step_index)

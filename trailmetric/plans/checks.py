@@ -103,7 +103,7 @@ def rejection_counts(spark, d):
 
 _LOADED = f"""{_TURNS}, p AS (SELECT conv_id, coalesce(bool_or(p = 1 AND i <= greatest(2, n // 3)), false) AND coalesce(bool_or(p = 1 AND CASE WHEN n <= 3 THEN i = 2 ELSE i BETWEEN n // 3 + 1 AND 2 * (n // 3) END), false) AND coalesce(bool_or(p = 1 AND i >= greatest(n - 1, n - n // 3, 1)), false) AS covered FROM
   (SELECT conv_id, turn + 1 AS i, CASE WHEN role = 'assistant' AND turn % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY 1),
-x AS (SELECT conv_id, CASE WHEN n < 3 THEN concat('too_few_steps:', n) WHEN n > 8 THEN concat('too_many_steps:', n) WHEN conv_id % 11 = 0 OR conv_id % 2 = 1 THEN 'task_success' WHEN NOT covered THEN 'parameter_coverage' END AS why FROM t JOIN p USING (conv_id))"""
+x AS (SELECT conv_id, CASE WHEN n < 3 THEN concat('too_few_steps:', n) WHEN n > 8 THEN concat('too_many_steps:', n) WHEN conv_id % 11 <> 0 AND conv_id % 2 = 1 THEN 'task_success' WHEN NOT covered THEN 'parameter_coverage' END AS why FROM t JOIN p USING (conv_id))"""
 
 
 @query("loader_rejections", f"WITH {_LOADED} SELECT conv_id AS trajectory_id, why AS reject_reason FROM x WHERE why IS NOT NULL")

@@ -7,8 +7,8 @@ A mutation gives struct(value, method); a null value says that it does not apply
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -166,7 +166,7 @@ def wrong_identifier(value: Column, seed: int, key: Column) -> Column:
 
 def wrong_entity(value: Column, seed: int, key: Column) -> Column:
     digit = draw(seed, key, "entity", 9) + 1
-    named = F.when(F.contains(value, F.lit("_")), "append_digit_to_name").when(F.substring(value, 2, 1000).rlike("[A-Z]"), "append_version").otherwise("append_digit")
+    named = F.when(F.contains(value, F.lit("_")), "append_digit_to_name").when(value.rlike("(?s)^.+[A-Z]"), "append_version").otherwise("append_digit")
     return _made(F.when(named == "append_version", F.concat(value, F.lit("V2"))).otherwise(F.concat(value, digit)), named)
 
 
@@ -227,6 +227,78 @@ def typo(value: Column, seed: int, key: Column) -> Column:
     return _made(F.when(n >= 3, swapped(value, draw(seed, key, "typo", F.greatest(n - 1, F.lit(1))))), "adjacent_char_swap")
 
 
+# Names of arguments that are thresholds or queries (a name in a longer one counts), and words that stand for their opposite.
+THRESHOLDS = ("top_k", "top_n", "limit", "max_results", "count", "num_results", "k", "n", "threshold", "max", "min", "batch_size", "page_size")
+QUERIES = ("query", "q", "search", "search_query", "text", "prompt", "keywords", "terms", "filter")
+OPPOSITES = (("bert", "gpt"), ("gpt", "bert"), ("true", "false"), ("false", "true"), ("yes", "no"), ("no", "yes"), ("enabled", "disabled"), ("disabled", "enabled"))
+
+
+def _named_like(slot: Column, names: tuple[str, ...]) -> Column:
+    last = F.lower(F.substring_index(slot, ".", -1))
+    return reduce(lambda a, b: a | b, [F.contains(last, F.lit(n)) for n in names])
+
+
+def is_threshold(slot: Column, value_type: Column) -> Column:
+    return F.coalesce(value_type.isin("integer", "float") & _named_like(slot, THRESHOLDS), F.lit(False))
+
+
+def is_query(slot: Column, value_type: Column) -> Column:
+    return F.coalesce(value_type.isin("search_query", "string") & _named_like(slot, QUERIES), F.lit(False))
+
+
+def wrong_value(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+    """A whole number off by a fifth, at least 2; a word of a text by its opposite; else as the type has it."""
+    n, up = _number(value), draw(seed, key, "fifth", 2) * 2 - 1
+    offset = up * F.greatest(F.lit(2), F.floor(F.abs(n) / 5))
+    other = _made(n + offset, F.concat(F.lit("wrong_value_offset_"), offset.cast("string")))
+    swaps = [F.when((value_type == "string") & F.contains(F.lower(value), F.lit(a)), _made(F.replace(value, F.lit(a), F.lit(b)), f"wrong_value_swap_{a}_to_{b}")) for a, b in OPPOSITES]
+    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), other), *swaps, mutated(value_type, value, seed, key))
+
+
+def off_by(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+    """A whole number one up or down, 0 at least; a fraction a tenth or one off; an identifier by its number; else as the type has it."""
+    n, up, by = _number(value), draw(seed, key, "obo", 2) * 2 - 1, F.get(F.array(*map(F.lit, (-0.1, 0.1, -1.0, 1.0))), draw(seed, key, "off", 4))
+    whole = _made(F.greatest(F.lit(0), n + up), F.when(up > 0, "off_by_one_+1").otherwise("off_by_one_-1"))
+    part = _made(F.bround(value.try_cast("double") + by, 4), F.concat(F.lit("off_by_"), by.cast("string")))
+    return F.coalesce(
+        F.when(value_type.isin("integer", "line_number") & n.isNotNull(), whole),
+        F.when((value_type == "float") & value.try_cast("double").isNotNull(), part),
+        F.when(value_type == "identifier", wrong_identifier(value, seed, key)),
+        mutated(value_type, value, seed, key),
+    )
+
+
+def typo_in_id(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+    """The first dot of a path as an underscore; the number at a name's end one up, or two neighbours changed over; else a typo."""
+    tail, n = F.regexp_extract(value, r"(\d+)$", 1), F.length(value)
+    dotted = F.concat(F.substring_index(value, ".", 1), F.lit("_"), F.substring(value, F.length(F.substring_index(value, ".", 1)) + 2, n))
+    raised = F.concat(F.substring(value, F.lit(1), n - F.length(tail)), (tail.try_cast("decimal(38,0)") + 1).cast("string"))
+    return F.coalesce(
+        F.when((value_type == "filepath") & F.contains(value, F.lit(".")), _made(dotted, "typo_dot_to_underscore")),
+        F.when(value_type.isin("identifier", "entity_name") & (tail != ""), _made(raised, "typo_increment_suffix")),
+        F.when(value_type.isin("identifier", "entity_name") & (n >= 2), _made(swapped(value, draw(seed, key, "swap", F.greatest(n - 1, F.lit(1)))), "typo_char_swap")),
+        typo(value, seed, key),
+    )
+
+
+def threshold_shift(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+    """Ten times as much or a tenth; from zero to ten, a fraction to one."""
+    n, x, more = _number(value), value.try_cast("double"), draw(seed, key, "shift", 2) == 0
+    named = lambda up: F.when(more, f"threshold_shift_scale_{up}x").otherwise("threshold_shift_scale_0.1x")
+    whole = F.when(n == 0, _made(F.lit(10), "threshold_shift_from_zero")).otherwise(_made(F.when(more, n * 10).otherwise((n * 0.1).cast("bigint")), named("10")))
+    part = F.when(x == 0, _made(F.lit(1.0), "threshold_shift_from_zero")).otherwise(_made(F.bround(F.when(more, x * 10).otherwise(x * 0.1), 4), named("10.0")))
+    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), whole), F.when((value_type == "float") & x.isNotNull(), part), mutated(value_type, value, seed, key))
+
+
+def wrong_parameter(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+    """The other truth value; a usual wrong number, or twice or half as much; two neighbours of a text changed over, one or two signs twice."""
+    n = _number(value)
+    usual = F.filter(F.array(*[F.lit(x).cast("bigint") for x in (0, 1, -1, 100, 1000)], n * 2, F.floor(n / 2)), lambda x: x != n)
+    number = _made(F.get(usual, draw(seed, key, "usual", F.greatest(F.size(usual), F.lit(1)))), "wrong_common_value")
+    text = F.when(F.length(value) >= 3, typo(value, seed, key)).otherwise(_made(F.concat(value, value), "char_duplicate"))
+    return F.coalesce(F.when(value_type == "boolean", flipped(value)), F.when((value_type == "integer") & n.isNotNull(), number), F.when(value_type == "string", text), mutated(value_type, value, seed, key))
+
+
 def mutated(value_type: Column, value: Column, seed: int, key: Column) -> Column:
     """struct(value, method) by the slot's type."""
     out = F.when(value_type == "integer", wrong_integer(value, seed, key))
@@ -306,31 +378,28 @@ SYNONYMS = (
 PROTECTED = ("Action:", "Action Input:", "Observation:", "Thought:", "Final Answer:", "Finish", "Tool:", "Tool Input:", "Tool Output:")
 
 
-def placebo(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the text with every word of a pair as its other, case kept and marks left alone; null if there is none.
+#: A mark, a word, or any other sign; marks first, the longer before those that begin them.
+_PIECES = "|".join([*sorted(PROTECTED, key=len, reverse=True), r"[\p{L}\p{N}_]++", r"[^\p{L}\p{N}_]"])
 
-    A word of several pairs takes the last one's. Case depends on each word, so the text is rewritten in an Arrow-fed step.
-    """
+
+def with_synonyms(text: Column) -> Column:
+    """The text with every word of a pair as its other, case kept and marks left alone; null if there is none. A word of several pairs takes the last one's."""
     pairs = {word: other for a, b in SYNONYMS for word, other in ((a, b), (b, a))}
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    marks, words = re.compile("|".join(map(re.escape, sorted(PROTECTED, key=len, reverse=True)))), re.compile(r"\b\w+\b")
+    known = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
-    def one(value: str | None) -> str | None:
-        kept = [m.span() for m in marks.finditer(value or "")]
+    def piece(t: Column) -> Column:
+        new = F.when(~t.isin(*PROTECTED), F.try_element_at(known, F.lower(t)))
+        initial, capital = F.substring(t, 1, 1), F.concat(F.upper(F.substring(new, 1, 1)), F.lower(F.substring(new, F.lit(2), F.length(new))))
+        shouted = (t == F.upper(t)) & (t != F.lower(t))
+        return F.when(new.isNull(), t).when(shouted, F.upper(new)).when((initial == F.upper(initial)) & (initial != F.lower(initial)), capital).otherwise(new)
 
-        def other(m: re.Match) -> str:
-            if (new := pairs.get(m[0].lower())) is None or any(m.start() < e and m.end() > s for s, e in kept):
-                return m[0]
-            return new.upper() if m[0].isupper() else new.capitalize() if m[0][0].isupper() else new
+    made = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), piece), "")
+    return F.get(F.transform(F.array(made), lambda m: F.when(m != text, m)), 0)
 
-        made = words.sub(other, value or "")
-        return made if made != (value or "") else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(**{out: [one(v) for v in frame[text]]})
-
-    return df.mapInPandas(run, schema)
+def placebo(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the text with synonyms."""
+    return df.withColumn(out, with_synonyms(F.col(text)))
 
 
 def reformatted(document: Column) -> Column:

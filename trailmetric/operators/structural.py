@@ -241,12 +241,14 @@ def raced(weights: dict[str, float], seed: int, key: Column, salt: str = "race")
     return F.transform(F.sort_array(times), lambda t: t["name"])
 
 
-def coarse(df: DataFrame, seed: int = 42, weights: dict[str, float] | None = None, salt: str = "") -> DataFrame:
-    """A record for each trajectory for which a type applies: the first that does in the order of the race. Trajectories without one have no row.
+def coarse(df: DataFrame, seed: int = 42, weights: dict[str, float] | None = None, key: Column | None = None) -> DataFrame:
+    """A record for each row for which a type applies: the first that does in the order of the race. Rows without one are left out.
+
+    ``key`` tells rows of a trajectory apart, so that each has a race and choices of its own.
 
     perturbation_id, trajectory_id, benchmark, the record's fields and undo, perturbed_steps; ``steps`` stays.
     """
-    key = F.concat_ws(":", F.col("trajectory_id").cast("string"), F.lit(salt))
+    key = F.concat(F.col("trajectory_id").cast("string"), F.lit(":")) if key is None else key
     made = df.withColumn("_order", raced(weights or COARSE_WEIGHTS, seed, key))
     # Each type by its own column, so only those that come first are built.
     for name, generate in GENERATORS.items():

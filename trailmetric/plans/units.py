@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import record_checks, structural, units
+from ..operators import generation, perturbation, record_checks, structural, typing, units
 from ..sources import table
 from .base import rounded
 
@@ -30,7 +30,12 @@ STEP = {
     "step_role": "CASE WHEN role = 'user' THEN CASE WHEN turn = 0 THEN 'planning' ELSE 'reasoning' END WHEN length(text) % 3 = 0 THEN 'tool_call' WHEN length(text) % 3 = 1 THEN 'extraction' ELSE 'observation' END",
     "raw_text": "text",
     "tool_name": "CASE WHEN role <> 'user' AND length(text) % 3 = 0 THEN CASE length(text) % 8 WHEN 0 THEN 'bash' WHEN 1 THEN 'Web_Search' WHEN 2 THEN 'read_file' WHEN 3 THEN 'sql_runner' WHEN 4 THEN 'compute' WHEN 5 THEN 'zzz' WHEN 6 THEN 'get_weather' ELSE 'in' END END",
-    "tool_arguments": r"""CASE WHEN role <> 'user' AND length(text) % 3 = 0 THEN concat('{"query": "', regexp_extract(text, '[A-Za-z]+', 0), '",  "top_k" : ', CAST(length(text) AS VARCHAR(20)), ', "opts": {"deep": true, "path": "/src/', regexp_extract(text, '[A-Za-z]+', 0), '.py"}}') END""",
+    "tool_arguments": r"""CASE WHEN role <> 'user' AND length(text) % 3 = 0 THEN CASE length(text) % 5
+      WHEN 0 THEN concat('{"query": "', regexp_extract(text, '[A-Za-z]+', 0), '",  "top_k" : ', CAST(length(text) AS VARCHAR(20)), ', "opts": {"deep": true, "path": "/src/', regexp_extract(text, '[A-Za-z]+', 0), '.py"}}')
+      WHEN 1 THEN concat('{"top_k":', CAST(length(text) AS VARCHAR(20)), ',"opts":{"path":"/a/', regexp_extract(text, '[A-Za-z]+', 0), '.txt","deep":false}}')
+      WHEN 2 THEN concat('{"opts": {"path": "/b/c.d/', regexp_extract(text, '[A-Za-z]+', 0), '.md"}, "query": "find ', regexp_extract(text, '[A-Za-z]+', 0), ' now"}')
+      WHEN 3 THEN concat('{"opts" : { "deep" : true , "path" : "/x/y.z" } , "top_k" : 0.5}')
+      ELSE concat('{"name": "', regexp_extract(text, '[A-Za-z]+', 0), '_7", "opts": {"path": "/q/r.s"}}') END END""",
     "observation": "CASE WHEN role <> 'user' AND length(text) % 3 = 2 THEN text END",
     "is_terminal_step": "turn = max(turn) OVER (PARTITION BY conv_id)",
     "produces_final_answer": "turn = max(turn) OVER (PARTITION BY conv_id) AND role <> 'user'",
@@ -330,3 +335,98 @@ def tools_of_other_families(spark, d):
 @query("tools_of_same_family", _substitute_sql("near", "size - 1", "first + (place - first + 1 + r) % size"))
 def tools_of_same_family(spark, d):
     return structural.substituted(*_asked(spark, d), 7, near=True)
+
+
+#: Slots of the fixture's calls in the order in which they're written: (which arguments, slot, value type).
+_SLOTS = (
+    (0, 1, "query", "search_query"), (0, 2, "top_k", "integer"), (0, 3, "opts.deep", "boolean"), (0, 4, "opts.path", "filepath"), (1, 1, "top_k", "integer"), (1, 2, "opts.path", "filepath"), (1, 3, "opts.deep", "boolean"),
+    (2, 1, "opts.path", "filepath"), (2, 2, "query", "search_query"), (3, 1, "opts.deep", "boolean"), (3, 2, "opts.path", "filepath"), (3, 3, "top_k", "integer"), (4, 1, "name", "entity_name"), (4, 2, "opts.path", "filepath"),
+)
+
+
+def slots(trajectories: DataFrame) -> DataFrame:
+    """The slots that typing finds in the steps."""
+    flat = trajectories.select("trajectory_id", F.inline("steps")).withColumns({c: F.lit(None).cast("string") for c in ("extracted_value", "value_type")})
+    return typing.step_slots(flat.withColumn("produces_final_answer", F.lit(False)), ["trajectory_id", "step_index"])
+
+
+@query(
+    "perturbation_choices",
+    f"""WITH RECURSIVE {STEPS_SQL},
+    s AS (SELECT *, trajectory_id AS t, length(raw_text) % 5 AS shape, 0.3 + critical_path_score AS base FROM step),
+    kinds AS (SELECT * FROM (VALUES {", ".join(f"({a}, {o}, 'tool_arguments.{n}')" for a, o, n, _ in _SLOTS)}) k(shape, o, slot)),
+    c AS (
+      SELECT t, step_index, 'tool_name' AS slot, base + 0.2 AS score, ['fine_grained', 'coarse_grained'] AS classes, 0 AS part, 0 AS o FROM s WHERE tool_name IS NOT NULL
+      UNION ALL SELECT t, step_index, k.slot, base + 0.4, ['fine_grained', 'placebo'], 0, k.o FROM s JOIN kinds k ON k.shape = s.shape WHERE tool_arguments IS NOT NULL
+      UNION ALL SELECT t, step_index, 'terminal_flags', base + 0.2, ['coarse_grained'], 1, 0 FROM s WHERE NOT is_terminal_step AND {_RESULT}
+      UNION ALL SELECT t, step_index, 'step_structure', base + 0.2, ['coarse_grained'], 2, 0 FROM s WHERE critical_path_score >= 0.6 AND step_index > 0
+      UNION ALL SELECT t, step_index, 'tool_name', base + 0.2, ['coarse_grained'], 3, 0 FROM s WHERE tool_name IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 6) DESC, part, step_index, o) AS k FROM c),
+    walk(t, k, fine, placebo, coarse, used, slot, step_index, class) AS (
+      SELECT DISTINCT t, 0::BIGINT, 0, 0, 0, []::INT[], NULL::VARCHAR, NULL::INT, NULL::VARCHAR FROM c
+      UNION ALL
+      SELECT t, k, fine + CAST(w IS NOT DISTINCT FROM 'fine_grained' AS INT), placebo + CAST(w IS NOT DISTINCT FROM 'placebo' AS INT), coarse + CAST(w IS NOT DISTINCT FROM 'coarse_grained' AS INT),
+        CASE WHEN w IS NULL THEN used ELSE list_append(used, step_index) END, slot, step_index, w
+      FROM (SELECT w.t, k.k, fine, placebo, coarse, used, k.slot, k.step_index,
+          CASE WHEN fine + placebo + coarse >= 5 THEN NULL
+            WHEN list_contains(classes, 'fine_grained') AND fine < 3 THEN CASE WHEN list_contains(used, k.step_index) AND fine < 2 THEN NULL ELSE 'fine_grained' END
+            WHEN list_contains(classes, 'placebo') AND placebo < 1 THEN 'placebo'
+            WHEN list_contains(classes, 'coarse_grained') AND coarse < 1 THEN 'coarse_grained' END AS w
+        FROM walk w JOIN k ON k.t = w.t AND k.k = w.k + 1))
+    SELECT t AS trajectory_id, CAST(row_number() OVER (PARTITION BY t ORDER BY k) - 1 AS INT) AS place, step_index, slot, class AS perturbation_class FROM walk WHERE class IS NOT NULL""",
+)
+def perturbation_choices(spark, d):
+    own = trajectories(spark, d)
+    return generation.choices(generation.with_candidates(own, slots(own)), 5).select("trajectory_id", "place", "candidate.step_index", "candidate.slot", "perturbation_class")
+
+
+@query("generated_records")
+def generated_records(spark, d):
+    """Records of all classes; the baseline that undoing them gives is the trajectory's own."""
+    own = trajectories(spark, d)
+    made = generation.generated(own, slots(own), 5)
+    back = units.reverted(*[F.col(c) for c in ("perturbed_steps", "target_step_index", "target_slot", "original_value", "perturbed_value", "undo")])
+    shape = ("perturbation_id", "trajectory_id", "place", "perturbation_class", "perturbation_family", "perturbation_type", "target_step_index", "target_slot", "original_value", "perturbed_value", "mutation_method")
+    return made.withColumn("_back", back).select(*shape, shown("steps").alias("steps"), shown("perturbed_steps").alias("perturbed"), shown("_back").alias("baseline"))
+
+
+_WORDS = {w: o for a, b in perturbation.SYNONYMS for w, o in ((a, b), (b, a))}
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _WORDS.items()) + "}"
+_PIECES = "|".join([*sorted(perturbation.PROTECTED, key=len, reverse=True), r"[\p{L}\p{N}_]+", r"(?s:[^\p{L}\p{N}_])"])
+_NEW = f"{_MAP}[lower(x)]"
+
+
+@query(
+    "synonym_texts",
+    rf"""WITH d AS (SELECT doc_id, text AS t FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, concat('Find the ', text, ' USING Action: Finish check') FROM conversations),
+    m AS (SELECT doc_id, t, array_to_string(list_transform(regexp_extract_all(t, '{_PIECES}'), lambda x: CASE WHEN x IN {perturbation.PROTECTED} OR {_NEW} IS NULL THEN x WHEN x = upper(x) AND x <> lower(x) THEN upper({_NEW})
+      WHEN x[1] = upper(x[1]) AND x[1] <> lower(x[1]) THEN concat(upper({_NEW}[1]), lower({_NEW}[2:])) ELSE {_NEW} END), '') AS m FROM d)
+    SELECT doc_id, md5(CASE WHEN m <> t THEN m END) AS made FROM m""",
+)
+def synonym_texts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    said = table(spark, d, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), F.concat(F.lit("Find the "), "text", F.lit(" USING Action: Finish check")).alias("text"))
+    return docs.unionByName(said).select("doc_id", F.md5(perturbation.with_synonyms(F.col("text"))).alias("made"))
+
+
+def _h(salt: str, n: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '3', CAST(k AS VARCHAR), '{salt}')), 1, 8))::BIGINT % ({n}))"
+
+
+_USUAL = "list_filter([0, 1, -1, 100, 1000, n * 2, CAST(floor(n / 2.0) AS BIGINT)], lambda x: x <> n)"
+
+
+@query(
+    "parameter_mutations",
+    f"""WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 4001 - 700 END AS n FROM orders),
+    r AS (SELECT k, n, CASE WHEN {_h("fifth", "2")} = 1 THEN 1 ELSE -1 END * greatest(2, abs(n) // 5) AS fifth, CASE WHEN {_h("obo", "2")} = 1 THEN 1 ELSE -1 END AS obo, {_h("shift", "2")} = 0 AS more FROM v)
+    SELECT k, CAST(n + fifth AS VARCHAR) AS wrong, concat('wrong_value_offset_', fifth) AS wrong_method, CAST(greatest(0, n + obo) AS VARCHAR) AS off, concat('off_by_one_', CASE WHEN obo > 0 THEN '+1' ELSE '-1' END) AS off_method,
+      CASE WHEN n = 0 THEN '10' WHEN more THEN CAST(n * 10 AS VARCHAR) ELSE CAST(CAST(trunc(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS shifted,
+      CASE WHEN n = 0 THEN 'threshold_shift_from_zero' WHEN more THEN 'threshold_shift_scale_10x' ELSE 'threshold_shift_scale_0.1x' END AS shift_method,
+      CAST(({_USUAL})[1 + {_h("usual", f"len({_USUAL})")}] AS VARCHAR) AS usual FROM r""",
+)
+def parameter_mutations(spark, d):
+    rows = table(spark, d, "orders").selectExpr("o_orderkey AS k", "CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 4001 - 700 END AS STRING) AS v")
+    of = lambda f: f(F.lit("integer"), F.col("v"), 3, F.col("k"))
+    made = rows.select("k", of(perturbation.wrong_value).alias("w"), of(perturbation.off_by).alias("o"), of(perturbation.threshold_shift).alias("t"), of(perturbation.wrong_parameter).alias("u"))
+    return made.select("k", F.col("w.value").alias("wrong"), F.col("w.method").alias("wrong_method"), F.col("o.value").alias("off"), F.col("o.method").alias("off_method"), F.col("t.value").alias("shifted"), F.col("t.method").alias("shift_method"), F.col("u.value").alias("usual"))

@@ -116,9 +116,10 @@ def chosen(candidates: Column, count: int, shares: dict[str, float] | None = Non
 
 
 def choices(df: DataFrame, count: int = 3, shares: dict[str, float] | None = None) -> DataFrame:
-    """(df's columns without candidates, place, candidate, perturbation_class): a row for each choice."""
+    """(df's columns without candidates, place, step_index, slot, value_type, value, families, perturbation_class): a row for each choice."""
     columns = [c for c in df.columns if c != "candidates"]
-    return df.select(*columns, F.posexplode(chosen(F.col("candidates"), count, shares)).alias("place", "x")).select(*columns, "place", F.col("x.candidate").alias("candidate"), F.col("x.class").alias("perturbation_class"))
+    own = [F.col(f"x.candidate.{c}").alias(c) for c in ("step_index", "slot", "value_type", "value", "families")]
+    return df.select(*columns, F.posexplode(chosen(F.col("candidates"), count, shares)).alias("place", "x")).select(*columns, "place", *own, F.col("x.class").alias("perturbation_class"))
 
 
 def fine(rows: DataFrame, seed: int) -> DataFrame:
@@ -126,21 +127,24 @@ def fine(rows: DataFrame, seed: int) -> DataFrame:
 
     A type of parameters goes by the slot where the drawn one isn't made for it; a value that doesn't change makes no record.
     """
-    c, key = F.col("candidate"), F.concat_ws(":", "trajectory_id", "place")
-    family = structural.chosen(c["families"], seed, key, "family")
+    slot, value_type, value, key = F.col("slot"), F.col("value_type"), F.col("value"), F.concat_ws(":", "trajectory_id", "place")
+    family = structural.chosen(F.col("families"), seed, key, "family")
     drawn = F.when(family == "data_reference", F.get(_list(DATA_TYPES), draw(seed, key, "type", 3))).when(family == "parameter", F.get(_list(PARAMETER_TYPES), draw(seed, key, "type", 3))).when(family == "tool_selection", "near_neighbor_tool")
-    threshold, query = perturbation.is_threshold(c["slot"], c["value_type"]), perturbation.is_query(c["slot"], c["value_type"])
+    threshold, query = perturbation.is_threshold(slot, value_type), perturbation.is_query(slot, value_type)
     fits = F.when(F.col("_drawn") == "threshold_shift", threshold).when(F.col("_drawn") == "query_drift", query).otherwise(F.lit(False))
     by_slot = F.when(threshold, "threshold_shift").when(query, "query_drift").otherwise("wrong_parameter")
     kind = F.when((F.col("perturbation_family") == "parameter") & ~fits, by_slot).otherwise(F.col("_drawn"))
     rows = rows.filter("perturbation_class = 'fine_grained'").withColumns({"perturbation_family": family, "_drawn": drawn}).withColumn("perturbation_type", kind).drop("_drawn")
-    of = F.col("perturbation_type")
-    args = (c["value_type"], c["value"], seed, key)
-    neighbour = structural.chosen(structural.near_neighbours(F.lower(c["value"])), seed, key, "near")
-    made = F.when(of == "near_neighbor_tool", F.struct(neighbour.alias("value"), F.lit("near_neighbor_swap").alias("method"))).when(of == "query_drift", perturbation.query_drift(c["value"], seed, key))
-    for name, f in (("wrong_value", perturbation.wrong_value), ("off_by_one", perturbation.off_by), ("typo_in_id", perturbation.typo_in_id), ("threshold_shift", perturbation.threshold_shift), ("wrong_parameter", perturbation.wrong_parameter)):
-        made = made.when(of == name, f(*args))
-    return rows.withColumn("_made", made).filter(F.col("_made.value").isNotNull() & ~F.col("_made.value").eqNullSafe(c["value"])).withColumns({"_new": F.col("_made.value"), "mutation_method": F.col("_made.method")}).drop("_made")
+    # Each is made once, as the value of a row: filters and later columns read it and don't make it again.
+    rows = rows.select("*", F.explode(F.array(perturbation.mutated(value_type, value, seed, key))).alias("_typed"))
+    of, args = F.col("perturbation_type"), (value_type, value, seed, key)
+    neighbour = structural.chosen(structural.near_neighbours(F.lower(value)), seed, key, "near")
+    made = F.when(of == "near_neighbor_tool", F.struct(neighbour.alias("value"), F.lit("near_neighbor_swap").alias("method"))).when(of == "query_drift", perturbation.query_drift(value, seed, key)).when(of == "typo_in_id", perturbation.typo_in_id(*args))
+    for name, f in (("wrong_value", perturbation.wrong_value), ("off_by_one", perturbation.off_by), ("threshold_shift", perturbation.threshold_shift), ("wrong_parameter", perturbation.wrong_parameter)):
+        made = made.when(of == name, f(*args, F.col("_typed")))
+    changed = F.filter(F.array(made), lambda m: m["value"].isNotNull() & ~m["value"].eqNullSafe(value))
+    columns = [x for x in rows.columns if x != "_typed"]
+    return rows.select(*columns, F.explode(changed).alias("_made")).select(*columns, F.col("_made.value").alias("_new"), F.col("_made.method").alias("mutation_method"))
 
 
 def generated(trajectories: DataFrame, slots: DataFrame, count: int = 3, shares: dict[str, float] | None = None, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
@@ -149,29 +153,29 @@ def generated(trajectories: DataFrame, slots: DataFrame, count: int = 3, shares:
     Placebos change the step's words or the blanks of its arguments; coarse ones are raced over the whole trajectory.
     """
     rows = choices(with_candidates(trajectories, slots), count, shares)
-    c, steps = F.col("candidate"), F.col("steps")
-    own = F.get(F.filter(steps, lambda s: s["step_index"] == c["step_index"]), 0)
+    slot, steps = F.col("slot"), F.col("steps")
+    own = F.get(F.filter(steps, lambda s: s["step_index"] == F.col("step_index")), 0)
     none = F.lit(None).cast(structural.UNDO)
     columns = [*trajectories.columns, "place", "perturbation_class", "perturbation_family", "perturbation_type", "target_step_index", "target_slot", "original_value", "perturbed_value", "mutation_method", "undo", "perturbed_steps"]
-    inside = F.startswith(c["slot"], F.lit("tool_arguments."))
-    before = F.when(inside, json_text.value_at(own["tool_arguments"], F.slice(json_text.path_parts(c["slot"]), 2, 100))).otherwise(c["value"])
+    inside = F.startswith(slot, F.lit("tool_arguments."))
+    before = F.when(inside, json_text.value_at(own["tool_arguments"], F.slice(json_text.path_parts(slot), 2, 100))).otherwise(F.col("value"))
     # In arguments a text stays a text, and what is no number or truth value any more becomes one.
     bare = ~F.startswith("_own", F.lit('"')) & F.col("_new").rlike(r"^(?:true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)$")
-    finer = fine(rows, seed).withColumn("_own", before).withColumns({"target_step_index": c["step_index"], "target_slot": c["slot"], "original_value": F.col("_own"), "perturbed_value": F.when(inside & ~bare, json_text.quoted(F.col("_new"))).otherwise(F.col("_new")), "undo": none})
-    finer = finer.withColumn("perturbed_steps", structural.with_slot(steps, c["step_index"], c["slot"], F.col("perturbed_value"))).select(*columns)
+    finer = fine(rows, seed).withColumn("_own", before).withColumns({"target_step_index": F.col("step_index"), "target_slot": slot, "original_value": F.col("_own"), "perturbed_value": F.when(inside & ~bare, json_text.quoted(F.col("_new"))).otherwise(F.col("_new")), "undo": none})
+    finer = finer.withColumn("perturbed_steps", structural.with_slot(steps, F.col("step_index"), slot, F.col("perturbed_value"))).select(*columns)
     key = F.concat_ws(":", "trajectory_id", "place")
-    words = c["value_type"].isin("string", "search_query")
+    words = F.col("value_type").isin("string", "search_query")
     placebo = rows.filter("perturbation_class = 'placebo'").withColumns({"_text": own["raw_text"], "_arguments": own["tool_arguments"]})
     # An outside paraphrase isn't at hand here, so words of a text are always synonyms.
     in_text = words | F.col("_arguments").isNull()
     placebo = placebo.withColumns(
         {
-            "perturbation_type": F.when(in_text, "synonym").otherwise("formatting"), "perturbation_family": F.when(in_text, "data_reference").otherwise("parameter"), "target_step_index": c["step_index"],
+            "perturbation_type": F.when(in_text, "synonym").otherwise("formatting"), "perturbation_family": F.when(in_text, "data_reference").otherwise("parameter"), "target_step_index": F.col("step_index"),
             "target_slot": F.when(in_text, "raw_text").otherwise("tool_arguments"), "original_value": F.when(in_text, F.col("_text")).otherwise(F.col("_arguments")),
             "perturbed_value": F.when(in_text, perturbation.with_synonyms(F.col("_text"))).otherwise(perturbation.reformatted(F.col("_arguments"))),
             "mutation_method": F.when(in_text, "synonym_substitution").otherwise("heuristic_json_formatting"), "undo": none,
         }
     ).filter("perturbed_value is not null")
-    placebo = placebo.withColumn("perturbed_steps", structural.with_slot(steps, c["step_index"], F.col("target_slot"), F.col("perturbed_value"))).select(*columns)
-    coarse = structural.coarse(rows.filter("perturbation_class = 'coarse_grained'").drop("candidate", "perturbation_class"), seed, weights, key=key).select(*columns)
+    placebo = placebo.withColumn("perturbed_steps", structural.with_slot(steps, F.col("step_index"), F.col("target_slot"), F.col("perturbed_value"))).select(*columns)
+    coarse = structural.coarse(rows.filter("perturbation_class = 'coarse_grained'").select(*trajectories.columns, "place"), seed, weights, key=key).select(*columns)
     return finer.unionByName(placebo).unionByName(coarse).withColumn("perturbation_id", structural.perturbation_id())

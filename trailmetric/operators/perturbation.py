@@ -238,6 +238,7 @@ def _named_like(slot: Column, names: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(last, F.lit(n)) for n in names])
 
 
+# The next four take what the type has for a value as ``otherwise``, where a caller has it already.
 def is_threshold(slot: Column, value_type: Column) -> Column:
     return F.coalesce(value_type.isin("integer", "float") & _named_like(slot, THRESHOLDS), F.lit(False))
 
@@ -246,16 +247,16 @@ def is_query(slot: Column, value_type: Column) -> Column:
     return F.coalesce(value_type.isin("search_query", "string") & _named_like(slot, QUERIES), F.lit(False))
 
 
-def wrong_value(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+def wrong_value(value_type: Column, value: Column, seed: int, key: Column, otherwise: Column | None = None) -> Column:
     """A whole number off by a fifth, at least 2; a word of a text by its opposite; else as the type has it."""
     n, up = _number(value), draw(seed, key, "fifth", 2) * 2 - 1
     offset = up * F.greatest(F.lit(2), F.floor(F.abs(n) / 5))
     other = _made(n + offset, F.concat(F.lit("wrong_value_offset_"), offset.cast("string")))
     swaps = [F.when((value_type == "string") & F.contains(F.lower(value), F.lit(a)), _made(F.replace(value, F.lit(a), F.lit(b)), f"wrong_value_swap_{a}_to_{b}")) for a, b in OPPOSITES]
-    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), other), *swaps, mutated(value_type, value, seed, key))
+    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), other), *swaps, (mutated(value_type, value, seed, key) if otherwise is None else otherwise))
 
 
-def off_by(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+def off_by(value_type: Column, value: Column, seed: int, key: Column, otherwise: Column | None = None) -> Column:
     """A whole number one up or down, 0 at least; a fraction a tenth or one off; an identifier by its number; else as the type has it."""
     n, up, by = _number(value), draw(seed, key, "obo", 2) * 2 - 1, F.get(F.array(*map(F.lit, (-0.1, 0.1, -1.0, 1.0))), draw(seed, key, "off", 4))
     whole = _made(F.greatest(F.lit(0), n + up), F.when(up > 0, "off_by_one_+1").otherwise("off_by_one_-1"))
@@ -264,7 +265,7 @@ def off_by(value_type: Column, value: Column, seed: int, key: Column) -> Column:
         F.when(value_type.isin("integer", "line_number") & n.isNotNull(), whole),
         F.when((value_type == "float") & value.try_cast("double").isNotNull(), part),
         F.when(value_type == "identifier", wrong_identifier(value, seed, key)),
-        mutated(value_type, value, seed, key),
+        (mutated(value_type, value, seed, key) if otherwise is None else otherwise),
     )
 
 
@@ -281,22 +282,22 @@ def typo_in_id(value_type: Column, value: Column, seed: int, key: Column) -> Col
     )
 
 
-def threshold_shift(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+def threshold_shift(value_type: Column, value: Column, seed: int, key: Column, otherwise: Column | None = None) -> Column:
     """Ten times as much or a tenth; from zero to ten, a fraction to one."""
     n, x, more = _number(value), value.try_cast("double"), draw(seed, key, "shift", 2) == 0
     named = lambda up: F.when(more, f"threshold_shift_scale_{up}x").otherwise("threshold_shift_scale_0.1x")
     whole = F.when(n == 0, _made(F.lit(10), "threshold_shift_from_zero")).otherwise(_made(F.when(more, n * 10).otherwise((n * 0.1).cast("bigint")), named("10")))
     part = F.when(x == 0, _made(F.lit(1.0), "threshold_shift_from_zero")).otherwise(_made(F.bround(F.when(more, x * 10).otherwise(x * 0.1), 4), named("10.0")))
-    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), whole), F.when((value_type == "float") & x.isNotNull(), part), mutated(value_type, value, seed, key))
+    return F.coalesce(F.when((value_type == "integer") & n.isNotNull(), whole), F.when((value_type == "float") & x.isNotNull(), part), (mutated(value_type, value, seed, key) if otherwise is None else otherwise))
 
 
-def wrong_parameter(value_type: Column, value: Column, seed: int, key: Column) -> Column:
+def wrong_parameter(value_type: Column, value: Column, seed: int, key: Column, otherwise: Column | None = None) -> Column:
     """The other truth value; a usual wrong number, or twice or half as much; two neighbours of a text changed over, one or two signs twice."""
     n = _number(value)
     usual = F.filter(F.array(*[F.lit(x).cast("bigint") for x in (0, 1, -1, 100, 1000)], n * 2, F.floor(n / 2)), lambda x: x != n)
     number = _made(F.get(usual, draw(seed, key, "usual", F.greatest(F.size(usual), F.lit(1)))), "wrong_common_value")
     text = F.when(F.length(value) >= 3, typo(value, seed, key)).otherwise(_made(F.concat(value, value), "char_duplicate"))
-    return F.coalesce(F.when(value_type == "boolean", flipped(value)), F.when((value_type == "integer") & n.isNotNull(), number), F.when(value_type == "string", text), mutated(value_type, value, seed, key))
+    return F.coalesce(F.when(value_type == "boolean", flipped(value)), F.when((value_type == "integer") & n.isNotNull(), number), F.when(value_type == "string", text), (mutated(value_type, value, seed, key) if otherwise is None else otherwise))
 
 
 def mutated(value_type: Column, value: Column, seed: int, key: Column) -> Column:

@@ -249,13 +249,10 @@ def coarse(df: DataFrame, seed: int = 42, weights: dict[str, float] | None = Non
     perturbation_id, trajectory_id, benchmark, the record's fields and undo, perturbed_steps; ``steps`` stays.
     """
     key = F.concat(F.col("trajectory_id").cast("string"), F.lit(":")) if key is None else key
-    made = df.withColumn("_order", raced(weights or COARSE_WEIGHTS, seed, key))
-    # Each type by its own column, so only those that come first are built.
-    for name, generate in GENERATORS.items():
-        made = made.withColumn(f"_{name}", generate(F.col("steps"), seed, key))
-    options = F.create_map(*[x for name in GENERATORS for x in (F.lit(name), F.col(f"_{name}"))])
-    first = F.get(F.filter(F.transform("_order", lambda n: F.element_at(options, n)), lambda x: x.isNotNull()), 0)
-    out = made.withColumn("_made", first).filter("_made is not null").select(*df.columns, "_made.record.*", F.col("_made.steps").alias("perturbed_steps"))
+    generate = lambda name: F.coalesce(*[F.when(name == kind, f(F.col("steps"), seed, key)) for kind, f in GENERATORS.items()])
+    # The first of the race that applies, as a row of its own: what reads it doesn't make it again.
+    first = F.slice(F.filter(F.transform(raced(weights or COARSE_WEIGHTS, seed, key), generate), lambda x: x.isNotNull()), 1, 1)
+    out = df.select(*df.columns, F.explode(first).alias("_made")).select(*df.columns, "_made.record.*", F.col("_made.steps").alias("perturbed_steps"))
     return out.withColumn("perturbation_id", perturbation_id())
 
 

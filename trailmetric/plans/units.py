@@ -377,7 +377,7 @@ def slots(trajectories: DataFrame) -> DataFrame:
 )
 def perturbation_choices(spark, d):
     own = trajectories(spark, d)
-    return generation.choices(generation.with_candidates(own, slots(own)), 5).select("trajectory_id", "place", "candidate.step_index", "candidate.slot", "perturbation_class")
+    return generation.choices(generation.with_candidates(own, slots(own)), 5).select("trajectory_id", "place", "step_index", "slot", "perturbation_class")
 
 
 @query("generated_records")

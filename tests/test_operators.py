@@ -319,3 +319,18 @@ def test_positions_of_a_whole_table(spark):
     plan = sampling.numbered(rows, "id")._jdf.queryExecution().optimizedPlan().toString()
     ranks = [line for line in plan.split("\n") if "Window" in line and "row_number()" in line]
     assert ranks and all("_range" in line for line in ranks)
+
+
+def test_bad_trajectories_do_not_stop_the_others(spark):
+    from trailmetric.operators import typing
+
+    schema = "trajectory_id string, step_index int, raw_text string, tool_name string, tool_arguments string, observation string, step_type string, benchmark string"
+    row = lambda t, i, args='{"a": 1}', b="gaia": (t, i, "First I plan to search", "search_code", args, "out", "reasoning", b)
+    good = [row("good", 1), row("good", 2, None), row("good", 3, " ")]
+    bad = [row("twice", 1), row("twice", 1), row(None, 1), row("none", 1), row("none", None), row("list", 1), row("list", 2, "[1]"), row("torn", 1, '{"a": '), row("where", 1, b=None), row("text", 1, '"x"')]
+    steps, edges, rejected = typing.typed_or_rejected(spark.createDataFrame(good + bad, schema))
+    assert {(r.trajectory_id, r.step_index) for r in steps.collect()} == {("good", i) for i in (1, 2, 3)}
+    assert {r.trajectory_id for r in edges.collect()} <= {"good"}
+    assert {(r.trajectory_id, r.error) for r in rejected.collect()} == {
+        ("twice", "repeated step index"), (None, "no trajectory"), ("none", "no step index"), ("list", "arguments are no object"), ("torn", "arguments are no object"), ("where", "no benchmark"), ("text", "arguments are no object"),
+    }

@@ -235,3 +235,19 @@ def test_bootstrap_query_has_all_replicates(spark):
     from trailmetric.plans import QUERIES
 
     assert QUERIES["bootstrap_ci"](spark, DATA).first().replicates == 1000
+
+
+@pytest.mark.parametrize("q, k, df, p", [(3.877, 3, 10, 0.05), (3.958, 4, 20, 0.05), (5.270, 3, 10, 0.01), (3.685, 4, 120, 0.05), (17.97, 2, 1, 0.05), (4.468, 9, 120, 0.05)])
+def test_studentised_range_against_tables(q, k, df, p):
+    from trailmetric.operators import statistics as st
+
+    assert abs(st.studentised_range_tail(q, k, df) - p) < 3e-4
+
+
+@pytest.mark.parametrize("df", [1, 2, 5, 30, 400])
+@pytest.mark.parametrize("q", [0.3, 1.5, 4.0, 9.0])
+def test_studentised_range_of_two_is_students_t(q, df):
+    from trailmetric.operators import statistics as st
+
+    want = st.beta_regularised(df / 2, 0.5, df / (df + q * q / 2))
+    assert abs(st.studentised_range_tail(q, 2, df) - want) < 1e-6

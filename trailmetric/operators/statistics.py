@@ -159,22 +159,59 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return sums.select("groups", "n", "ss_between", "ss_within", f.alias("f"), (F.col("ss_between") / F.nullif(F.col("ss_between") + F.col("ss_within"), F.lit(0.0))).alias("eta2"))
 
 
-def tukey_hsd(df: DataFrame, value: str, group: str, draws: int = 20_000, seed: int = 42) -> list[dict]:
-    """Pairs of groups with their difference, q and p. Group statistics come from Spark; the studentised range is simulated on the driver."""
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).orderBy(group).collect()
-    k, n = len(rows), sum(r.n for r in rows)
-    if k < 2 or n - k < 1:
-        return []
-    mse = sum(r.n * r.v for r in rows) / (n - k)
-    rng = np.random.default_rng(seed)
-    spread = np.ptp(rng.standard_normal((draws, k)), axis=1) / np.sqrt(rng.chisquare(n - k, draws) / (n - k))
-    out = []
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            se = math.sqrt(mse / 2 * (1 / a.n + 1 / b.n))
-            q = abs(a.m - b.m) / se if se else 0.0
-            out.append({"group1": a[group], "group2": b[group], "difference": b.m - a.m, "q": q, "p": float((spread >= q).mean())})
-    return out
+def _nodes(low: float, high: float, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights of 16 to each equal part of an interval."""
+    x, w = np.polynomial.legendre.leggauss(16)
+    edges = np.linspace(low, high, parts + 1)
+    half = np.diff(edges) / 2
+    return (((edges[:-1] + edges[1:]) / 2)[:, None] + half[:, None] * x).ravel(), (half[:, None] * w).ravel()
+
+
+_NORMAL = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)), otypes=[float])
+
+
+def range_tail(r: np.ndarray, k: int) -> np.ndarray:
+    """P(range of k standard normals > r): one less k * integral of phi(z) (Phi(z) - Phi(z - r))^(k-1)."""
+    z, w = _nodes(-8.5, 8.5, 24)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * w
+    inside = _NORMAL(z)[None, :] - _NORMAL(z[None, :] - np.asarray(r, dtype=float)[:, None])
+    return 1 - k * (density * inside ** (k - 1)).sum(axis=1)
+
+
+def studentised_range_tail(q: float, k: int, df: int) -> float:
+    """P(Q > q) of the studentised range of k means with df degrees of freedom: the range's tail averaged over the scale sqrt(chi2 / df)."""
+    if q <= 0:
+        return 1.0
+    # The scale's density lies around 1 with a deviation of 1 / sqrt(2 df); small df reach down to 0.
+    spread = 9 / math.sqrt(2 * df)
+    s, w = _nodes(max(0.0, 1 - spread), 1 + spread + 4 / df, 40)
+    log_density = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
+    return float(min(1.0, max(0.0, (w * np.exp(log_density) * range_tail(q * s, k)).sum())))
+
+
+def group_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, n, m, v): size, mean and population variance. One row a group."""
+    return df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+
+
+def tukey_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group1, group2, difference, q, groups, df) of each pair of groups, smaller name first: its studentised difference by the variance inside all groups.
+
+    q is 0 without variance; no rows with fewer than two groups, or without a degree of freedom. One row a pair is the result's own size.
+    """
+    per = group_statistics(df, value, group)
+    whole = per.agg(F.count(F.lit(1)).alias("groups"), (F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum(F.col("n") * F.col("v")).alias("ss")).filter("df >= 1")
+    side = lambda i: per.select(F.col("group").alias(f"group{i}"), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"))
+    pairs = side(1).join(side(2), F.col("group1") < F.col("group2")).crossJoin(whole)
+    se = F.sqrt(F.col("ss") / F.col("df") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
+    q = F.when(se > 0, F.abs(F.col("m1") - F.col("m2")) / F.nullif(se, F.lit(0.0))).otherwise(0.0)
+    return pairs.select("group1", "group2", (F.col("m2") - F.col("m1")).alias("difference"), q.alias("q"), "groups", "df")
+
+
+def tukey_hsd(df: DataFrame, value: str, group: str) -> list[dict]:
+    """Pairs of groups with their difference, q and p, by exact quadrature of the studentised range."""
+    rows = tukey_pairs(df, value, group).orderBy("group1", "group2").collect()  # one row a pair of groups
+    return [{"group1": r.group1, "group2": r.group2, "difference": r.difference, "q": r.q, "p": studentised_range_tail(r.q, r.groups, r.df)} for r in rows]
 
 
 #: Error types by kind, and the sides of the four contrasts.

@@ -470,3 +470,28 @@ def typed(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = with_consumed(rows.withColumn("produced_artifacts", produced_artifacts())).persist()
     edges = dependency_edges(rows).persist()
     return with_criticality(rows, edges, closure(edges)), edges
+
+
+def typing_errors(steps: DataFrame) -> DataFrame:
+    """(trajectory_id, error, step_index): what keeps a trajectory from being typed, the first fault by step, then by name; null ids are one trajectory without a name."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("trajectory_id", "step_index"))
+    arguments = F.coalesce(strip(F.col("tool_arguments")), F.lit(""))
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("tool_arguments")).startswith("OBJECT"), F.lit(False)) | (arguments == "")
+    fault = (
+        F.when(F.col("trajectory_id").isNull(), "no trajectory")
+        .when(F.col("step_index").isNull(), "no step index")
+        .when(n > 1, "repeated step index")
+        .when(~readable, "arguments are no object")
+        .when(F.coalesce("benchmark", F.lit("")) == "", "no benchmark")
+    )
+    faulty = steps.withColumn("error", fault).filter("error is not null")
+    first = F.min(F.struct(F.coalesce("step_index", F.lit(-1)).alias("i"), F.col("error").alias("e"), F.col("step_index").alias("step_index")))
+    return faulty.groupBy("trajectory_id").agg(first.alias("f")).select("trajectory_id", F.col("f.e").alias("error"), F.col("f.step_index").alias("step_index"))
+
+
+def typed_or_rejected(steps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(typed steps, edges, rejections): trajectories with a fault are left out whole and listed, so that one bad row doesn't stop the rest."""
+    rejected = typing_errors(steps)
+    bad = rejected.select(F.col("trajectory_id").alias("_bad"))
+    rows, edges = typed(steps.filter("trajectory_id is not null").join(bad, F.col("trajectory_id") == F.col("_bad"), "left_anti"))
+    return rows, edges, rejected

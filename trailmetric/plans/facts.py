@@ -276,3 +276,13 @@ def bootstrap_ci(spark, d):
 @query("correlation_interval")
 def correlation_interval(spark, d):
     return statistics.correlation_interval(facts(spark, d), "predicted_impact", "outcome_degradation")
+
+
+@query(
+    "tukey_pairs",
+    f""", x AS (SELECT perturbation_type AS g, predicted_impact AS v FROM facts WHERE predicted_impact IS NOT NULL AND perturbation_type IS NOT NULL),
+    s AS (SELECT g, count(*) AS n, avg(v) AS m, var_pop(v) AS v FROM x GROUP BY 1), w AS (SELECT count(*) AS groups, sum(n) - count(*) AS df, sum(n * v) AS ss FROM s)
+    SELECT a.g AS group1, b.g AS group2, {r("b.m - a.m")} AS difference, {r("abs(a.m - b.m) / sqrt(ss / df / 2 * (1.0 / a.n + 1.0 / b.n))")} AS q, groups, CAST(df AS BIGINT) AS df FROM s a JOIN s b ON a.g < b.g, w""",
+)
+def tukey_pairs(spark, d):
+    return statistics.tukey_pairs(facts(spark, d), "predicted_impact", "perturbation_type")

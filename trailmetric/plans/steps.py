@@ -100,7 +100,7 @@ def typed_steps(spark, d):
     call = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
     steps = turns.select(
         F.col("conv_id").cast("string").alias("trajectory_id"), (F.col("turn") + 1).cast("int").alias("step_index"), F.col("text").alias("raw_text"), F.when(call, "search_code").alias("tool_name"),
-        F.when(call, '{"query": "x", "path": "/src/app/main.py"}').alias("tool_arguments"), F.when(call, F.substring("text", 1, 80)).alias("observation"), F.lit("reasoning").alias("step_type"), F.lit("swebench").alias("benchmark"),
+        F.when(call, '{"query": "x", "path": "/src/app/main.py"}').alias("tool_arguments"), F.when(call, F.col("text")).alias("observation"), F.lit("reasoning").alias("step_type"), F.lit("swebench").alias("benchmark"),
     )
     rows, _ = typing.typed(steps)
     return rows.select("trajectory_id", "step_index", "step_role", "normalized_operation", "is_terminal_step", "critical_path_score", "affects_final_answer", "recoverable_if_wrong", F.size("produced_artifacts").alias("n_artifacts"), F.col("fan_out"))
@@ -119,3 +119,18 @@ def propagation_depth(spark, d):
     texts = lambda own: F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("turn", "text")))), lambda x: x["text"])
     rows = turns.groupBy("conv_id").agg(texts(F.col("role") == "user").alias("b"), texts(F.col("role") != "user").alias("p")).filter((F.size("b") > 0) & (F.size("p") > 0))
     return rows.select("conv_id", scoring.propagation(F.col("b"), F.col("p"), F.lit(1))["depth"].alias("depth"))
+
+
+@query(
+    "typing_rejections",
+    """WITH s AS (SELECT CASE WHEN conv_id % 9 = 8 THEN NULL ELSE concat('t', conv_id) END AS t, CASE WHEN length(text) % 23 = 0 THEN NULL WHEN length(text) % 29 = 0 THEN 0 ELSE turn END AS i,
+        CASE length(text) % 13 WHEN 0 THEN '[1]' WHEN 1 THEN '{"a": 1' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE '{"a": 1}' END AS a, length(text) % 13 AS k, CASE WHEN length(text) % 31 = 0 THEN '' ELSE 'gaia' END AS b FROM conversations),
+    f AS (SELECT t, i, CASE WHEN t IS NULL THEN 'no trajectory' WHEN i IS NULL THEN 'no step index' WHEN count(*) OVER (PARTITION BY t, i) > 1 THEN 'repeated step index' WHEN k < 2 THEN 'arguments are no object' WHEN b = '' THEN 'no benchmark' END AS e FROM s)
+    SELECT t AS trajectory_id, arg_min(e, (coalesce(i, -1), e)) AS error, min(i) FILTER (WHERE true) AS step_index FROM (SELECT * FROM f WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(i, -1), e) = 1) GROUP BY t""",
+)
+def typing_rejections(spark, d):
+    rows = table(spark, d, "conversations").selectExpr(
+        "CASE WHEN conv_id % 9 = 8 THEN NULL ELSE concat('t', conv_id) END AS trajectory_id", "CAST(CASE WHEN length(text) % 23 = 0 THEN NULL WHEN length(text) % 29 = 0 THEN 0 ELSE turn END AS INT) AS step_index",
+        """CASE length(text) % 13 WHEN 0 THEN '[1]' WHEN 1 THEN '{"a": 1' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE '{"a": 1}' END AS tool_arguments""", "CASE WHEN length(text) % 31 = 0 THEN '' ELSE 'gaia' END AS benchmark",
+    )
+    return typing.typing_errors(rows)

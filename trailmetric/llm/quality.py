@@ -230,14 +230,31 @@ def train(
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*map(batch.column, ("at", "version", "label")), lists], names=["at", "version", "label", "features"])
 
+    kinds = pa.schema([("weights", pa.list_(pa.float64())), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            model = fit_table(pa.Table.from_batches(held), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(model, kinds.types, strict=True)], schema=kinds)
+
     learn = learning_rows(df, labels, doc_id, text, label, rows, chars)
-    # Numbers of distinct features, a few to a word: bounded by ``rows`` and ``chars``.
-    found = learn.mapInArrow(run, "at long, version long, label int, features array<int>").toArrow().sort_by([("at", "ascending"), ("version", "ascending")]).combine_chunks()
-    # Small numbers in small types: the driver holds a few of these arrays at a time.
+    # The sample's features, a few to a word, are bounded by ``rows`` and ``chars``: one task of an executor fits them, and
+    # only the weights come to the driver.
+    found = learn.mapInArrow(run, "at long, version long, label int, features array<int>")
+    model = found.repartition(1).mapInArrow(fitted, "weights array<double>, bias double, slope double, shift double").toArrow()
+    if not model.num_rows:
+        return fit(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int8), buckets)
+    weights = np.array(model["weights"].combine_chunks().flatten())
+    return Model(weights, *[float(model[c][0].as_py()) for c in ("bias", "slope", "shift")])
+
+
+def fit_table(found: pa.Table, buckets: int) -> Model:
+    """The model of rows (at, version, label, features), in the order of (at, version) wherever they come from."""
+    found = found.sort_by([("at", "ascending"), ("version", "ascending")]).combine_chunks()
+    # Small numbers in small types: a few of these arrays are held at a time.
     label_of, lists = found["label"].to_numpy().astype(np.int8), found["features"].combine_chunks()
-    del found
     lengths, feature = np.asarray(lists.value_lengths()), np.array(lists.flatten())
-    del lists
+    del found, lists
     return fit(np.repeat(np.arange(len(label_of), dtype=np.int32), lengths), feature, label_of, buckets)
 
 

@@ -83,6 +83,14 @@ def test_token_counts_beyond_the_compiled_states(word, monkeypatch):
     assert small.count(text) == len(ids(word[1], text)) and len(small.states) <= 20
 
 
+@pytest.mark.parametrize("unit", ["x", "q8Zk+/7", "日本語の文章", "''ll're", "ab c", "!?"])
+def test_no_character_is_advanced_more_than_twice(word, monkeypatch, unit):
+    run, text, ran = token_counts.Transducer.advance, (unit * 20_000)[:20_000], []
+    monkeypatch.setattr(token_counts.Transducer, "advance", lambda self, state, part: ran.append(len(part)) or run(self, state, part))
+    assert token_counts.load(WORD).count(text, chunk=64) == len(ids(word[1], text))
+    assert sum(ran) <= 2 * len(text)
+
+
 def test_scan_is_an_inclusive_prefix():
     for n in range(9):
         assert token_counts.scan(list("abcdefgh"[:n]), lambda a, b: a + b) == ["abcdefgh"[: i + 1] for i in range(n)]

@@ -13,10 +13,13 @@ over characters whose transitions carry the number of tokens they emit:
 
 States and transitions are interned as they are met (a lazy subset construction), and
 the extended transition of a whole piece from ``RESET`` is memoised, both within bounds.
-Every text is cut into chunks. A chunk's state map is constant after its first white space,
-so it is (what precedes that, count after it, end state).  Maps compose associatively: a
-prefix scan, whose rounds hold only independent compositions, gives the state that every
-chunk is entered in; each chunk then emits its own count, and a text's count is their sum.
+Every text is cut into chunks. A chunk's state map is constant after its first white space;
+up to there it is a table by the state that the chunk is entered in, whose entries are made
+when a state turns up.  Maps compose associatively, into tables of their own: a prefix scan,
+whose rounds hold only independent compositions, gives the state that every chunk is entered
+in; each chunk then emits its own count, and a text's count is their sum.  As the states
+that turn up are those of the text itself, a character is advanced once or twice, whether or
+not the text has white space.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens, blanks have no token; texts
 of any length are read whole; every row counts, whether or not its id or text repeats or its
@@ -29,7 +32,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -248,42 +251,37 @@ class Transducer:
     # -- texts ---------------------------------------------------------------
     def _map(self, chunk: str) -> ChunkMap:
         if not _SPACE.search(chunk):
-            return ChunkMap(chunk, None)
+            return ChunkMap(lambda state: self._ran(state, chunk), None)
         pieces = _WS_RUN.split(chunk) if _ODD_WS.search(chunk) else None
         if pieces is None:
             pieces = chunk.split()
             pieces = [""] * bool(_SPACE.match(chunk[0])) + pieces + [""] * bool(_SPACE.match(chunk[-1]))
             if len(pieces) < 2:
                 pieces = ["", ""]
-        state, n = self.advance(RESET, pieces[-1])
-        return ChunkMap(pieces[0], (sum(map(self.pieces.__getitem__, pieces[1:-1])) + n, state))
-
-    def _compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.after is None:
-            return ChunkMap(a.head + b.head, b.after)
-        count, state = a.after
-        state, n = self.advance(state, b.head)
-        if b.after is None:
-            return ChunkMap(a.head, (count + n, state))
-        return ChunkMap(a.head, (count + n + self.close(state) + b.after[0], b.after[1]))
+        end, n = self.advance(RESET, pieces[-1])
+        n += sum(map(self.pieces.__getitem__, pieces[1:-1]))
+        head = pieces[0]
+
+        def run(state: int | State) -> tuple[int, int | State]:
+            before, state = self._ran(state, head)
+            return before + self.close(state) + n, end
+
+        return ChunkMap(run, (n, end))
+
+    def _ran(self, state: int | State, text: str) -> tuple[int, int | State]:
+        state, n = self.advance(state, text)
+        return n, state
 
     def chunk_counts(self, text: str, chunk: int = CHUNK_CHARS) -> list[int]:
         """Tokens by chunk of a normalised text without special strings; what a chunk leaves open counts for the one that ends it."""
         maps = [self._map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        entered = [(0, RESET), *(self._left(m) for m in scan(maps, self._compose))]
+        entered = [(0, RESET), *(m(RESET) for m in scan(maps, compose))]
         # The scan's prefixes count all that was emitted before a chunk and give the state it is entered in.
         counts = [after[0] - before[0] for before, after in zip(entered, entered[1:])]
         if counts:
             counts[-1] += self.close(entered[-1][1])
         return counts
 
-    def _left(self, prefix: ChunkMap) -> tuple[int, int | State]:
-        """(tokens emitted, state) after a prefix of the text."""
-        state, n = self.advance(RESET, prefix.head)
-        if prefix.after is None:
-            return n, state
-        return n + self.close(state) + prefix.after[0], prefix.after[1]
-
     def count(self, text: str | None, chunk: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
@@ -294,11 +292,36 @@ class Transducer:
         return len(parts) - 1 + sum(sum(self.chunk_counts(normalise(part), chunk)) for part in parts)
 
 
-class ChunkMap(NamedTuple):
-    """The effect of a chunk on the state it is entered in: ``head`` is run from it; ``after`` (tokens, state) holds whatever it was."""
+class ChunkMap:
+    """The effect of a stretch of text: entry state -> (tokens emitted, state), a table filled by ``run``.
+
+    ``after`` is (tokens, state) from the stretch's first white space on, whatever state it is entered in, None without one.
+    """
+
+    __slots__ = ("run", "after", "table")
+
+    def __init__(self, run: Callable[[int | State], tuple[int, int | State]], after: tuple[int, int | State] | None):
+        self.run, self.after, self.table = run, after, {}
+
+    def __call__(self, state: int | State) -> tuple[int, int | State]:
+        if (found := self.table.get(state)) is None:
+            found = self.table[state] = self.run(state)
+        return found
+
+
+def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
+    """The map of ``a`` and then ``b``; what follows white space in ``a`` is known at once."""
+
+    def run(state: int | State) -> tuple[int, int | State]:
+        n, state = a(state)
+        more, state = b(state)
+        return n + more, state
 
-    head: str
-    after: tuple[int, int | State] | None
+    if a.after is None:
+        return ChunkMap(run, b.after)
+    n, state = a.after
+    more, state = b(state)
+    return ChunkMap(run, (n + more, state))
 
 
 def scan(items: list, compose) -> list:

@@ -251,3 +251,30 @@ def test_studentised_range_of_two_is_students_t(q, df):
 
     want = st.beta_regularised(df / 2, 0.5, df / (df + q * q / 2))
     assert abs(st.studentised_range_tail(q, 2, df) - want) < 1e-6
+
+
+def test_poisson_draws_have_mean_and_variance_of_their_size(spark):
+    """Sizes with one bit, several bits and beyond exact inversion; the same in any partitioning."""
+    sizes = {"a": 1, "b": 7, "c": 31, "d": 32, "e": 1000}
+    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "k string")
+    drawn = st.poisson_replicates(rows.repartition(7), ["k"], replicates=4000)
+    for r in drawn.groupBy("k").agg((F.sum("w") / 4000).alias("m"), (F.sum(F.col("w") * F.col("w")) / 4000).alias("s")).collect():
+        n = sizes[r.k]
+        assert r.m == pytest.approx(n, abs=5 * (n / 4000) ** 0.5) and r.s - r.m**2 == pytest.approx(n, rel=0.15)
+    again = st.poisson_replicates(rows.coalesce(1), ["k"], replicates=50).collect()
+    assert sorted(again) == sorted(st.poisson_replicates(rows, ["k"], replicates=50).collect())
+    assert sorted(st.poisson_replicates(rows.limit(0), ["k"], replicates=50).collect()) == []
+
+
+def test_poisson_thresholds():
+    import math
+
+    marks = st.poisson_thresholds(1)
+    assert marks[0] == math.floor(math.exp(-1) * 2**32) and marks == sorted(marks) and 10 <= len(marks) <= 14
+
+
+def test_keys_of_draws(spark):
+    """Nulls, signed zeros and values without a number are cells like any other."""
+    rows = spark.createDataFrame([(None, True), (float("nan"), None), (-0.0, False), (0.0, False), (float("inf"), True), (1e300, True)], "x double, b boolean")
+    drawn = st.poisson_replicates(rows, ["x", "b"], replicates=200)
+    assert drawn.select("x", "b").distinct().count() == 5

@@ -377,27 +377,59 @@ def correlation_interval(df: DataFrame, x: str, y: str, replicates: int = 1000,
     return index_interval(replicate_spearman(poisson_replicates(known, ["x", "y"], replicates, seed), "x", "y"), "r", alpha)
 
 
+#: Draws of a cell by exact inversion reach this size; what exceeds it is drawn as a rounded normal value with Poisson skewness.
+EXACT = 32
+
+
+def poisson_thresholds(mean: int) -> list[int]:
+    """P(X <= j) in units of 2^-32, for j = 0, 1, ... while below one: a digit of 32 bits draws the number of thresholds that it reaches."""
+    out, j, below = [], 0, 0.0
+    while True:
+        below += math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1))
+        j += 1
+        if below >= 1 - 2.0**-33:
+            return out
+        out.append(math.floor(below * 2.0**32))
+
+
 def poisson_replicates(df: DataFrame, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(replicate, *columns, w): the weight of every distinct row in each Poisson resample of ``df``; zero weights are left out.
 
-    n equal rows with Poisson(1) weights each weigh Poisson(n) together, so one draw stands for all of them. The
-    draws of a distinct row come from the seed and its hash and depend on neither partitions nor order.
+    n equal rows with Poisson(1) weights each weigh Poisson(n) together, so one draw stands for all of them. The draw comes from
+    the SHA-256 of seed, replicate and values, eight digits of 32 bits: one for each of the powers of two that add up to
+    n mod 32, by inversion, and two for a normal value where n is 32 or more. It depends on neither partitions nor order, and any
+    engine with SHA-256 can repeat it. Numbers enter by their floor and the fraction in units of 2^-52, all else as text.
     """
     cells = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    # By a hash of the values: the same cell is drawn once, wherever it is.
-    cells = cells.withColumn("_h", F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]))
-    schema = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("_h", T.LongType()), *[cells.schema[c] for c in columns], T.StructField("w", T.LongType())])
-    names, step = schema.names, 100  # cells whose draws are held at a time
-
-    def run(frames):
-        for frame in frames:
-            for at in range(0, len(frame), step):
-                part = frame.iloc[at : at + step]
-                weights = np.stack([np.random.default_rng([seed, h % 2**64]).poisson(n, replicates) for h, n in zip(map(int, part["_h"]), part["_n"])])
-                row, r = np.nonzero(weights)
-                yield part.iloc[row].assign(replicate=r.astype("int32"), w=weights[row, r])[names]
-
-    return cells.mapInPandas(run, schema).drop("_h")
+
+    def key(name: str) -> Column:
+        c, kind = F.col(name), cells.schema[name].dataType
+        if isinstance(kind, T.FractionalType):
+            whole = F.floor(c.cast("double"))
+            text = F.concat_ws(":", whole, F.floor((c.cast("double") - whole) * 2.0**52))
+        else:
+            text = (c.cast("int") if isinstance(kind, T.BooleanType) else c).cast("string")
+        return F.when(c.isNull(), "null").otherwise(text)
+
+    keyed = cells.withColumn("_key", F.concat_ws("|", *map(key, columns)))
+    drawn = keyed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("_sha", F.sha2(F.concat_ws("|", F.lit(str(seed)), "replicate", "_key"), 256))
+    digit = lambda i: F.conv(F.substring("_sha", 8 * i + 1, 8), 16, 10).cast("long")
+
+    def reached(bit: int) -> Column:
+        # One element, so that the digit is read once and not for each threshold.
+        marks = F.array(*map(F.lit, poisson_thresholds(1 << bit)))
+        return F.transform(F.array(digit(bit)), lambda d: F.size(F.filter(marks, lambda t: t <= d)))[0]
+
+    weight = F.lit(0)
+    for bit in range(EXACT.bit_length() - 1):
+        weight = weight + F.when(F.col("_n").bitwiseAND(1 << bit) > 0, reached(bit)).otherwise(0)
+    large = F.col("_n") - F.col("_n").bitwiseAND(EXACT - 1)
+    unit = lambda i: (digit(i) + 0.5) / 2.0**32
+    z = F.sqrt(-2 * F.log(unit(5))) * F.cos(2 * math.pi * unit(6))
+    normal = F.greatest(F.lit(0), F.floor(large + F.sqrt(large.cast("double")) * z + (z * z - 1) / 6 + 0.5))
+    drawn = drawn.withColumn("w", (weight + F.when(large > 0, normal).otherwise(0)).cast("long"))
+    return drawn.filter("w > 0").select("replicate", *columns, "w")
 
 
 def replicate_spearman(drawn: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:

@@ -121,3 +121,29 @@ ANNOTATIONS_SQL = f"ann AS (SELECT {', '.join(f'{e} AS {c}' for c, e in ANNOTATI
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in ANNOTATIONS.items()])
+
+
+def resampled_sql(source: str, keys: dict[str, str], replicates: int = 1000, seed: int = 42) -> str:
+    """CTEs thresholds, cells, drawn(replicate, columns, w) and pairs: the draws of ``statistics.poisson_replicates`` by DuckDB; ``keys`` are columns and their texts."""
+    columns = ", ".join(keys)
+    text = " || '|' || ".join(f"coalesce({k}, 'null')" for k in keys.values())
+    digit = lambda i: f"CAST('0x' || substr(sha, {8 * i + 1}, 8) AS BIGINT)"
+    bits = " + ".join(f"CASE WHEN n & {1 << b} > 0 THEN len(list_filter((SELECT list(t) FROM thresholds WHERE m = {1 << b}), lambda t: t <= {digit(b)})) ELSE 0 END" for b in range(5))
+    z = f"sqrt(-2 * ln(({digit(5)} + 0.5) / 4294967296)) * cos(2 * pi() * ({digit(6)} + 0.5) / 4294967296)"
+    return f"""mass AS (SELECT m, j, sum(exp(-m + j * ln(m) - lgamma(j + 1.0))) OVER (PARTITION BY m ORDER BY j) AS p FROM (SELECT unnest([1.0, 2.0, 4.0, 8.0, 16.0]) AS m), range(100) x(j)),
+    thresholds AS (SELECT CAST(m AS INT) AS m, CAST(floor(p * 4294967296) AS BIGINT) AS t FROM mass WHERE p < 1 - 1 / 8589934592),
+    cells AS (SELECT {columns}, count(*) AS n, {text} AS k FROM {source} GROUP BY ALL),
+    hashed AS (SELECT *, sha256('{seed}|' || replicate || '|' || k) AS sha FROM cells, range({replicates}) x(replicate)),
+    normal AS (SELECT *, {z} AS z, n - (n & 31) AS high, {bits} AS low FROM hashed),
+    drawn AS (SELECT replicate, {columns}, CAST(low + CASE WHEN high > 0 THEN greatest(0, floor(high + sqrt(high) * z + (z * z - 1) / 6 + 0.5)) ELSE 0 END AS BIGINT) AS w FROM normal WHERE low + high > 0)"""
+
+
+def number_key(name: str) -> str:
+    return f"(CAST(floor({name}) AS BIGINT) || ':' || CAST(floor(({name} - floor({name})) * 4503599627370496) AS BIGINT))"
+
+
+#: CTEs that end in corrs(replicate, r): correlation of average ranks of x and y in each replicate of ``drawn``.
+REPLICATE_SPEARMAN_SQL = """pairs AS (SELECT replicate, x, y, CAST(sum(w) AS DOUBLE) AS w FROM drawn WHERE w > 0 AND x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+    ranks AS (SELECT *, sum(w) OVER (PARTITION BY replicate ORDER BY x) - sum(w) OVER (PARTITION BY replicate, x) / 2 + 0.5 AS rx, sum(w) OVER (PARTITION BY replicate ORDER BY y) - sum(w) OVER (PARTITION BY replicate, y) / 2 + 0.5 AS ry FROM pairs),
+    moments AS (SELECT replicate, sum(w) AS n, sum(w * rx * ry) - sum(w * rx) * sum(w * ry) / sum(w) AS c, sum(w * rx * rx) - sum(w * rx) * sum(w * rx) / sum(w) AS vx, sum(w * ry * ry) - sum(w * ry) * sum(w * ry) / sum(w) AS vy FROM ranks GROUP BY 1),
+    corrs AS (SELECT replicate, c / (sqrt(vx) * sqrt(vy)) AS r FROM moments WHERE n >= 3 AND vx > 0 AND vy > 0)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, statistics
-from .base import FACTS_SQL, evaluated, facts, r, rounded
+from .base import FACTS_SQL, REPLICATE_SPEARMAN_SQL, evaluated, facts, number_key, r, resampled_sql, rounded
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -267,13 +267,23 @@ def anova_eta(spark, d):
     return statistics.anova(facts(spark, d), "error_confidence", "perturbation_family")
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    f""", v AS (SELECT CAST(CAST(error_detected AS INT) AS DOUBLE) AS v FROM leveled WHERE NOT placebo AND error_detected IS NOT NULL), {resampled_sql("v", {"v": number_key("v")})},
+    per AS (SELECT sum(w * v) / sum(w) AS pdr FROM drawn WHERE w > 0 GROUP BY replicate)
+    SELECT {r("avg(pdr)")} AS mean, {r("quantile_cont(pdr, 0.025)")} AS low, {r("quantile_cont(pdr, 0.975)")} AS high, count(pdr) AS replicates FROM per""",
+)
 def bootstrap_ci(spark, d):
     rows = facts(spark, d).filter("perturbation_class <> 'placebo'")
     return statistics.bootstrap_ci(rows.withColumn("hit", F.col("error_detected").cast("int")), "pdr", "hit")
 
 
-@query("correlation_interval")
+@query(
+    "correlation_interval",
+    f""", v AS (SELECT CAST(predicted_impact AS DOUBLE) AS x, CAST(outcome_degradation AS DOUBLE) AS y FROM facts WHERE predicted_impact IS NOT NULL AND outcome_degradation IS NOT NULL),
+    {resampled_sql("v", {"x": number_key("x"), "y": number_key("y")})}, {REPLICATE_SPEARMAN_SQL}, s AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM corrs)
+    SELECT {r("l[CAST(floor(n * 0.025) AS INT) + 1]")} AS low, {r("l[CAST(floor(n * 0.975) AS INT)]")} AS high FROM s""",
+)
 def correlation_interval(spark, d):
     return statistics.correlation_interval(facts(spark, d), "predicted_impact", "outcome_degradation")
 

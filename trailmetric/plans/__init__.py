@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, extraction, facts, further, more, people, records, steps, units
+from . import checks, extraction, facts, further, more, outside, people, records, steps, units
 
-_PARTS = (facts, people, records, steps, more, checks, further, units, extraction)
+_PARTS = (facts, people, records, steps, more, checks, further, units, extraction, outside)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.S.items()}
 

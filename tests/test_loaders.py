@@ -64,3 +64,17 @@ def test_closure_of_a_long_chain(spark):
     got = typing.closure_recursive(spark, "_chain")
     assert got.count() == 298 * 299 // 2
     assert sum(len(r.ancestors) for r in typing.closure(edges).collect()) == 298 * 299 // 2
+
+
+def test_units_with_headers(spark, tmp_path):
+    """A header for each benchmark, null as 'unknown'; the records come back."""
+    from trailmetric.sources import export_units, read_units
+
+    units = spark.createDataFrame([("u1", "gaia"), ("u2", "gaia"), ("u3", None)], "unit_id string, benchmark string")
+    export_units(units, str(tmp_path / "a"))
+    heads = {r.benchmark: (r.unit_count, r.total_units, r.format_version) for r in spark.read.json(str(tmp_path / "a/metadata")).collect()}
+    assert heads == {"gaia": (2, 3, "1.0"), "unknown": (1, 3, "1.0")}
+    assert sorted(map(tuple, read_units(spark, str(tmp_path / "a"), "unit_id string, benchmark string").collect())) == [("u1", "gaia"), ("u2", "gaia"), ("u3", "unknown")]
+    export_units(units.limit(0), str(tmp_path / "b"), by=None)
+    head = spark.read.json(str(tmp_path / "b/metadata")).first()
+    assert head.total_units == 0 and head.exported_at.endswith("Z")

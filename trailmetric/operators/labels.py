@@ -57,6 +57,14 @@ def aggregation_summary(labels: DataFrame) -> DataFrame:
     )
 
 
+def majority_distributions(labels: DataFrame, names: tuple[str, ...] = ("detected", "trajectory", "preference")) -> DataFrame:
+    """dimension, value (as text), units whose majority it is, their share and mean agreement, one pass for all dimensions; units without a vote are left out."""
+    said = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(f"{n}_majority").cast("string").alias("value"), F.col(f"{n}_agreement").alias("a")) for n in names])
+    per = labels.select(F.explode(said).alias("s")).select("s.*").filter("value IS NOT NULL").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("units"), F.avg("a").alias("mean_agreement"))
+    whole = per.groupBy("dimension").agg(F.sum("units").alias("_all"))  # one row a dimension
+    return per.join(whole, "dimension").select("dimension", "value", "units", (F.col("units") / F.col("_all")).alias("share"), "mean_agreement")
+
+
 def runs(df: DataFrame, annotator: str, value: str, order: list[Column], threshold: int = 5) -> DataFrame:
     """annotator, longest run of one value, and whether it reaches the threshold; a null ends a run. Order is total per annotator."""
     by = Window.partitionBy(annotator).orderBy(*order)

@@ -66,6 +66,19 @@ def aggregation_summary(spark, d):
     return labels.aggregation_summary(labels.aggregate_labels(annotations(spark, d)))
 
 
+_MAJORITIES = ("detected", "trajectory", "preference")
+
+
+@query(
+    "majority_distributions",
+    f"""{A}, {', '.join(_vote(c, n) for c, n in _DIMS if n in _MAJORITIES)},
+    m AS ({' UNION ALL '.join(f"SELECT '{n}' AS dimension, CAST({n}_majority AS VARCHAR) AS value, {n}_agreement AS a FROM {n} WHERE k = 1" for n in _MAJORITIES)})
+    SELECT dimension, value, count(*) AS units, {r('count(*) / sum(count(*)) OVER (PARTITION BY dimension)')} AS share, {r('avg(a)')} AS mean_agreement FROM m GROUP BY 1, 2""",
+)
+def majority_distributions(spark, d):
+    return labels.majority_distributions(labels.aggregate_labels(annotations(spark, d)), _MAJORITIES)
+
+
 _ALPHA = """{n}_x AS (SELECT unit_id AS u, annotator_id AS a, CAST(arg_max({v}, seq) AS VARCHAR) AS v FROM ann WHERE {v} IS NOT NULL GROUP BY ALL),
 {n}_o AS (SELECT u, a, v FROM {n}_x WHERE u IN (SELECT u FROM {n}_x GROUP BY u HAVING count(*) > 1)),
 {n}_t AS (SELECT v, count(*) AS n, row_number() OVER (ORDER BY v) - 1 AS c FROM {n}_o GROUP BY v),

@@ -33,6 +33,30 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+#: Fixed value: format of exported units.
+FORMAT_VERSION = "1.0"
+
+
+def export_units(units: DataFrame, path: str, by: str | None = "benchmark") -> None:
+    """Units as JSON records under ``path/units``, a folder for each value of ``by`` (null: 'unknown'), beside headers under ``path/metadata``.
+
+    A header has exported_at, total_units and format_version and, with ``by``, its value and unit_count. Records stay in as many
+    files as they have partitions, so no task writes a whole benchmark; without units there is one header, or none with ``by``.
+    """
+    if by is not None:
+        units = units.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("unknown")))
+    write_json(units, f"{path}/units", [by] if by is not None else None)
+    whole = units.agg(F.count(F.lit(1)).alias("total_units"))
+    head = whole if by is None else units.groupBy(by).agg(F.count(F.lit(1)).alias("unit_count")).crossJoin(whole)  # by one row
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    write_json(head.select(stamp.alias("exported_at"), "*", F.lit(FORMAT_VERSION).alias("format_version")).coalesce(1), f"{path}/metadata")
+
+
+def read_units(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Units written by ``export_units``."""
+    return spark.read.schema(schema).json(f"{path}/units")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A report: one file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

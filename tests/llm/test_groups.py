@@ -153,6 +153,39 @@ def test_sketch_never_rules_out_a_similar_pair():
         assert sum(int(v).bit_count() for v in (x ^ y)) <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_a_bucket_are_compared_by_compiled_code(spark, monkeypatch, capsys, percent):
+    chunks, plans = near_dedup.chunks_for(percent), []
+    rows = near_dedup.described(frame_of(spark, [(i, f"a b c d {i % 2}") for i in range(4)]), 3, chunks, "doc_id", "text")
+    rest = rows.withColumns({"rep": F.col("doc_id"), "label": F.col("doc_id"), "hub": F.col("doc_id") + 9, "key": F.explode(near_dedup.bucket_keys(chunks)), "band": near_dedup.size_band(percent)})
+    monkeypatch.setattr(near_dedup, "checkpointed", lambda df: plans.append(df) or df)
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        near_dedup.bucket_pairs(rest, chunks, percent)
+        plans[0].explain("codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    longest = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert longest and max(longest) <= 8000  # the JVM only interprets longer methods
+
+
+def test_signature_distance_counts_positions(spark):
+    chunks, rng = 3, np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[:30], sets[0][:8]])) for s in sets]
+    words = [[int(w) for w in near_dedup.signature(s, chunks)] for s in sets]
+    rows = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], ["i", *[f"c{i}" for i in range(chunks)]])
+    x, y = (rows.select(*[F.col(c).alias(p + c) for c in rows.columns]) for p in "xy")
+    got = {(r.xi, r.yi): r.d for r in x.crossJoin(y).select("xi", "yi", near_dedup.signature_distance("x", "y", chunks).alias("d")).collect()}
+    parts = [[w >> near_dedup.LANE * j & (1 << near_dedup.BITS) - 1 for w in ws for j in range(near_dedup.POSITIONS)] for ws in words]
+    assert got == {(i, k): sum(a != b for a, b in zip(parts[i], parts[k])) for i in range(len(sets)) for k in range(len(sets))}
+    assert len(set(got.values())) > 3
+
+
 LONG = (1 << 63) - 1
 
 

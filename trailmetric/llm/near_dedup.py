@@ -1,7 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join (operator 1).
 
 1. Each text becomes its set of distinct word shingles, a fingerprint of that set and a
-   signature of ``chunks * POSITIONS`` 16-bit minima, one 64-bit word to a chunk.
+   signature of ``chunks * POSITIONS`` minima of ``BITS`` bits, one 64-bit word to a chunk.
 2. Texts of equal sets form a class, told by the set's 128-bit fingerprint; one row stands for it.
 3. Two signatures that differ in at most ``(ERRORS + 1) * chunks - 1`` positions agree, by
    the pigeonhole principle, on some chunk but for at most ``ERRORS`` of its positions.
@@ -51,11 +51,14 @@ from .common import checkpointed, ship, stored, unused, without
 POSITIONS = 4
 ERRORS = 1
 MISS = 1e-5
+BITS = 14
+LANE = BITS + 1  # a spare bit, so that a sum can tell the lanes that are not 0
 SKETCH_WORDS = 16
 SLOT_BITS = 8
 SEED = 20_240_229
 PAIRS_AT_ONCE = 64
 MEMBERS_AT_ONCE = 512
+CHOICES = math.comb(POSITIONS, ERRORS)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,14 +108,14 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, chunks: int) -> np.ndarray:
-    """One 64-bit word per chunk: the low 16 bits of its positions' (mixed) minima."""
+    """One 64-bit word per chunk: the low bits of its positions' (mixed) minima."""
     scale, shift = _permutations(chunks * POSITIONS)
     least = np.full(len(scale), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096, None] * scale + shift
         least = np.minimum(least, part.min(axis=0))
-    low = (_mixed(least) & np.uint64(0xFFFF)).reshape(chunks, POSITIONS)
-    return (low << (np.arange(POSITIONS, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
+    low = (_mixed(least) & np.uint64((1 << BITS) - 1)).reshape(chunks, POSITIONS)
+    return (low << (np.arange(POSITIONS, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64)
 
 
 def odd_sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
@@ -129,8 +132,9 @@ def described(df: DataFrame, size: int, chunks: int, doc_id: str, text: str) ->
     """doc_id, n_shingles, class (of equal sets; null without shingles), the signature's chunks c0, c1, ... and the sketch s0, s1, ... of every row."""
     ship(df.sparkSession)
     names = words_of(chunks)
-    fields = [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType())]
-    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names]])
+    fields = [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType(), False), T.StructField("class", T.BinaryType())]
+    # Never null: checks for nulls would make the code of ``possible`` several times as long.
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType(), False) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -152,11 +156,15 @@ def slots(chunks: int) -> list[tuple[int, int]]:
     found = []
     for i in range(chunks):
         for left_out in combinations(range(POSITIONS), ERRORS):
-            mask = (1 << 64) - 1 - sum(0xFFFF << 16 * j for j in left_out)
-            found.append((i, mask - (1 << 64) if mask >= 1 << 63 else mask))
+            found.append((i, lanes((1 << BITS) - 1) - sum((1 << BITS) - 1 << LANE * j for j in left_out)))
     return found
 
 
+def lanes(value: int) -> int:
+    """``value`` in each position of a chunk."""
+    return sum(value << LANE * j for j in range(POSITIONS))
+
+
 def bucket_keys(chunks: int) -> Column:
     """All bucket keys of a row; the low ``SLOT_BITS`` bits are the index's number."""
     keys = []
@@ -166,18 +174,21 @@ def bucket_keys(chunks: int) -> Column:
     return F.array(*keys)
 
 
-def _differ(a: str, b: str, i: int) -> Column:
-    return F.col(f"{a}c{i}").bitwiseXOR(F.col(f"{b}c{i}"))
+def differing(a: str, b: str, i: int) -> Column:
+    """Positions of chunk ``i`` in which the signatures under the prefixes ``a`` and ``b`` differ.
+
+    The sum carries into the spare bit of each lane that is not 0. Each word is named once: as expressions are trees, naming
+    it again at every step made code that the JVM only interprets.
+    """
+    other = F.col(f"{a}c{i}").bitwiseXOR(F.col(f"{b}c{i}"))
+    return F.bit_count((other + F.lit(lanes((1 << BITS) - 1))).bitwiseAND(F.lit(lanes(1 << BITS))))
 
 
 def signature_distance(a: str, b: str, chunks: int) -> Column:
     """Positions in which the signatures under the prefixes ``a`` and ``b`` differ."""
     total = F.lit(0)
     for i in range(chunks):
-        x = _differ(a, b, i)
-        for by in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        total = total + differing(a, b, i)
     return total
 
 
@@ -192,12 +203,24 @@ def possible(a: str, b: str, chunks: int, percent: int) -> Column:
     return sizes & ((100 + percent) * bits <= (100 - percent) * (na + nb)) & (signature_distance(a, b, chunks) <= distance(chunks))
 
 
+def own_word(key: Column, chunks: int) -> Column:
+    """The chunk of a row's signature that the index of ``key`` is of."""
+    slot = key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    word = F.lit(0).cast("long")
+    for i in range(chunks):
+        word = F.when((slot >= i * CHOICES) & (slot < (i + 1) * CHOICES), F.col(f"c{i}")).otherwise(word)
+    return word
+
+
 def first_shared(key: Column, a: str, b: str, chunks: int) -> Column:
-    """Whether ``key`` is of the first index in which the two rows meet."""
-    first = F.when(F.lit(False), -1)
-    for slot, (i, mask) in enumerate(slots(chunks)):
-        first = first.when(_differ(a, b, i).bitwiseAND(F.lit(mask)) == 0, slot)
-    return key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) == first
+    """Whether ``key`` is of the first index in which the two rows meet; each has its ``own_word`` as ``own``."""
+    chunk = F.when(F.lit(False), -1)
+    for i in range(chunks):
+        chunk = chunk.when(differing(a, b, i) <= ERRORS, i)
+    other, choice = F.col(f"{a}own").bitwiseXOR(F.col(f"{b}own")), F.when(F.lit(False), -1)
+    for j, (_, mask) in enumerate(slots(1)):
+        choice = choice.when(other.bitwiseAND(F.lit(mask)) == 0, j)
+    return key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) == chunk * CHOICES + choice
 
 
 def size_band(percent: int) -> Column:
@@ -208,6 +231,7 @@ def size_band(percent: int) -> Column:
 
 def bucket_pairs(rest: DataFrame, chunks: int, percent: int) -> DataFrame:
     """(a, b) of the possible pairs across the components of a bucket, each in the first bucket that the two share; hubs have met all others."""
+    rest = rest.withColumn("own", own_word(F.col("key"), chunks))
     counts = rest.groupBy(F.col("key").alias("of"), F.col("band").alias("in")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
     with stored(counts) as sizes:
         at = lambda band: (F.col("key") == F.col("of")) & (F.col(band) == F.col("in"))
@@ -215,8 +239,8 @@ def bucket_pairs(rest: DataFrame, chunks: int, percent: int) -> DataFrame:
         x = rest.join(sizes, at("band")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         y = rest.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(sizes, at("low"))
         y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        x = _side(x, chunks, "a", "x", "key", F.col("label").alias("la"), "hub", "band", "part")
-        y = _side(y, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"), F.col("low").alias("yl"), F.col("band").alias("yb"), F.col("part").alias("yp"))
+        x = _side(x, chunks, "a", "x", "key", F.col("label").alias("la"), "hub", "band", "part", F.col("own").alias("xown"))
+        y = _side(y, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"), F.col("low").alias("yl"), F.col("band").alias("yb"), F.col("part").alias("yp"), F.col("own").alias("yown"))
         meet = (F.col("key") == F.col("k")) & (F.col("band") == F.col("yl")) & (F.col("part") == F.col("yp"))
         across = ((F.col("band") < F.col("yb")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))
         both = x.join(y, meet & across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks))

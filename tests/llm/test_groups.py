@@ -173,6 +173,20 @@ def test_pairs_of_a_bucket_are_compared_by_compiled_code(spark, monkeypatch, cap
     assert longest and max(longest) <= 8000  # the JVM only interprets longer methods
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_a_bucket_are_planned_with_few_constraints(spark, monkeypatch, percent):
+    chunks, plans = near_dedup.chunks_for(percent), []
+    rows = near_dedup.described(frame_of(spark, [(i, f"a b c d {i % 2}") for i in range(4)]), 3, chunks, "doc_id", "text")
+    rest = rows.withColumns({"rep": F.col("doc_id"), "label": F.col("doc_id"), "hub": F.col("doc_id") + 9, "key": F.explode(near_dedup.bucket_keys(chunks)), "band": near_dedup.size_band(percent)})
+    monkeypatch.setattr(near_dedup, "checkpointed", lambda df: plans.append(df) or df)
+    near_dedup.bucket_pairs(rest, chunks, percent)
+
+    def most(plan):
+        return max([plan.validConstraints().size(), *[most(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+    assert most(plans[0]._jdf.queryExecution().optimizedPlan()) < 400  # 2 ** (chunks + 1) and more, if each name of a chunk counts with each of the others
+
+
 def test_signature_distance_counts_positions(spark):
     chunks, rng = 3, np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(6)]

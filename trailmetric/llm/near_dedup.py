@@ -203,12 +203,12 @@ def possible(a: str, b: str, chunks: int, percent: int) -> Column:
     return sizes & ((100 + percent) * bits <= (100 - percent) * (na + nb)) & (signature_distance(a, b, chunks) <= distance(chunks))
 
 
-def own_word(key: Column, chunks: int) -> Column:
-    """The chunk of a row's signature that the index of ``key`` is of."""
+def own_word(key: Column, a: str, chunks: int) -> Column:
+    """The chunk of the signature under the prefix ``a`` that the index of ``key`` is of."""
     slot = key.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     word = F.lit(0).cast("long")
     for i in range(chunks):
-        word = F.when((slot >= i * CHOICES) & (slot < (i + 1) * CHOICES), F.col(f"c{i}")).otherwise(word)
+        word = F.when((slot >= i * CHOICES) & (slot < (i + 1) * CHOICES), F.col(f"{a}c{i}")).otherwise(word)
     return word
 
 
@@ -231,7 +231,6 @@ def size_band(percent: int) -> Column:
 
 def bucket_pairs(rest: DataFrame, chunks: int, percent: int) -> DataFrame:
     """(a, b) of the possible pairs across the components of a bucket, each in the first bucket that the two share; hubs have met all others."""
-    rest = rest.withColumn("own", own_word(F.col("key"), chunks))
     counts = rest.groupBy(F.col("key").alias("of"), F.col("band").alias("in")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
     with stored(counts) as sizes:
         at = lambda band: (F.col("key") == F.col("of")) & (F.col(band) == F.col("in"))
@@ -239,8 +238,11 @@ def bucket_pairs(rest: DataFrame, chunks: int, percent: int) -> DataFrame:
         x = rest.join(sizes, at("band")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         y = rest.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(sizes, at("low"))
         y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        x = _side(x, chunks, "a", "x", "key", F.col("label").alias("la"), "hub", "band", "part", F.col("own").alias("xown"))
-        y = _side(y, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"), F.col("low").alias("yl"), F.col("band").alias("yb"), F.col("part").alias("yp"), F.col("own").alias("yown"))
+        x = _side(x, chunks, "a", "x", "key", F.col("label").alias("la"), "hub", "band", "part")
+        y = _side(y, chunks, "b", "y", F.col("key").alias("k"), F.col("label").alias("lb"), F.col("low").alias("yl"), F.col("band").alias("yb"), F.col("part").alias("yp"))
+        # After the renaming: the planner keeps what a column was made of under all names, old and new, of each chunk in it, and their
+        # combinations (2 ** 12 for 11 chunks) took the driver's whole heap.
+        x, y = x.withColumn("xown", own_word(F.col("key"), "x", chunks)), y.withColumn("yown", own_word(F.col("k"), "y", chunks))
         meet = (F.col("key") == F.col("k")) & (F.col("band") == F.col("yl")) & (F.col("part") == F.col("yp"))
         across = ((F.col("band") < F.col("yb")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))
         both = x.join(y, meet & across & possible("x", "y", chunks, percent) & first_shared(F.col("key"), "x", "y", chunks))

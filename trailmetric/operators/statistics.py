@@ -348,9 +348,18 @@ def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str, ord
     return joined.select("a1", "a2", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("agreed", F.lit(0)).alias("agreed"), (F.col("agreed") / F.col("shared")).alias("rate"))
 
 
-def overall_agreement(pairs: DataFrame) -> DataFrame:
-    """shared, agreed and their ratio over all pairs of annotators, null without a shared unit."""
-    return pairs.agg(F.sum("shared").alias("shared"), F.sum("agreed").alias("agreed"), (F.sum("agreed") / F.nullif(F.sum("shared"), F.lit(0))).alias("rate"))
+def overall_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
+    """shared, agreed and their ratio over all pairs of annotators: null without a shared unit, and all null without a pair of annotators.
+
+    A unit of n annotators has n(n-1)/2 pairs, so counts by unit and value replace the pairs.
+    """
+    rows = last_values(df, unit, annotator, value, order).filter("a is not null")
+    per = rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("u").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agreed"))
+    whole = per.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("shared"), F.sum("agreed").alias("agreed"))
+    several = rows.agg(F.min("a") < F.max("a")).toDF("several")  # one row on either side
+    half = lambda c: F.when(F.col("several"), F.shiftright(F.col(c), 1))
+    both = whole.crossJoin(several).select(half("shared").alias("shared"), half("agreed").alias("agreed"))
+    return both.withColumn("rate", F.col("agreed") / F.nullif("shared", F.lit(0)))
 
 
 def annotator_agreement(df: DataFrame, pairs: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:

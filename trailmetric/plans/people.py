@@ -137,7 +137,7 @@ def pairwise_agreement(spark, d):
 
 @query("overall_agreement", f"{A}, {_PAIRS} SELECT CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(agreed) AS BIGINT) AS agreed, {r('CAST(sum(agreed) AS DOUBLE) / sum(shared)')} AS rate FROM every")
 def overall_agreement(spark, d):
-    return statistics.overall_agreement(statistics.pairwise_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_trajectory"))
+    return statistics.overall_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_trajectory")
 
 
 @query(

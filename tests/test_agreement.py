@@ -44,3 +44,20 @@ def test_overall_agreement(spark):
     overall = lambda rows: tuple(st.overall_agreement(frame(rows), "u", "annotator_id", "v").first())
     assert overall([]) == overall([(1, "a", "x", 1), (1, None, "x", 2)]) == (None, None, None)
     assert overall([(1, "a", "x", 1), (2, "b", "x", 2)]) == (0, 0, None)
+
+
+@pytest.fixture(params=[(2, 1 << 21), (5, 50), (12, 1 << 21)])
+def blocks(request, monkeypatch):
+    """Blocks of 4, 32 and 4096 annotators, counted by one lot of votes or by many."""
+    monkeypatch.setattr(st, "BITS", request.param[0])
+    monkeypatch.setattr(st, "LOT", request.param[1])
+
+
+def test_annotator_agreement(spark, blocks):
+    df = annotations(spark)
+    last, pairs = by_hand(df)
+    found = st.annotator_agreement(df, "u", "annotator_id", "v")
+    rates = {a: [agreed / shared for pair, (shared, agreed) in pairs.items() if a in pair and shared] for a in last}
+    got = {r.annotator: (r.n_annotations, r.mean_agreement) for r in found.collect()}
+    assert got == {a: (len(v), pytest.approx(sum(rates[a]) / len(rates[a])) if rates[a] else None) for a, v in last.items()}
+    assert "a1" not in plan(found)  # no row holds a pair

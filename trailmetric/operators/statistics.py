@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -333,6 +335,112 @@ def alpha_band(alpha: Column) -> Column:
     return F.when(alpha >= 0.8, "high").when(alpha >= 0.6, "acceptable").when(alpha >= 0.4, "moderate").when(alpha.isNotNull(), "low").otherwise("insufficient_data")
 
 
+#: Annotators in a block, 2 ** BITS; slices that units are dealt to by their hash; records with votes that a Python worker gets at once; votes that it counts at once.
+BITS, SLICES, RECORDS, LOT = 12, 1024, 256, 1 << 21
+
+
+def agreement_blocks(df: DataFrame, unit: str, annotator: str, value: str, order: str) -> DataFrame:
+    """(i, j, block, slice, votes, names): of every pair of blocks of annotators, in a partition, the names of both (slice -1) and then their votes by slices of units.
+
+    Annotators are numbered in their order, 2 ** BITS to a block. A vote is a long: the unit's number in its slice (25 bits), the
+    value's number in its unit (26) and the annotator's in the block. Votes are sent once for each block, so that what
+    is shuffled grows with votes times blocks, and not with the pairs of annotators that meet in a unit.
+    """
+    spark = df.sparkSession
+    known = df.filter(F.col(unit).isNotNull() & F.col(value).isNotNull() & F.col(annotator).isNotNull())
+    numbers = _running(known.select(F.col(annotator).alias("a")).distinct().withColumn("_n", F.lit(1)), "a")
+    number = F.col("_rank").cast("long") - 1
+    people = numbers.select("a", F.shiftright(number, BITS).cast("int").alias("block"), number.bitwiseAND((1 << BITS) - 1).alias("at"))
+    rows = last_values(known, unit, annotator, value, order).withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(SLICES)).cast("int"))
+    coded = rows.select("slice", "a", F.dense_rank().over(Window.partitionBy("slice", "u").orderBy("v")).alias("_v"), F.dense_rank().over(Window.partitionBy("slice").orderBy("u")).alias("_u"))
+    vote = F.shiftleft(F.col("_u").cast("long"), BITS + 26) + F.shiftleft(F.col("_v").cast("long"), BITS) + F.col("at")
+    votes = coded.join(people, "a").select("block", "slice", vote.alias("vote")).groupBy("block", "slice").agg(F.sort_array(F.collect_list("vote")).alias("votes"))
+    names = people.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("names"))
+    both = votes.select("block", "slice", "votes", F.lit(None).cast(names.schema["names"].dataType).alias("names"))
+    both = both.unionByName(names.select("block", F.lit(-1).alias("slice"), F.lit(None).cast("array<bigint>").alias("votes"), "names"))
+    last = people.agg(F.max("block").alias("_last"))  # one row
+    both = both.crossJoin(F.broadcast(last)).withColumn("other", F.explode(F.sequence(F.lit(0), "_last")))
+    both = both.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slice", "votes", "names")
+    # The number is given, as a pair of blocks is much work in few bytes, and partitions are else joined by their bytes.
+    return both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j").sortWithinPartitions("i", "j", "slice")
+
+
+def met_in_blocks(blocks: DataFrame, found, schema: T.StructType) -> DataFrame:
+    """``found(differ, agreed, left, right, same)`` gives record batches for each pair of blocks: names of both and, by their places, units with unequal and with equal values of two.
+
+    A worker holds these counts and a lot of votes, however many units there are; a few annotators at a time are counted, in a cache.
+    """
+    limit = int(blocks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < limit <= RECORDS:
+        blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
+    bits, lot, most, few = BITS, LOT, 1 << 18, 16
+
+    def add(differ: np.ndarray, agreed: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Counts the pairs of some slices, in each of which votes are in order of their units."""
+        width, low_bits = differ.shape[1], (1 << bits) - 1
+        left, right = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        lu, ru = (np.concatenate([(x[side] >> (bits + 26)) + (k << 26) for k, x in enumerate(pieces)]) for side in (0, 1))
+        units, start, n = np.unique(ru, return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(units, lu), len(units) - 1)
+        both = np.flatnonzero(units[at] == lu)
+        order = both[np.argsort(left[both] & low_bits, kind="stable")]
+        left, start, n = left[order], start[at[order]], n[at[order]]
+        who, said = left & low_bits, left >> bits & ((1 << 26) - 1)
+        r_who, r_said = right & low_bits, right >> bits & ((1 << 26) - 1)
+        ends = np.cumsum(n)
+        for low in range(0, len(differ), few):
+            done, stop = np.searchsorted(who, (low, low + few)).tolist()
+            rows, size = slice(low, low + few), min(few, len(differ) - low) * width
+            while done < stop:
+                upto = min(stop, max(done + 1, int(np.searchsorted(ends, ends[done] - n[done] + most, "right"))))
+                t = n[done:upto]
+                to = np.repeat(start[done:upto] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                cell = np.repeat((who[done:upto] - low) * width, t) + r_who[to]
+                cell += (np.repeat(said[done:upto], t) == r_said[to]) * size
+                counts = np.bincount(cell, minlength=2 * size).reshape(2, -1, width)
+                differ[rows] += counts[0]
+                agreed[rows] += counts[1]
+                done = upto
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = at = planes = None
+        names, votes, pieces = {}, {}, []
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            """Takes up the slice that was read, and the pair of blocks if it was the last of it."""
+            nonlocal planes
+            i, j = pair
+            if len(votes) == len({i, j}):
+                pieces.append((votes[i], votes[j]))
+            votes.clear()
+            if last or sum(len(x) + len(y) for x, y in pieces) >= lot:
+                if planes is None:
+                    planes = np.zeros((2, len(names[i]), len(names[j])), dtype=np.int32)
+                if pieces:
+                    add(*planes, pieces)
+                    pieces.clear()
+            if last:
+                yield from found(*planes, names[i], names[j], i == j)
+                planes = None
+                names.clear()
+
+        for batch in batches:
+            lists = batch.column("votes")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for r, (i, j, block, piece) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", "block", "slice")), strict=True)):
+                if pair is not None and (pair, at) != ((i, j), piece):
+                    yield from settle(pair != (i, j))
+                pair, at = (i, j), piece
+                if piece < 0:
+                    names[block] = batch.column("names")[r].values
+                else:
+                    votes[block] = values[offsets[r] : offsets[r + 1]]
+        if pair is not None:
+            yield from settle(True)
+
+    return blocks.mapInArrow(run, schema)
+
+
 def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
     """a1, a2, shared, agreed, rate for every pair of annotators with a value, those without a shared unit included.
 
@@ -362,11 +470,33 @@ def overall_agreement(df: DataFrame, unit: str, annotator: str, value: str, orde
     return both.withColumn("rate", F.col("agreed") / F.nullif("shared", F.lit(0)))
 
 
-def annotator_agreement(df: DataFrame, pairs: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
-    """annotator, n_annotations (units with a value) and the mean of the rates with the others that share a unit."""
+def annotator_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
+    """annotator, n_annotations (units with a value) and the mean of the rates with the others that share a unit.
+
+    Rates are added up where pairs are counted, so none is shuffled.
+    """
     own = last_values(df, unit, annotator, value, order).groupBy("a").agg(F.count(F.lit(1)).alias("n_annotations"))
-    sides = pairs.filter("rate is not null").select(F.explode(F.array("a1", "a2")).alias("b"), "rate").groupBy("b").agg(F.avg("rate").alias("mean_agreement"))
-    return own.join(sides, F.col("a") == F.col("b"), "left").select(F.col("a").alias("annotator"), "n_annotations", "mean_agreement")
+    schema = T.StructType([T.StructField("b", df.schema[annotator].dataType), T.StructField("rates", T.DoubleType()), T.StructField("others", T.LongType())])
+
+    def found(differ: np.ndarray, agreed: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(n) for n in differ.shape]
+        others = [np.zeros(n, dtype=np.int64) for n in differ.shape]
+        for low in range(0, len(left), 16):
+            rows = slice(low, low + 16)
+            n = agreed[rows]
+            m = n + differ[rows]
+            if same:
+                m, n = np.triu(m, low + 1), np.triu(n, low + 1)
+            met, rate = m > 0, n / np.maximum(m, 1)
+            for to, axis, part in ((0, 1, rows), (1, 0, slice(None))):
+                sums[to][part] += rate.sum(axis=axis)
+                others[to][part] += np.count_nonzero(met, axis=axis)
+        for who, rates, n in zip((left, right), sums, others, strict=True):
+            yield pa.RecordBatch.from_arrays([who, pa.array(rates), pa.array(n)], names=["b", "rates", "others"])
+
+    sides = met_in_blocks(agreement_blocks(df, unit, annotator, value, order), found, schema)
+    means = sides.groupBy("b").agg((F.sum("rates") / F.nullif(F.sum("others"), F.lit(0))).alias("mean_agreement"))
+    return own.join(means, F.col("a") == F.col("b"), "left").select(F.col("a").alias("annotator"), "n_annotations", "mean_agreement")
 
 
 def bootstrap_ci(df: DataFrame, statistic: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -145,9 +145,7 @@ def overall_agreement(spark, d):
     f"{A}, {_PAIRS} SELECT a AS annotator, count(*) AS n_annotations, (SELECT {r('avg(rate)')} FROM every WHERE a1 = x.a OR a2 = x.a) AS mean_agreement FROM x GROUP BY a",
 )
 def annotator_agreement(spark, d):
-    rows = annotations(spark, d)
-    pairs = statistics.pairwise_agreement(rows, "unit_id", "annotator_id", "error_trajectory")
-    return statistics.annotator_agreement(rows, pairs, "unit_id", "annotator_id", "error_trajectory")
+    return statistics.annotator_agreement(annotations(spark, d), "unit_id", "annotator_id", "error_trajectory")
 
 
 _RUNS = """{A}, c AS (SELECT annotator_id, error_trajectory AS v, seq, CASE WHEN error_trajectory IS NULL OR coalesce(error_trajectory <> lag(error_trajectory) OVER w, true) THEN 1 ELSE 0 END AS ch,

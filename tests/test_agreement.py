@@ -61,3 +61,15 @@ def test_annotator_agreement(spark, blocks):
     got = {r.annotator: (r.n_annotations, r.mean_agreement) for r in found.collect()}
     assert got == {a: (len(v), pytest.approx(sum(rates[a]) / len(rates[a])) if rates[a] else None) for a, v in last.items()}
     assert "a1" not in plan(found)  # no row holds a pair
+
+
+def test_pairwise_agreement(spark, blocks):
+    df = annotations(spark)
+    _, pairs = by_hand(df)
+    found = st.pairwise_agreement(df, "u", "annotator_id", "v")
+    got = {(r.a1, r.a2): (r.shared, r.agreed, r.rate) for r in found.collect()}
+    assert got == {pair: (shared, agreed, pytest.approx(agreed / shared) if shared else None) for pair, (shared, agreed) in pairs.items()}
+    assert found.count() == len(pairs)
+    # No pair is joined or shuffled: pairs come out of the last step.
+    assert plan(found).count("a1#") <= 2 and "NestedLoopJoin BuildRight, Inner, (a1" not in plan(found)
+    assert st.pairwise_agreement(df.limit(0), "u", "annotator_id", "v").count() == 0

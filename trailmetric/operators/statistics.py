@@ -444,16 +444,23 @@ def met_in_blocks(blocks: DataFrame, found, schema: T.StructType) -> DataFrame:
 def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:
     """a1, a2, shared, agreed, rate for every pair of annotators with a value, those without a shared unit included.
 
-    An annotator's last known value of a unit counts. Shared units meet in an equi-join on the unit; the result has a row
-    for each pair of annotators, by its contract.
+    An annotator's last known value of a unit counts. The result has a row for each pair of annotators, by its contract; pairs are
+    counted by blocks of annotators and neither joined nor shuffled.
     """
-    rows = last_values(df, unit, annotator, value, order)
-    left, right = rows.select("u", F.col("a").alias("a1"), F.col("v").alias("v1")), rows.select("u", F.col("a").alias("a2"), F.col("v").alias("v2"))
-    met = left.join(right, "u").filter("a1 < a2").groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("v1") == F.col("v2")).alias("agreed"))
-    people = rows.select("a").distinct()
-    every = people.select(F.col("a").alias("a1")).join(people.select(F.col("a").alias("a2")), F.col("a1") < F.col("a2"))
-    joined = every.join(met, ["a1", "a2"], "left")
-    return joined.select("a1", "a2", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("agreed", F.lit(0)).alias("agreed"), (F.col("agreed") / F.col("shared")).alias("rate"))
+    kind = df.schema[annotator].dataType
+    schema = T.StructType([T.StructField("a1", kind), T.StructField("a2", kind), *[T.StructField(c, T.LongType()) for c in ("shared", "agreed")], T.StructField("rate", T.DoubleType())])
+
+    def found(differ: np.ndarray, agreed: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> Iterator[pa.RecordBatch]:
+        width = differ.shape[1]
+        for low in range(0, len(left), step := max(1, 65536 // width)):
+            n = agreed[low : low + step]
+            m = n + differ[low : low + step]
+            x, y = np.nonzero(np.arange(low, low + len(m))[:, None] < np.arange(width)) if same else np.divmod(np.arange(m.size), width)
+            m, n = m[x, y].astype(np.int64), n[x, y].astype(np.int64)
+            rate = pa.array(n / np.maximum(m, 1), mask=m == 0)
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(x + low)), right.take(pa.array(y)), pa.array(m), pa.array(n), rate], names=["a1", "a2", "shared", "agreed", "rate"])
+
+    return met_in_blocks(agreement_blocks(df, unit, annotator, value, order), found, schema)
 
 
 def overall_agreement(df: DataFrame, unit: str, annotator: str, value: str, order: str = "seq") -> DataFrame:

@@ -335,14 +335,14 @@ def alpha_band(alpha: Column) -> Column:
     return F.when(alpha >= 0.8, "high").when(alpha >= 0.6, "acceptable").when(alpha >= 0.4, "moderate").when(alpha.isNotNull(), "low").otherwise("insufficient_data")
 
 
-#: Annotators in a block, 2 ** BITS; slices that units are dealt to by their hash; records with votes that a Python worker gets at once; votes that it counts at once.
+#: Annotators in a block, 2 ** BITS at most; slices that units are dealt to by their hash; records with votes that a Python worker gets at once; votes that it counts at once.
 BITS, SLICES, RECORDS, LOT = 12, 1024, 256, 1 << 21
 
 
 def agreement_blocks(df: DataFrame, unit: str, annotator: str, value: str, order: str) -> DataFrame:
     """(i, j, block, slice, votes, names): of every pair of blocks of annotators, in a partition, the names of both (slice -1) and then their votes by slices of units.
 
-    Annotators are numbered in their order, 2 ** BITS to a block. A vote is a long: the unit's number in its slice (25 bits), the
+    Annotators are numbered in their order, up to 2 ** BITS to a block, but fewer where that made less than 8 blocks. A vote is a long: the unit's number in its slice (25 bits), the
     value's number in its unit (26) and the annotator's in the block. Votes are sent once for each block, so that what
     is shuffled grows with votes times blocks, and not with the pairs of annotators that meet in a unit.
     """
@@ -350,7 +350,8 @@ def agreement_blocks(df: DataFrame, unit: str, annotator: str, value: str, order
     known = df.filter(F.col(unit).isNotNull() & F.col(value).isNotNull() & F.col(annotator).isNotNull())
     numbers = _running(known.select(F.col(annotator).alias("a")).distinct().withColumn("_n", F.lit(1)), "a")
     number = F.col("_rank").cast("long") - 1
-    people = numbers.select("a", F.shiftright(number, BITS).cast("int").alias("block"), number.bitwiseAND((1 << BITS) - 1).alias("at"))
+    size = F.least(F.lit(1 << BITS), F.greatest(F.lit(64), F.ceil(F.col("_all") / 8)))
+    people = numbers.crossJoin(F.broadcast(numbers.agg(F.count(F.lit(1)).alias("_all")))).select("a", F.floor(number / size).cast("int").alias("block"), (number % size).alias("at"))  # by one row
     rows = last_values(known, unit, annotator, value, order).withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(SLICES)).cast("int"))
     coded = rows.select("slice", "a", F.dense_rank().over(Window.partitionBy("slice", "u").orderBy("v")).alias("_v"), F.dense_rank().over(Window.partitionBy("slice").orderBy("u")).alias("_u"))
     vote = F.shiftleft(F.col("_u").cast("long"), BITS + 26) + F.shiftleft(F.col("_v").cast("long"), BITS) + F.col("at")
@@ -455,10 +456,13 @@ def pairwise_agreement(df: DataFrame, unit: str, annotator: str, value: str, ord
         for low in range(0, len(left), step := max(1, 65536 // width)):
             n = agreed[low : low + step]
             m = n + differ[low : low + step]
-            x, y = np.nonzero(np.arange(low, low + len(m))[:, None] < np.arange(width)) if same else np.divmod(np.arange(m.size), width)
-            m, n = m[x, y].astype(np.int64), n[x, y].astype(np.int64)
+            x, y = np.repeat(np.arange(low, low + len(m)), width), np.tile(np.arange(width), len(m))
+            m, n = m.ravel().astype(np.int64), n.ravel().astype(np.int64)
+            if same:
+                keep = x < y
+                m, n, x, y = m[keep], n[keep], x[keep], y[keep]
             rate = pa.array(n / np.maximum(m, 1), mask=m == 0)
-            yield pa.RecordBatch.from_arrays([left.take(pa.array(x + low)), right.take(pa.array(y)), pa.array(m), pa.array(n), rate], names=["a1", "a2", "shared", "agreed", "rate"])
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(x)), right.take(pa.array(y)), pa.array(m), pa.array(n), rate], names=["a1", "a2", "shared", "agreed", "rate"])
 
     return met_in_blocks(agreement_blocks(df, unit, annotator, value, order), found, schema)
 
